@@ -53,8 +53,8 @@ def slide_html(s: Column) -> Column:
     first_tag = F.regexp_extract(
         F.regexp_extract(s, r"(?s)<.*?>", 0), r"(?i)<([a-z][a-z0-9]*)", 1
     )
-    element = F.regexp_extract(
-        s, F.concat(F.lit("(?is)<"), first_tag, F.lit(".*?</"), first_tag, F.lit(">")), F.lit(0)
+    element = F.call_function(
+        "regexp_extract", s, F.concat(F.lit("(?is)<"), first_tag, F.lit(".*?</"), first_tag, F.lit(">")), F.lit(0)
     )
     chosen = (
         F.when(s.rlike(fence), F.regexp_extract(s, fence, 1))

@@ -98,13 +98,11 @@ merge_rules = union_rules
 
 def default_rules(repos: DataFrame) -> DataFrame:
     """The default exclusions as rule rows for every repository."""
-    listed = F.concat(
-        *[
-            F.transform(_strings(values), lambda p, k=kind: F.struct(F.lit(k).alias("kind"), p.alias("pattern")))
-            for kind, values in (("excluded_dir", EXCLUDED_DIRS), ("excluded_file", EXCLUDED_FILES))
-        ]
-    )
-    return repos.select("repo_id", F.explode(listed).alias("rule")).select("repo_id", "rule.*")
+    def listed(kind: str, values: Sequence[str]) -> Column:
+        return F.transform(_strings(values), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("pattern")))
+
+    rules = F.concat(listed("excluded_dir", EXCLUDED_DIRS), listed("excluded_file", EXCLUDED_FILES))
+    return repos.select("repo_id", F.explode(rules).alias("rule")).select("repo_id", "rule.*")
 
 
 def drop_blank_text(df: DataFrame, text: str = "text") -> DataFrame:
