@@ -20,6 +20,7 @@ _EVENT = (
     "choices array<struct<delta: struct<content: string>, text: string>>"
 )
 FLUSH_CHARS = 1_000_000
+IDLE_MS = 600_000
 
 
 def parse_sse(lines: DataFrame, keep_skipped: bool = False) -> DataFrame:
@@ -45,7 +46,7 @@ def parse_sse(lines: DataFrame, keep_skipped: bool = False) -> DataFrame:
     )
     if keep_skipped:
         return events
-    return events.filter("done OR coalesce(content, id, model, created) IS NOT NULL")
+    return events.filter("done OR content IS NOT NULL OR id IS NOT NULL OR model IS NOT NULL OR created IS NOT NULL")
 
 
 def accumulate(events: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ class ResponseAccumulator(StatefulProcessor):
     The last part is emitted at the end line, or as incomplete when a request falls silent.
     """
 
-    def __init__(self, first_seq: int = 0, idle_ms: int = 600_000, flush_chars: int = FLUSH_CHARS):
+    def __init__(self, first_seq: int = 0, idle_ms: int | None = IDLE_MS, flush_chars: int = FLUSH_CHARS):
         self.first_seq, self.idle_ms, self.flush_chars = first_seq, idle_ms, flush_chars
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -96,11 +97,18 @@ class ResponseAccumulator(StatefulProcessor):
             columns=["req_id", "part_no", "response", "id", "model", "created", "complete"],
         )
 
+    def _set_timer(self, at: int | None) -> None:
+        if self.idle_ms is None:
+            return
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if at is not None:
+            self.handle.registerTimer(at)
+
     def _clear(self) -> None:
         self.progress.clear()
         self.pending.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        self._set_timer(None)
 
     def _load(self) -> dict:
         if self.progress.exists():
@@ -139,31 +147,31 @@ class ResponseAccumulator(StatefulProcessor):
                 p["part_no"], pieces, size = p["part_no"] + 1, [], 0
         p["text"] = "".join(pieces)
         self.progress.update(tuple(p.values()))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        if self.idle_ms is not None:
+            self._set_timer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        p = self._load()
-        yield self._emit(key, p, False)
-        self._clear()
+        yield self._emit(key, self._load(), False)
+        self.progress.clear()
+        self.pending.clear()
 
     def close(self) -> None:
         pass
 
 
-def accumulate_stream(lines: DataFrame, **options) -> DataFrame:
+def accumulate_stream(lines: DataFrame, idle_ms: int | None = IDLE_MS, **options) -> DataFrame:
     """I2 on a stream of `req_id, seq, line`: needs the RocksDB state store provider.
 
-    Skipped lines stay as events without content, so sequence numbers have no gaps.
+    Skipped lines stay as events without content, so sequence numbers have no gaps. Without
+    `idle_ms` there are no timers, as a one-off run over the available files needs.
     """
     return (
         parse_sse(lines, keep_skipped=True)
         .select("req_id", "seq", "done", "content", "id", "model", "created")
         .groupBy("req_id")
         .transformWithStateInPandas(
-            statefulProcessor=ResponseAccumulator(**options), outputStructType=RESPONSE,
-            outputMode="Append", timeMode="ProcessingTime",
+            statefulProcessor=ResponseAccumulator(idle_ms=idle_ms, **options), outputStructType=RESPONSE,
+            outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime",
         )
     )
 
