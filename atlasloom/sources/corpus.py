@@ -13,6 +13,7 @@ from ..functions.text import replace_all
 from ..operators.scale import dense_index, ordered_text, sorted_index
 from ..session import ensure_checkpoint_dir
 
+READ_BYTES = 16 * 1024 * 1024
 _ENTRY = "path string, is_dir boolean, length bigint, modified timestamp"
 
 
@@ -68,15 +69,24 @@ def list_files(spark: SparkSession, root: str, split_levels: int = 3) -> DataFra
 def _read_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs as pafs
 
+    rows, held = [], 0
     for frame in frames:
-        for _, row in frame.iterrows():
+        columns = [*frame.columns, "content"]
+        for row in frame.itertuples(index=False):
             try:
-                system, inner = pafs.FileSystem.from_uri(row["path"])
+                system, inner = pafs.FileSystem.from_uri(row.path)
                 with system.open_input_stream(inner) as stream:
                     content = stream.read()
             except OSError:  # unreadable files are left out, like undecodable ones
                 continue
-            yield pd.DataFrame([{**row.to_dict(), "content": content}])
+            rows.append((*row, content))
+            held += len(content)
+            if held > READ_BYTES:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+            rows, held = [], 0
 
 
 def _relative(path: Column, root: str) -> Column:
