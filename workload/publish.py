@@ -1 +1,189 @@
-"""Pending."""
+"""Exports, decks and workshops."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from atlasloom.operators import publish as p
+from atlasloom.operators.wiki import attach_content
+from atlasloom.plans.wikis import derive_decks, publish_wiki, slide_pages, slide_plans, workshops
+
+from . import query
+from .inputs import load, with_inputs
+from .wikis import COMPLETE, RELATED
+
+STAMP = "2024-01-01 00:00:00"
+NL2 = "chr(10) || chr(10)"
+FILLED = """filled AS (SELECT p.* REPLACE (coalesce(nullif(g.content, ''), 'Content not generated') AS content)
+  FROM wiki_pages p LEFT JOIN generated g ON p.wiki_id = g.wiki_id AND p.page_id = g.page_id)"""
+MARKDOWN = f"""bodies AS (SELECT wiki_id, page_ord, '- [' || title || '](#' || page_id || ')' || chr(10) AS toc,
+    '<a id=''' || page_id || '''></a>' || {NL2} || '## ' || title || {NL2} || '### Related Pages' || {NL2}
+    || CASE WHEN links IS NOT NULL THEN 'Related topics: ' || links || {NL2} ELSE '' END
+    || content || {NL2} || '---' || {NL2} AS body
+  FROM filled LEFT JOIN links USING (wiki_id, page_ord)),
+markdown AS (SELECT wiki_id, CAST(0 AS BIGINT) AS part_no, '# Wiki Documentation for https://github.com/org/' || wiki_id || {NL2}
+    || 'Generated on: {STAMP}' || {NL2} || '## Table of Contents' || {NL2} || string_agg(toc, '' ORDER BY page_ord) || chr(10)
+    || string_agg(body, '' ORDER BY page_ord) AS markdown FROM bodies GROUP BY wiki_id)"""
+# a wiki of more pages than one part holds is compared in the tests
+JSON = f"""json_docs AS (SELECT wiki_id, CAST(0 AS BIGINT) AS part_no,
+    '{{"metadata":{{"repository":"https://github.com/org/' || wiki_id || '","generated_at":"{STAMP}","page_count":' || count(*) || '}},"pages":['
+    || string_agg(to_json({{'id': page_id, 'title': title, 'content': content, 'filePaths': file_paths, 'importance': importance,
+      'relatedPages': related_pages}})::VARCHAR, ',' ORDER BY page_ord) || ']}}' AS json FROM filled GROUP BY wiki_id)"""
+
+
+def filled(spark, sf):
+    return attach_content(load(spark, sf, "wiki_pages"), load(spark, sf, "generated"))
+
+
+@query(with_inputs("wiki_pages", "generated", also=RELATED + ",\n" + FILLED + ",\n" + MARKDOWN) + "SELECT * FROM markdown")
+def markdown_export(spark, sf):
+    """A14, C2, C5"""
+    return p.export_markdown(filled(spark, sf), load(spark, sf, "wikis"), STAMP)
+
+
+@query(with_inputs("wiki_pages", "generated", also=FILLED + ",\n" + JSON) + "SELECT * FROM json_docs")
+def json_export(spark, sf):
+    """A15"""
+    return p.export_json(filled(spark, sf), load(spark, sf, "wikis"), STAMP)
+
+
+@query(
+    with_inputs("wiki_pages", "generated", "wikis", also=COMPLETE)
+    + """SELECT 'github' AS repo_type, 'org' AS owner, w.wiki_id AS repo, 'en' AS language, w.repo_url, 1 AS updated_at
+    FROM wikis w JOIN per_wiki p USING (wiki_id) JOIN counted c USING (wiki_id) WHERE all_done AND n_generated >= n_pages
+    UNION ALL SELECT 'github', 'org', wiki_id, 'en', 'old', 0 FROM wikis w WHERE wiki_id NOT IN (
+      SELECT wiki_id FROM per_wiki p JOIN counted c USING (wiki_id) WHERE all_done AND n_generated >= n_pages)"""
+)
+def published_wikis(spark, sf):
+    """Complete wikis replace their stored rows, others stay"""
+    wikis = load(spark, sf, "wikis").withColumns(
+        {"repo_type": F.lit("github"), "owner": F.lit("org"), "repo": F.col("wiki_id"), "language": F.lit("en"), "updated_at": F.lit(1)}
+    )
+    keys = ["repo_type", "owner", "repo", "language"]
+    cache = wikis.select(*keys, "wiki_id", F.lit("old").alias("repo_url"), F.lit(0).alias("updated_at"))
+    out = publish_wiki(wikis, load(spark, sf, "wiki_pages"), load(spark, sf, "generated"), cache, STAMP)
+    return out["cache"].select(*keys, "repo_url", "updated_at")
+
+
+BUDGET = f"""sized AS (
+  SELECT p.wiki_id, p.page_ord, CAST(p.importance <> 'high' AS INTEGER) AS rest,
+    '## ' || p.title || chr(10) || g.content || {NL2} AS whole,
+    '## ' || p.title || chr(10) || trim(CASE WHEN regexp_matches(g.content, '# [^\\n]*?\\n\\n([^\\n]*?)(\\n\\n|\\z)')
+      THEN regexp_extract(g.content, '# [^\\n]*?\\n\\n([^\\n]*?)(\\n\\n|\\z)', 1) ELSE 'No summary available' END) || {NL2} AS brief
+  FROM wiki_pages p JOIN generated g ON p.wiki_id = g.wiki_id AND p.page_id = g.page_id WHERE g.content <> ''),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY wiki_id ORDER BY rest, page_ord) AS n FROM sized),
+walk(wiki_id, n, total, started, text) AS (
+  SELECT wiki_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), FALSE, '## Project Overview' || chr(10) || description || {NL2} FROM wikis
+  UNION ALL
+  SELECT w.wiki_id, r.n, CASE WHEN open THEN w.total + length(piece) ELSE w.total END, w.started OR (open AND r.rest = 1),
+    CASE WHEN open THEN w.text || piece ELSE w.text END
+  FROM walk w JOIN ranked r ON r.wiki_id = w.wiki_id AND r.n = w.n + 1,
+    LATERAL (SELECT CASE WHEN r.rest = 0 OR w.started THEN w.total <= 30000 ELSE w.total < 30000 END AS open,
+      CASE WHEN r.rest = 0 OR w.total + length(r.whole) <= 30000 THEN r.whole ELSE r.brief END AS piece)),
+packed AS (SELECT wiki_id, arg_max(text, n) AS context FROM walk GROUP BY wiki_id)"""
+
+
+@query(with_inputs("wiki_pages", "generated", "wikis", also=BUDGET) + "SELECT * FROM packed")
+def context_pack(spark, sf):
+    """E3, H16, J10"""
+    return p.pack_context(load(spark, sf, "wiki_pages"), load(spark, sf, "generated"), load(spark, sf, "wikis"))
+
+
+# text without digits, colons, hashes and full stops, one part per line
+PLAIN = "translate(text, '0123456789:#.', '')"
+LINES = f"""lines AS (SELECT doc_id, i, trim(line) AS line FROM (
+  SELECT doc_id, unnest(string_split({PLAIN}, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)
+  WHERE trim(line) <> ''),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM lines)"""
+
+
+@query(
+    f"""WITH {LINES} SELECT 'd' || doc_id AS wiki_id, CAST(n AS INTEGER) AS slide_no, trim(substr(line, 1, 20)) AS title,
+      CASE WHEN n % 2 = 0 THEN trim(line) ELSE '' END AS description FROM numbered"""
+)
+def slide_plan(spark, sf):
+    """Every line of a text as a numbered item, in one of three notations"""
+    lines = F.filter(F.transform(F.split(F.expr(PLAIN), "\n"), F.trim), lambda x: x != "")
+    kind = F.col("doc_id") % 3
+
+    def item(x, i):
+        text = F.concat(F.substr(x, F.lit(1), F.lit(20)), F.when(i % 2 == 1, F.concat(F.lit(": "), x, F.lit(": z"))).otherwise(F.lit("")))
+        number = (i + 1).cast("string")
+        return F.concat(
+            F.when(kind == 0, F.concat(number, F.lit(". "))).when(kind == 1, F.concat(number, F.lit(") ")))
+            .otherwise(F.concat(F.lit("Slide "), number, F.lit(": "))),
+            text,
+        )
+
+    plans = spark.read.parquet(f"{sf}/documents.parquet").select(
+        F.concat(F.lit("d"), "doc_id").alias("wiki_id"), F.lit("r").alias("repo"), F.array_join(F.transform(lines, item), "\n").alias("plan")
+    )
+    return slide_plans(plans)
+
+
+@query(
+    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN regexp_replace(html, '^\\s+|\\s+$', '', 'g')
+      WHEN 2 THEN coalesce(nullif(regexp_extract(html, '(?is)<html.*?</html>', 0), ''), 'intro ' || substr(html, instr(html, '<html'))) ELSE regexp_extract('<div class="slide">' || html || '</div> </div>', '(?s)<div class="slide".*?</div>\\s*</div>', 0) END AS html
+    FROM pages"""
+)
+def slide_page(spark, sf):
+    """Raw, fenced, first element and slide division"""
+    kind = F.col("page_id") % 4
+    text = (
+        F.when(kind == 0, F.col("html")).when(kind == 1, F.concat(F.lit("Here:\n```html\n"), "html", F.lit("\n```\ndone")))
+        .when(kind == 2, F.concat(F.lit("intro "), F.substr("html", F.instr("html", F.lit("<html")))))
+        .otherwise(F.concat(F.lit('<div class="slide">'), "html", F.lit("</div> </div> tail")))
+    )
+    return slide_pages(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", text.alias("text")))
+
+
+NOTE = "'<div style=\"text-align: right; font-size: 0.85em; color: #666;\">' || chr(10) || "
+SHOWN = (
+    NOTE + "'Exercise {0} of 3 | Estimated time: {1} minutes' || chr(10) || '</div>' || chr(10) || chr(10) || "
+)
+
+
+@query(
+    f"""SELECT doc_id, '# Guide' || chr(10) || body || chr(10)
+      || CASE WHEN doc_id % 2 = 0 THEN '## Contents' || chr(10) ELSE '## Table of Contents' || {NL2}
+        || '- [Setup, now](#setup-now)' || chr(10) || '- [Exercise 1: start](#exercise-1-start)' || chr(10) || '- [Exercise 2: go on](#exercise-2-go-on)' || chr(10)
+        || '- [Exercise 3: end](#exercise-3-end)' || chr(10) || '- [Final Project](#final-project)' || {NL2} END
+      || '## Setup, now' || chr(10) || '## Exercise 1: start' || chr(10) || {SHOWN.format(1, 5)} body || chr(10)
+      || '## Exercise 2: go on' || chr(10) || {SHOWN.format(2, 10)} body || chr(10) || '## Exercise 3: end' || chr(10) || {SHOWN.format(3, 15)}
+      '## Final Project' || chr(10) || {NOTE} 'Estimated time: 20-30 minutes | Combines concepts from all exercises' || chr(10) || '</div>' || {NL2}
+      || 'x' || chr(10) AS text
+    FROM (SELECT doc_id, {PLAIN} AS body FROM documents)"""
+)
+def workshop(spark, sf):
+    """H22, E6, H23, J10"""
+    body = F.expr(PLAIN)
+    text = F.concat(
+        F.lit("```markdown\n# Guide\n"), body, F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, "## Contents\n").otherwise(""),
+        F.lit("## Setup, now\n## Exercise 1: start\n"), body, F.lit("\n## Exercise 2: go on\n"), body,
+        F.lit("\n## Exercise 3: end\n## Final Project\nx\n```"),
+    )
+    return workshops(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", text.alias("text")))
+
+
+@query(
+    with_inputs("wiki_pages", "generated", "wikis", also=BUDGET)
+    + """SELECT 'context' AS kind, count(*) AS n, sum(length(context))::BIGINT AS n_chars FROM packed
+    UNION ALL SELECT 'plan', count(*), sum(length(description))::BIGINT FROM wikis
+    UNION ALL SELECT 'slide', count(*), sum(length(html))::BIGINT FROM pages
+    UNION ALL SELECT 'workshop', count(*), sum(length(text))::BIGINT FROM documents"""
+)
+def derived_decks(spark, sf):
+    """J10 as one job, summed per kind of output; texts are given in shapes that pass through"""
+    pages, wikis = load(spark, sf, "wiki_pages"), load(spark, sf, "wikis")
+    plans = wikis.select("wiki_id", F.lit("r").alias("repo"), F.concat(F.lit("1. T: "), "description").alias("plan"))
+    slides = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.concat(F.lit("```"), F.lit("html\n"), "html", F.lit("\n```")).alias("text"))
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat(F.lit("```markdown\n"), "text").alias("text"))
+    out = derive_decks(wikis, pages, load(spark, sf, "generated"), plans, slides, texts)
+
+    def total(kind, df, column):
+        return df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum(F.char_length(column)).cast("bigint").alias("n_chars"))
+
+    return (
+        total("context", out["contexts"], "context").unionByName(total("plan", out["plans"], "description"))
+        .unionByName(total("slide", out["slides"], "html")).unionByName(total("workshop", out["workshops"], "text"))
+    )

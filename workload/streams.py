@@ -1 +1,87 @@
-"""Pending."""
+"""Token streams and the running catalogue."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from atlasloom.operators.scale import dense_index
+from atlasloom.streaming import sse
+
+from . import query
+from .corpus import scratch
+from .inputs import load, with_inputs
+
+EVENTS = """events_in AS (
+  SELECT *, trim(line) LIKE 'data: {"id%' AS full_event, trim(line) LIKE 'data: {"choices%' AS text_event, trim(line) = 'data: [DONE]' AS done FROM sse_lines),
+parsed AS (SELECT req_id, seq, done, CASE WHEN full_event THEN regexp_extract(line, '"content":"([^"]*)"', 1)
+    WHEN text_event THEN regexp_extract(line, '"text":"([^"]*)"', 1) END AS content,
+    nullif(regexp_extract(line, '"id":"([^"]*)"', 1), '') AS id, nullif(regexp_extract(line, '"model":"([^"]*)"', 1), '') AS model,
+    TRY_CAST(nullif(regexp_extract(line, '"created":([0-9]+)', 1), '0') AS BIGINT) AS created
+  FROM events_in WHERE full_event OR text_event OR done),
+live AS (SELECT p.* FROM parsed p LEFT JOIN (SELECT req_id, min(seq) AS e FROM parsed WHERE done GROUP BY req_id) d USING (req_id)
+  WHERE e IS NULL OR seq < e)"""
+RESPONSES = """SELECT req_id, CAST(0 AS BIGINT) AS part_no, coalesce(string_agg(content, '' ORDER BY seq), '') AS response,
+      coalesce(arg_max(id, seq) FILTER (WHERE id IS NOT NULL), '') AS id, coalesce(arg_max(model, seq) FILTER (WHERE model IS NOT NULL), '') AS model,
+      coalesce(arg_max(created, seq) FILTER (WHERE created IS NOT NULL), 0) AS created"""
+
+
+@query(with_inputs("sse_lines", also=EVENTS) + "SELECT * FROM parsed")
+def sse_parse(spark, sf):
+    """I1"""
+    return sse.parse_sse(load(spark, sf, "sse_lines"))
+
+
+@query(with_inputs("sse_lines", also=EVENTS) + RESPONSES + " FROM live GROUP BY req_id")
+def sse_accumulate(spark, sf):
+    """I2"""
+    return sse.accumulate(sse.parse_sse(load(spark, sf, "sse_lines")))
+
+
+@query(
+    with_inputs("sse_lines", also=EVENTS) + RESPONSES
+    + ", TRUE AS complete FROM live WHERE req_id IN (SELECT req_id FROM parsed WHERE done) GROUP BY req_id"
+)
+def sse_stream(spark, sf):
+    """I2 as a stream: the finished requests, from files in two micro-batches"""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    folder, target, state = (scratch(spark, name) for name in ("lines", "responses", "state"))
+    numbered = dense_index(load(spark, sf, "sse_lines"), ["req_id"], ["seq"], "pos")
+    numbered.select("req_id", F.col("pos").alias("seq"), "line").repartition(2).write.parquet(folder)
+    lines = spark.readStream.schema("req_id string, seq bigint, line string").option("maxFilesPerTrigger", 1).parquet(folder)
+    sse.accumulate_stream(lines, idle_ms=None).writeStream.format("parquet").option("path", target).option(
+        "checkpointLocation", state
+    ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(sse.RESPONSE).parquet(target).filter("complete")
+
+
+@query(
+    """SELECT 'own' || (doc_id % 9) || '/' || source || '_' || doc_id AS name, 'github' AS repo_type, lang AS language FROM documents"""
+)
+def catalogue_stream(spark, sf):
+    """The catalogue follows a folder of stored wikis"""
+    folder = scratch(spark, "stored").removeprefix("file:")
+    target, state = scratch(spark, "catalogue"), scratch(spark, "state")
+
+    def write(frames):
+        import os
+
+        import pandas as pd
+
+        os.makedirs(folder, exist_ok=True)
+        for frame in frames:
+            for name in frame["name"]:
+                with open(os.path.join(folder, name), "w") as f:
+                    f.write("{}")
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    names = spark.read.parquet(f"{sf}/documents.parquet").select(
+        F.concat(
+            F.lit("wiki_cache_github_own"), F.col("doc_id") % 9, F.lit("_"), "source", F.lit("_"), "doc_id", F.lit("_"), "lang", F.lit(".json")
+        ).alias("name")
+    )
+    names.mapInPandas(write, "n int").agg(F.sum("n")).collect()
+    sse.stream_catalogue(spark, folder, target, state).awaitTermination()
+    return spark.read.parquet(target).select("name", "repo_type", "language")
