@@ -64,16 +64,22 @@ def slide_html(s: Column) -> Column:
     return F.coalesce(F.nullif(chosen, F.lit("")), s)
 
 
-def _insert(s: Column, at: Column, text: Column) -> Column:
-    """Insert after the first `at` characters."""
-    return F.concat(F.substring(s, F.lit(1), at), text, F.substr(s, at + 1))
+def _literal_replacement(text: Column) -> Column:
+    return F.regexp_replace(text, r"([\\$])", r"\\$1")
+
+
+def _replace(s: Column, pattern: Column | str, replacement: Column) -> Column:
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return F.regexp_replace(s, pattern, replacement)
 
 
 def _after_line(s: Column, marker: Column, note: Column) -> Column:
-    """Insert on the line below the first place where `marker` occurs, if that line ends."""
-    start = F.instr(s, marker)
-    line_end = F.when(start > 0, F.call_function("locate", F.lit("\n"), s, start)).otherwise(F.lit(0))
-    return F.when(line_end > 0, _insert(s, line_end, note)).otherwise(s)
+    """Insert on the line below the first place where `marker` occurs, if that line ends.
+
+    One pass of a regular expression; markers hold no special characters.
+    """
+    pattern = F.concat(F.lit(r"(?s)\A((?>.*?"), marker, F.lit(r")[^\n]*+\n)"))
+    return _replace(s, pattern, F.concat(F.lit("$1"), _literal_replacement(note)))
 
 
 def build_toc(s: Column) -> Column:
@@ -88,13 +94,10 @@ def build_toc(s: Column) -> Column:
         ),
     )
     toc = F.concat(F.lit("## Table of Contents\n\n"), F.array_join(entries, ""), F.lit("\n"))
-    intro = F.instr(s, F.lit("# "))
-    following = F.call_function("locate", F.lit("## "), s, intro + 1) - 1
-    wanted = (
-        ~s.contains("## Table of Contents") & ~s.contains("## Contents")
-        & (F.size(headings) > 0) & (following > intro)
-    )
-    return F.when(wanted, _insert(s, following, toc)).otherwise(s)
+    # The list goes before the first "## " behind the first "# ", wherever in a line they are.
+    wanted = ~s.contains("## Table of Contents") & ~s.contains("## Contents") & (F.size(headings) > 0)
+    place = r"(?s)\A((?>.*?# ).*?)(?=## )"
+    return F.when(wanted, _replace(s, place, F.concat(F.lit("$1"), _literal_replacement(toc)))).otherwise(s)
 
 
 def exercise_minutes(i: Column, n: Column) -> Column:

@@ -16,13 +16,18 @@ STATE_QUERIES = 50_000
 _BLOCK = "repo_id string, dim int, probe int, code bigint, ids array<string>, matrix binary"
 
 
+def _dim(chunks: DataFrame, vector: str):
+    """Vector length; a stored index has it as a column, so no vector is read for it."""
+    return F.col("dim") if "dim" in chunks.columns else F.size(vector)
+
+
 def modal_dims(chunks: DataFrame, vector: str = "vector", order: str = "doc_ord") -> DataFrame:
     """Most frequent vector length per repository; on a tie the length seen first.
 
     Only one row per (repository, length) leaves each task.
     """
     per_dim = (
-        chunks.select("repo_id", order, F.size(vector).alias("dim"))
+        chunks.select("repo_id", order, _dim(chunks, vector).alias("dim"))
         .filter("dim > 0")
         .groupBy("repo_id", "dim")
         .agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_ord"))

@@ -32,21 +32,30 @@ def parse_sse(lines: DataFrame, keep_skipped: bool = False) -> DataFrame:
     """
     line = trim_ws(F.col("line"))
     data = F.when(line.startswith("data: "), F.substr(line, F.lit(7)))
-    event = F.from_json(data, _EVENT)
-    choice = F.get(event["choices"], F.lit(0))
-    done = F.coalesce(data == "[DONE]", F.lit(False))
-    content = F.coalesce(F.nullif(choice["delta"]["content"], F.lit("")), choice["text"])
-    events = lines.select(
-        *[c for c in lines.columns if c != "line"],
-        done.alias("done"),
-        F.when(~done, content).alias("content"),
-        F.nullif(event["id"], F.lit("")).alias("id"),
-        F.nullif(event["model"], F.lit("")).alias("model"),
-        F.nullif(event["created"], F.lit(0)).alias("created"),
-    )
-    if keep_skipped:
-        return events
-    return events.filter("done OR content IS NOT NULL OR id IS NOT NULL OR model IS NOT NULL OR created IS NOT NULL")
+
+    def event(d: Column, e: Column) -> Column:
+        choice = F.get(e["choices"], F.lit(0))
+        done = F.coalesce(d == "[DONE]", F.lit(False))
+        content = F.coalesce(F.nullif(choice["delta"]["content"], F.lit("")), choice["text"])
+        return F.struct(
+            done.alias("done"),
+            F.when(~done, content).alias("content"),
+            F.nullif(e["id"], F.lit("")).alias("id"),
+            F.nullif(e["model"], F.lit("")).alias("model"),
+            F.nullif(e["created"], F.lit(0)).alias("created"),
+        )
+
+    # Bound as lambda variables and generated, each line is trimmed and parsed a single time
+    # however many fields are read or filtered later.
+    bound = F.transform(F.array(data), lambda d: F.struct(d.alias("d"), F.from_json(d, _EVENT).alias("e")))
+    events = F.transform(bound, lambda x: event(x["d"], x["e"]))
+    if not keep_skipped:
+        events = F.filter(
+            events,
+            lambda x: x["done"] | x["content"].isNotNull() | x["id"].isNotNull() | x["model"].isNotNull()
+            | x["created"].isNotNull(),
+        )
+    return lines.select(*[c for c in lines.columns if c != "line"], F.inline(events))
 
 
 def accumulate(events: DataFrame) -> DataFrame:

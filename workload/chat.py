@@ -11,7 +11,7 @@ from atlasloom.plans.chat import assemble_requests, classify_responses, render_r
 from . import query
 from .corpus import CHUNKS
 from .inputs import load, with_inputs
-from .retrieval import CONTEXT, text_chunks, text_hits
+from .retrieval import CONTEXT, stored_chunks, text_hits
 
 STRICT = """turns AS (
   SELECT u.conv_id, u.turn AS turn_no, u.content AS user_text, a.content AS assistant_text
@@ -186,4 +186,4 @@ asked AS (SELECT repo_id, CAST(conv_id AS STRING) AS query_id, coalesce('Context
 def assembled_prompts(spark, sf):
     """B8 to B10, C10, D3 to D6, E2, E10, J3"""
     files = load(spark, sf, "files").select("repo_id", "doc_ord", "file_path", "text")
-    return assemble_requests(load(spark, sf, "requests"), load(spark, sf, "messages"), text_chunks(spark, sf), files)
+    return assemble_requests(load(spark, sf, "requests"), load(spark, sf, "messages"), stored_chunks(spark, sf), files)

@@ -15,7 +15,7 @@ from atlasloom.session import ensure_checkpoint_dir
 from atlasloom.sources import corpus, index_store, wiki_cache
 
 from . import query
-from .inputs import load, with_inputs
+from .inputs import load, table, with_inputs
 
 CODE = ", ".join(f"'{s[1:]}'" for s in CODE_SUFFIXES)
 KNOWN = ", ".join(f"'{s[1:]}'" for s in (*CODE_SUFFIXES, *DOC_SUFFIXES))
@@ -129,7 +129,7 @@ def decode_contents(spark, sf):
     body = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "(.{60})", "$1\n")
     ok = F.to_json(F.struct(body.alias("content"), F.when(F.col("doc_id") % 7 == 5, "none").otherwise("base64").alias("encoding")))
     refused = F.lit('{"message": "Not Found", "documentation_url": "https://example.org"}')
-    rows = spark.read.parquet(f"{sf}/documents.parquet").select(
+    rows = table(spark, sf, "documents").select(
         "doc_id", F.when(F.col("doc_id") % 7 == 3, refused).otherwise(ok).alias("payload")
     )
     return corpus.decode_contents(rows).select("doc_id", "text", "error")
@@ -147,7 +147,7 @@ def detect_error_payload(spark, sf):
         F.when(key == 0, F.concat(F.lit('{"message": "'), "source", F.lit('"}')))
         .when(key == 1, F.concat(F.lit('{"message": '), "text")).otherwise(F.col("text"))
     )
-    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", content.alias("content"))
+    rows = table(spark, sf, "documents").select("doc_id", "source", content.alias("content"))
     return corpus.detect_error_payload(rows).select("doc_id", "text", "error")
 
 
@@ -256,7 +256,7 @@ STORED = """named AS (
 
 def project_files(spark: SparkSession, sf: str) -> DataFrame:
     return catalogue.projects_from_files(
-        spark.read.parquet(f"{sf}/documents.parquet").select(
+        table(spark, sf, "documents").select(
             F.concat(
                 F.lit("wiki_cache_github_own"), F.col("doc_id") % 9, F.lit("_"), "source", F.lit("_"), "lang", F.lit("_"),
                 "doc_id", F.lit("_"), "lang", F.lit(".json"),
@@ -344,7 +344,7 @@ def filter_strings(spark, sf):
     encoded = F.replace(F.col("url"), F.lit("/"), F.lit("%2F"))
     raw = F.concat(encoded, F.lit("\n \n"), F.lit("x+y%"))
     parsed = t.parse_filter_string(raw)
-    return spark.read.parquet(f"{sf}/pages.parquet").select(
+    return table(spark, sf, "pages").select(
         "page_id", F.element_at(parsed, 1).alias("first"), F.size(parsed).alias("n"), F.element_at(parsed, -1).alias("last")
     )
 
@@ -358,7 +358,7 @@ def filter_strings(spark, sf):
 )
 def doc_columns(spark, sf):
     """B7, H1, H2"""
-    return d.derive_doc_columns(load(spark, sf, "files")).select(
+    return d.derive_doc_columns(load(spark, sf, "files", heavy=True)).select(
         "doc_ord", "type", "is_code", "is_implementation", "title", "token_count",
         t.estimate_tokens(F.col("text")).alias("n_words"),
     )
@@ -371,7 +371,7 @@ def doc_columns(spark, sf):
 )
 def drop_oversized(spark, sf):
     """Counts are scaled so that both limits apply"""
-    docs = d.derive_doc_columns(load(spark, sf, "files"))
+    docs = d.derive_doc_columns(load(spark, sf, "files", heavy=True))
     return d.drop_oversized(docs.withColumn("token_count", F.col("token_count") * 30)).select("doc_ord", "token_count")
 
 
@@ -384,7 +384,7 @@ def docs_by_repo(spark, sf):
 @query(with_inputs("files", also=CHUNKS) + "SELECT chunk_id, repo_id, doc_ord, chunk_no, text FROM chunks")
 def chunk_words(spark, sf):
     """H3"""
-    docs = d.drop_oversized(d.derive_doc_columns(load(spark, sf, "files")))
+    docs = d.drop_oversized(d.derive_doc_columns(load(spark, sf, "files", heavy=True)))
     return d.chunk_words(docs).select("chunk_id", "repo_id", "doc_ord", "chunk_no", "text")
 
 
@@ -394,7 +394,7 @@ def chunk_words(spark, sf):
 )
 def batch_assignment(spark, sf):
     """E8"""
-    docs = d.drop_oversized(d.derive_doc_columns(load(spark, sf, "files")))
+    docs = d.drop_oversized(d.derive_doc_columns(load(spark, sf, "files", heavy=True)))
     return d.assign_batches(d.chunk_words(docs), 25).select("chunk_id", "batch_no")
 
 
@@ -406,7 +406,7 @@ def redacted(spark, sf):
     """The first word of a text is its secret"""
     secret = F.concat(F.substring_index("text", " ", 1), F.lit("+/"))
     text = F.concat(secret, F.lit(" "), "text", F.lit(" "), t.percent_encode(secret))
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", t.redact(text, secret).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", t.redact(text, secret).alias("text"))
 
 
 @query(
@@ -415,7 +415,7 @@ def redacted(spark, sf):
 )
 def blank_text_filter(spark, sf):
     """Lines of a text, some of them blank"""
-    lines = spark.read.parquet(f"{sf}/documents.parquet").select(
+    lines = table(spark, sf, "documents").select(
         "doc_id", F.explode(F.split(F.replace(F.col("text"), F.lit(". "), F.lit("\n \n")), "\n")).alias("text")
     )
     return filters.drop_blank_text(lines).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
@@ -429,7 +429,7 @@ def blank_text_filter(spark, sf):
 )
 def languages(spark, sf):
     """B10, B11"""
-    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("lang").alias("language"))
+    rows = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"))
     return filters.resolve_language(filters.check_language(rows))
 
 
@@ -439,7 +439,7 @@ def languages(spark, sf):
 )
 def latest_events(spark, sf):
     """E4"""
-    rows = spark.read.parquet(f"{sf}/events.parquet").drop("props")
+    rows = table(spark, sf, "events").drop("props")
     return scale.latest_wins(rows, ["user_id", "event_type"], "ts", "event_id")
 
 
@@ -452,7 +452,7 @@ def latest_events(spark, sf):
 def url_parts(spark, sf):
     """H4, H6, H8, H27"""
     url = F.col("url")
-    return spark.read.parquet(f"{sf}/pages.parquet").select(
+    return table(spark, sf, "pages").select(
         "page_id", u.url_domain(url).alias("domain"), u.url_path(url).alias("path"), u.repo_short_name(url).alias("short_name"),
         u.file_url(F.lit("web"), url, F.lit("main"), F.lit("x.py")).alias("file_url"),
         u.repo_name(url, F.lit("web")).alias("name"),

@@ -111,10 +111,22 @@ INPUTS = {
 }
 
 
-def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataFrame:
+    """A driver table. For work that is heavy per row, a table that is read in fewer splits than
+    there are cores is spread by its key; a table of many splits is read as it is."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if heavy and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, df.columns[0])
+    return df
+
+
+def load(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataFrame:
     text = INPUTS[name].replace("@list(", "array(")
     text = re.sub(r"@slice(\d+)\((\w+)\)", r"slice(\2, 1, \1)", text)
-    return spark.sql(re.sub(r"@(\w+)", lambda m: f"parquet.`{sf}/{m.group(1)}.parquet`", text))
+    for given in set(re.findall(r"@(\w+)", text)):
+        table(spark, sf, given, heavy).createOrReplaceTempView(f"given_{given}")
+    return spark.sql(re.sub(r"@(\w+)", r"given_\1", text))
 
 
 def with_inputs(*names: str, also: str = "") -> str:

@@ -9,7 +9,7 @@ from atlasloom.operators.wiki import attach_content
 from atlasloom.plans.wikis import derive_decks, publish_wiki, slide_pages, slide_plans, workshops
 
 from . import query
-from .inputs import load, with_inputs
+from .inputs import load, table, with_inputs
 from .wikis import COMPLETE, RELATED
 
 STAMP = "2024-01-01 00:00:00"
@@ -115,7 +115,7 @@ def slide_plan(spark, sf):
             text,
         )
 
-    plans = spark.read.parquet(f"{sf}/documents.parquet").select(
+    plans = table(spark, sf, "documents", heavy=True).select(
         F.concat(F.lit("d"), "doc_id").alias("wiki_id"), F.lit("r").alias("repo"), F.array_join(F.transform(lines, item), "\n").alias("plan")
     )
     return slide_plans(plans)
@@ -134,7 +134,7 @@ def slide_page(spark, sf):
         .when(kind == 2, F.concat(F.lit("intro "), F.substr("html", F.instr("html", F.lit("<html")))))
         .otherwise(F.concat(F.lit('<div class="slide">'), "html", F.lit("</div> </div> tail")))
     )
-    return slide_pages(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", text.alias("text")))
+    return slide_pages(table(spark, sf, "pages", heavy=True).select("page_id", text.alias("text")))
 
 
 NOTE = "'<div style=\"text-align: right; font-size: 0.85em; color: #666;\">' || chr(10) || "
@@ -162,7 +162,7 @@ def workshop(spark, sf):
         F.lit("## Setup, now\n## Exercise 1: start\n"), body, F.lit("\n## Exercise 2: go on\n"), body,
         F.lit("\n## Exercise 3: end\n## Final Project\nx\n```"),
     )
-    return workshops(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", text.alias("text")))
+    return workshops(table(spark, sf, "documents", heavy=True).select("doc_id", text.alias("text")))
 
 
 @query(
@@ -176,8 +176,8 @@ def derived_decks(spark, sf):
     """J10 as one job, summed per kind of output; texts are given in shapes that pass through"""
     pages, wikis = load(spark, sf, "wiki_pages"), load(spark, sf, "wikis")
     plans = wikis.select("wiki_id", F.lit("r").alias("repo"), F.concat(F.lit("1. T: "), "description").alias("plan"))
-    slides = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.concat(F.lit("```"), F.lit("html\n"), "html", F.lit("\n```")).alias("text"))
-    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat(F.lit("```markdown\n"), "text").alias("text"))
+    slides = table(spark, sf, "pages", heavy=True).select("page_id", F.concat(F.lit("```"), F.lit("html\n"), "html", F.lit("\n```")).alias("text"))
+    texts = table(spark, sf, "documents", heavy=True).select("doc_id", F.concat(F.lit("```markdown\n"), "text").alias("text"))
     out = derive_decks(wikis, pages, load(spark, sf, "generated"), plans, slides, texts)
 
     def total(kind, df, column):

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from atlasloom.operators import context, embed, retrieval as r
 from atlasloom.plans.corpus import build_chunks
+from atlasloom.sources import index_store
 
 from . import query
-from .corpus import CHUNKS
+from .corpus import CHUNKS, scratch
 from .inputs import load, with_inputs
 
 MODAL = """dims AS (
@@ -153,7 +154,14 @@ contexts AS (SELECT query_id, chr(10) || chr(10) || '----------' || string_agg(p
 
 
 def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return build_chunks(load(spark, sf, "files").select("repo_id", "doc_ord", "file_path", "text"))
+    return build_chunks(load(spark, sf, "files", heavy=True).select("repo_id", "doc_ord", "file_path", "text"))
+
+
+def stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Retrieval reads its chunks several times, each time other columns: from a stored index."""
+    path = scratch(spark, "chunks")
+    index_store.write_index(text_chunks(spark, sf), path, buckets=8)
+    return index_store.read_index(spark, path)
 
 
 def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,7 +200,7 @@ def batch_stats(spark, sf):
 )
 def text_retrieval(spark, sf):
     """J1 to J3 on texts"""
-    return r.retrieve(question_vectors(spark, sf), text_chunks(spark, sf))
+    return r.retrieve(question_vectors(spark, sf), stored_chunks(spark, sf))
 
 
 @query(
@@ -201,4 +209,4 @@ def text_retrieval(spark, sf):
 )
 def context_by_file(spark, sf):
     """D3"""
-    return context.group_context(r.retrieve(question_vectors(spark, sf), text_chunks(spark, sf)))
+    return context.group_context(r.retrieve(question_vectors(spark, sf), stored_chunks(spark, sf)))

@@ -9,7 +9,7 @@ from atlasloom.streaming import sse
 
 from . import query
 from .corpus import scratch
-from .inputs import load, with_inputs
+from .inputs import load, table, with_inputs
 
 EVENTS = """events_in AS (
   SELECT *, trim(line) LIKE 'data: {"id%' AS full_event, trim(line) LIKE 'data: {"choices%' AS text_event, trim(line) = 'data: [DONE]' AS done FROM sse_lines),
@@ -28,13 +28,13 @@ RESPONSES = """SELECT req_id, CAST(0 AS BIGINT) AS part_no, coalesce(string_agg(
 @query(with_inputs("sse_lines", also=EVENTS) + "SELECT * FROM parsed")
 def sse_parse(spark, sf):
     """I1"""
-    return sse.parse_sse(load(spark, sf, "sse_lines"))
+    return sse.parse_sse(load(spark, sf, "sse_lines", heavy=True))
 
 
 @query(with_inputs("sse_lines", also=EVENTS) + RESPONSES + " FROM live GROUP BY req_id")
 def sse_accumulate(spark, sf):
     """I2"""
-    return sse.accumulate(sse.parse_sse(load(spark, sf, "sse_lines")))
+    return sse.accumulate(sse.parse_sse(load(spark, sf, "sse_lines", heavy=True)))
 
 
 @query(
@@ -77,7 +77,7 @@ def catalogue_stream(spark, sf):
                     f.write("{}")
             yield pd.DataFrame({"n": [len(frame)]})
 
-    names = spark.read.parquet(f"{sf}/documents.parquet").select(
+    names = table(spark, sf, "documents").select(
         F.concat(
             F.lit("wiki_cache_github_own"), F.col("doc_id") % 9, F.lit("_"), "source", F.lit("_"), "doc_id", F.lit("_"), "lang", F.lit(".json")
         ).alias("name")

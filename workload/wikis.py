@@ -10,7 +10,7 @@ from atlasloom.operators import wiki as w
 from atlasloom.plans.wikis import ingest_wiki
 
 from . import query
-from .inputs import load, with_inputs
+from .inputs import load, table, with_inputs
 
 # every wiki holds 25 consecutive documents of a source; one in four has a broken block
 KEY = "wiki_id || '-' || CAST(CAST(floor(page_ord / 500) AS BIGINT) AS STRING)"
@@ -117,7 +117,7 @@ TITLED = "p_name || ' ' || CASE p_partkey % 5 WHEN 0 THEN 'Overview' WHEN 1 THEN
 )
 def cluster_titles(spark, sf):
     """D7, E5"""
-    pages = spark.read.parquet(f"{sf}/part.parquet").select(
+    pages = table(spark, sf, "part").select(
         F.expr("'w' || CAST(p_partkey % 50 AS STRING)").alias("wiki_id"), F.expr("'page-' || CAST(p_partkey AS STRING)").alias("page_id"),
         F.expr(TITLED).alias("title"),
     )
@@ -131,7 +131,7 @@ def cluster_titles(spark, sf):
 )
 def cluster_sections(spark, sf):
     """D7"""
-    pages = spark.read.parquet(f"{sf}/part.parquet").select(
+    pages = table(spark, sf, "part").select(
         F.expr("'w' || CAST(p_partkey % 50 AS STRING)").alias("wiki_id"), F.expr(TITLED).alias("title")
     )
     return w.cluster_pages(pages)[1].select("wiki_id", "section_id", "n_pages", "sec_ord")
@@ -245,7 +245,7 @@ def source_links(spark, sf):
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'page-' || (doc_id + 1) ELSE source END AS page_id FROM documents")
 def default_ids(spark, sf):
     """E9"""
-    rows = spark.read.parquet(f"{sf}/documents.parquet").select(
+    rows = table(spark, sf, "documents").select(
         "doc_id", F.when(F.col("doc_id") % 6 == 0, "").when(F.col("doc_id") % 3 != 0, F.col("source")).alias("page_id")
     )
     return w.default_ids(rows, "page", "page_id", "doc_id")
@@ -273,4 +273,4 @@ def fences(spark, sf):
         .when(key == 1, F.concat(text, F.lit("```")))
         .otherwise(F.concat(F.lit("```markdown"), text))
     )
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", strip_fences(fenced).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", strip_fences(fenced).alias("text"))
