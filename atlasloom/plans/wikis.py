@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import NO_XML_ERROR
 from ..functions.decks import (
@@ -27,20 +27,26 @@ def flatten_wiki_xml(responses: DataFrame, comprehensive: bool = True) -> tuple[
     blocks = responses.select(
         "wiki_id", extract_wiki_xml(strip_fences(F.col("response"), "xml")).alias("block")
     )
-    parsed = blocks.select("wiki_id", "block", repair_xml(F.col("block")).alias("xml")).withColumn(
-        "w", F.when(F.col("block") != "", parse_xml(F.col("xml")))
-    )
-    w = F.col("w")
-    broken = w["_corrupt_record"].isNotNull()
-    text = lambda tag: F.coalesce(unescape_xml(first_element(F.col("xml"), tag)), F.lit(""))
-    structured = parsed.select(
+    def read(w: Column) -> Column:
+        broken = w["_corrupt_record"].isNotNull()
+        return F.struct(
+            broken.alias("rebuilt"),
+            F.when(broken, pages_from_text(F.col("xml"))).otherwise(pages_from_xml(w)).alias("pages"),
+            F.when(~broken, sections_from_xml(w)).alias("sections"),
+        )
+
+    def text(tag: str) -> Column:
+        return F.coalesce(unescape_xml(first_element(F.col("xml"), tag)), F.lit("")).alias(tag)
+
+    xml = blocks.select("wiki_id", "block", repair_xml(F.col("block")).alias("xml"))
+    # Bound as a lambda variable, a block is parsed once for all that is read from it.
+    parsed = F.transform(F.array(F.when(F.col("block") != "", parse_xml(F.col("xml")))), read)
+    structured = xml.select(
         "wiki_id",
         F.when(F.col("block") == "", F.lit(NO_XML_ERROR)).alias("error"),
-        broken.alias("rebuilt"),
-        text("title").alias("title"),
-        text("description").alias("description"),
-        F.when(broken, pages_from_text(F.col("xml"))).otherwise(pages_from_xml(w)).alias("pages"),
-        F.when(~broken, sections_from_xml(w)).alias("sections"),
+        text("title"),
+        text("description"),
+        F.inline(parsed),
     )
     wikis = structured.select(
         "wiki_id", "title", "description", F.coalesce("rebuilt", F.lit(False)).alias("rebuilt"), "error"

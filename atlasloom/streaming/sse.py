@@ -12,7 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..functions.text import trim_ws
 from ..functions.urls import CACHE_PREFIX
 from ..operators.catalogue import projects_from_files
-from ..operators.scale import dense_index, ordered_text
+from ..operators.scale import ordered_text
 from ..sources.wiki_cache import upsert_buckets
 
 _EVENT = (
@@ -61,8 +61,9 @@ def parse_sse(lines: DataFrame, keep_skipped: bool = False) -> DataFrame:
 def accumulate(events: DataFrame) -> DataFrame:
     """I2 on a table: the text of each request and its last known id, model and time.
 
-    What follows the end line is ignored. Text is `req_id, part_no, response`; the head columns
-    come from one aggregation that keeps a row per request and task.
+    `seq` is the position of a line in its request; what follows the end line is ignored. Text is
+    `req_id, part_no, response`; the head columns come from one aggregation that keeps a row per
+    request and task.
     """
     def last(c: str) -> Column:
         return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
@@ -70,8 +71,7 @@ def accumulate(events: DataFrame) -> DataFrame:
     ends = events.filter("done").groupBy("req_id").agg(F.min("seq").alias("end"))
     live = events.join(ends, "req_id", "left").filter("end IS NULL OR seq < end").drop("end")
     heads = live.groupBy("req_id").agg(last("id"), last("model"), last("created"))
-    numbered = dense_index(live.filter("content IS NOT NULL"), ["req_id"], ["seq"], "pos")
-    texts = ordered_text(numbered, ["req_id"], "pos", "content", "response")
+    texts = ordered_text(live.filter("content IS NOT NULL"), ["req_id"], "seq", "content", "response")
     return heads.join(texts, "req_id", "left").select(
         "req_id", F.coalesce("part_no", F.lit(0)).alias("part_no"),
         F.coalesce("response", F.lit("")).alias("response"),

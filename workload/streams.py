@@ -25,6 +25,12 @@ RESPONSES = """SELECT req_id, CAST(0 AS BIGINT) AS part_no, coalesce(string_agg(
       coalesce(arg_max(created, seq) FILTER (WHERE created IS NOT NULL), 0) AS created"""
 
 
+def request_lines(spark, sf):
+    """The lines with their position in their request."""
+    numbered = dense_index(load(spark, sf, "sse_lines", heavy=True), ["req_id"], ["seq"], "pos")
+    return numbered.select("req_id", F.col("pos").alias("seq"), "line")
+
+
 @query(with_inputs("sse_lines", also=EVENTS) + "SELECT * FROM parsed")
 def sse_parse(spark, sf):
     """I1"""
@@ -34,7 +40,7 @@ def sse_parse(spark, sf):
 @query(with_inputs("sse_lines", also=EVENTS) + RESPONSES + " FROM live GROUP BY req_id")
 def sse_accumulate(spark, sf):
     """I2"""
-    return sse.accumulate(sse.parse_sse(load(spark, sf, "sse_lines", heavy=True)))
+    return sse.accumulate(sse.parse_sse(request_lines(spark, sf)))
 
 
 @query(
@@ -48,8 +54,7 @@ def sse_stream(spark, sf):
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
     folder, target, state = (scratch(spark, name) for name in ("lines", "responses", "state"))
-    numbered = dense_index(load(spark, sf, "sse_lines"), ["req_id"], ["seq"], "pos")
-    numbered.select("req_id", F.col("pos").alias("seq"), "line").repartition(2).write.parquet(folder)
+    request_lines(spark, sf).repartition(2).write.parquet(folder)
     lines = spark.readStream.schema("req_id string, seq bigint, line string").option("maxFilesPerTrigger", 1).parquet(folder)
     sse.accumulate_stream(lines, idle_ms=None).writeStream.format("parquet").option("path", target).option(
         "checkpointLocation", state
