@@ -13,7 +13,7 @@ from .scale import bounded_side
 
 BLOCK_ROWS = 1024
 STATE_QUERIES = 50_000
-_BLOCK = "repo_id string, dim int, probe int, code bigint, ids array<string>, matrix binary"
+_BLOCK = "repo_id string, dim int, code bigint, ids array<string>, matrix binary"
 
 
 def _dim(chunks: DataFrame, vector: str):
@@ -42,85 +42,100 @@ def filter_modal_dim(chunks: DataFrame, vector: str = "vector", order: str = "do
     return chunks.join(dims, "repo_id").filter(F.size(vector) == F.col("dim")).drop("dim")
 
 
-def _planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def _signatures(x: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
-    """One integer code per row and table: the signs of projections on fixed random planes."""
-    signs = (x @ _planes(x.shape[1], tables, bits, seed) > 0).reshape(len(x), tables, bits)
-    return signs @ (1 << np.arange(bits, dtype=np.int64))
+def _groups(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Row positions of each distinct code."""
+    order = np.argsort(codes, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+        yield int(codes[part[0]]), part
 
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return matrix / np.where(norms == 0, 1.0, norms)
+def _matrix(vectors: pa.ListArray, rows: np.ndarray, dim: int) -> np.ndarray:
+    starts = vectors.offsets.to_numpy()[:-1][rows]
+    return vectors.values.to_numpy(zero_copy_only=False)[starts[:, None] + np.arange(dim)[None, :]]
 
 
-def _pack(df: DataFrame, key: str, vector: str, tables: int = 0, bits: int = 0, probes: bool = False, seed: int = 7):
-    """Vectors of a task as matrix rows of at most `BLOCK_ROWS` vectors; nothing is shuffled.
+def _pack(df: DataFrame) -> DataFrame:
+    """Vectors of a task (`repo_id, id, vector, code`) as matrix rows of at most `BLOCK_ROWS` vectors.
 
-    With `tables > 0` a vector is packed once per signature table under its code (and, with
-    `probes`, also under every code that differs in one bit).
+    A block holds vectors of one repository, length and code. Nothing is shuffled.
     """
 
-    def grouped(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(codes, kind="stable")
-        cuts = np.flatnonzero(np.diff(codes[order])) + 1
-        for part in np.split(order, cuts):
-            yield int(codes[part[0]]), part
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
-            rows: list[tuple] = []
             if not record.num_rows:
                 continue
             repo_codes = record.column(0).dictionary_encode()
             repos = repo_codes.dictionary.to_pylist()
-            repo_of = repo_codes.indices.to_numpy(zero_copy_only=False)
-            ids = record.column(1).to_numpy(zero_copy_only=False)
-            vectors = record.column(2)
-            lengths = np.diff(vectors.offsets.to_numpy())
-            flat = vectors.values.to_numpy(zero_copy_only=False)
-            starts = vectors.offsets.to_numpy()[:-1]
-            for group_code, members in grouped(repo_of.astype(np.int64) * (1 << 32) + lengths):
-                repo, dim = repos[group_code >> 32], group_code & 0xFFFFFFFF
-                matrix = flat[starts[members][:, None] + np.arange(dim)[None, :]].astype(np.float32)
-                buckets: list[tuple[int, int, np.ndarray]] = []
-                if not tables:
-                    buckets.append((0, 0, np.arange(len(members))))
-                else:
-                    codes = _signatures(_unit(matrix.astype(np.float64)), tables, bits, seed)
-                    for t in range(tables):
-                        flips = [0] + ([1 << b for b in range(bits)] if probes else [])
-                        for flip in flips:
-                            buckets += [(t, code, part) for code, part in grouped(codes[:, t] ^ flip)]
-                for probe, code, part in buckets:
-                    for s in range(0, len(part), BLOCK_ROWS):
-                        take = part[s : s + BLOCK_ROWS]
-                        rows.append(
-                            (repo, int(dim), probe, code, list(ids[members[take]]), matrix[take].tobytes())
-                        )
-                    if len(rows) >= 256:
-                        yield _block_batch(rows)
-                        rows = []
+            ids, vectors = record.column(1).to_numpy(zero_copy_only=False), record.column(2)
+            lengths, codes = np.diff(vectors.offsets.to_numpy()), record.column(3).to_numpy()
+            key = repo_codes.indices.to_numpy().astype(np.int64) * (1 << 32) + lengths
+            rows: list[tuple] = []
+            for group, members in _groups(key):
+                repo, dim = repos[group >> 32], group & 0xFFFFFFFF
+                for code, part in _groups(codes[members]):
+                    for start in range(0, len(part), BLOCK_ROWS):
+                        take = members[part[start : start + BLOCK_ROWS]]
+                        matrix = _matrix(vectors, take, dim).astype(np.float32)
+                        rows.append((repo, int(dim), code, list(ids[take]), matrix.tobytes()))
+                        if len(rows) >= 256:
+                            yield _block_batch(rows)
+                            rows = []
             if rows:
                 yield _block_batch(rows)
 
-    source = df.filter(F.size(vector) > 0).select(
-        F.col("repo_id").cast("string"), F.col(key).cast("string"), F.col(vector).cast("array<float>")
-    )
-    return source.mapInArrow(run, _BLOCK)
+    return df.select("repo_id", "id", "vector", "code").mapInArrow(run, _BLOCK)
 
 
 def _block_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.binary()]
-    names = ["repo_id", "dim", "probe", "code", "ids", "matrix"]
+    types = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.binary()]
+    names = ["repo_id", "dim", "code", "ids", "matrix"]
     return pa.RecordBatch.from_arrays(
         [pa.array(list(col), type=t) for col, t in zip(zip(*rows), types)], names=names
     )
 
 
+def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    return df.filter(F.size(vector) > 0).select(
+        F.col("repo_id").cast("string").alias("repo_id"), F.col(key).cast("string").alias("id"),
+        F.col(vector).cast("array<float>").alias("vector"), F.lit(0).cast("bigint").alias("code"),
+    )
+
+
+def sign_codes(df: DataFrame, tables: int, bits: int, probes: bool = False, seed: int = 7) -> DataFrame:
+    """One row per vector and table with a code from the signs of fixed random projections.
+
+    With `probes` a vector also gets every code that differs in one bit. Only codes are added by
+    the task; the copies of a vector exist after the generator and last as far as the next join.
+    """
+    flips = np.array([0] + ([1 << b for b in range(bits)] if probes else []), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in batches:
+            vectors = record.column(2)
+            codes = np.zeros((record.num_rows, tables * len(flips)), dtype=np.int64)
+            for dim, rows in _groups(np.diff(vectors.offsets.to_numpy())) if record.num_rows else ():
+                planes = np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
+                signs = (_unit(_matrix(vectors, rows, dim).astype(np.float64)) @ planes > 0).reshape(-1, tables, bits)
+                found = signs @ (1 << np.arange(bits, dtype=np.int64))
+                probed = (found[:, :, None] ^ flips) + (np.arange(tables, dtype=np.int64) << bits)[None, :, None]
+                codes[rows] = probed.reshape(len(rows), -1)
+            offsets = np.arange(record.num_rows + 1, dtype=np.int32) * codes.shape[1]
+            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.reshape(-1)))
+            yield pa.RecordBatch.from_arrays(
+                [record.column(0), record.column(1), vectors, column], names=["repo_id", "id", "vector", "codes"]
+            )
+
+    coded = df.select("repo_id", "id", "vector").mapInArrow(
+        run, "repo_id string, id string, vector array<float>, codes array<bigint>"
+    )
+    return coded.select("repo_id", "id", "vector", F.explode("codes").alias("code"))
+
+
 class _Best:
     """Best `k` hits per query seen so far in one task, ordered by (-score, chunk)."""
 
@@ -153,8 +168,9 @@ class _Best:
             )
 
 
-def _score_blocks(query_blocks: DataFrame, chunk_blocks: DataFrame, on: list[str], k: int) -> DataFrame:
+def _score_blocks(query_blocks: DataFrame, chunk_blocks: DataFrame, k: int) -> DataFrame:
     """Cosine of every query block with every chunk block of its key, reduced to `k` per query and task."""
+    on = ["repo_id", "dim", "code"]
     q = query_blocks.select(*on, F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
     c = chunk_blocks.select(*on, F.col("ids").alias("c_ids"), F.col("matrix").alias("c_matrix"))
     pairs = c.join(q, on).select("repo_id", "dim", "q_ids", "q_matrix", "c_ids", "c_matrix")
@@ -177,18 +193,20 @@ def _score_blocks(query_blocks: DataFrame, chunk_blocks: DataFrame, on: list[str
     return pairs.mapInArrow(run, "repo_id string, query_id string, chunk_id string, score double")
 
 
-def _query_blocks(queries: DataFrame, dims: DataFrame, key: str, vector: str, spread: int, **lsh) -> DataFrame:
-    """Queries whose vectors have the modal length of their repository, packed and measured.
+def _fitting(queries: DataFrame, chunks: DataFrame, query_vector: str, vector: str, order: str) -> DataFrame:
+    """Query vectors of the modal length of their repository.
 
-    The modal length is matched on the small side, so the chunk side needs no extra join.
+    The length is matched on the small side, so the chunk side needs no join for it.
     """
-    fitting = (
-        queries.join(dims, "repo_id")
-        .filter(F.size(vector) == F.col("dim"))
-        .select("repo_id", key, vector)
-        .repartition("repo_id", F.pmod(F.xxhash64(key), F.lit(spread)))
+    dims = modal_dims(chunks, vector, order)
+    return _vectors(
+        queries.join(dims, "repo_id").filter(F.size(query_vector) == F.col("dim")), "query_id", query_vector
     )
-    return bounded_side(_pack(fitting, key, vector, **lsh), row_bytes=F.octet_length("matrix") + 64)
+
+
+def _query_blocks(vectors: DataFrame, spread: int) -> DataFrame:
+    """Dense, measured blocks: a repository's queries meet in at most `spread` tasks."""
+    return bounded_side(_pack(vectors.repartition("repo_id", F.pmod(F.xxhash64("id"), F.lit(spread)))))
 
 
 def score_pairs(
@@ -202,8 +220,8 @@ def score_pairs(
     among the task's best. Packed queries are broadcast when measured small; beyond that the
     blocks are shuffled and AQE splits the skewed ones.
     """
-    q = _query_blocks(queries, modal_dims(chunks, vector, order), "query_id", query_vector, spread)
-    return _score_blocks(q, _pack(chunks, "chunk_id", vector), ["repo_id", "dim"], k)
+    q = _query_blocks(_fitting(queries, chunks, query_vector, vector, order), spread)
+    return _score_blocks(q, _pack(_vectors(chunks, "chunk_id", vector)), k)
 
 
 def top_k(scored: DataFrame, k: int = TOP_K, keys: Sequence[str] = ("repo_id", "query_id")) -> DataFrame:
@@ -234,14 +252,14 @@ def retrieve_ann(
 ) -> DataFrame:
     """Like `retrieve`, but scores only chunks that share a sign code with the query.
 
-    Candidates are re-ranked exactly. A full bucket is many bounded blocks, never one group.
+    Candidates are re-ranked exactly. Chunks whose codes no query asks for are dropped by a join on
+    the distinct asked codes before they are packed; a full bucket is many bounded blocks, never
+    one group.
     """
-    lsh = {"tables": tables, "bits": bits}
-    q = _query_blocks(
-        queries, modal_dims(chunks, vector, order), "query_id", query_vector, spread, probes=True, **lsh
-    )
-    found = _score_blocks(
-        q, _pack(chunks, "chunk_id", vector, **lsh), ["repo_id", "dim", "probe", "code"], k
-    )
+    asked = sign_codes(_fitting(queries, chunks, query_vector, vector, order), tables, bits, probes=True)
+    q = _query_blocks(asked, spread)
+    wanted = bounded_side(q.select("repo_id", "dim", "code").distinct())
+    coded = sign_codes(_vectors(chunks, "chunk_id", vector), tables, bits).withColumn("dim", F.size("vector"))
+    found = _score_blocks(q, _pack(coded.join(wanted, ["repo_id", "dim", "code"])), k)
     hits = top_k(found.dropDuplicates(["repo_id", "query_id", "chunk_id"]), k)
     return lookup_hits(hits, chunks, columns) if columns else hits

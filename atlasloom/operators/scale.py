@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -92,21 +92,29 @@ def sorted_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
     )
 
 
-def bounded_side(
-    df: DataFrame,
-    max_rows: int = BROADCAST_ROWS,
-    max_bytes: int = BROADCAST_BYTES,
-    row_bytes: Column | None = None,
-) -> DataFrame:
+def _row_bytes(df: DataFrame) -> Column:
+    """Approximate size of a row: text and binary as they are, nested values as JSON."""
+    total = F.lit(16)
+    for field in df.schema.fields:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
+def bounded_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Mark a join side for broadcast only after measuring it; otherwise leave it to AQE.
 
     The side is checkpointed first, so measuring it does not compute it twice.
     """
     ensure_checkpoint_dir(df.sparkSession)
     side = df.checkpoint()
-    size = F.sum(row_bytes) if row_bytes is not None else F.lit(0)
-    rows, total = side.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
-    return F.broadcast(side) if rows <= max_rows and total <= max_bytes else side
+    rows, size = side.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(side)), F.lit(0))).first()
+    return F.broadcast(side) if rows <= max_rows and size <= max_bytes else side
 
 
 def latest_wins(df: DataFrame, keys: Sequence[str], *version: str) -> DataFrame:

@@ -91,7 +91,8 @@ def load_or_build_index(
     # Neighbours in the touched buckets are kept; the partition filter is pruned at run time.
     kept = stored.join(touched, "repo_bucket", "left_semi").join(gone, "repo_id", "left_anti")
     columns = [c for c in built.columns if c in kept.columns]
-    merged = kept.select(*columns).unionByName(built.select(*columns)).checkpoint()
+    # Dynamic overwrite swaps the buckets at commit, so they can be read while the job runs.
+    merged = kept.select(*columns).unionByName(built.select(*columns))
     write_index(merged, path, config, buckets)
     spark.catalog.refreshByPath(path)
     return read_index(spark, path).join(docs.select("repo_id").distinct(), "repo_id", "left_semi")

@@ -9,7 +9,6 @@ from ..functions.urls import CACHE_PREFIX
 from ..operators.catalogue import newest_first, projects_from_files
 from ..operators.filters import check_language, resolve_language
 from ..operators.scale import bounded_side, latest_wins
-from ..session import ensure_checkpoint_dir
 
 KEY = ["repo_type", "owner", "repo", "language"]
 BUCKETS = 256
@@ -38,11 +37,10 @@ def upsert_buckets(
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        ensure_checkpoint_dir(spark)
         merged = incoming
+    # Dynamic overwrite swaps the buckets at commit, so they can be read while the job runs.
     (
         latest_wins(merged, keys, version)
-        .checkpoint()
         .hint("rebalance", "key_bucket")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

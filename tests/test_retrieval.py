@@ -83,7 +83,7 @@ def test_retrieval_equals_brute_force(chunks, queries):
 def test_retrieval_without_broadcast_and_with_small_blocks(spark, chunks, queries, monkeypatch):
     monkeypatch.setattr(retrieval, "BLOCK_ROWS", 16)
     monkeypatch.setattr(retrieval, "STATE_QUERIES", 4)
-    monkeypatch.setattr(retrieval, "bounded_side", lambda df, **_: df)
+    monkeypatch.setattr(retrieval, "bounded_side", lambda df: df)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert as_set(retrieval.retrieve(queries, chunks, 20, columns=())) == brute(chunks, queries, 20)
