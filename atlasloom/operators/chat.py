@@ -8,6 +8,7 @@ from ..constants import MAX_RESEARCH_ITERATIONS, RESEARCH_TAG
 from ..functions.prompts import turn_text
 from ..functions.research import force_complete, research_stage
 from ..functions.text import replace_all, trim_ws
+from .filters import is_too_large
 from .scale import bounded_side, dense_index, ordered_text
 
 
@@ -57,7 +58,7 @@ def conversation_state(messages: DataFrame, tag: str = RESEARCH_TAG) -> DataFram
     """D5, D6 and E10 in one aggregation: one row per conversation.
 
     Columns: `is_research`, `iteration`, `phase`, `query` (last message without the tag, or the
-    original topic when it asks to continue), `original_topic`, `last_role`.
+    original topic when it asks to continue), `original_topic`, `last_role`, `too_large` (B9).
     """
     content, role = F.col("content"), F.col("role")
     opens = (role == "user") & ~F.lower(content).contains("continue")
@@ -86,6 +87,7 @@ def conversation_state(messages: DataFrame, tag: str = RESEARCH_TAG) -> DataFram
         .alias("phase"),
         F.when(replaced, topic).alias("original_topic"),
         F.when(replaced, topic).otherwise(last).alias("query"),
+        is_too_large(raw).alias("too_large"),
     )
 
 

@@ -124,13 +124,18 @@ def validate_requests(messages: DataFrame, requests: DataFrame | None = None) ->
         "conv_id",
         F.col("last.role").alias("last_role"),
         F.col("last.content").alias("last_content"),
-        F.when(F.col("last").isNull(), F.lit(NO_MESSAGES_ERROR))
-        .when(F.col("last.role") != "user", F.lit(NOT_FROM_USER_ERROR))
-        .alias("error"),
+        request_error(F.col("last.role")).alias("error"),
         F.coalesce(is_too_large(F.col("last.content")), F.lit(False)).alias("too_large"),
     )
 
 
+def request_error(last_role: Column) -> Column:
+    """Without a last message there are none; it must come from the user."""
+    return F.when(last_role.isNull(), F.lit(NO_MESSAGES_ERROR)).when(
+        last_role != "user", F.lit(NOT_FROM_USER_ERROR)
+    )
+
+
 def is_too_large(content: Column) -> Column:
     """Retrieval is skipped above the request limit."""
     return count_tokens(content) > REQUEST_TOKEN_LIMIT

@@ -14,7 +14,7 @@ from ..operators.chat import (
 )
 from ..operators.context import group_context
 from ..operators.embed import embed_chunks
-from ..operators.filters import language_name, validate_requests
+from ..operators.filters import language_name, request_error
 from ..operators.retrieval import retrieve
 from ..operators.scale import ordered_text
 
@@ -35,17 +35,13 @@ def _system_text(templates: dict[str, str]):
 
 def prepare_requests(requests: DataFrame, messages: DataFrame) -> DataFrame:
     """Validation, research state and query of every request."""
-    checked = validate_requests(messages, requests).select("conv_id", "error", "too_large")
-    state = conversation_state(messages).select("conv_id", "phase", "iteration", "query")
-    return (
-        requests.join(checked, "conv_id")
-        .join(state, "conv_id", "left")
-        .withColumns(
-            {
-                "repo_name": repo_short_name(F.col("repo_url")),
-                "language_name": language_name(F.col("language")),
-            }
-        )
+    state = conversation_state(messages).select("conv_id", "phase", "iteration", "query", "last_role", "too_large")
+    return requests.join(state, "conv_id", "left").withColumns(
+        {
+            "error": request_error(F.col("last_role")),
+            "repo_name": repo_short_name(F.col("repo_url")),
+            "language_name": language_name(F.col("language")),
+        }
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,6 +15,7 @@ from ..operators.scale import dense_index, ordered_text, sorted_index
 from ..session import ensure_checkpoint_dir
 
 READ_BYTES = 16 * 1024 * 1024
+LIST_ROWS = 20_000
 _ENTRY = "path string, is_dir boolean, length bigint, modified timestamp"
 
 
@@ -37,11 +39,11 @@ def _entries(path: str, recursive: bool) -> Iterator[tuple]:
 
 def _lister(recursive: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "is_dir", "length", "modified"]
         for frame in frames:
-            for path in frame["path"]:
-                rows = list(_entries(path, recursive))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "is_dir", "length", "modified"])
+            entries = (entry for path in frame["path"] for entry in _entries(path, recursive))
+            while rows := list(islice(entries, LIST_ROWS)):
+                yield pd.DataFrame(rows, columns=names)
 
     return run
 

@@ -64,8 +64,9 @@ def read_wiki(cache: DataFrame, keys: DataFrame) -> DataFrame:
 
 def delete_wiki(cache: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(table without the keys, status per key). Unsupported languages and unknown keys are errors."""
-    checked = check_language(keys.select(*KEY))
-    present = cache.select(*KEY, F.lit(True).alias("present")).distinct()
+    checked = bounded_side(check_language(keys.select(*KEY)))
+    asked = checked.select(*KEY)
+    present = cache.select(*KEY).join(asked, KEY, "left_semi").distinct().withColumn("present", F.lit(True))
     status = checked.join(present, KEY, "left").select(
         *KEY,
         F.coalesce(
@@ -78,8 +79,7 @@ def delete_wiki(cache: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame
         ).alias("status"),
         (F.col("error").isNull() & F.col("present").isNotNull()).alias("deleted"),
     )
-    gone = bounded_side(checked.filter("error IS NULL").select(*KEY).distinct())
-    return cache.join(gone, KEY, "left_anti"), status
+    return cache.join(checked.filter("error IS NULL").select(*KEY), KEY, "left_anti"), status
 
 
 def list_projects(spark: SparkSession, folder: str, prefix: str = CACHE_PREFIX) -> DataFrame:

@@ -169,7 +169,7 @@ def test_research_state(spark):
             topic = next((t.replace(tag, "").strip() for r, t in m if r == "user" and "continue" not in t.lower()), None) or None
         phase = "answer" if not deep else "first" if n == 1 else "final" if n >= 5 else "intermediate"
         want[c] = (m[-1][0], deep, n, phase, topic, topic or last)
-    got = {r.conv_id: tuple(r)[1:] for r in chat.conversation_state(df).collect()}
+    got = {r.conv_id: tuple(r)[1:7] for r in chat.conversation_state(df).collect()}
     assert got == want
     seen = {r.conv_id: (r.is_research, r.last_content) for r in chat.detect_research(df).collect()}
     assert seen == {

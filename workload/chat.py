@@ -64,7 +64,7 @@ def history_text(spark, sf):
 )
 def research_state(spark, sf):
     """D5, D6, E10"""
-    return c.conversation_state(load(spark, sf, "messages"))
+    return c.conversation_state(load(spark, sf, "messages")).drop("too_large")
 
 
 @query(with_inputs("messages", also=STATE) + "SELECT conv_id, iteration, phase FROM state")
