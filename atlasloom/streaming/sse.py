@@ -12,7 +12,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..functions.text import trim_ws
 from ..functions.urls import CACHE_PREFIX
 from ..operators.catalogue import projects_from_files
-from ..operators.scale import ordered_text
+from ..operators.scale import ROWS_PER_PART
+from ..session import ensure_checkpoint_dir
 from ..sources.wiki_cache import upsert_buckets
 
 _EVENT = (
@@ -58,27 +59,44 @@ def parse_sse(lines: DataFrame, keep_skipped: bool = False) -> DataFrame:
     return lines.select(*[c for c in lines.columns if c != "line"], F.inline(events))
 
 
-def accumulate(events: DataFrame) -> DataFrame:
+def accumulate(events: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """I2 on a table: the text of each request and its last known id, model and time.
 
-    `seq` is the position of a line in its request; what follows the end line is ignored. Text is
-    `req_id, part_no, response`; the head columns come from one aggregation that keeps a row per
-    request and task.
+    `seq` is the position of a line in its request; what follows the end line is ignored. Events
+    are parsed and shuffled once, into bounded runs of positions that are checkpointed; the end of
+    a request and its head are then found on runs, not on events. The result is
+    `req_id, part_no, response` with the head columns; parts form the text in order.
     """
-    def last(c: str) -> Column:
-        return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-
-    ends = events.filter("done").groupBy("req_id").agg(F.min("seq").alias("end"))
-    live = events.join(ends, "req_id", "left").filter("end IS NULL OR seq < end").drop("end")
-    heads = live.groupBy("req_id").agg(last("id"), last("model"), last("created"))
-    texts = ordered_text(live.filter("content IS NOT NULL"), ["req_id"], "seq", "content", "response")
-    return heads.join(texts, "req_id", "left").select(
-        "req_id", F.coalesce("part_no", F.lit(0)).alias("part_no"),
-        F.coalesce("response", F.lit("")).alias("response"),
-        F.coalesce("id", F.lit("")).alias("id"), F.coalesce("model", F.lit("")).alias("model"),
-        F.coalesce("created", F.lit(0)).alias("created"),
+    ensure_checkpoint_dir(events.sparkSession)
+    item = F.struct("seq", "content", "id", "model", "created")
+    runs = (
+        events.groupBy("req_id", F.floor(F.col("seq") / rows_per_part).cast("bigint").alias("part_no"))
+        .agg(
+            F.array_sort(F.collect_list(F.when(~F.col("done"), item))).alias("items"),
+            F.min(F.when(F.col("done"), F.col("seq"))).alias("end"),
+        )
+        .checkpoint()
+    )
+    ends = runs.filter("end IS NOT NULL").groupBy("req_id").agg(F.min("end").alias("end"))
+    before_end = F.filter("items", lambda e: F.col("end").isNull() | (e["seq"] < F.col("end")))
+    live = runs.drop("end").join(ends, "req_id", "left").select("req_id", "part_no", before_end.alias("items"))
+
+    def last(field: str) -> Column:
+        known = F.filter("items", lambda e: e[field].isNotNull())
+        return F.try_element_at(known, F.lit(-1))[field].alias(field)
+
+    parts = live.filter(F.size("items") > 0).select(
+        "req_id", "part_no", F.array_join(F.transform("items", lambda e: e["content"]), "").alias("response"),
+        last("id"), last("model"), last("created"),
     )
 
+    def newest(field: str, default) -> Column:
+        found = F.max_by(field, F.when(F.col(field).isNotNull(), F.col("part_no")))
+        return F.coalesce(found, F.lit(default)).alias(field)
+
+    heads = parts.groupBy("req_id").agg(newest("id", ""), newest("model", ""), newest("created", 0))
+    return parts.select("req_id", "part_no", "response").join(heads, "req_id")
+
 
 _STATE = "next_seq bigint, part_no bigint, text string, id string, model string, created bigint"
 _PENDING = "content string, id string, model string, created bigint, done boolean"

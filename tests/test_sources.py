@@ -175,7 +175,12 @@ def sse_lines(n=30, seed=1):
 def test_accumulated_responses(spark):
     rows, want = sse_lines()
     df = spark.createDataFrame(rows, "req_id string, seq bigint, line string").orderBy(F.rand(3))
-    got = {r.req_id: (r.response, r.id, r.model, r.created) for r in sse.accumulate(sse.parse_sse(df)).collect()}
+    events = sse.parse_sse(df)
+    parts = {}
+    for r in sorted(sse.accumulate(events, rows_per_part=5).collect(), key=lambda r: (r.req_id, r.part_no)):
+        parts[r.req_id] = (parts.get(r.req_id, ("",))[0] + r.response, r.id, r.model, r.created)
+    got = {r.req_id: (r.response, r.id, r.model, r.created) for r in sse.accumulate(events).collect()}
+    assert parts == got
     assert got == {k: v for k, v in want.items() if k in got}
     assert set(want) - set(got) <= {k for k, v in want.items() if v[0] == "" and v[1] == ""}
 
