@@ -52,6 +52,16 @@ def test_no_plan_pairs_everything(spark):
         assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
 
 
+def test_chunks_are_not_shuffled_for_scoring(spark):
+    from atlasloom.operators.retrieval import score_pairs
+    from workload.retrieval import centroids
+
+    vectors = load(spark, SF, "vectors")
+    scored = plan(score_pairs(centroids(vectors), vectors))
+    assert "BroadcastHashJoin" in scored and "Exchange hashpartitioning" not in scored
+    assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>,label:int>" in scored
+
+
 def test_broadcast_only_within_measured_bounds(spark):
     small = spark.range(100).withColumn("text", F.repeat(F.lit("x"), 1000))
     hinted = lambda **k: "ResolvedHint" in scale.bounded_side(small, **k)._jdf.queryExecution().analyzed().toString()

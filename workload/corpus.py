@@ -44,23 +44,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"{name}-{uuid.uuid4().hex}")
 
 
-def write_files(spark: SparkSession, sf: str) -> str:
-    """The documents as real files, written by the tasks."""
-    root = scratch(spark, "files").removeprefix("file:")
+def write_texts(rows: DataFrame, root: str) -> None:
+    """Rows (`path`, `text`) as files below `root`, written by the tasks on any file system."""
 
     def write(frames):
         import pandas as pd
+        from pyarrow import fs as pafs
 
+        system, base = pafs.FileSystem.from_uri(root)
         for frame in frames:
-            for repo, path, text in frame.itertuples(index=False):
-                target = os.path.join(root, repo, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(target, "w", encoding="utf-8", newline="") as f:
-                    f.write(text)
+            for path, text in frame.itertuples(index=False):
+                target = f"{base}/{path}"
+                system.create_dir(os.path.dirname(target), recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write(text.encode())
             yield pd.DataFrame({"n": [len(frame)]})
 
-    files = load(spark, sf, "files").select("repo_id", "file_path", "text").repartition(8)
-    files.mapInPandas(write, "n int").agg(F.sum("n")).collect()
+    rows.mapInPandas(write, "n int").agg(F.sum("n")).collect()
+
+
+def write_files(spark: SparkSession, sf: str) -> str:
+    """The documents as real files."""
+    root = scratch(spark, "files").removeprefix("file:")
+    files = load(spark, sf, "files", heavy=True)
+    write_texts(files.select(F.concat_ws("/", "repo_id", "file_path").alias("path"), "text"), root)
     return root
 
 
@@ -167,8 +174,8 @@ def index_read_through(spark, sf):
 
 
 @query(
-    """SELECT source AS repo_id, count(*) AS n_docs, count(DISTINCT text) AS n_texts,
-      (SELECT count(DISTINCT text) FROM documents) AS n_cached FROM documents GROUP BY source"""
+    """SELECT source AS repo_id, count(*) AS n_docs, count(DISTINCT text) AS n_texts FROM documents GROUP BY source
+    UNION ALL SELECT 'cache', count(DISTINCT text), count(DISTINCT text) FROM documents"""
 )
 def embedding_cache(spark, sf):
     """Equal texts are embedded once; a second run finds everything in the cache"""
@@ -177,11 +184,12 @@ def embedding_cache(spark, sf):
     _, cache = embed.embed_with_cache(files, empty, dim=16)
     cache = cache.checkpoint()
     embedded, _ = embed.embed_with_cache(files, cache, dim=16)
-    counts = cache.agg(F.count("*").alias("n_cached"))
     per_repo = embedded.filter(F.size("vector") == 16).groupBy("repo_id").agg(
         F.count("*").alias("n_docs"), F.countDistinct("text").alias("n_texts")
     )
-    return per_repo.join(F.broadcast(counts))  # one row
+    return per_repo.unionByName(
+        cache.agg(F.lit("cache").alias("repo_id"), F.count("*").alias("n_docs"), F.countDistinct("text_hash").alias("n_texts"))
+    )
 
 
 LANG = "CASE WHEN language = 'de' THEN 'en' ELSE language END"
@@ -236,16 +244,23 @@ def wiki_cache_read(spark, sf):
     + """SELECT a.repo_type, a.owner, a.repo, a.language, CASE WHEN a.language IN ('de', 'xx') THEN 'Language is not supported'
         WHEN n.owner IS NULL THEN 'Wiki cache not found'
         ELSE 'Wiki cache for ' || a.owner || '/' || a.repo || ' (' || a.language || ') deleted successfully' END AS status,
-      n.owner IS NOT NULL AND a.language NOT IN ('de', 'xx') AS deleted,
-      (SELECT count(*) FROM newest) - (SELECT count(*) FROM newest n JOIN asked a
-        ON a.repo_type = n.repo_type AND a.owner = n.owner AND a.repo = n.repo AND a.language = n.language) AS n_left
+      n.owner IS NOT NULL AND a.language NOT IN ('de', 'xx') AS deleted
     FROM asked a LEFT JOIN newest n
       ON a.repo_type = n.repo_type AND a.owner = n.owner AND a.repo = n.repo AND a.language = n.language"""
 )
 def wiki_cache_delete(spark, sf):
-    """A12, B11"""
-    left, status = wiki_cache.delete_wiki(stored_cache(spark, sf), asked_keys(spark, sf))
-    return status.join(F.broadcast(left.agg(F.count("*").alias("n_left"))))  # one row
+    """Status per key"""
+    return wiki_cache.delete_wiki(stored_cache(spark, sf), asked_keys(spark, sf))[1]
+
+
+@query(
+    with_inputs("stored_wikis", also=NEWEST + ",\n" + ASKED)
+    + """SELECT n.* FROM newest n ANTI JOIN asked a
+      ON a.repo_type = n.repo_type AND a.owner = n.owner AND a.repo = n.repo AND a.language = n.language"""
+)
+def wiki_cache_remaining(spark, sf):
+    """What is left after the deletion"""
+    return wiki_cache.delete_wiki(stored_cache(spark, sf), asked_keys(spark, sf))[0]
 
 
 STORED = """named AS (

@@ -8,7 +8,7 @@ from atlasloom.operators.scale import dense_index
 from atlasloom.streaming import sse
 
 from . import query
-from .corpus import scratch
+from .corpus import scratch, write_texts
 from .inputs import load, table, with_inputs
 
 EVENTS = """events_in AS (
@@ -69,24 +69,12 @@ def catalogue_stream(spark, sf):
     """The catalogue follows a folder of stored wikis"""
     folder = scratch(spark, "stored").removeprefix("file:")
     target, state = scratch(spark, "catalogue"), scratch(spark, "state")
-
-    def write(frames):
-        import os
-
-        import pandas as pd
-
-        os.makedirs(folder, exist_ok=True)
-        for frame in frames:
-            for name in frame["name"]:
-                with open(os.path.join(folder, name), "w") as f:
-                    f.write("{}")
-            yield pd.DataFrame({"n": [len(frame)]})
-
     names = table(spark, sf, "documents").select(
         F.concat(
             F.lit("wiki_cache_github_own"), F.col("doc_id") % 9, F.lit("_"), "source", F.lit("_"), "doc_id", F.lit("_"), "lang", F.lit(".json")
-        ).alias("name")
+        ).alias("path"),
+        F.lit("{}").alias("text"),
     )
-    names.mapInPandas(write, "n int").agg(F.sum("n")).collect()
+    write_texts(names, folder)
     sse.stream_catalogue(spark, folder, target, state).awaitTermination()
     return spark.read.parquet(target).select("name", "repo_type", "language")
