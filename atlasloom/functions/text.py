@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from ..constants import CHUNK_OVERLAP, CHUNK_WORDS, REDACTED
@@ -38,15 +39,25 @@ def count_tokens(text: Column) -> Column:
 
 
 def encoder_token_counter(encoding: str):
-    """U4: optional exact counter, usable where the encoding files are installed."""
-    import pandas as pd
-
+    """U4: exact counts of a named encoding; a quarter of the characters where it is not available."""
     @F.pandas_udf("int")
     def counter(text: pd.Series) -> pd.Series:
-        import tiktoken
-
-        codec = tiktoken.get_encoding(encoding)
-        return text.map(lambda t: None if t is None else len(codec.encode(t, disallowed_special=())))
+        try:
+            import tiktoken
+
+            encode = tiktoken.get_encoding(encoding).encode
+        except Exception:  # not installed, unknown, or its files cannot be fetched
+            encode = None
+
+        def count(t: str | None) -> int | None:
+            if t is None:
+                return None
+            try:
+                return len(encode(t)) if encode else len(t) // 4
+            except ValueError:  # text that spells a control token
+                return len(t) // 4
+
+        return text.map(count)
 
     return counter
 

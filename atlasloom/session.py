@@ -36,7 +36,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     cluster a machine-local folder would not survive the loss of an executor, so that is an error.
     """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
+    if sc.getCheckpointDir():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:

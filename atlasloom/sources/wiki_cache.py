@@ -50,9 +50,11 @@ def upsert_buckets(
     spark.catalog.refreshByPath(path)
 
 
-def write_wiki_cache(spark: SparkSession, path: str, updates: DataFrame, version: str = "updated_at") -> None:
-    """A10 on a stored table."""
-    upsert_buckets(spark, path, resolve_language(updates).drop("language_name"), KEY, version)
+def write_wiki_cache(
+    spark: SparkSession, path: str, updates: DataFrame, version: str = "updated_at", buckets: int = BUCKETS
+) -> None:
+    """A10 on a stored table; its number of buckets is chosen once."""
+    upsert_buckets(spark, path, resolve_language(updates).drop("language_name"), KEY, version, buckets)
 
 
 def read_wiki(cache: DataFrame, keys: DataFrame) -> DataFrame:

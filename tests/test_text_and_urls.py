@@ -149,3 +149,8 @@ def test_trim_and_blank(evaluate):
     want = [None if r is None else r.strip() for r in rows]
     assert evaluate(t.trim_ws, [(r,) for r in rows], "s string") == want
     assert evaluate(t.is_blank, [(r,) for r in rows], "s string") == [not (r or "").strip() for r in rows]
+
+
+def test_encoder_counter_falls_back(evaluate):
+    counter = t.encoder_token_counter("no-such-encoding")
+    assert evaluate(counter, [("abcdefgh",), ("",), (None,)], "s string") == [2, 0, None]

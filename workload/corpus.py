@@ -41,7 +41,7 @@ chunks AS (
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    return os.path.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(spark.sparkContext.getCheckpointDir(), f"{name}-{uuid.uuid4().hex}")
 
 
 def write_texts(rows: DataFrame, root: str) -> None:
@@ -208,8 +208,8 @@ def wiki_cache_upsert(spark, sf):
     """Through the stored table"""
     path = scratch(spark, "cache")
     rows = load(spark, sf, "stored_wikis")
-    wiki_cache.write_wiki_cache(spark, path, rows.filter("updated_at % 2 = 0"))
-    wiki_cache.write_wiki_cache(spark, path, rows.filter("updated_at % 2 = 1"))
+    wiki_cache.write_wiki_cache(spark, path, rows.filter("updated_at % 2 = 0"), buckets=8)
+    wiki_cache.write_wiki_cache(spark, path, rows.filter("updated_at % 2 = 1"), buckets=8)
     return spark.read.parquet(path).drop("key_bucket")
 
 
