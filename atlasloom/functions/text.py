@@ -14,8 +14,14 @@ WS = (
 )
 
 
+WS_CHARS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)])
+) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{WS}]+|[{WS}]+\z", "")
+    """Only the ends are looked at, however long the text is."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def is_blank(c: Column) -> Column:
