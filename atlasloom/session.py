@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -26,7 +28,30 @@ def build_session(app: str = "atlasloom", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in {**DEFAULT_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def ship_package(spark: SparkSession, *more: str) -> None:
+    """Make this package (and further package folders) importable in the Python workers.
+
+    Needed once per application wherever the package is not installed on the executors.
+    """
+    sc = spark.sparkContext
+    for folder in (Path(__file__).resolve().parent, *map(Path, more)):
+        key = (sc.applicationId, folder.name)
+        if key in _SHIPPED:
+            continue
+        archive = Path(tempfile.mkdtemp(prefix="ship-")) / f"{folder.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(folder.rglob("*.py")):
+                out.write(file, file.relative_to(folder.parent))
+        sc.addPyFile(str(archive))
+        _SHIPPED.add(key)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -103,87 +103,96 @@ _PENDING = "content string, id string, model string, created bigint, done boolea
 RESPONSE = "req_id string, part_no bigint, response string, id string, model string, created bigint, complete boolean"
 
 
-class ResponseAccumulator(StatefulProcessor):
-    """Joins deltas by sequence number; events that arrive early wait in keyed state.
+def response_accumulator(**options) -> StatefulProcessor:
+    """The processor behind `accumulate_stream`.
 
-    Text beyond `FLUSH_CHARS` is emitted as a part, so the state of a long response stays small.
-    The last part is emitted at the end line, or as incomplete when a request falls silent.
+    Its class is made here so that it travels with the query: the process that initialises a
+    stateful query does not see packages shipped to the workers.
     """
 
-    def __init__(self, first_seq: int = 0, idle_ms: int | None = IDLE_MS, flush_chars: int = FLUSH_CHARS):
-        self.first_seq, self.idle_ms, self.flush_chars = first_seq, idle_ms, flush_chars
+    class ResponseAccumulator(StatefulProcessor):
+        """Joins deltas by sequence number; events that arrive early wait in keyed state.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.progress = handle.getValueState("progress", _STATE)
-        self.pending = handle.getMapState("pending", "seq bigint", _PENDING)
+        Text beyond `FLUSH_CHARS` is emitted as a part, so the state of a long response stays small.
+        The last part is emitted at the end line, or as incomplete when a request falls silent.
+        """
 
-    def _emit(self, key, p, complete) -> pd.DataFrame:
-        return pd.DataFrame(
-            [(key[0], p["part_no"], p["text"], p["id"], p["model"], p["created"], complete)],
-            columns=["req_id", "part_no", "response", "id", "model", "created", "complete"],
-        )
+        def __init__(self, first_seq: int = 0, idle_ms: int | None = IDLE_MS, flush_chars: int = FLUSH_CHARS):
+            self.first_seq, self.idle_ms, self.flush_chars = first_seq, idle_ms, flush_chars
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.progress = handle.getValueState("progress", _STATE)
+            self.pending = handle.getMapState("pending", "seq bigint", _PENDING)
+
+        def _emit(self, key, p, complete) -> pd.DataFrame:
+            return pd.DataFrame(
+                [(key[0], p["part_no"], p["text"], p["id"], p["model"], p["created"], complete)],
+                columns=["req_id", "part_no", "response", "id", "model", "created", "complete"],
+            )
 
-    def _set_timer(self, at: int | None) -> None:
-        if self.idle_ms is None:
-            return
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if at is not None:
-            self.handle.registerTimer(at)
-
-    def _clear(self) -> None:
-        self.progress.clear()
-        self.pending.clear()
-        self._set_timer(None)
-
-    def _load(self) -> dict:
-        if self.progress.exists():
-            names = ("next_seq", "part_no", "text", "id", "model", "created")
-            return dict(zip(names, self.progress.get()))
-        return {"next_seq": self.first_seq, "part_no": 0, "text": "", "id": "", "model": "", "created": 0}
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        p = self._load()
-        for frame in rows:
-            for r in frame.itertuples(index=False):
-                if r.seq >= p["next_seq"]:
-                    text = lambda v: v if isinstance(v, str) else None
-                    created = 0 if pd.isna(r.created) else int(r.created)
-                    self.pending.updateValue(
-                        (int(r.seq),), (text(r.content), text(r.id), text(r.model), created, bool(r.done))
-                    )
-        pieces = [p["text"]]
-        size = len(p["text"])
-        while self.pending.containsKey((p["next_seq"],)):
-            content, id_, model, created, done = self.pending.getValue((p["next_seq"],))
-            self.pending.removeKey((p["next_seq"],))
-            p["next_seq"] += 1
-            if done:
-                p["text"] = "".join(pieces)
-                yield self._emit(key, p, True)
-                self._clear()
+        def _set_timer(self, at: int | None) -> None:
+            if self.idle_ms is None:
                 return
-            p["id"], p["model"], p["created"] = id_ or p["id"], model or p["model"], created or p["created"]
-            if content:
-                pieces.append(content)
-                size += len(content)
-            if size > self.flush_chars:
-                p["text"] = "".join(pieces)
-                yield self._emit(key, p, False)
-                p["part_no"], pieces, size = p["part_no"] + 1, [], 0
-        p["text"] = "".join(pieces)
-        self.progress.update(tuple(p.values()))
-        if self.idle_ms is not None:
-            self._set_timer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._emit(key, self._load(), False)
-        self.progress.clear()
-        self.pending.clear()
-
-    def close(self) -> None:
-        pass
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if at is not None:
+                self.handle.registerTimer(at)
+
+        def _clear(self) -> None:
+            self.progress.clear()
+            self.pending.clear()
+            self._set_timer(None)
+
+        def _load(self) -> dict:
+            if self.progress.exists():
+                names = ("next_seq", "part_no", "text", "id", "model", "created")
+                return dict(zip(names, self.progress.get()))
+            return {"next_seq": self.first_seq, "part_no": 0, "text": "", "id": "", "model": "", "created": 0}
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            p = self._load()
+            for frame in rows:
+                for r in frame.itertuples(index=False):
+                    if r.seq >= p["next_seq"]:
+                        text = lambda v: v if isinstance(v, str) else None
+                        created = 0 if pd.isna(r.created) else int(r.created)
+                        self.pending.updateValue(
+                            (int(r.seq),), (text(r.content), text(r.id), text(r.model), created, bool(r.done))
+                        )
+            pieces = [p["text"]]
+            size = len(p["text"])
+            while self.pending.containsKey((p["next_seq"],)):
+                content, id_, model, created, done = self.pending.getValue((p["next_seq"],))
+                self.pending.removeKey((p["next_seq"],))
+                p["next_seq"] += 1
+                if done:
+                    p["text"] = "".join(pieces)
+                    yield self._emit(key, p, True)
+                    self._clear()
+                    return
+                p["id"], p["model"], p["created"] = id_ or p["id"], model or p["model"], created or p["created"]
+                if content:
+                    pieces.append(content)
+                    size += len(content)
+                if size > self.flush_chars:
+                    p["text"] = "".join(pieces)
+                    yield self._emit(key, p, False)
+                    p["part_no"], pieces, size = p["part_no"] + 1, [], 0
+            p["text"] = "".join(pieces)
+            self.progress.update(tuple(p.values()))
+            if self.idle_ms is not None:
+                self._set_timer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            yield self._emit(key, self._load(), False)
+            self.progress.clear()
+            self.pending.clear()
+
+        def close(self) -> None:
+            pass
+
+    return ResponseAccumulator(**options)
 
 
 def accumulate_stream(lines: DataFrame, idle_ms: int | None = IDLE_MS, **options) -> DataFrame:
@@ -197,7 +206,7 @@ def accumulate_stream(lines: DataFrame, idle_ms: int | None = IDLE_MS, **options
         .select("req_id", "seq", "done", "content", "id", "model", "created")
         .groupBy("req_id")
         .transformWithStateInPandas(
-            statefulProcessor=ResponseAccumulator(idle_ms=idle_ms, **options), outputStructType=RESPONSE,
+            statefulProcessor=response_accumulator(idle_ms=idle_ms, **options), outputStructType=RESPONSE,
             outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime",
         )
     )
