@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as driver
+import workload
 from workload.compare import compare
 
 SF = "/root/testdata/sf0.001"
@@ -12,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="driver tables are not here")
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(workload.QUERIES))
 def test_query_matches_its_sql(spark, name):
     assert compare(spark, SF, name) is None
 
@@ -22,4 +23,4 @@ def test_entry(spark):
 
 
 def test_only_approximate_retrieval_has_no_sql():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == {"topk_chunks_ann"}
+    assert set(workload.QUERIES) - set(driver.oracle_sql()) == {"topk_chunks_ann"}
