@@ -15,6 +15,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+@query()
+def op1_two_pass_shuffle(spark, sf) -> DataFrame:
+    """Operator 1: shard and slot of every document under the `key` law."""
+    from .sharding import shuffle_shards
+
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return shuffle_shards(table(spark, sf, "documents")).select(
+        F.col("row.doc_id").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard",
+    )
+
+
 @query()
 def op2_bfd_windows(spark, sf) -> DataFrame:
     """Operator 2: one row per segment of the packed windows."""
@@ -26,6 +38,41 @@ def op2_bfd_windows(spark, sf) -> DataFrame:
     )
 
 
+OP5_SQL = r"""
+WITH upper_lower AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, upper_lower),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, upper_lower),
+bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS win
+  FROM b, LATERAL (SELECT unnest(generate_series(1, greatest(1, CAST(len(w) AS BIGINT) - 9))) AS i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+  FROM d, sizes, LATERAL (SELECT unnest(generate_series(1, CAST(len(w) - n + 1 AS BIGINT))) AS i) WHERE len(w) >= n),
+found AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, win)),
+words AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM found, LATERAL (SELECT unnest(generate_series(0, n - 1)) AS k) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query(OP5_SQL)
+def op5_aho_corasick(spark, sf) -> DataFrame:
+    """Operator 5: benchmark windows in every document."""
+    from .decontaminate import benchmark_hits, digest
+
+    return digest(benchmark_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
+
+
+@query()
+def op7_hyperdimensional(spark, sf) -> DataFrame:
+    """Operator 7: predicted language of every document."""
+    from .hdlang import identify
+
+    return identify(table(spark, sf, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query()
 def op8_simhash_trie(spark, sf) -> DataFrame:
     """Operator 8: fingerprint and component of every document."""
@@ -43,6 +90,14 @@ def packed_digest(docs: DataFrame) -> DataFrame:
     )
 
 
+@query()
+def op9_merkle(spark, sf) -> DataFrame:
+    """Operator 9: fingerprints of every text and of its edited text."""
+    from .merkle import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf, "documents"))
+
+
 @query()
 def op10_sum_of_squares(spark, sf) -> DataFrame:
     """Operator 10: one row per packed piece."""
