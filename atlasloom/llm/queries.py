@@ -38,6 +38,14 @@ def op2_bfd_windows(spark, sf) -> DataFrame:
     )
 
 
+@query()
+def op4_noisy_channel(spark, sf) -> DataFrame:
+    """Operator 4: toxicity of every document."""
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 OP5_SQL = r"""
 WITH upper_lower AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, upper_lower),
