@@ -38,6 +38,14 @@ def op2_bfd_windows(spark, sf) -> DataFrame:
     )
 
 
+@query()
+def op3_bootstrapped(spark, sf) -> DataFrame:
+    """Operator 3: personal data in every document."""
+    from .pii import digest, found_spans
+
+    return digest(found_spans(table(spark, sf, "documents")))
+
+
 @query()
 def op4_noisy_channel(spark, sf) -> DataFrame:
     """Operator 4: toxicity of every document."""
