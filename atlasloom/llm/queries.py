@@ -81,6 +81,14 @@ def op5_aho_corasick(spark, sf) -> DataFrame:
     return digest(benchmark_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
 
 
+@query()
+def op6_previous_factors(spark, sf) -> DataFrame:
+    """Operator 6: repeated byte strings removed from every document."""
+    from .lpf import digest, remove_repeats
+
+    return digest(remove_repeats(table(spark, sf, "documents")))
+
+
 @query()
 def op7_hyperdimensional(spark, sf) -> DataFrame:
     """Operator 7: predicted language of every document."""

@@ -15,26 +15,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from atlasloom.llm import packing, queries, simhash  # noqa: E402
+from atlasloom.llm import decontaminate, pii, queries, simhash, toxicity  # noqa: E402
 from atlasloom.llm.common import prepare, table  # noqa: E402
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents that are predicted toxic go. It learns from `labels`, outside the held-out fold."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: one document of each group of linked fingerprints stays, that with the smallest doc_id."""
     return simhash.keep_one_of_each(docs)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents with a word inside a `benchmark` window go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: every document stays; personal data in its text becomes a tag, and `n_chars` is counted anew."""
+    return pii.redact(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: every document left is packed; one row per piece, as `op10_sum_of_squares` returns it."""
     return queries.packed_digest(docs)
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("near_duplicates", near_duplicates),
-    ("pack", pack),
+    ("decontamination", decontaminated),
+    ("personal_data", without_personal_data),
+    ("packing", pack),
 ]
 
-#: Hash bit votes, learned scores and packing are not expressible in SQL; tests/llm holds the brute-force versions.
+#: Learned scores, hash bit votes and packing are not expressible in SQL; tests/llm holds the brute-force versions.
 ORACLE_SQL = None
 
 
