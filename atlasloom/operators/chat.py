@@ -45,7 +45,7 @@ def pair_turns(messages: DataFrame, mode: str = "strict") -> DataFrame:
 
 
 def fold_history(turns: DataFrame) -> DataFrame:
-    """Tagged dialog text per conversation (`conv_id, part_no, history`)."""
+    """Tagged dialog text per conversation (`conv_id, history`)."""
     tagged = turns.select("conv_id", "turn_no", turn_text(F.col("user_text"), F.col("assistant_text")).alias("text"))
     return ordered_text(tagged, ["conv_id"], "turn_no", "text", "history")
 

@@ -7,27 +7,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..constants import DECK_CHAR_LIMIT
 from ..functions.markup import page_summary
 from ..functions.text import utf16_length
-from .scale import ROWS_PER_PART, bounded_side, ordered_text
+from .scale import RANGE, bounded_side, joined, ordered_text
 from .wiki import resolve_related
 
 
-def _wiki_headers(pages: DataFrame, wikis: DataFrame, rows_per_part: int) -> DataFrame:
-    """Per wiki: its address, page count and first and last part."""
-    part = F.floor(F.col("page_ord") / rows_per_part)
-    spans = pages.groupBy("wiki_id").agg(
-        F.count(F.lit(1)).alias("n_pages"), F.min(part).alias("first_part"), F.max(part).alias("last_part")
-    )
-    return bounded_side(wikis.select("wiki_id", "repo_url").join(spans, "wiki_id"))
-
-
-def export_markdown(
-    pages: DataFrame, wikis: DataFrame, generated_on: str, rows_per_part: int = ROWS_PER_PART
-) -> DataFrame:
-    """One markdown document per wiki (`wiki_id, part_no, markdown`).
+def export_markdown(pages: DataFrame, wikis: DataFrame, generated_on: str, span: int = RANGE) -> DataFrame:
+    """One markdown document per wiki (`wiki_id, markdown`).
 
-    Contents lines and page bodies are joined in the same aggregation per (wiki, page range), so
-    page texts are shuffled once. A wiki within one range is one row; a larger one is several rows
-    that form the document in `part_no` order: first the contents, then the bodies.
+    Contents lines and page bodies are joined in the same aggregations, first per (wiki, page range), then per wiki.
+    A wiki without pages is a document without contents.
     """
     title, page_id = F.col("title"), F.col("page_id")
     heading = F.concat(
@@ -47,67 +35,46 @@ def export_markdown(
             )
         ),
     )
-    related = resolve_related(pages).select(
+    related = resolve_related(pages.drop("content")).select(
         "wiki_id", "page_ord", F.lit(1).alias("slot"), F.lit(None).cast("string").alias("toc"),
         F.concat(F.lit("Related topics: "), "links", F.lit("\n\n")).alias("body"),
     )
-    parts = (
+    whole = (
         slots.unionByName(related)
-        .groupBy("wiki_id", F.floor(F.col("page_ord") / rows_per_part).alias("part"))
+        .groupBy("wiki_id", F.floor(F.col("page_ord") / span).alias("part"))
         .agg(
-            F.expr("listagg(toc, '') WITHIN GROUP (ORDER BY page_ord)").alias("toc"),
+            joined("toc", "page_ord").alias("toc"),
             F.expr("listagg(body, '') WITHIN GROUP (ORDER BY page_ord, slot)").alias("body"),
         )
+        .groupBy("wiki_id").agg(joined("toc", "part").alias("toc"), joined("body", "part").alias("body"))
     )
-    head = F.when(
-        F.col("part") == F.col("first_part"),
-        F.concat(
-            F.lit("# Wiki Documentation for "), "repo_url",
-            F.lit(f"\n\nGenerated on: {generated_on}\n\n## Table of Contents\n\n"),
-        ),
-    ).otherwise(F.lit(""))
-    rule = F.when(F.col("part") == F.col("last_part"), F.lit("\n")).otherwise(F.lit(""))
-    contents = F.concat(head, "toc", rule)
-    first, last, part = F.col("first_part"), F.col("last_part"), F.col("part")
-    rows = F.when(
-        first == last,
-        F.array(F.struct(F.lit(0).cast("bigint").alias("part_no"), F.concat(contents, "body").alias("markdown"))),
-    ).otherwise(
-        F.array(
-            F.struct((part - first).alias("part_no"), contents.alias("markdown")),
-            F.struct((part - first + last - first + 1).alias("part_no"), F.col("body").alias("markdown")),
-        )
+    text = F.concat(
+        F.lit("# Wiki Documentation for "), "repo_url", F.lit(f"\n\nGenerated on: {generated_on}\n\n## Table of Contents\n\n"),
+        F.coalesce("toc", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")),
     )
-    return parts.join(_wiki_headers(pages, wikis, rows_per_part), "wiki_id").select("wiki_id", F.inline(rows))
+    return wikis.select("wiki_id", "repo_url").join(whole, "wiki_id", "left").select("wiki_id", text.alias("markdown"))
 
 
-def export_json(
-    pages: DataFrame, wikis: DataFrame, generated_at: str, rows_per_part: int = ROWS_PER_PART
-) -> DataFrame:
-    """One JSON document per wiki (`wiki_id, part_no, json`); parts concatenate to the document."""
+def export_json(pages: DataFrame, wikis: DataFrame, generated_at: str, span: int = RANGE) -> DataFrame:
+    """One JSON document per wiki (`wiki_id, json`); a wiki without pages has an empty list."""
     page = F.struct(
         F.col("page_id").alias("id"), "title", "content", F.col("file_paths").alias("filePaths"),
         "importance", F.col("related_pages").alias("relatedPages"),
     )
-    texts = pages.select(
-        "wiki_id", F.col("page_ord").cast("bigint").alias("page_ord"),
-        F.to_json(page, {"ignoreNullFields": "false"}).alias("text"),
+    whole = (
+        pages.select("wiki_id", "page_ord", F.to_json(page, {"ignoreNullFields": "false"}).alias("text"))
+        .groupBy("wiki_id", F.floor(F.col("page_ord") / span).alias("part"))
+        .agg(joined("text", "page_ord", ",").alias("text"), F.count(F.lit(1)).alias("n"))
+        .groupBy("wiki_id").agg(joined("text", "part", ",").alias("text"), F.sum("n").alias("n"))
     )
-    parts = ordered_text(texts, ["wiki_id"], "page_ord", "text", "body", ",", rows_per_part)
-    part = F.col("part_no")
     meta = F.to_json(
         F.struct(
             F.col("repo_url").alias("repository"), F.lit(generated_at).alias("generated_at"),
-            F.col("n_pages").alias("page_count"),
+            F.coalesce("n", F.lit(0)).alias("page_count"),
         )
     )
-    head = F.when(
-        part == F.col("first_part"), F.concat(F.lit('{"metadata":'), meta, F.lit(',"pages":['))
-    ).otherwise(F.lit(","))
-    tail = F.when(part == F.col("last_part"), F.lit("]}")).otherwise(F.lit(""))
-    return parts.join(_wiki_headers(pages, wikis, rows_per_part), "wiki_id").select(
-        "wiki_id", (part - F.col("first_part")).alias("part_no"), F.concat(head, "body", tail).alias("json")
-    )
+    text = F.concat(F.lit('{"metadata":'), meta, F.lit(',"pages":['), F.coalesce("text", F.lit("")), F.lit("]}"))
+    return wikis.select("wiki_id", "repo_url").join(whole, "wiki_id", "left").select("wiki_id", text.alias("json"))
 
 
 def _budget_fold(sizes: Column, limit: int) -> Column:
@@ -171,7 +138,4 @@ def pack_context(
         "wiki_id", F.lit(0).cast("bigint").alias("ord"),
         F.concat(F.lit("## Project Overview\n"), F.coalesce("description", F.lit("")), F.lit("\n\n")).alias("text"),
     )
-    # Positions end below the row bound above, so every wiki is exactly one part.
-    return ordered_text(
-        overview.unionByName(pieces), ["wiki_id"], "ord", "text", "context", rows_per_part=limit + 10
-    ).drop("part_no")
+    return ordered_text(overview.unionByName(pieces), ["wiki_id"], "ord", "text", "context")

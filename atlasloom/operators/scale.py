@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import ensure_checkpoint_dir
 
-ROWS_PER_PART = 10_000
+RANGE = 10_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 200_000
 
@@ -20,21 +20,24 @@ def ordered_text(
     text: str,
     out: str,
     sep: str = "",
-    rows_per_part: int = ROWS_PER_PART,
+    span: int = RANGE,
 ) -> DataFrame:
-    """Join the texts of each key in order -> `(*keys, part_no, out)`.
+    """Join the texts of each key in order -> one row `(*keys, out)` per key, at every size.
 
-    `order` is an integer position. A key whose positions stay below `rows_per_part` gives the one
-    row `part_no = 0`; a larger key gives several rows whose texts, taken in `part_no` order and
-    joined by `sep`, are the whole text. Each (key, part) holds at most `rows_per_part` positions
-    and is hashed on its own, so a hot key spreads over the cluster with a single shuffle.
+    `order` is an integer position. The texts of each (key, range of `span` positions) are joined first, on their
+    own, so the rows of a hot key are spread over the cluster; then the few range texts of a key are joined.
+    Rows of a range are hashed by key and range, so a single value is all that one task must hold.
     """
-    literal = sep.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
-    return (
-        df.withColumn("part_no", F.floor(F.col(order) / rows_per_part).cast("bigint"))
-        .groupBy(*keys, "part_no")
-        .agg(F.expr(f"listagg(`{text}`, '{literal}') WITHIN GROUP (ORDER BY `{order}`)").alias(out))
+    ranges = df.groupBy(*keys, F.floor(F.col(order) / span).cast("bigint").alias("__range")).agg(
+        joined(text, order, sep).alias(out)
     )
+    return ranges.groupBy(*keys).agg(joined(out, "__range", sep).alias(out))
+
+
+def joined(text: str, order: str, sep: str = "") -> Column:
+    """Aggregate: texts in order, joined."""
+    literal = sep.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return F.expr(f"listagg(`{text}`, '{literal}') WITHIN GROUP (ORDER BY `{order}`)")
 
 
 def dense_index(

@@ -49,7 +49,7 @@ def root_sections(sections: DataFrame) -> DataFrame:
 
 
 def _key(number: Column) -> Column:
-    return F.lpad(number.cast("string"), 9, "0")
+    return F.lpad(number.cast("string"), 19, "0")
 
 
 def traverse_tree(

@@ -55,7 +55,7 @@ def assemble_requests(
     embedder: str = "hashing",
     **options,
 ) -> DataFrame:
-    """One prompt per valid request (`conv_id, part_no, prompt`).
+    """One prompt per valid request (`conv_id, prompt`).
 
     `requests`: `conv_id, repo_id, repo_url, repo_type, language, provider, file_path`. Requests
     with a too large input skip retrieval before any vector is scored. History turns stay rows

@@ -173,7 +173,7 @@ def sorted_paths(files: DataFrame) -> DataFrame:
 
 
 def file_tree(files: DataFrame) -> DataFrame:
-    """A2: sorted visible paths, one per line (`repo_id, part_no, file_tree`)."""
+    """A2: sorted visible paths, one per line (`repo_id, file_tree`)."""
     return ordered_text(sorted_paths(_listed(files)), ["repo_id"], "line_no", "file_path", "file_tree", "\n")
 
 
@@ -188,7 +188,7 @@ def pick_readme(files: DataFrame) -> DataFrame:
 
 
 def tree_from_listing(listing: DataFrame) -> DataFrame:
-    """A4: file paths of paged remote listings in listing order (`repo_id, part_no, file_tree`).
+    """A4: file paths of paged remote listings in listing order (`repo_id, file_tree`).
 
     A payload is a JSON array of entries, or an object that holds one under `tree` or `values`.
     """

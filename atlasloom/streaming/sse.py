@@ -12,7 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..functions.text import trim_ws
 from ..functions.urls import CACHE_PREFIX
 from ..operators.catalogue import projects_from_files
-from ..operators.scale import ROWS_PER_PART
+from ..operators.scale import RANGE, joined
 from ..session import ensure_checkpoint_dir
 from ..sources.wiki_cache import upsert_buckets
 
@@ -59,18 +59,17 @@ def parse_sse(lines: DataFrame, keep_skipped: bool = False) -> DataFrame:
     return lines.select(*[c for c in lines.columns if c != "line"], F.inline(events))
 
 
-def accumulate(events: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+def accumulate(events: DataFrame, span: int = RANGE) -> DataFrame:
     """I2 on a table: the text of each request and its last known id, model and time.
 
-    `seq` is the position of a line in its request; what follows the end line is ignored. Events
-    are parsed and shuffled once, into bounded runs of positions that are checkpointed; the end of
-    a request and its head are then found on runs, not on events. The result is
-    `req_id, part_no, response` with the head columns; parts form the text in order.
+    `seq` is the position of a line in its request; what follows the end line is ignored. Events are parsed and
+    shuffled once, into runs of `span` positions that are checkpointed; the end of a request and its head are then
+    found on runs, not on events. The result is one row per request: `req_id, response` with the head columns.
     """
     ensure_checkpoint_dir(events.sparkSession)
     item = F.struct("seq", "content", "id", "model", "created")
     runs = (
-        events.groupBy("req_id", F.floor(F.col("seq") / rows_per_part).cast("bigint").alias("part_no"))
+        events.groupBy("req_id", F.floor(F.col("seq") / span).cast("bigint").alias("run"))
         .agg(
             F.array_sort(F.collect_list(F.when(~F.col("done"), item))).alias("items"),
             F.min(F.when(F.col("done"), F.col("seq"))).alias("end"),
@@ -79,23 +78,23 @@ def accumulate(events: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFra
     )
     ends = runs.filter("end IS NOT NULL").groupBy("req_id").agg(F.min("end").alias("end"))
     before_end = F.filter("items", lambda e: F.col("end").isNull() | (e["seq"] < F.col("end")))
-    live = runs.drop("end").join(ends, "req_id", "left").select("req_id", "part_no", before_end.alias("items"))
+    live = runs.drop("end").join(ends, "req_id", "left").select("req_id", "run", before_end.alias("items"))
 
     def last(field: str) -> Column:
         known = F.filter("items", lambda e: e[field].isNotNull())
         return F.try_element_at(known, F.lit(-1))[field].alias(field)
 
-    parts = live.filter(F.size("items") > 0).select(
-        "req_id", "part_no", F.array_join(F.transform("items", lambda e: e["content"]), "").alias("response"),
-        last("id"), last("model"), last("created"),
-    )
-
     def newest(field: str, default) -> Column:
-        found = F.max_by(field, F.when(F.col(field).isNotNull(), F.col("part_no")))
+        found = F.max_by(field, F.when(F.col(field).isNotNull(), F.col("run")))
         return F.coalesce(found, F.lit(default)).alias(field)
 
-    heads = parts.groupBy("req_id").agg(newest("id", ""), newest("model", ""), newest("created", 0))
-    return parts.select("req_id", "part_no", "response").join(heads, "req_id")
+    texts = live.filter(F.size("items") > 0).select(
+        "req_id", "run", F.array_join(F.transform("items", lambda e: e["content"]), "").alias("response"),
+        last("id"), last("model"), last("created"),
+    )
+    return texts.groupBy("req_id").agg(
+        joined("response", "run").alias("response"), newest("id", ""), newest("model", ""), newest("created", 0)
+    )
 
 
 _STATE = "next_seq bigint, part_no bigint, text string, id string, model string, created bigint"
@@ -113,8 +112,10 @@ def response_accumulator(**options) -> StatefulProcessor:
     class ResponseAccumulator(StatefulProcessor):
         """Joins deltas by sequence number; events that arrive early wait in keyed state.
 
-        Text beyond `FLUSH_CHARS` is emitted as a part, so the state of a long response stays small.
-        The last part is emitted at the end line, or as incomplete when a request falls silent.
+        Every row is a part of a response. Text beyond `FLUSH_CHARS` is emitted at once, so the state of a long
+        response stays small; the part at the end line is `complete`. When a request falls silent, what waits behind a gap
+        is emitted in order after what came before it, and the request goes on behind that. After the end line a
+        small mark stays until the request is silent, so late lines are ignored.
         """
 
         def __init__(self, first_seq: int = 0, idle_ms: int | None = IDLE_MS, flush_chars: int = FLUSH_CHARS):
@@ -139,10 +140,11 @@ def response_accumulator(**options) -> StatefulProcessor:
             if at is not None:
                 self.handle.registerTimer(at)
 
-        def _clear(self) -> None:
-            self.progress.clear()
+        def _end(self, timerValues) -> None:
             self.pending.clear()
-            self._set_timer(None)
+            self.progress.update((None, 0, "", "", "", 0))
+            if self.idle_ms is not None:
+                self._set_timer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
         def _load(self) -> dict:
             if self.progress.exists():
@@ -152,6 +154,8 @@ def response_accumulator(**options) -> StatefulProcessor:
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             p = self._load()
+            if p["next_seq"] is None:  # ended before
+                return
             for frame in rows:
                 for r in frame.itertuples(index=False):
                     if r.seq >= p["next_seq"]:
@@ -169,7 +173,7 @@ def response_accumulator(**options) -> StatefulProcessor:
                 if done:
                     p["text"] = "".join(pieces)
                     yield self._emit(key, p, True)
-                    self._clear()
+                    self._end(timerValues)
                     return
                 p["id"], p["model"], p["created"] = id_ or p["id"], model or p["model"], created or p["created"]
                 if content:
@@ -185,9 +189,31 @@ def response_accumulator(**options) -> StatefulProcessor:
                 self._set_timer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            yield self._emit(key, self._load(), False)
-            self.progress.clear()
+            p = self._load()
+            waiting = sorted((seq[0], event) for seq, event in self.pending.iterator())
+            if p["next_seq"] is None or not (waiting or p["text"] or p["next_seq"] > self.first_seq):
+                self.progress.clear()
+                self.pending.clear()
+                return
+            pieces, done = [p["text"]], False
+            for seq, (content, id_, model, created, done) in waiting:
+                p["next_seq"] = seq + 1
+                if done:
+                    break
+                p["id"], p["model"], p["created"] = id_ or p["id"], model or p["model"], created or p["created"]
+                pieces.append(content or "")
+            p["text"] = "".join(pieces)
+            if p["text"] or done:
+                yield self._emit(key, p, bool(done))
+            if done or not p["text"]:
+                # ended, or silent for a second time: nothing is left to wait for
+                self.progress.clear()
+                self.pending.clear()
+                return
             self.pending.clear()
+            p["part_no"], p["text"] = p["part_no"] + 1, ""
+            self.progress.update(tuple(p.values()))
+            self._set_timer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
         def close(self) -> None:
             pass
@@ -195,6 +221,15 @@ def response_accumulator(**options) -> StatefulProcessor:
     return ResponseAccumulator(**options)
 
 
+def whole_responses(parts: DataFrame) -> DataFrame:
+    """One row per request from the parts that `accumulate_stream` has emitted: texts in order, the newest head."""
+    newest = lambda c: F.max_by(c, "part_no").alias(c)
+    return parts.groupBy("req_id").agg(
+        joined("response", "part_no").alias("response"), newest("id"), newest("model"), newest("created"),
+        F.max("complete").alias("complete"),
+    )
+
+
 def accumulate_stream(lines: DataFrame, idle_ms: int | None = IDLE_MS, **options) -> DataFrame:
     """I2 on a stream of `req_id, seq, line`: needs the RocksDB state store provider.
 

@@ -176,9 +176,7 @@ def test_accumulated_responses(spark):
     rows, want = sse_lines()
     df = spark.createDataFrame(rows, "req_id string, seq bigint, line string").orderBy(F.rand(3))
     events = sse.parse_sse(df)
-    parts = {}
-    for r in sorted(sse.accumulate(events, rows_per_part=5).collect(), key=lambda r: (r.req_id, r.part_no)):
-        parts[r.req_id] = (parts.get(r.req_id, ("",))[0] + r.response, r.id, r.model, r.created)
+    parts = {r.req_id: (r.response, r.id, r.model, r.created) for r in sse.accumulate(events, span=5).collect()}
     got = {r.req_id: (r.response, r.id, r.model, r.created) for r in sse.accumulate(events).collect()}
     assert parts == got
     assert got == {k: v for k, v in want.items() if k in got}
@@ -200,11 +198,8 @@ def test_stream_equals_batch(spark, tmp_path):
         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     )
     assert query.awaitTermination(120)
-    got, done = {}, {}
-    for r in sorted(spark.table("responses").collect(), key=lambda r: (r.req_id, r.part_no)):
-        got[r.req_id] = got.get(r.req_id, "") + r.response
-        if r.complete:
-            done[r.req_id] = (got[r.req_id], r.id, r.model, r.created)
+    whole = sse.whole_responses(spark.table("responses")).filter("complete").collect()
+    done = {r.req_id: (r.response, r.id, r.model, r.created) for r in whole}
     assert done == {k: v for k, v in want.items() if int(k[1:]) % 5}
 
 
@@ -212,7 +207,8 @@ def test_silent_requests_are_released(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     line = "data: " + json.dumps({"choices": [{"text": "half"}]})
-    (folder / "0.json").write_text(json.dumps({"req_id": "q", "seq": 0, "line": line}) + "\n")
+    # the second line waits behind a gap
+    (folder / "0.json").write_text("".join(json.dumps({"req_id": "q", "seq": seq, "line": line}) + "\n" for seq in (0, 2)))
     lines = spark.readStream.schema("req_id string, seq bigint, line string").json(str(folder))
     query = (
         sse.accumulate_stream(lines, idle_ms=1).writeStream.format("memory").queryName("silent").outputMode("append")
@@ -223,7 +219,7 @@ def test_silent_requests_are_released(spark, tmp_path):
             query.awaitTermination(1)
             if spark.table("silent").count():
                 break
-        assert [(r.response, r.complete) for r in spark.table("silent").collect()] == [("half", False)]
+        assert [(r.response, r.complete) for r in spark.table("silent").collect()] == [("halfhalf", False)]
     finally:
         query.stop()
 

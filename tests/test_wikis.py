@@ -58,21 +58,20 @@ def markdown(url, stamp, pages):
     return md
 
 
-@pytest.mark.parametrize("rows_per_part", [10_000, 7])
-def test_markdown_export(data, pages, wikis, rows_per_part):
-    got = {}
-    for r in sorted(publish.export_markdown(pages, wikis, "S", rows_per_part).collect(), key=lambda r: (r.wiki_id, r.part_no)):
-        got.setdefault(r.wiki_id, []).append(r.markdown)
-    for w, rows in by_wiki(data).items():
-        assert "".join(got[w]) == markdown(f"https://github.com/o/r{w[1:]}", "S", rows)
-        assert rows_per_part == 7 or len(got[w]) == 1
-
-
-@pytest.mark.parametrize("rows_per_part", [10_000, 7])
-def test_json_export(data, pages, wikis, rows_per_part):
-    got = {}
-    for r in sorted(publish.export_json(pages, wikis, "S", rows_per_part).collect(), key=lambda r: (r.wiki_id, r.part_no)):
-        got[r.wiki_id] = got.get(r.wiki_id, "") + r.json
+@pytest.mark.parametrize("span, shift", [(10_000, 0), (7, 0), (10_000, 1_000_000)])
+def test_markdown_export(data, pages, wikis, span, shift):
+    shifted = pages.withColumn("page_ord", F.col("page_ord") + shift)
+    rows = publish.export_markdown(shifted, wikis, "S", span).collect()
+    got = {r.wiki_id: r.markdown for r in rows}
+    assert len(got) == len(rows) == wikis.count()
+    for w, own in by_wiki(data).items():
+        assert got[w] == markdown(f"https://github.com/o/r{w[1:]}", "S", own)
+
+
+@pytest.mark.parametrize("span, shift", [(10_000, 0), (7, 0), (10_000, 1_000_000)])
+def test_json_export(data, pages, wikis, span, shift):
+    shifted = pages.withColumn("page_ord", F.col("page_ord") + shift)
+    got = {r.wiki_id: r.json for r in publish.export_json(shifted, wikis, "S", span).collect()}
     for w, rows in by_wiki(data).items():
         assert json.loads(got[w]) == {
             "metadata": {"repository": f"https://github.com/o/r{w[1:]}", "generated_at": "S", "page_count": len(rows)},
@@ -219,3 +218,9 @@ def test_catalogue(spark):
 def test_default_ids(spark):
     df = spark.createDataFrame([(0, ""), (1, None), (2, "x")], "pos int, page_id string")
     assert [r.page_id for r in wiki.default_ids(df, "page", "page_id", "pos").collect()] == ["page-1", "page-2", "x"]
+
+
+def test_exports_of_wikis_without_pages(pages, wikis):
+    none = pages.filter("wiki_id = 'none'")
+    assert all(r.markdown.endswith("## Table of Contents\n\n\n") for r in publish.export_markdown(none, wikis, "S").collect())
+    assert all(json.loads(r.json)["pages"] == [] for r in publish.export_json(none, wikis, "S").collect())

@@ -19,7 +19,7 @@ STRICT = """turns AS (
   WHERE u.turn % 2 = 0 AND u.role = 'user' AND a.role = 'assistant'),
 tagged AS (SELECT conv_id, turn_no, '<turn>' || chr(10) || '<user>' || user_text || '</user>' || chr(10) || '<assistant>' || assistant_text
   || '</assistant>' || chr(10) || '</turn>' || chr(10) AS text FROM turns),
-histories AS (SELECT conv_id, CAST(0 AS BIGINT) AS part_no, string_agg(text, '' ORDER BY turn_no) AS history FROM tagged GROUP BY conv_id)"""
+histories AS (SELECT conv_id, string_agg(text, '' ORDER BY turn_no) AS history FROM tagged GROUP BY conv_id)"""
 
 TAGLESS = "regexp_replace(replace({0}, '[DEEP RESEARCH]', ''), '^\\s+|\\s+$', '', 'g')"
 STATE = f"""folded AS (
@@ -171,7 +171,7 @@ asked AS (SELECT repo_id, CAST(conv_id AS STRING) AS query_id, coalesce('Context
 """
         + text_hits("asked") + ",\n" + CONTEXT,
     )
-    + """SELECT conv_id, CAST(0 AS BIGINT) AS part_no, '/no_think Repository github ' || repo_url || ' (' || r.repo_id || '); language '
+    + """SELECT conv_id, '/no_think Repository github ' || repo_url || ' (' || r.repo_id || '); language '
       || CASE language WHEN 'fr' THEN 'Français (French)' ELSE 'English' END || '; phase ' || phase || ', iteration ' || iteration || '.'
       || chr(10) || chr(10)
       || CASE WHEN history IS NOT NULL THEN '<conversation_history>' || chr(10) || history || '</conversation_history>' || chr(10) || chr(10) ELSE '' END

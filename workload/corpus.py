@@ -87,7 +87,7 @@ def corpus_scan(spark, sf):
     with_inputs("files")
     + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY file_path) - 1 AS line_no
       FROM files WHERE file_path NOT LIKE '.%' AND file_path NOT LIKE 'node_modules/%')
-    SELECT repo_id, CAST(line_no // 10000 AS BIGINT) AS part_no, string_agg(file_path, chr(10) ORDER BY line_no) AS file_tree
+    SELECT repo_id, string_agg(file_path, chr(10) ORDER BY line_no) AS file_tree
     FROM numbered GROUP BY ALL"""
 )
 def file_tree(spark, sf):
@@ -107,7 +107,7 @@ def pick_readme(spark, sf):
 
 @query(
     with_inputs("files")
-    + """SELECT repo_id, CAST(0 AS BIGINT) AS part_no,
+    + """SELECT repo_id,
       string_agg(file_path, chr(10) ORDER BY doc_ord // 1000, doc_ord % 2 DESC, doc_ord) AS file_tree
     FROM files WHERE doc_ord % 5 <> 0 GROUP BY repo_id"""
 )

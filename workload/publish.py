@@ -21,11 +21,10 @@ MARKDOWN = f"""bodies AS (SELECT wiki_id, page_ord, '- [' || title || '](#' || p
     || CASE WHEN links IS NOT NULL THEN 'Related topics: ' || links || {NL2} ELSE '' END
     || content || {NL2} || '---' || {NL2} AS body
   FROM filled LEFT JOIN links USING (wiki_id, page_ord)),
-markdown AS (SELECT wiki_id, CAST(0 AS BIGINT) AS part_no, '# Wiki Documentation for https://github.com/org/' || wiki_id || {NL2}
+markdown AS (SELECT wiki_id, '# Wiki Documentation for https://github.com/org/' || wiki_id || {NL2}
     || 'Generated on: {STAMP}' || {NL2} || '## Table of Contents' || {NL2} || string_agg(toc, '' ORDER BY page_ord) || chr(10)
     || string_agg(body, '' ORDER BY page_ord) AS markdown FROM bodies GROUP BY wiki_id)"""
-# a wiki of more pages than one part holds is compared in the tests
-JSON = f"""json_docs AS (SELECT wiki_id, CAST(0 AS BIGINT) AS part_no,
+JSON = f"""json_docs AS (SELECT wiki_id,
     '{{"metadata":{{"repository":"https://github.com/org/' || wiki_id || '","generated_at":"{STAMP}","page_count":' || count(*) || '}},"pages":['
     || string_agg(to_json({{'id': page_id, 'title': title, 'content': content, 'filePaths': file_paths, 'importance': importance,
       'relatedPages': related_pages}})::VARCHAR, ',' ORDER BY page_ord) || ']}}' AS json FROM filled GROUP BY wiki_id)"""

@@ -20,7 +20,7 @@ parsed AS (SELECT req_id, seq, done, CASE WHEN full_event THEN regexp_extract(li
   FROM events_in WHERE full_event OR text_event OR done),
 live AS (SELECT p.* FROM parsed p LEFT JOIN (SELECT req_id, min(seq) AS e FROM parsed WHERE done GROUP BY req_id) d USING (req_id)
   WHERE e IS NULL OR seq < e)"""
-RESPONSES = """SELECT req_id, CAST(0 AS BIGINT) AS part_no, coalesce(string_agg(content, '' ORDER BY seq), '') AS response,
+RESPONSES = """SELECT req_id, coalesce(string_agg(content, '' ORDER BY seq), '') AS response,
       coalesce(arg_max(id, seq) FILTER (WHERE id IS NOT NULL), '') AS id, coalesce(arg_max(model, seq) FILTER (WHERE model IS NOT NULL), '') AS model,
       coalesce(arg_max(created, seq) FILTER (WHERE created IS NOT NULL), 0) AS created"""
 
@@ -48,7 +48,7 @@ def sse_accumulate(spark, sf):
     + ", TRUE AS complete FROM live WHERE req_id IN (SELECT req_id FROM parsed WHERE done) GROUP BY req_id"
 )
 def sse_stream(spark, sf):
-    """I2 as a stream: the finished requests, from files in two micro-batches"""
+    """I2 as a stream: the finished requests, from files in two micro-batches and emitted in small parts"""
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -56,10 +56,10 @@ def sse_stream(spark, sf):
     folder, target, state = (scratch(spark, name) for name in ("lines", "responses", "state"))
     request_lines(spark, sf).repartition(2).write.parquet(folder)
     lines = spark.readStream.schema("req_id string, seq bigint, line string").option("maxFilesPerTrigger", 1).parquet(folder)
-    sse.accumulate_stream(lines, idle_ms=None).writeStream.format("parquet").option("path", target).option(
+    sse.accumulate_stream(lines, idle_ms=None, flush_chars=1_000).writeStream.format("parquet").option("path", target).option(
         "checkpointLocation", state
     ).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(sse.RESPONSE).parquet(target).filter("complete")
+    return sse.whole_responses(spark.read.schema(sse.RESPONSE).parquet(target)).filter("complete")
 
 
 @query(

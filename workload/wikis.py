@@ -177,11 +177,11 @@ edges AS (SELECT e.wiki_id, e.parent, e.pos, c.section_id, c.title FROM (
     SELECT wiki_id, section_id AS parent, unnest(subsections) AS child, unnest(generate_series(0, len(subsections) - 1)) AS pos FROM sections) e
   JOIN sections c ON e.wiki_id = c.wiki_id AND e.child = c.section_id),
 tree AS (
-  SELECT wiki_id, section_id, title, 0 AS level, '0.' || lpad(CAST(sec_ord AS STRING), 9, '0') AS sort_path, [section_id] AS seen FROM roots
+  SELECT wiki_id, section_id, title, 0 AS level, '0.' || lpad(CAST(sec_ord AS STRING), 19, '0') AS sort_path, [section_id] AS seen FROM roots
   UNION ALL
-  SELECT t.wiki_id, e.section_id, e.title, t.level + 1, t.sort_path || '.1.' || lpad(CAST(e.pos AS STRING), 9, '0'), list_append(t.seen, e.section_id)
+  SELECT t.wiki_id, e.section_id, e.title, t.level + 1, t.sort_path || '.1.' || lpad(CAST(e.pos AS STRING), 19, '0'), list_append(t.seen, e.section_id)
   FROM tree t JOIN edges e ON t.wiki_id = e.wiki_id AND t.section_id = e.parent WHERE NOT list_contains(t.seen, e.section_id)),
-listed AS (SELECT t.wiki_id, t.level + 1 AS level, t.sort_path || '.0.' || lpad(CAST(r.pos AS STRING), 9, '0') AS sort_path, p.page_id, p.title
+listed AS (SELECT t.wiki_id, t.level + 1 AS level, t.sort_path || '.0.' || lpad(CAST(r.pos AS STRING), 19, '0') AS sort_path, p.page_id, p.title
   FROM tree t JOIN (SELECT wiki_id, section_id, unnest(pages) AS page_id, unnest(generate_series(0, len(pages) - 1)) AS pos FROM sections) r
     ON t.wiki_id = r.wiki_id AND t.section_id = r.section_id
   JOIN section_pages p ON r.wiki_id = p.wiki_id AND r.page_id = p.page_id)""",
