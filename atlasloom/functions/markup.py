@@ -29,6 +29,11 @@ def repair_xml(s: Column) -> Column:
     return replace_all(escaped, "  >", ">")
 
 
+def trimmed_element(s: Column, tag: str) -> Column:
+    """Unescaped text of the first such element without surrounding white space, or null."""
+    return unescape_xml(trim_ws(first_element(s, tag)))
+
+
 def unescape_xml(s: Column) -> Column:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         s = replace_all(s, entity, char)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..constants import EMBED_BATCH_SIZES, NO_VALID_TEXT_ERROR
+from ..session import ensure_checkpoint_dir
 from .scale import bounded_side
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
@@ -121,10 +122,11 @@ def embed_with_cache(
     """
     keyed = chunks.withColumn("text_hash", F.sha2(F.col(text), 256)).withColumn("model", F.lit(model))
     key = ["model", "text_hash"]
-    missing = (
-        keyed.groupBy(*key).agg(F.min(text).alias(text)).join(cache.select(*key), key, "left_anti")
-    )
-    fresh = embed_chunks(missing, model, text=text, **options)
+    ensure_checkpoint_dir(chunks.sparkSession)
+    # Keys alone find what is missing; only texts of missing keys are shuffled, and embedded once for both results.
+    missing = bounded_side(keyed.select(*key).distinct().join(cache.select(*key), key, "left_anti"))
+    texts = keyed.join(missing, key, "left_semi").groupBy(*key).agg(F.min(text).alias(text))
+    fresh = embed_chunks(texts, model, text=text, **options).checkpoint()
     known = cache.select(*key, "vector", F.lit(None).cast("string").alias("embed_error")).unionByName(
         fresh.select(*key, "vector", "embed_error")
     )

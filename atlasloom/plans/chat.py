@@ -109,13 +109,14 @@ def assemble_requests(
 
 
 def render_rows(rows: DataFrame, fallback: bool = False) -> DataFrame:
-    """H25 / H26 over rows that already hold every piece of the prompt."""
+    """H25 / H26 over rows that already hold every piece of the prompt (`provider`, if there, decides its suffix)."""
     c = F.col
     history = c("history")
+    provider = c("provider") if "provider" in rows.columns else None
     text = (
-        render_fallback(c("system"), history, c("file_path"), c("file_content"), c("query"))
+        render_fallback(c("system"), history, c("file_path"), c("file_content"), c("query"), provider)
         if fallback
-        else render_prompt(c("system"), history, c("file_path"), c("file_content"), c("context"), c("query"))
+        else render_prompt(c("system"), history, c("file_path"), c("file_content"), c("context"), c("query"), provider)
     )
     return rows.withColumn("prompt", text)
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..constants import CHUNK_OVERLAP, CHUNK_WORDS, EMBED_BATCH_SIZES
+from ..constants import CHUNK_OVERLAP, CHUNK_WORDS, EMBED_BATCH_SIZES, EXCLUDED_DIRS, EXCLUDED_FILES
 from ..functions.text import trim_ws
 from ..functions.urls import cache_key, parse_repo_input, repo_name, repo_short_name, repo_url
 from ..operators.docs import chunk_words, derive_doc_columns, drop_oversized
@@ -41,9 +41,11 @@ def index_corpus(
 ) -> DataFrame:
     """Scan, filter, describe, chunk, embed and store every repository below `root`.
 
-    Path rules run on the listing, so excluded files are never opened. Repositories already
-    stored under the same settings are reused.
+    Path rules run on the listing, so excluded files are never opened; extra exclusions are added to the default ones.
+    Repositories already stored under the same settings are reused.
     """
+    if mode == "exclude":
+        dirs, names = [*EXCLUDED_DIRS, *(dirs or ())], [*EXCLUDED_FILES, *(names or ())]
     files = scan_corpus(
         spark, root, repo_id=repo_id, keep=lambda listing: filter_paths(listing, dirs, names, mode)
     )

@@ -10,7 +10,7 @@ from ..functions.decks import (
 )
 from ..functions.markup import (
     extract_wiki_xml, first_element, pages_from_text, pages_from_xml, parse_xml, repair_xml, sections_from_xml,
-    strip_fences, unescape_xml,
+    strip_fences, trimmed_element, unescape_xml,
 )
 from ..operators.publish import export_json, export_markdown, pack_context
 from ..operators.scale import bounded_side
@@ -36,20 +36,21 @@ def flatten_wiki_xml(responses: DataFrame, comprehensive: bool = True) -> tuple[
         )
 
     def text(tag: str) -> Column:
-        return F.coalesce(unescape_xml(first_element(F.col("xml"), tag)), F.lit("")).alias(tag)
+        # a rebuilt block is trimmed, a parsed one is taken as it is
+        found = unescape_xml(first_element(F.col("xml"), tag))
+        return F.coalesce(F.when(F.col("rebuilt"), trimmed_element(F.col("xml"), tag)).otherwise(found), F.lit("")).alias(tag)
 
     xml = blocks.select("wiki_id", "block", repair_xml(F.col("block")).alias("xml"))
     # Bound as a lambda variable, a block is parsed once for all that is read from it.
     parsed = F.transform(F.array(F.when(F.col("block") != "", parse_xml(F.col("xml")))), read)
     structured = xml.select(
         "wiki_id",
+        "xml",
         F.when(F.col("block") == "", F.lit(NO_XML_ERROR)).alias("error"),
-        text("title"),
-        text("description"),
         F.inline(parsed),
     )
     wikis = structured.select(
-        "wiki_id", "title", "description", F.coalesce("rebuilt", F.lit(False)).alias("rebuilt"), "error"
+        "wiki_id", text("title"), text("description"), F.coalesce("rebuilt", F.lit(False)).alias("rebuilt"), "error"
     )
     pages = structured.select("wiki_id", F.posexplode("pages").alias("page_ord", "p")).select(
         "wiki_id", "page_ord", "p.page_id", "p.title", F.lit("").alias("content"), "p.file_paths",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import islice
@@ -14,6 +15,7 @@ from ..functions.text import replace_all
 from ..operators.scale import dense_index, ordered_text, sorted_index
 from ..session import ensure_checkpoint_dir
 
+READ_TRIES = 4
 READ_BYTES = 16 * 1024 * 1024
 LIST_ROWS = 20_000
 _ENTRY = "path string, is_dir boolean, length bigint, modified timestamp"
@@ -75,11 +77,20 @@ def _read_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         columns = [*frame.columns, "content"]
         for row in frame.itertuples(index=False):
-            try:
-                system, inner = pafs.FileSystem.from_uri(row.path)
-                with system.open_input_stream(inner) as stream:
-                    content = stream.read()
-            except OSError:  # unreadable files are left out, like undecodable ones
+            for attempt in range(READ_TRIES):
+                try:
+                    system, inner = pafs.FileSystem.from_uri(row.path)
+                    with system.open_input_stream(inner) as stream:
+                        content = stream.read()
+                    break
+                except FileNotFoundError:  # deleted since it was listed
+                    content = None
+                    break
+                except OSError:  # throttled or dropped: after some tries the task fails, nothing goes missing unseen
+                    if attempt + 1 == READ_TRIES:
+                        raise
+                    time.sleep(2**attempt)
+            if content is None:
                 continue
             rows.append((*row, content))
             held += len(content)

@@ -1,17 +1,20 @@
-"""The stored chunk index."""
+"""The stored chunk index (A7, A8): builds are appended, the newest build of a repository counts."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.scale import bounded_side
+from ..session import ensure_checkpoint_dir
 
-BUCKETS = 256
+BUILDS = "repo_id string, config_hash string, build_id string, n_chunks long, dim int"
 
 
 def config_hash(config: dict) -> str:
@@ -19,47 +22,64 @@ def config_hash(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
-def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
-    return df.withColumn("repo_bucket", F.pmod(F.xxhash64("repo_id"), F.lit(buckets)).cast("int"))
+def new_build() -> str:
+    """An id that sorts by time."""
+    return f"b{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
 
 
-def write_index(chunks: DataFrame, path: str, config: dict | None = None, buckets: int = BUCKETS) -> None:
-    """Store chunks with vectors; only the buckets in `chunks` are replaced.
+def write_index(chunks: DataFrame, path: str, config: dict | None = None, repos: DataFrame | None = None) -> None:
+    """Append a build of the repositories in `chunks`; nothing that is stored is read or rewritten.
 
-    Repositories are hashed to a fixed number of folders, because a folder each would be millions.
-    The rebalance splits a bucket that holds a large repository and merges small ones; rows are
-    sorted by repository inside a file, so reading one repository skips the other row groups.
-    `dim` lets vector checks run without reading vectors.
+    A build is one folder of chunk rows, sorted by repository inside a file, and one row per repository in `builds`,
+    written last: what has no row there is not seen. `repos` names repositories that were built but may have no
+    chunk, so that they are not built again each time. `dim` lets vector checks run without reading vectors.
     """
-    rows = _bucketed(chunks, buckets).withColumns(
-        {
-            "dim": F.coalesce(F.greatest(F.size("vector"), F.lit(0)), F.lit(0)),
-            "config_hash": F.lit(config_hash(config or {})),
-        }
-    )
-    (
-        rows.hint("rebalance", "repo_bucket", "repo_id")
-        .sortWithinPartitions("repo_bucket", "repo_id", "doc_ord", "chunk_no")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("repo_bucket")
-        .parquet(path)
-    )
+    spark, build, settings = chunks.sparkSession, new_build(), config_hash(config or {})
+    folder = f"{path}/chunks/build_id={build}"
+    dim = F.coalesce(F.greatest(F.size("vector"), F.lit(0)), F.lit(0))
+    rows = chunks.withColumns({"dim": dim, "config_hash": F.lit(settings)})
+    rows.hint("rebalance", "repo_id").sortWithinPartitions("repo_id", "doc_ord", "chunk_no").write.parquet(folder)
+    counts = spark.read.parquet(folder).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max("dim").alias("dim"))
+    if repos is not None:
+        counts = repos.select("repo_id").distinct().join(counts, "repo_id", "left")
+    counts.select(
+        "repo_id", F.lit(settings).alias("config_hash"), F.lit(build).alias("build_id"),
+        F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), F.coalesce("dim", F.lit(0)).cast("int").alias("dim"),
+    ).write.mode("append").parquet(f"{path}/builds")
+
+
+def newest_builds(spark: SparkSession, path: str) -> DataFrame:
+    """One row per stored repository: its newest build."""
+    builds = spark.read.schema(BUILDS).parquet(f"{path}/builds")
+    newest = F.max(F.struct("build_id", "config_hash", "n_chunks", "dim")).alias("b")
+    return builds.groupBy("repo_id").agg(newest).select("repo_id", "b.*")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Chunks of the newest build of each repository."""
+    ensure_checkpoint_dir(spark)
+    newest = bounded_side(newest_builds(spark, path).select("repo_id", "build_id"))
+    return spark.read.parquet(f"{path}/chunks").join(newest, ["repo_id", "build_id"], "left_semi").drop("build_id")
 
 
-def reusable_repos(stored: DataFrame, config: dict | None = None) -> DataFrame:
-    """Repositories stored under the same settings with at least one usable vector."""
-    return (
-        stored.filter(F.col("config_hash") == config_hash(config or {}))
-        .groupBy("repo_id")
-        .agg(F.max("dim").alias("dim"))
-        .filter("dim > 0")
-        .select("repo_id")
-    )
+def compact_index(spark: SparkSession, path: str, target: str) -> None:
+    """The newest builds as a single build in a new place; settings stay those of each repository."""
+    for row in newest_builds(spark, path).select("config_hash").distinct().collect():  # a row per kind of settings
+        same = newest_builds(spark, path).filter(F.col("config_hash") == row.config_hash)
+        build = new_build()
+        rows = spark.read.parquet(f"{path}/chunks").join(bounded_side(same.select("repo_id", "build_id")), ["repo_id", "build_id"], "left_semi")
+        rows.drop("build_id").hint("rebalance", "repo_id").sortWithinPartitions("repo_id", "doc_ord", "chunk_no").write.parquet(
+            f"{target}/chunks/build_id={build}"
+        )
+        same.withColumn("build_id", F.lit(build)).select("repo_id", "config_hash", "build_id", "n_chunks", "dim").write.mode(
+            "append"
+        ).parquet(f"{target}/builds")
+
+
+def reusable_repos(builds: DataFrame, config: dict | None = None) -> DataFrame:
+    """Repositories whose newest build has the same settings and a usable vector, or no chunk at all."""
+    same = F.col("config_hash") == config_hash(config or {})
+    return builds.filter(same & ((F.col("dim") > 0) | (F.col("n_chunks") == 0))).select("repo_id")
 
 
 def load_or_build_index(
@@ -68,31 +88,21 @@ def load_or_build_index(
     docs: DataFrame,
     build: Callable[[DataFrame], DataFrame],
     config: dict | None = None,
-    buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Read-through. Repositories without a usable stored index are built and stored.
+    """Read-through. Repositories of `docs` without a usable stored index are built and appended.
 
-    Only the buckets of rebuilt repositories are rewritten. An index that cannot be read is
-    rebuilt. Unlike a plain existence check, changed settings also lead to a rebuild.
+    Each repository keeps the settings it was built with, so changed settings lead to a rebuild of what is asked
+    for and of nothing else. A missing index is built; one that cannot be read is an error.
     """
+    ensure_checkpoint_dir(spark)
+    asked = docs.select("repo_id").distinct()
     try:
-        stored = read_index(spark, path)
-    except AnalysisException:
-        write_index(build(docs), path, config, buckets)
-        return read_index(spark, path)
-
-    reuse = bounded_side(reusable_repos(stored, config))
-    missing = docs.join(reuse, "repo_id", "left_anti")
-    touched = bounded_side(_bucketed(missing.select("repo_id"), buckets).select("repo_bucket").distinct())
-    if touched.isEmpty():
-        return stored.join(docs.select("repo_id").distinct(), "repo_id", "left_semi")
-    gone = bounded_side(missing.select("repo_id").distinct())
-    built = build(missing)
-    # Neighbours in the touched buckets are kept; the partition filter is pruned at run time.
-    kept = stored.join(touched, "repo_bucket", "left_semi").join(gone, "repo_id", "left_anti")
-    columns = [c for c in built.columns if c in kept.columns]
-    # Dynamic overwrite swaps the buckets at commit, so they can be read while the job runs.
-    merged = kept.select(*columns).unionByName(built.select(*columns))
-    write_index(merged, path, config, buckets)
-    spark.catalog.refreshByPath(path)
-    return read_index(spark, path).join(docs.select("repo_id").distinct(), "repo_id", "left_semi")
+        missing = asked.join(reusable_repos(newest_builds(spark, path), config), "repo_id", "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        missing = asked
+    missing = bounded_side(missing)
+    if not missing.isEmpty():
+        write_index(build(docs.join(missing, "repo_id", "left_semi")), path, config, missing)
+    return read_index(spark, path).join(bounded_side(asked), "repo_id", "left_semi")

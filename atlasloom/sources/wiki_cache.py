@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.urls import CACHE_PREFIX
 from ..operators.catalogue import newest_first, projects_from_files
 from ..operators.filters import check_language, resolve_language
 from ..operators.scale import bounded_side, latest_wins
+from .index_store import new_build
 
 KEY = ["repo_type", "owner", "repo", "language"]
-BUCKETS = 256
 
 
 def upsert_wiki(cache: DataFrame, updates: DataFrame, version: str = "updated_at") -> DataFrame:
@@ -24,37 +23,41 @@ def upsert_wiki(cache: DataFrame, updates: DataFrame, version: str = "updated_at
     return latest_wins(cache.unionByName(fitted, allowMissingColumns=True), KEY, version)
 
 
-def upsert_buckets(
-    spark: SparkSession, path: str, updates: DataFrame, keys: list[str], version: str, buckets: int = BUCKETS
-) -> None:
-    """Merge updates into a stored table, newest row per key, rewriting only the touched key buckets."""
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    incoming = updates.withColumn("key_bucket", bucket)
-    try:
-        stored = spark.read.parquet(path)
-        touched = bounded_side(incoming.select("key_bucket").distinct())
-        merged = stored.join(touched, "key_bucket", "left_semi").unionByName(incoming)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        merged = incoming
-    # Dynamic overwrite swaps the buckets at commit, so they can be read while the job runs.
-    (
-        latest_wins(merged, keys, version)
-        .hint("rebalance", "key_bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("key_bucket")
-        .parquet(path)
-    )
-    spark.catalog.refreshByPath(path)
+def append_rows(path: str, updates: DataFrame, deleted: bool = False) -> None:
+    """Append rows to a stored log; `written` orders equal versions. Nothing that is stored is read or rewritten."""
+    marks = {"deleted": F.lit(deleted), "written": F.lit(new_build())}
+    updates.withColumns(marks).write.mode("append").parquet(path)
+
+
+def newest_rows(spark: SparkSession, path: str, keys: list[str], version: str) -> DataFrame:
+    """The table that a stored log stands for: the newest row of each key, unless that deletes it."""
+    rows = spark.read.option("mergeSchema", "true").parquet(path)
+    return latest_wins(rows, keys, version, "written").filter("NOT deleted").drop("deleted", "written")
+
+
+def compact_rows(spark: SparkSession, path: str, target: str, keys: list[str], version: str) -> None:
+    """The log's newest rows as a new log."""
+    append_rows(target, newest_rows(spark, path, keys, version))
+
+
+def write_wiki_cache(spark: SparkSession, path: str, updates: DataFrame) -> None:
+    """A10 on a stored table: the upsert is an append."""
+    append_rows(path, resolve_language(updates).drop("language_name"))
+
+
+def read_wiki_cache(spark: SparkSession, path: str, version: str = "updated_at") -> DataFrame:
+    """The stored table."""
+    return newest_rows(spark, path, KEY, version)
 
 
-def write_wiki_cache(
-    spark: SparkSession, path: str, updates: DataFrame, version: str = "updated_at", buckets: int = BUCKETS
-) -> None:
-    """A10 on a stored table; its number of buckets is chosen once."""
-    upsert_buckets(spark, path, resolve_language(updates).drop("language_name"), KEY, version, buckets)
+def delete_stored_wikis(spark: SparkSession, path: str, keys: DataFrame, version: str = "updated_at") -> DataFrame:
+    """A12 on a stored table: a mark per deleted key is appended -> status per key."""
+    stored = read_wiki_cache(spark, path, version)
+    _, status = delete_wiki(stored, keys)
+    status = status.checkpoint()
+    gone = stored.select(*KEY, version).join(status.filter("deleted").select(*KEY), KEY, "left_semi")
+    append_rows(path, gone, deleted=True)
+    return status
 
 
 def read_wiki(cache: DataFrame, keys: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions.urls import CACHE_PREFIX
 from ..operators.catalogue import projects_from_files
 from ..operators.scale import RANGE, joined
 from ..session import ensure_checkpoint_dir
-from ..sources.wiki_cache import upsert_buckets
+from ..sources.wiki_cache import append_rows, newest_rows
 
 _EVENT = (
     "id string, model string, created bigint, "
@@ -250,7 +250,10 @@ def accumulate_stream(lines: DataFrame, idle_ms: int | None = IDLE_MS, **options
 def stream_catalogue(
     spark: SparkSession, folder: str, target: str, checkpoint: str, prefix: str = CACHE_PREFIX, **trigger
 ) -> StreamingQuery:
-    """Keep a catalogue table up to date from a folder of stored wikis."""
+    """Append what a folder of stored wikis gains to a catalogue; `read_catalogue` reads it.
+
+    A batch that is repeated appends rows that are already there, which changes nothing.
+    """
     source = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
@@ -262,7 +265,7 @@ def stream_catalogue(
     )
 
     def merge(batch: DataFrame, _: int) -> None:
-        upsert_buckets(spark, target, projects_from_files(batch, prefix), ["id"], "submittedAt")
+        append_rows(target, projects_from_files(batch, prefix))
 
     return (
         source.writeStream.foreachBatch(merge)
@@ -270,3 +273,15 @@ def stream_catalogue(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def read_catalogue(spark: SparkSession, target: str, folder: str | None = None, prefix: str = CACHE_PREFIX) -> DataFrame:
+    """The catalogue, newest row per project; with `folder` only of files that are still there."""
+    rows = newest_rows(spark, target, ["id"], "submittedAt")
+    if folder is None:
+        return rows
+    there = (
+        spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}_*.json").load(folder)
+        .select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_modification_time").alias("modified"))
+    )
+    return rows.join(projects_from_files(there, prefix).select("id").distinct(), "id", "left_semi")

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from atlasloom.constants import EXCLUDED_DIRS, EXCLUDED_FILES
 from atlasloom.plans.chat import assemble_requests, prepare_requests
 from atlasloom.plans.corpus import build_chunks, index_corpus, repo_dimension
 from atlasloom.sources import corpus, index_store, wiki_cache
@@ -99,18 +100,37 @@ def test_index_is_reused_and_rebuilt(spark, root, tmp_path):
         return build_chunks(docs, **options)
 
     docs = corpus.scan_corpus(spark, root)
-    config = {"dirs": ["./node_modules/"], "names": [], "mode": "exclude", **options}
+    config = {"dirs": [*EXCLUDED_DIRS, "./node_modules/"], "names": list(EXCLUDED_FILES), "mode": "exclude", **options}
     index_store.load_or_build_index(spark, path, docs, build, config)
     assert calls == []
     # files without a word give no usable vector: such a repository is built again, its neighbours stay
-    stored = spark.read.parquet(path)
+    stored = index_store.read_index(spark, path)
     broken = stored.withColumn("vector", F.when(F.col("repo_id") == "one", F.col("vector")).otherwise(F.array().cast("array<float>")))
-    index_store.write_index(broken.drop("repo_bucket", "dim", "config_hash").checkpoint(), path, config)
+    index_store.write_index(broken.drop("dim", "config_hash").checkpoint(), path, config)
     again = index_store.load_or_build_index(spark, path, docs, build, config)
     assert calls == [{"two"}]
     assert again.filter("dim = 0").isEmpty() and {r.repo_id for r in again.select("repo_id").distinct().collect()} == {"one", "two"}
+    index_store.load_or_build_index(spark, path, docs.filter("repo_id = 'one'"), build, {"other": 1})
+    assert calls[-1] == {"one"}
     index_store.load_or_build_index(spark, path, docs, build, {"other": 1})
-    assert calls[-1] == {"one", "two"}
+    assert calls[-1] == {"two"}
+    index_store.compact_index(spark, path, path + "2")
+    key = lambda df: sorted((r.repo_id, r.file_path, r.chunk_no, r.text, r.config_hash) for r in df.collect())
+    assert key(index_store.read_index(spark, path)) == key(index_store.read_index(spark, path + "2"))
+
+
+def test_repositories_without_chunks_are_built_once(spark, tmp_path):
+    calls = []
+
+    def build(docs):
+        calls.append({r.repo_id for r in docs.select("repo_id").distinct().collect()})
+        return build_chunks(docs.filter("repo_id <> 'none'"), dim=8)
+
+    docs = spark.createDataFrame([("some", 0, "a.py", "x y"), ("none", 0, "b.py", "z")], "repo_id string, doc_ord long, file_path string, text string")
+    for _ in range(2):
+        rows = index_store.load_or_build_index(spark, str(tmp_path / "i"), docs, build)
+        assert [r.repo_id for r in rows.collect()] == ["some"]
+    assert calls == [{"some", "none"}]
 
 
 KEYS = "repo_type string, owner string, repo string, language string"
@@ -122,7 +142,7 @@ def test_wiki_cache(spark, tmp_path):
     wiki_cache.write_wiki_cache(spark, path, rows(("github", "o", "a", "en", "1", 1), ("github", "o", "b", "xx", "2", 1)))
     wiki_cache.write_wiki_cache(spark, path, rows(("github", "o", "a", "en", "3", 2)))
     wiki_cache.write_wiki_cache(spark, path, rows(("github", "o", "a", "en", "3", 2)))
-    stored = spark.read.parquet(path)
+    stored = wiki_cache.read_wiki_cache(spark, path)
     assert {(r.repo, r.language, r.payload) for r in stored.collect()} == {("a", "en", "3"), ("b", "en", "2")}
     keys = spark.createDataFrame([("github", "o", "b", "zz"), ("github", "o", "c", "en")], KEYS)
     assert {(r.repo, r.payload) for r in wiki_cache.read_wiki(stored, keys).collect()} == {("b", "2"), ("c", None)}
@@ -132,6 +152,10 @@ def test_wiki_cache(spark, tmp_path):
     assert {r.repo: (r.status, r.deleted) for r in status.collect()} == {
         "a": ("Wiki cache for o/a (en) deleted successfully", True), "b": ("Language is not supported", False), "c": ("Wiki cache not found", False),
     }
+    assert {(r.repo, r.deleted) for r in wiki_cache.delete_stored_wikis(spark, path, asked).collect()} == {("a", True), ("b", False), ("c", False)}
+    assert [r.repo for r in wiki_cache.read_wiki_cache(spark, path).collect()] == ["b"]
+    wiki_cache.compact_rows(spark, path, path + "2", wiki_cache.KEY, "updated_at")
+    assert [r.repo for r in wiki_cache.read_wiki_cache(spark, path + "2").collect()] == ["b"]
 
 
 def test_project_files_and_running_catalogue(spark, tmp_path):
@@ -144,7 +168,9 @@ def test_project_files_and_running_catalogue(spark, tmp_path):
     for _ in range(2):
         sse.stream_catalogue(spark, str(folder), target, str(tmp_path / "ck")).awaitTermination(120)
         (folder / "wiki_cache_github_o_new_en.json").write_text("{}")
-    assert {r.name for r in spark.read.parquet(target).collect()} == {"o/r", "o/a_b", "o/new"}
+    assert {r.name for r in sse.read_catalogue(spark, target).collect()} == {"o/r", "o/a_b", "o/new"}
+    (folder / "wiki_cache_gitlab_o_a_b_fr.json").unlink()
+    assert {r.name for r in sse.read_catalogue(spark, target, str(folder)).collect()} == {"o/r", "o/new"}
 
 
 def sse_lines(n=30, seed=1):

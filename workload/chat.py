@@ -148,7 +148,8 @@ def file_focus(spark, sf):
     + """SELECT conv_id, '/no_think sys' || chr(10) || chr(10)
       || CASE WHEN history IS NOT NULL THEN '<conversation_history>' || chr(10) || history || '</conversation_history>' || chr(10) || chr(10) ELSE '' END
       || '<note>Answering without retrieval augmentation due to input size constraints.</note>' || chr(10) || chr(10)
-      || '<query>' || chr(10) || coalesce(original_topic, last) || chr(10) || '</query>' || chr(10) || chr(10) || 'Assistant: ' AS prompt
+      || '<query>' || chr(10) || coalesce(original_topic, last) || chr(10) || '</query>' || chr(10) || chr(10) || 'Assistant: '
+      || CASE WHEN conv_id % 2 = 0 THEN ' /no_think' ELSE '' END AS prompt
     FROM state LEFT JOIN histories USING (conv_id)"""
 )
 def fallback_prompts(spark, sf):
@@ -156,7 +157,10 @@ def fallback_prompts(spark, sf):
     messages = load(spark, sf, "messages")
     rows = c.conversation_state(messages).select("conv_id", "query").join(c.fold_history(c.pair_turns(messages)), "conv_id", "left")
     none = F.lit(None).cast("string")
-    rows = rows.withColumns({"system": F.lit("sys"), "file_path": none, "file_content": none, "error": F.lit("hit the token limit")})
+    rows = rows.withColumns({
+        "system": F.lit("sys"), "file_path": none, "file_content": none, "error": F.lit("hit the token limit"),
+        "provider": F.when(F.col("conv_id") % 2 == 0, "ollama").otherwise("openai"),
+    })
     return render_rows(rows.filter(is_token_limit_error(F.col("error"))), fallback=True).select("conv_id", "prompt")
 
 

@@ -166,13 +166,29 @@ def index_read_through(spark, sf):
     """Built and stored, then read back"""
     path = scratch(spark, "index")
     files = load(spark, sf, "files").select("repo_id", "doc_ord", "file_path", "text")
-    index_store.load_or_build_index(spark, path, files, build_chunks, {"v": 1}, buckets=8)
-    again = index_store.load_or_build_index(spark, path, files, build_chunks, {"v": 1}, buckets=8)
+    index_store.load_or_build_index(spark, path, files, build_chunks, {"v": 1})
+    again = index_store.load_or_build_index(spark, path, files, build_chunks, {"v": 1})
     return again.filter("dim = 256").groupBy("repo_id").agg(
         F.count("*").alias("n_chunks"), F.countDistinct("doc_ord").alias("n_docs")
     )
 
 
+SMALL = CHUNKS.replace("250", "150").replace("350", "200")
+
+
+@query(with_inputs("files", also=SMALL) + "SELECT repo_id, file_path, CAST(chunk_no AS BIGINT) AS chunk_no, md5(text) AS text FROM chunks")
+def index_settings_change(spark, sf):
+    """Settings change for some repositories first, then the others are asked for: all have the new chunks"""
+    path = scratch(spark, "index")
+    files = load(spark, sf, "files").select("repo_id", "doc_ord", "file_path", "text")
+    small = lambda docs: build_chunks(docs, size=200, overlap=50, dim=8)
+    index_store.load_or_build_index(spark, path, files, lambda docs: build_chunks(docs, dim=8), {"v": 1})
+    index_store.load_or_build_index(spark, path, files.filter("hash(repo_id) % 2 = 0"), small, {"v": 2})
+    index_store.load_or_build_index(spark, path, files.filter("hash(repo_id) % 2 <> 0"), small, {"v": 2})
+    stored = index_store.read_index(spark, path)
+    return stored.select("repo_id", "file_path", F.col("chunk_no").cast("long").alias("chunk_no"), F.md5("text").alias("text"))
+
+
 @query(
     """SELECT source AS repo_id, count(*) AS n_docs, count(DISTINCT text) AS n_texts FROM documents GROUP BY source
     UNION ALL SELECT 'cache', count(DISTINCT text), count(DISTINCT text) FROM documents"""
@@ -208,9 +224,9 @@ def wiki_cache_upsert(spark, sf):
     """Through the stored table"""
     path = scratch(spark, "cache")
     rows = load(spark, sf, "stored_wikis")
-    wiki_cache.write_wiki_cache(spark, path, rows.filter("updated_at % 2 = 0"), buckets=8)
-    wiki_cache.write_wiki_cache(spark, path, rows.filter("updated_at % 2 = 1"), buckets=8)
-    return spark.read.parquet(path).drop("key_bucket")
+    wiki_cache.write_wiki_cache(spark, path, rows.filter("updated_at % 2 = 0"))
+    wiki_cache.write_wiki_cache(spark, path, rows.filter("updated_at % 2 = 1"))
+    return wiki_cache.read_wiki_cache(spark, path)
 
 
 KEYS = "SELECT DISTINCT repo_type, owner, repo, {} AS language FROM stored_wikis"

@@ -160,7 +160,7 @@ def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
 def stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Retrieval reads its chunks several times, each time other columns: from a stored index."""
     path = scratch(spark, "chunks")
-    index_store.write_index(text_chunks(spark, sf), path, buckets=8)
+    index_store.write_index(text_chunks(spark, sf), path)
     return index_store.read_index(spark, path)
 
 

@@ -63,18 +63,20 @@ def sse_stream(spark, sf):
 
 
 @query(
-    """SELECT 'own' || (doc_id % 9) || '/' || source || '_' || doc_id AS name, 'github' AS repo_type, lang AS language FROM documents"""
+    """SELECT 'own' || (doc_id % 9) || '/' || source || '_' || doc_id AS name, 'github' AS repo_type, lang AS language FROM documents WHERE doc_id % 7 <> 3"""
 )
 def catalogue_stream(spark, sf):
-    """The catalogue follows a folder of stored wikis"""
+    """The catalogue follows a folder of stored wikis; every seventh file is removed again"""
     folder = scratch(spark, "stored").removeprefix("file:")
     target, state = scratch(spark, "catalogue"), scratch(spark, "state")
     names = table(spark, sf, "documents").select(
         F.concat(
             F.lit("wiki_cache_github_own"), F.col("doc_id") % 9, F.lit("_"), "source", F.lit("_"), "doc_id", F.lit("_"), "lang", F.lit(".json")
         ).alias("path"),
-        F.lit("{}").alias("text"),
+        F.lit("{}").alias("text"), "doc_id",
     )
-    write_texts(names, folder)
+    write_texts(names.drop("doc_id"), folder)
     sse.stream_catalogue(spark, folder, target, state).awaitTermination()
-    return spark.read.parquet(target).select("name", "repo_type", "language")
+    kept = scratch(spark, "kept").removeprefix("file:")
+    write_texts(names.filter("doc_id % 7 <> 3").drop("doc_id"), kept)  # the folder as it is later
+    return sse.read_catalogue(spark, target, kept).select("name", "repo_type", "language")
