@@ -79,18 +79,54 @@ def ingest_wiki(responses: DataFrame, comprehensive: bool = True) -> dict[str, D
     }
 
 
+_PAGE = ["page_ord", "page_id", "title", "importance", "file_paths", "related_pages", "content"]
+_SECTION = ["sec_ord", "section_id", "title", "pages", "subsections"]
+
+
+def stored_form(wikis: DataFrame, filled: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """A row per wiki with its header and, as nested columns, its generated pages and sections in order."""
+    def nested(rows: DataFrame, fields: list[str], name: str) -> DataFrame:
+        return rows.groupBy("wiki_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+
+    rows = wikis.join(nested(filled, _PAGE, "stored_pages"), "wiki_id", "left")
+    if sections is not None:
+        rows = rows.join(nested(sections, _SECTION, "stored_sections"), "wiki_id", "left")
+    return rows
+
+
+def stored_wiki_tables(cache: DataFrame) -> dict[str, DataFrame]:
+    """The stored rows back as tables: `wikis`, `pages` with their content, and `sections`.
+
+    Wikis that were stored without sections get them from their page titles.
+    """
+    pages = cache.select("wiki_id", F.inline("stored_pages"))
+    if "stored_sections" in cache.columns:
+        sections = cache.select("wiki_id", F.inline("stored_sections"))
+    else:
+        sections = cache.select("wiki_id", F.inline(F.array().cast(
+            "array<struct<sec_ord:bigint,section_id:string,title:string,pages:array<string>,subsections:array<string>>>"
+        )))
+    inferred_pages, inferred_sections = infer_sections(pages, sections)
+    return {
+        "wikis": cache.drop("stored_pages", "stored_sections"), "pages": pages, "sections": sections,
+        "inferred_pages": inferred_pages, "inferred_sections": inferred_sections,
+    }
+
+
 def publish_wiki(
-    wikis: DataFrame, pages: DataFrame, generated: DataFrame, cache: DataFrame, stamp: str
+    wikis: DataFrame, pages: DataFrame, generated: DataFrame, cache: DataFrame, stamp: str, sections: DataFrame | None = None
 ) -> dict[str, DataFrame]:
-    """Store the complete wikis and export all of them.
+    """Store the complete wikis, structure and pages, and export all of them.
 
     `wikis`: `wiki_id`, the cache key columns, `repo_url`, `updated_at`.
     """
     ready = bounded_side(ready_wikis(pages, generated))
     complete = wikis.join(ready, "wiki_id", "left_semi").select(*KEY, "wiki_id", "repo_url", "updated_at")
     filled = attach_content(pages, generated)
+    stored = stored_form(complete, filled.join(ready, "wiki_id", "left_semi"), sections)
     return {
-        "cache": upsert_wiki(cache, complete),
+        "stored": stored,
+        "cache": upsert_wiki(cache, stored),
         "markdown": export_markdown(filled, wikis, stamp),
         "json": export_json(filled, wikis, stamp),
     }

@@ -20,7 +20,7 @@ def upsert_wiki(cache: DataFrame, updates: DataFrame, version: str = "updated_at
     a later view replaces an earlier one.
     """
     fitted = resolve_language(updates).drop("language_name")
-    return latest_wins(cache.unionByName(fitted, allowMissingColumns=True), KEY, version)
+    return latest_wins(fitted.unionByName(cache, allowMissingColumns=True), KEY, version)
 
 
 def append_rows(path: str, updates: DataFrame, deleted: bool = False) -> None:

@@ -55,11 +55,13 @@ INPUTS = {
           CASE WHEN d.doc_id % 3 = 0 THEN @list('gone') ELSE
             @list('page-' || CAST(d.doc_id + 20 AS STRING), 'gone', 'page-' || CAST(d.doc_id - 20 AS STRING)) END AS related_pages
         FROM @documents d LEFT JOIN @labels l ON d.doc_id = l.doc_id""",
-    # generated texts: some are empty, some belong to no page
+    # generated texts: in wikis with an odd number some are empty, some belong to no page; the others are complete
     "generated": """
         SELECT source AS wiki_id,
-          CASE WHEN doc_id % 13 = 0 THEN 'lost-' ELSE 'page-' END || CAST(doc_id AS STRING) AS page_id,
-          CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 17 = 0 THEN 'Loading...'
+          CASE WHEN doc_id % 13 = 0 AND CAST(substr(source, 4) AS INT) % 2 = 1 THEN 'lost-' ELSE 'page-' END
+            || CAST(doc_id AS STRING) AS page_id,
+          CASE WHEN CAST(substr(source, 4) AS INT) % 2 = 0 THEN '# T' || chr(10) || chr(10) || text
+            WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 17 = 0 THEN 'Loading...'
             ELSE '# T' || chr(10) || chr(10) || substr(text, 1, 30) || chr(10) || chr(10) || text END AS content
         FROM @documents""",
     "wikis": """

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from atlasloom.operators import publish as p
 from atlasloom.operators.wiki import attach_content
-from atlasloom.plans.wikis import derive_decks, publish_wiki, slide_pages, slide_plans, workshops
+from atlasloom.plans.wikis import derive_decks, publish_wiki, slide_pages, slide_plans, stored_wiki_tables as tables_of, workshops
+from atlasloom.sources import wiki_cache
+from atlasloom.sources.wiki_cache import KEY
 
 from . import query
+from .corpus import scratch
 from .inputs import load, table, with_inputs
 from .wikis import COMPLETE, RELATED
 
@@ -46,22 +49,51 @@ def json_export(spark, sf):
     return p.export_json(filled(spark, sf), load(spark, sf, "wikis"), STAMP)
 
 
+READY = COMPLETE + """,
+ready AS (SELECT wiki_id FROM per_wiki JOIN counted USING (wiki_id) WHERE all_done AND n_generated >= n_pages)"""
+
+
 @query(
-    with_inputs("wiki_pages", "generated", "wikis", also=COMPLETE)
-    + """SELECT 'github' AS repo_type, 'org' AS owner, w.wiki_id AS repo, 'en' AS language, w.repo_url, 1 AS updated_at
-    FROM wikis w JOIN per_wiki p USING (wiki_id) JOIN counted c USING (wiki_id) WHERE all_done AND n_generated >= n_pages
-    UNION ALL SELECT 'github', 'org', wiki_id, 'en', 'old', 0 FROM wikis w WHERE wiki_id NOT IN (
-      SELECT wiki_id FROM per_wiki p JOIN counted c USING (wiki_id) WHERE all_done AND n_generated >= n_pages)"""
+    with_inputs("wiki_pages", "generated", "wikis", also=READY)
+    + """SELECT 'github' AS repo_type, 'org' AS owner, w.wiki_id AS repo, 'en' AS language, w.repo_url, 1 AS updated_at,
+      count(*) AS n_pages, md5(string_agg(p.page_id || ':' || p.title || ':' || g.content, chr(10) ORDER BY page_ord)) AS pages
+    FROM wikis w JOIN ready USING (wiki_id) JOIN wiki_pages p ON p.wiki_id = w.wiki_id
+      JOIN generated g ON g.wiki_id = p.wiki_id AND g.page_id = p.page_id GROUP BY ALL
+    UNION ALL SELECT 'github', 'org', wiki_id, 'en', 'old', 0, 0, NULL FROM wikis WHERE wiki_id NOT IN (SELECT wiki_id FROM ready)"""
 )
 def published_wikis(spark, sf):
-    """Complete wikis replace their stored rows, others stay"""
+    """Complete wikis replace their stored rows, with all their pages; others stay"""
+    stored = publish(spark, sf)["cache"]
+    text = F.transform("stored_pages", lambda p: F.concat_ws(":", p["page_id"], p["title"], p["content"]))
+    return stored.select(
+        *KEY, "repo_url", "updated_at", F.coalesce(F.size("stored_pages"), F.lit(0)).cast("long").alias("n_pages"),
+        F.md5(F.array_join(text, "\n")).alias("pages"),
+    )
+
+
+def publish(spark, sf):
     wikis = load(spark, sf, "wikis").withColumns(
         {"repo_type": F.lit("github"), "owner": F.lit("org"), "repo": F.col("wiki_id"), "language": F.lit("en"), "updated_at": F.lit(1)}
     )
-    keys = ["repo_type", "owner", "repo", "language"]
-    cache = wikis.select(*keys, "wiki_id", F.lit("old").alias("repo_url"), F.lit(0).alias("updated_at"))
-    out = publish_wiki(wikis, load(spark, sf, "wiki_pages"), load(spark, sf, "generated"), cache, STAMP)
-    return out["cache"].select(*keys, "repo_url", "updated_at")
+    cache = wikis.select(*KEY, "wiki_id", F.lit("old").alias("repo_url"), F.lit(0).alias("updated_at"))
+    return publish_wiki(wikis, load(spark, sf, "wiki_pages"), load(spark, sf, "generated"), cache, STAMP)
+
+
+@query(
+    with_inputs("wiki_pages", "generated", also=READY)
+    + """SELECT p.wiki_id, page_ord, p.page_id, title, importance, file_paths[1] AS first_file, len(related_pages) AS n_related,
+      md5(g.content) AS content
+    FROM wiki_pages p JOIN ready USING (wiki_id) JOIN generated g ON g.wiki_id = p.wiki_id AND g.page_id = p.page_id"""
+)
+def stored_wiki_tables(spark, sf):
+    """Complete wikis through the stored cache and back to pages"""
+    path = scratch(spark, "wikis")
+    wiki_cache.write_wiki_cache(spark, path, publish(spark, sf)["stored"])
+    pages = tables_of(wiki_cache.read_wiki_cache(spark, path))["pages"]
+    return pages.select(
+        "wiki_id", "page_ord", "page_id", "title", "importance", F.get("file_paths", F.lit(0)).alias("first_file"),
+        F.size("related_pages").cast("long").alias("n_related"), F.md5("content").alias("content"),
+    )
 
 
 BUDGET = f"""sized AS (
