@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..constants import EMBED_BATCH_SIZES, NO_VALID_TEXT_ERROR
@@ -68,7 +69,7 @@ def _embed_batch(embedder: Embedder, texts: list[str | None], retries: int) -> t
                 vectors[i] = v
             return vectors, None
         except Exception as e:  # the job goes on; the batch is reported
-            error = str(e) or type(e).__name__
+            error = f"{type(e).__name__}: {e}".removesuffix(": ")
     return [[] for _ in texts], error
 
 
@@ -78,11 +79,12 @@ def embed_chunks(
     batch: int = EMBED_BATCH_SIZES["default"],
     text: str = "text",
     retries: int = 0,
+    batch_column: str | None = None,
     **options,
 ) -> DataFrame:
     """Add `vector` and `embed_error` to every row, `batch` texts per call, without a shuffle.
 
-    Vectors stay with the row they were computed for, so a short answer can never shift them.
+    `batch_column` adds the number of the call that a row was part of. Vectors stay with the row they were computed for, so a short answer can never shift them.
     """
     factory = _REGISTRY[embedder] if isinstance(embedder, str) else embedder
     schema = T.StructType(
@@ -93,9 +95,12 @@ def embed_chunks(
         ]
     )
     kept = [f.name for f in schema.fields[:-2]]
+    if batch_column:
+        schema = schema.add(batch_column, T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = factory(**options)
+        calls = TaskContext.get().partitionId() << 40
         for record in batches:
             for start in range(0, record.num_rows, batch):
                 part = record.slice(start, batch)
@@ -106,7 +111,12 @@ def embed_chunks(
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.float32()))
                 columns = [part.column(part.schema.get_field_index(c)) for c in kept]
                 errors = pa.array([error] * part.num_rows, type=pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, column, errors], names=[*kept, "vector", "embed_error"])
+                columns, names = [*columns, column, errors], [*kept, "vector", "embed_error"]
+                if batch_column:
+                    columns.append(pa.array([calls] * part.num_rows, type=pa.int64()))
+                    names.append(batch_column)
+                calls += 1
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return chunks.select(*kept).mapInArrow(run, schema)
 

@@ -148,7 +148,7 @@ def test_failing_batches_are_reported(spark):
 
     df = texts(spark).coalesce(1).orderBy("doc_ord")
     got = {r.doc_ord: r for r in embed.embed_chunks(df, broken, batch=5).collect()}
-    assert [got[i].vector for i in range(15, 20)] == [[]] * 5 and got[15].embed_error == "refused"
+    assert [got[i].vector for i in range(15, 20)] == [[]] * 5 and got[15].embed_error == "RuntimeError: refused"
     assert got[20].vector == [] and "1 vectors for 5 texts" in got[20].embed_error
     assert got[0].vector == [1.0, 2.0]
     stats = embed.batch_stats(embed.embed_chunks(df, broken, batch=5)).collect()

@@ -32,12 +32,12 @@ INPUTS = {
             WHEN conv_id % 3 = 0 AND role = 'user' THEN ' [DEEP RESEARCH] Continue the research '
             ELSE text END AS content
         FROM @conversations""",
-    # answers that carry research markers by position
+    # answers that carry research markers by position; four conversations make one, so there are more than five answers
     "answers": """
-        SELECT conv_id, turn, role,
-          CASE turn % 7 WHEN 1 THEN '## Research Plan' || chr(10) || text WHEN 3 THEN '## Research Update 2' || chr(10) || text
+        SELECT conv_id - conv_id % 4 AS conv_id, turn + 1000 * (conv_id % 4) AS turn, role,
+          CASE WHEN conv_id % 24 = 18 AND turn = 1 THEN '## Final Conclusion' || chr(10) || text ELSE CASE turn % 7 WHEN 1 THEN '## Research Plan' || chr(10) || text WHEN 3 THEN '## Research Update 2' || chr(10) || text
             WHEN 5 THEN text || chr(10) || '## Summary' || chr(10) || 'Next Steps' WHEN 0 THEN '## Conclusion' || chr(10) || text
-            ELSE text END AS content
+            ELSE text END END AS content
         FROM @conversations""",
     # chat requests, one per conversation
     "requests": """

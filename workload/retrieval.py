@@ -186,12 +186,27 @@ def hash_embed(spark, sf):
 
 @query(
     with_inputs("files", also=CHUNKS)
-    + """SELECT repo_id, count(*) AS valid, CAST(0 AS BIGINT) AS empty, CAST(0 AS BIGINT) AS failed_rows, count(*) AS total
-    FROM chunks GROUP BY repo_id"""
+    + """SELECT repo_id, count(*) FILTER (WHERE md5(text) NOT LIKE '0%') AS valid, count(*) FILTER (WHERE md5(text) LIKE '0%') AS empty,
+      count(*) FILTER (WHERE md5(text) LIKE '0%') AS failed_rows, count(*) AS total,
+      count(*) FILTER (WHERE md5(text) LIKE '0%') AS error_batches
+    FROM chunks WHERE trim(text) <> '' GROUP BY repo_id"""
 )
 def batch_stats(spark, sf):
-    """D10"""
-    return embed.batch_stats(text_chunks(spark, sf))
+    """A model that fails for every sixteenth text, one text per call"""
+    chunks = text_chunks(spark, sf).drop("vector", "embed_error").filter(F.trim("text") != "")
+    embedded = embed.embed_chunks(chunks, failing_model, batch=1, batch_column="batch_no")
+    return embed.batch_stats(embedded)
+
+
+def failing_model():
+    import hashlib
+
+    def run(texts):
+        if any(hashlib.md5(t.encode()).hexdigest().startswith("0") for t in texts):
+            raise ConnectionError("no answer")
+        return [[1.0, 0.0] for _ in texts]
+
+    return run
 
 
 @query(
