@@ -12,6 +12,7 @@ from ..constants import TOP_K
 from .scale import bounded_side
 
 BLOCK_ROWS = 1024
+QUERIES_PER_TASK = 2_000
 STATE_QUERIES = 50_000
 _BLOCK = "repo_id string, dim int, code bigint, ids array<string>, matrix binary"
 
@@ -204,14 +205,16 @@ def _fitting(queries: DataFrame, chunks: DataFrame, query_vector: str, vector: s
     )
 
 
-def _query_blocks(vectors: DataFrame, spread: int) -> DataFrame:
-    """Dense, measured blocks: a repository's queries meet in at most `spread` tasks."""
-    return bounded_side(_pack(vectors.repartition("repo_id", F.pmod(F.xxhash64("id"), F.lit(spread)))))
+def _query_blocks(vectors: DataFrame, per_task: int) -> DataFrame:
+    """Dense, measured blocks: a repository's queries are spread over as many tasks as its count asks for."""
+    counts = bounded_side(vectors.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / per_task).alias("shares")))
+    dealt = vectors.join(counts, "repo_id").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")))
+    return bounded_side(_pack(dealt.repartition("repo_id", "share").drop("shares", "share")))
 
 
 def score_pairs(
     queries: DataFrame, chunks: DataFrame, k: int = TOP_K, query_vector: str = "vector",
-    vector: str = "vector", order: str = "doc_ord", spread: int = 8,
+    vector: str = "vector", order: str = "doc_ord", per_task: int = QUERIES_PER_TASK,
 ) -> DataFrame:
     """Scored candidates of each query within its repository, `k` per query and task.
 
@@ -220,7 +223,7 @@ def score_pairs(
     among the task's best. Packed queries are broadcast when measured small; beyond that the
     blocks are shuffled and AQE splits the skewed ones.
     """
-    q = _query_blocks(_fitting(queries, chunks, query_vector, vector, order), spread)
+    q = _query_blocks(_fitting(queries, chunks, query_vector, vector, order), per_task)
     return _score_blocks(q, _pack(_vectors(chunks, "chunk_id", vector)), k)
 
 
@@ -248,7 +251,7 @@ def retrieve(
 def retrieve_ann(
     queries: DataFrame, chunks: DataFrame, k: int = TOP_K, columns: Sequence[str] = (),
     query_vector: str = "vector", vector: str = "vector", order: str = "doc_ord",
-    tables: int = 8, bits: int = 6, spread: int = 8,
+    tables: int = 8, bits: int = 6, per_task: int = QUERIES_PER_TASK,
 ) -> DataFrame:
     """Like `retrieve`, but scores only chunks that share a sign code with the query.
 
@@ -257,7 +260,7 @@ def retrieve_ann(
     one group.
     """
     asked = sign_codes(_fitting(queries, chunks, query_vector, vector, order), tables, bits, probes=True)
-    q = _query_blocks(asked, spread)
+    q = _query_blocks(asked, per_task)
     wanted = bounded_side(q.select("repo_id", "dim", "code").distinct())
     coded = sign_codes(_vectors(chunks, "chunk_id", vector), tables, bits).withColumn("dim", F.size("vector"))
     found = _score_blocks(q, _pack(coded.join(wanted, ["repo_id", "dim", "code"])), k)
