@@ -109,18 +109,18 @@ def pack_context(
     characters, so no wiki can use more than `limit / 6 + 2` pages of either kind; the rest cannot
     matter and are dropped before the shuffle by the ranking, which keeps the array bounded.
     """
-    content = generated.filter(F.col("content") != "").select(
-        "wiki_id", "page_id", F.col("content").alias("body")
+    written = generated.filter(F.col("content") != "")
+    size = lambda c: utf16_length(c).cast("bigint")
+    head = lambda title: F.concat(F.lit("## "), title, F.lit("\n"))
+    # Lengths add up, so only numbers are joined here; texts are fetched for what is picked.
+    bodies = written.select(
+        "wiki_id", "page_id", size(F.col("content")).alias("body_len"), size(page_summary(F.col("content"))).alias("brief_len")
     )
-    candidates = pages.select(
-        "wiki_id", F.col("page_ord").cast("bigint").alias("page_ord"), "page_id", "title", "importance"
-    ).join(content, ["wiki_id", "page_id"])
-    head = F.concat(F.lit("## "), "title", F.lit("\n"))
-    full = F.concat(head, "body", F.lit("\n\n"))
-    brief = F.concat(head, page_summary(F.col("body")), F.lit("\n\n"))
-    sizes = candidates.select(
+    listed = pages.select("wiki_id", F.col("page_ord").cast("bigint").alias("page_ord"), "page_id", "title", "importance")
+    rest_of = size(head(F.col("title"))) + 2
+    sizes = listed.join(bodies, ["wiki_id", "page_id"]).select(
         "wiki_id", F.when(F.col("importance") == "high", 0).otherwise(1).alias("rest"), "page_ord",
-        utf16_length(full).cast("bigint").alias("full_len"), utf16_length(brief).cast("bigint").alias("sum_len"),
+        (rest_of + F.col("body_len")).alias("full_len"), (rest_of + F.col("brief_len")).alias("sum_len"),
     )
     place = F.row_number().over(Window.partitionBy("wiki_id", "rest").orderBy("page_ord"))
     picks = (
@@ -131,8 +131,10 @@ def pack_context(
         .select("wiki_id", F.posexplode(_budget_fold(F.col("sizes"), limit)).alias("pos", "pick"))
         .select("wiki_id", "pick.page_ord", "pick.whole", (F.col("pos") + 1).cast("bigint").alias("ord"))
     )
-    pieces = candidates.join(bounded_side(picks), ["wiki_id", "page_ord"]).select(
-        "wiki_id", "ord", F.when(F.col("whole"), full).otherwise(brief).alias("text")
+    picked = bounded_side(listed.join(picks, ["wiki_id", "page_ord"]).select("wiki_id", "page_id", "title", "whole", "ord"))
+    text = F.when(F.col("whole"), F.col("content")).otherwise(page_summary(F.col("content")))
+    pieces = written.select("wiki_id", "page_id", "content").join(picked, ["wiki_id", "page_id"]).select(
+        "wiki_id", "ord", F.concat(head(F.col("title")), text, F.lit("\n\n")).alias("text")
     )
     overview = wikis.select(
         "wiki_id", F.lit(0).cast("bigint").alias("ord"),
