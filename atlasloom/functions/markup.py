@@ -108,6 +108,57 @@ def sections_from_xml(parsed: Column) -> Column:
     )
 
 
+def _count(xml: Column, tag: str) -> Column:
+    """Opening tags of this very name."""
+    return F.size(F.regexp_extract_all(xml, F.lit(rf"<{tag}[\s>]"), F.lit(0)))
+
+
+def nested(xml: Column, parsed: Column, tag: str) -> Column:
+    """Whether a well-formed block has such elements where the fixed schema does not look (inside other elements)."""
+    seen = F.coalesce(F.size(F.coalesce(parsed[f"{tag}s"][tag], parsed[tag])), F.lit(0))
+    return _count(xml, tag) > F.greatest(seen, F.lit(0))
+
+
+def _elements(xml: Column, tag: str, end: str) -> Column:
+    """Attributes and bodies of the elements of a name at any depth, in document order."""
+    pattern = F.lit(rf"(?s)<{tag}((?:\s[^>]*)?)>(.*?)(?:{end})")
+    return F.arrays_zip(
+        F.regexp_extract_all(xml, pattern, F.lit(1)).alias("tag"), F.regexp_extract_all(xml, pattern, F.lit(2)).alias("body")
+    )
+
+
+def _texts(body: Column, tag: str) -> Column:
+    found = F.regexp_extract_all(body, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
+    return _non_empty(F.transform(found, unescape_xml))
+
+
+def _id(attributes: Column) -> Column:
+    return unescape_xml(F.regexp_extract(attributes, r"""\sid\s*=\s*["']([^"']*)""", 1))
+
+
+def pages_anywhere(xml: Column) -> Column:
+    """Page structs of a block whose pages stand at any depth."""
+    return F.transform(
+        _elements(xml, "page", "</page>"),
+        lambda p, i: _page_struct(
+            _default_id(_id(p["tag"]), "page-", i), F.get(_texts(p["body"], "title"), F.lit(0)),
+            F.get(_texts(p["body"], "importance"), F.lit(0)), _texts(p["body"], "file_path"), _texts(p["body"], "related"),
+        ),
+    )
+
+
+def sections_anywhere(xml: Column) -> Column:
+    """Section structs of a block whose sections stand at any depth; what a section holds before the next one begins."""
+    return F.transform(
+        _elements(xml, "section", r"(?=<section[\s>])|</section>"),
+        lambda s, i: F.struct(
+            _default_id(_id(s["tag"]), "section-", i).alias("section_id"),
+            F.coalesce(F.get(_texts(s["body"], "title"), F.lit(0)), F.lit("")).alias("title"),
+            _texts(s["body"], "page_ref").alias("pages"), _texts(s["body"], "section_ref").alias("subsections"),
+        ),
+    )
+
+
 def pages_from_text(xml: Column) -> Column:
     """The same page structs cut out of unparsable text by pattern; sections are lost."""
 

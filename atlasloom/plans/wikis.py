@@ -9,7 +9,7 @@ from ..functions.decks import (
     annotate_exercises, build_toc, final_project_note, slide_description, slide_html, slide_items, slide_title,
 )
 from ..functions.markup import (
-    extract_wiki_xml, first_element, pages_from_text, pages_from_xml, parse_xml, repair_xml, sections_from_xml,
+    extract_wiki_xml, first_element, nested, pages_anywhere, pages_from_text, pages_from_xml, parse_xml, repair_xml, sections_anywhere, sections_from_xml,
     strip_fences, trimmed_element, unescape_xml,
 )
 from ..operators.publish import export_json, export_markdown, pack_context
@@ -31,8 +31,9 @@ def flatten_wiki_xml(responses: DataFrame, comprehensive: bool = True) -> tuple[
         broken = w["_corrupt_record"].isNotNull()
         return F.struct(
             broken.alias("rebuilt"),
-            F.when(broken, pages_from_text(F.col("xml"))).otherwise(pages_from_xml(w)).alias("pages"),
-            F.when(~broken, sections_from_xml(w)).alias("sections"),
+            F.when(broken, pages_from_text(F.col("xml")))
+            .when(nested(F.col("xml"), w, "page"), pages_anywhere(F.col("xml"))).otherwise(pages_from_xml(w)).alias("pages"),
+            F.when(~broken, F.when(nested(F.col("xml"), w, "section"), sections_anywhere(F.col("xml"))).otherwise(sections_from_xml(w))).alias("sections"),
         )
 
     def text(tag: str) -> Column:
@@ -85,12 +86,12 @@ _SECTION = ["sec_ord", "section_id", "title", "pages", "subsections"]
 
 def stored_form(wikis: DataFrame, filled: DataFrame, sections: DataFrame | None = None) -> DataFrame:
     """A row per wiki with its header and, as nested columns, its generated pages and sections in order."""
-    def nested(rows: DataFrame, fields: list[str], name: str) -> DataFrame:
+    def gathered(rows: DataFrame, fields: list[str], name: str) -> DataFrame:
         return rows.groupBy("wiki_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
 
-    rows = wikis.join(nested(filled, _PAGE, "stored_pages"), "wiki_id", "left")
+    rows = wikis.join(gathered(filled, _PAGE, "stored_pages"), "wiki_id", "left")
     if sections is not None:
-        rows = rows.join(nested(sections, _SECTION, "stored_sections"), "wiki_id", "left")
+        rows = rows.join(gathered(sections, _SECTION, "stored_sections"), "wiki_id", "left")
     return rows
 
 

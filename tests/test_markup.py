@@ -224,3 +224,17 @@ def test_workshops(spark):
     got = [r.text for r in sorted(workshops(df).collect(), key=lambda r: r.i)]
     for g, x in zip(got, texts):
         assert g == _workshop(x), x
+
+
+def test_elements_at_any_depth(spark):
+    xml = """<wiki_structure><title>T</title><description>D</description><sections>
+<section id="s1"><title>One</title><pages><page_ref>p1</page_ref></pages><page id="p1"><title> in &amp; s1 </title><importance>high</importance>
+<file_path>a.py</file_path></page><section id="s2"><title>Two</title><pages><page_ref>p2</page_ref></pages></section></section></sections>
+<pages><page id="p2"><title>plain</title><related_pages><related>p1</related></related_pages></page></pages></wiki_structure>"""
+    _, pages, sections = flatten_wiki_xml(spark.createDataFrame([("w", xml)], "wiki_id string, response string"))
+    assert [(p.page_ord, p.page_id, p.title, p.importance, p.file_paths, p.related_pages) for p in sorted(pages.collect(), key=lambda p: p.page_ord)] == [
+        (0, "p1", " in & s1 ", "high", ["a.py"], []), (1, "p2", "plain", "medium", [], ["p1"])
+    ]
+    assert [(s.section_id, s.title, s.pages) for s in sorted(sections.collect(), key=lambda s: s.sec_ord)] == [
+        ("s1", "One", ["p1"]), ("s2", "Two", ["p2"])
+    ]
