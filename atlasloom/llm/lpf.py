@@ -22,6 +22,7 @@ table: no rows. Texts of any length are read in slices. Other columns are not lo
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -32,31 +33,28 @@ LENGTH = 100
 GRAM = 32
 SLICE = 900_000
 PLACE_BITS = np.uint64(20)
-BLOCK_ANCHORS = 1_000_000
+BLOCK_ANCHORS = 500_000
 HOT_IN_BLOCK = 50
 HOT_TOTAL = 2_000
 HOT_KEPT = 1_000_000
 BROADCAST_SPANS = 2_000_000
 NO_ID = -(1 << 63)
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20_240_606).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def run_hashes(x: np.ndarray, length: int) -> np.ndarray:
-    """Hash of each run of `length` values, by doubling (arithmetic wraps at 64 bits)."""
-    sums, step, n = {1: x}, {1: _STEP}, 1
-    while 2 * n <= length:
-        sums[2 * n] = sums[n][:-n] * step[n] + sums[n][n:]
-        step[2 * n] = np.uint64(int(step[n]) ** 2 % 2**64)
-        n *= 2
-    out, at = None, 0
-    for size in sorted(sums, reverse=True):
-        if at + size <= length:
-            part = sums[size]
-            out = part if out is None else out[: len(part) - at] * step[size] + part[at : at + len(out)]
-            at += size
-    return out
+@lru_cache(1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    size = 1 << int(PLACE_BITS)
+    inverse = pow(_STEP, -1, 1 << 64)
+    return tuple(np.cumprod(np.append(np.ones(1, np.uint64), np.full(size, x, np.uint64))) for x in (_STEP, inverse))
+
+
+def run_hashes(sums: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+    """Hashes of byte runs from prefix sums of byte values times powers; equal runs have equal hashes wherever they are."""
+    return (sums[end] - sums[start]) * powers()[1][: len(sums)][start]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -74,31 +72,38 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(buffer: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Contexts of the texts that `buffer` joins (text i ends at `ends[i]`), at most 2**20 bytes.
+    """Contexts of the texts that `buffer` joins (text i ends at `ends[i]`), fewer than 2**20 bytes.
 
-    Arrays: anchor hash, context hash, text, start, strings minus one, bytes before the anchor; and the hash of every
-    string of `length` bytes.
+    Arrays: anchor hash, context hash, text, start, strings minus one, bytes before the anchor; and the prefix sums.
     """
     raw = np.frombuffer(buffer, np.uint8)
     if len(raw) < length:
         return None
-    values = _BYTES[raw]
-    grams, strings = mixed(run_hashes(values, gram)), run_hashes(values, length)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * powers()[0][: len(raw)], out=sums[1:])
+    grams = mixed(run_hashes(sums, slice(0, len(raw) - gram + 1), slice(gram, None)))
     keys = (grams >> PLACE_BITS << PLACE_BITS) | np.arange(len(grams), dtype=np.uint64)  # the first of equals
     anchor = (least(keys, length - gram + 1) & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
-    start = np.arange(len(anchor))
-    owner = np.searchsorted(ends, start, "right")
-    inside = start + length <= ends[owner]
-    start, anchor, owner = start[inside], anchor[inside], owner[inside]
-    if not len(start):
+    sizes = np.diff(ends, prepend=0)
+    strings = np.maximum(sizes - length + 1, 0)  # of each text; others would cross its end
+    begins = (ends - sizes)[strings > 0]
+    if not len(begins):
         return None
-    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)])
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(start)]]) - 1
-    lo, hi, at = start[first], start[last], anchor[first]
+    new = np.empty(len(anchor), bool)
+    new[0] = True
+    np.not_equal(anchor[1:], anchor[:-1], out=new[1:])
+    new[begins] = True
+    stops = begins + strings[strings > 0]
+    new[stops[stops < len(new)]] = True
+    lo = np.flatnonzero(new)
+    hi = np.append(lo[1:], len(anchor)) - 1
+    owner = np.searchsorted(ends, lo, "right")
+    inside = lo + length <= ends[owner]
+    lo, hi, owner = lo[inside], hi[inside], owner[inside]
+    at = anchor[lo]
     shape = ((at - lo) << 8 | (hi - lo)).astype(np.uint64)
-    whole = mixed(strings[lo] * np.uint64(3) + mixed(strings[hi]) * np.uint64(5) + shape)
-    return grams[at], whole, owner[first], lo, hi - lo, at - lo, strings
+    whole = mixed(run_hashes(sums, lo, hi + length) + mixed(shape))
+    return grams[at], whole, owner, lo, hi - lo, at - lo, sums
 
 
 def slices(texts: list[bytes], length: int = LENGTH, size: int = SLICE):
@@ -146,25 +151,46 @@ class Sizes:
     broadcast_spans: int = BROADCAST_SPANS
 
 
-def _blocks(batches, length: int, gram: int, sizes: Sizes):
-    """Context columns of about `block_anchors` contexts at a time."""
+def _blocks(batches, length: int, gram: int, sizes: Sizes, common: np.ndarray):
+    """Columns `COLUMNS` of about `block_anchors` contexts at a time, in the order of the input; anchors in `common` give a row
+    for each of their strings instead."""
     held, count = [], 0
     for batch in batches:
-        texts = [t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
-        doc, place = batch.column("doc").to_numpy(), batch.column("place").to_numpy()
-        for buffer, ends, numbers, offsets in slices(texts, length, sizes.slice_bytes):
-            found = contexts(buffer, ends, length, gram)
-            if found is None:
-                continue
-            key, whole, part, lo, n, before, strings = found
-            number, begins = np.array(numbers)[part], ends[part] - np.diff(ends, prepend=0)[part]
-            held.append((key, whole, doc[number], place[number], lo - begins + np.array(offsets)[part], n, before, lo, strings))
-            count += len(key)
-            if count >= sizes.block_anchors:
-                yield held
-                held, count = [], 0
+        doc, place, column = batch.column("doc").to_numpy(), batch.column("place").to_numpy(), batch.column("text")
+        for first in range(0, batch.num_rows, 512):
+            texts = [memoryview(t.as_buffer()) for t in column.slice(first, 512)]
+            for buffer, ends, numbers, offsets in slices(texts, length, sizes.slice_bytes):
+                found = contexts(buffer, ends, length, gram)
+                if found is None:
+                    continue
+                key, whole, part, lo, n, before, sums = found
+                number, begins = np.array(numbers)[part] + first, ends[part] - np.diff(ends, prepend=0)[part]
+                rows = [key, whole, doc[number], place[number], lo - begins + np.array(offsets)[part], before << 8 | n]
+                many = np.isin(key, common) if len(common) else np.zeros(len(key), bool)
+                if many.any():
+                    times = n[many] + 1
+                    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    at = np.repeat(lo[many], times) + step
+                    string = mixed(run_hashes(sums, at, at + length))
+                    more = [np.repeat(c[many], times) for c in rows]
+                    more = [mixed(more[0] * np.uint64(7) + string), string, more[2], more[3], more[4] + step, np.zeros(len(step), np.int64)]
+                    rows = [np.concatenate([c[~many], d]) for c, d in zip(rows, more)]
+                held.append(rows)
+                count += len(rows[0])
+                if count >= sizes.block_anchors:
+                    yield [np.concatenate(c) for c in zip(*held)]
+                    held, count = [], 0
     if held:
-        yield held
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _by_context(key, whole, doc, place, start) -> tuple[np.ndarray, np.ndarray]:
+    """Order in which equal contexts stand together, the first in the order of documents first; and which repeat the one before."""
+    mark = mixed(key * np.uint64(3) + whole)
+    turn = np.lexsort((start, place, doc)) if (np.diff(doc) < 0).any() else np.arange(len(doc))
+    order = turn[np.argsort(mark[turn], kind="stable")]
+    k, w = key[order], whole[order]
+    return order, np.concatenate([[False], (k[1:] == k[:-1]) & (w[1:] == w[:-1])])
 
 
 def _context_rows(hot, length: int, gram: int, sizes: Sizes):
@@ -173,30 +199,15 @@ def _context_rows(hot, length: int, gram: int, sizes: Sizes):
     def run(batches):
         import pyarrow as pa
 
-        common = hot.value
-        for held in _blocks(batches, length, gram, sizes):
-            rows = []
-            for key, whole, doc, place, start, n, before, lo, strings in held:
-                many = np.isin(key, common) if len(common) else np.zeros(len(key), bool)
-                few = ~many
-                rows.append((key[few], whole[few], doc[few], place[few], start[few], before[few] << 8 | n[few]))
-                if many.any():
-                    times = n[many] + 1
-                    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    string = strings[np.repeat(lo[many], times) + step]
-                    rows.append((
-                        mixed(np.repeat(key[many], times) * np.uint64(7) + string), string, np.repeat(doc[many], times),
-                        np.repeat(place[many], times), np.repeat(start[many], times) + step, np.zeros(len(step), np.int64),
-                    ))
-            key, whole, doc, place, start, shape = (np.concatenate(c) for c in zip(*rows))
-            order = np.lexsort((start, place, doc, whole, key))
-            again = np.concatenate([[False], (key[order][1:] == key[order][:-1]) & (whole[order][1:] == whole[order][:-1])])
-            late, kept = order[again], order[~again]
+        for key, whole, doc, place, start, shape in _blocks(batches, length, gram, sizes, hot.value):
+            order, again = _by_context(key, whole, doc, place, start)
+            late, kept = order[again], np.sort(order[~again])
             p, a, b = merged(place[late], start[late], start[late] + (shape[late] & 255) + length)
+            mark = mixed(p.astype(np.uint64) * np.uint64(11) + a.astype(np.uint64))
             out = [
-                np.concatenate([key[kept].view(np.int64), mixed(p.astype(np.uint64) * np.uint64(11) + a.astype(np.uint64)).view(np.int64)]),
-                np.concatenate([whole[kept].view(np.int64), a]), np.concatenate([doc[kept], p]),
-                np.concatenate([place[kept], p]), np.concatenate([start[kept], a]), np.concatenate([shape[kept], a - b]),
+                np.concatenate([key[kept].view(np.int64), mark.view(np.int64)]), np.concatenate([whole[kept].view(np.int64), a]),
+                np.concatenate([doc[kept], p]), np.concatenate([place[kept], p]), np.concatenate([start[kept], a]),
+                np.concatenate([shape[kept], a - b]),
             ]
             for i in range(0, len(out[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in out], COLUMNS)
@@ -205,14 +216,20 @@ def _context_rows(hot, length: int, gram: int, sizes: Sizes):
 
 
 def _hot_counts(length: int, gram: int, sizes: Sizes):
+    """Anchors with many different contexts in a block of contexts."""
+
     def run(batches):
         import pyarrow as pa
 
-        for held in _blocks(batches, length, gram, sizes):
-            key, whole = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        for key, whole, *_ in _blocks(batches, length, gram, sizes, np.zeros(0, np.uint64)):
+            often, n = np.unique(key, return_counts=True)
+            often = often[n >= sizes.hot_in_block]
+            some = np.isin(key, often)
+            key, whole = key[some], whole[some]
             order = np.lexsort((whole, key))
             key, whole = key[order], whole[order]
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])])
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
             anchor, n = np.unique(key[new], return_counts=True)
             many = n >= sizes.hot_in_block
             yield pa.RecordBatch.from_arrays([pa.array(anchor[many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["key", "n"])
@@ -311,23 +328,31 @@ def _cut_out(batches):
     """The bytes of the wanted contexts of each text."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in _small(batches):
         keys, docs, places, starts, data = [], [], [], [], []
-        rows = zip(*(batch.column(c).to_pylist() for c in ("text", "doc", "place", "wanted")))
+        rows = zip(*(batch.column(c) for c in ("text", "doc", "place", "wanted")))
         for text, doc, place, wanted in rows:
-            raw = text.encode("utf-8", "replace")
+            raw = text.as_buffer()
             for w in wanted:
-                keys.append(w["key"])
-                docs.append(doc)
-                places.append(place)
-                starts.append(w["start"])
-                data.append(raw[w["start"] : w["end"]])
+                key, start, end = (x.as_py() for x in w.values())
+                keys.append(key)
+                docs.append(doc.as_py())
+                places.append(place.as_py())
+                starts.append(start)
+                data.append(raw[start:end].to_pybytes())
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(starts, pa.int64()),
              pa.array(data, pa.binary())], ["key", "doc", "place", "start", "bytes"],
         )
 
 
+def _small(batches, rows: int = 512):
+    """Batches of a few hundred texts, so that little is copied at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _merge_spans(batches):
     import pyarrow as pa
 
@@ -376,12 +401,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, size
     def keep(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _small(batches):
             kept, sizes = [], []
-            for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends"))):
-                raw = text.encode("utf-8", "replace")
-                sizes.append(len(raw))
-                kept.append(b"".join(raw[a:b] for a, b in zip([0, *(ends or [])], [*(starts or []), len(raw)])))
+            for text, starts, ends in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("starts", "ends"))):
+                raw = text.as_buffer()
+                sizes.append(raw.size)
+                kept.append(b"".join(memoryview(raw)[a:b] for a, b in zip([0, *(ends or [])], [*(starts or []), raw.size])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("place"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()),
                  batch.column("starts"), batch.column("ends")], ["place", "doc_id", "n_bytes", "kept", "starts", "ends"],
