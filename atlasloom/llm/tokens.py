@@ -28,6 +28,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         (self.separator,) = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
 
     def whole(self, text: str) -> bytes:
@@ -39,15 +40,17 @@ class WordTokenizer:
             None if _WHOLE.search(t) else _STOPS.sub(r" \1", t.encode("utf-8", "replace").lower().decode()).split()
             for t in texts
         ]
-        if len(self.memo) > WORDS_KEPT:
-            self.memo.clear()
+        if len(self.memo) > WORDS_KEPT:  # words that are met again come back from the older half
+            self.memo, self.older = {}, self.memo
         memo, extra = self.memo, {}
         new = set().union(*(p for p in parts if p)) - memo.keys()
-        new = sorted(new)
+        known = new & self.older.keys()
+        memo.update(zip(known, map(self.older.__getitem__, known)))
+        new = sorted(new - known)
         for i in range(0, len(new), 2_000):
             block = new[i : i + 2_000]
             ids = np.array(
-                self.tokenizer.encode(f" {SEPARATOR} ".join(block), add_special_tokens=False).ids, "<u4"
+                self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(block)], add_special_tokens=False)[0].ids, "<u4"
             )
             ends = np.append(np.flatnonzero(ids == self.separator), len(ids)).tolist()
             data, start = ids.tobytes(), 0
