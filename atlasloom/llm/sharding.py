@@ -18,6 +18,7 @@ from .common import prepare, text_of
 SHARDS = 8
 SEED = 20_240_601
 BUCKET_BYTES = 8_000_000
+MOST_PARTS = 50_000
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -62,8 +63,10 @@ def shuffle_shards(
         return out.append_column("slot", pa.array(slots))
 
     kind = placed.schema["row"].dataType.simpleString()
+    parts = min(shards * buckets, MOST_PARTS)  # tasks grow with the buckets, so that each reads a few of them at any size
+    dealt, firsts = (df.repartition(parts, "shard", "bucket") for df in (placed, offsets))
     return (
-        placed.groupBy("shard", "bucket").cogroup(offsets.groupBy("shard", "bucket"))
+        dealt.groupBy("shard", "bucket").cogroup(firsts.groupBy("shard", "bucket"))
         .applyInArrow(shuffle, f"row {kind}, shard int, bucket int, grown_shard int, slot long")
     )
 
