@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: one document of each group of linked fingerprints stays, that with the smallest doc_id."""
-    return simhash.keep_one_of_each(docs)
+    """Operator 8: one document of each group of linked fingerprints or near copies stays, that with the smallest doc_id."""
+    return simhash.keep_one_of_near_copies(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,3 +148,57 @@ def test_components_of_long_chains(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.duplicate_groups(empty).count() == 0 and simhash.keep_one_of_each(empty).count() == 0
+
+
+def test_near_copies_against_all_pairs(spark):
+    """Texts with a few words changed, a chain, a large group and a passage that is common; brute-force Jaccard of five-word sets."""
+    import corpus_pipeline
+
+    word = lambda: f"w{R.randrange(3000)}"
+    text = lambda n: [word() for _ in range(n)]
+    rows, passage = [], text(40)
+    for _ in range(25):
+        own = text(R.choice([30, 100, 250]))
+        rows.append(own)
+        for changes in (1, 2, 4, 6):
+            copy = list(own)
+            for _ in range(changes):
+                copy[R.randrange(len(copy))] = word()
+            rows.append(copy)
+    hub, chain = text(150), text(120)
+    for _ in range(60):
+        copy = list(hub)
+        for at in R.sample(range(150), 2):
+            copy[at] = word()
+        rows.append(copy)
+    for _ in range(10):
+        chain = chain[4:] + text(4)
+        rows.append(chain)
+    rows += [passage + text(20) for _ in range(40)] + [text(R.randint(0, 7)) for _ in range(20)]
+    docs = [(i, " ".join(w), "x") for i, w in enumerate(rows)]
+    docs += [(900, docs[0][1].upper() + " ", "x"), (901, None, "x"), (None, docs[5][1], "x"), (902, docs[5][1] + " " + docs[5][1], "x")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t, _ in docs)]
+    prints = [plain_simhash(t) for _, t, _ in docs]
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    alone = 0
+    for i in range(len(docs)):
+        for j in range(i):
+            near = 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            bits = (prints[i] ^ prints[j]).bit_count() <= 2
+            alone += near and not bits
+            if near or bits:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {}
+    for i, (doc, _, _) in enumerate(docs):
+        want.setdefault(find(i), []).append(doc)
+    df = spark.createDataFrame(docs, "doc_id long, text string, node string")
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert alone > 200 and kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(min(d for d in ids if d is not None) for ids in want.values())
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), "").count() == 0
