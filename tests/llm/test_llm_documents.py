@@ -212,3 +212,31 @@ def test_decoding_follows_the_character_model(spark):
     df = spark.createDataFrame([("hello world hello there " * 50,)], "text string")
     model = toxicity.char_model(df)
     assert [toxicity.decode(w, model) for w in ("h3ll0", "h-e-l-l-o", "w0rld", "theeeere")] == ["hello", "hello", "world", "there"]
+
+
+class OddModel:
+    """Costs without ties, the same in every run."""
+
+    def cost(self, *letters):
+        return 6 * random.Random("".join(letters)).random()
+
+
+def readings(token):
+    """Every reading of a token with its cost, as the lattice has them."""
+    paths, before = [(0.0, "   ")], ""
+    for ch in token:
+        options = [(x, toxicity.SIGN_COST) for x in toxicity.SIGNS.get(ch, "")]
+        if ch.isalpha():
+            options += [(ch, toxicity.AGAIN_COST), ("", toxicity.REPEAT_COST)] if ch == before else [(ch, 0.0)]
+        elif ch in toxicity.SEPARATORS or not options:
+            options.append(("", toxicity.SKIP_COST))
+        paths = [(c + n + (OddModel().cost(*out[-3:], x) if x else 0.0), out + x) for c, out in paths for x, n in options]
+        before = ch
+    return {out[3:]: c + OddModel().cost(*out[-3:], " ") for c, out in sorted(paths, reverse=True)}
+
+
+def test_decoding_against_every_reading():
+    for _ in range(60):
+        token = "".join(R.choice("ab1|xx10") for _ in range(R.randint(5, 10)))
+        costs = readings(token)
+        assert costs[toxicity.decode(token, OddModel())] == pytest.approx(min(costs.values()))
