@@ -240,3 +240,13 @@ def test_decoding_against_every_reading():
         token = "".join(R.choice("ab1|xx10") for _ in range(R.randint(5, 10)))
         costs = readings(token)
         assert costs[toxicity.decode(token, OddModel())] == pytest.approx(min(costs.values()))
+
+
+def test_copies_count_once_at_every_partitioning(spark):
+    docs, labels = toxic_rows(200)
+    docs += [(i, "flegel im garten mit harmlos", "x") for i in range(500, 700)] + [(900, "harmlos", "x"), (901, "garten baum", "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    marks = spark.createDataFrame(labels + [(i, int(i % 2)) for i in range(500, 700)], "doc_id long, toxic int")
+    learned = [toxicity.learn(some, marks) for some in (df.coalesce(1), df.repartition(7))]
+    assert learned[0].lexicon == learned[1].lexicon and learned[0].base == learned[1].base
+    assert all(m.score("harmlos") < 0.5 for m in learned)
