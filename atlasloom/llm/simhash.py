@@ -272,22 +272,37 @@ def near_copy(a: set[bytes], b: set[bytes]) -> bool:
 
 
 def _shingle_order(texts: DataFrame):
-    """Broadcast counts of texts by hashed shingle; at most `ORDER_SLOTS` sums reach the driver."""
+    """Broadcast counts of texts by hashed shingle. Tasks hand on blocks of counts; `ORDER_SLOTS` sums reach the driver."""
+    blocks = 64
 
     def count(batches):
         import pyarrow as pa
 
-        sums = np.zeros(ORDER_SLOTS, np.int64)
+        sums = np.zeros(ORDER_SLOTS, np.uint32)
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 np.add.at(sums, (shingle_hashes(text) % np.uint64(ORDER_SLOTS)).astype(np.int64), 1)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["slot", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(blocks), pa.int64()), pa.array([x.tobytes() for x in np.split(sums, blocks)], pa.binary())], ["block", "counts"]
+        )
+
+    def add(batches):
+        import pyarrow as pa
 
-    found = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(ORDER_SLOTS, np.int64)
-    counts[found.slot] = found.n
-    return texts.sparkSession.sparkContext.broadcast(counts)
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+                sums[block] = sums.get(block, 0) + np.frombuffer(counts, np.uint32)
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"]
+            )
+
+    parts = texts.select("text").mapInArrow(count, "block long, counts binary").repartition("block").mapInArrow(add, "block long, counts binary")
+    counts = np.zeros((blocks, ORDER_SLOTS // blocks), np.uint32)
+    for r in parts.toLocalIterator():
+        counts[r.block] = np.frombuffer(r.counts, np.uint32)
+    return texts.sparkSession.sparkContext.broadcast(counts.reshape(-1))
 
 
 def _first_fifths(texts: DataFrame) -> DataFrame:
