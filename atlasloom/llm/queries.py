@@ -126,3 +126,29 @@ def op9_merkle(spark, sf) -> DataFrame:
 def op10_sum_of_squares(spark, sf) -> DataFrame:
     """Operator 10: one row per packed piece."""
     return packed_digest(table(spark, sf, "documents"))
+
+
+@query()
+def op11_multiprobe(spark, sf) -> DataFrame:
+    """Operator 11: the 20 nearest rows of every twentieth vector."""
+    from .multiprobe import search
+
+    rows = table(spark, sf, "embeddings")
+    return search(rows, rows.filter("vec_id % 20 = 0"))
+
+
+@query()
+def op12_bloom_neighbours(spark, sf) -> DataFrame:
+    """Operator 12: spelling variants of the words of all documents."""
+    from .spelling import counted_words, variants
+
+    return variants(counted_words(table(spark, sf, "documents"), drop_every=97)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query()
+def op13_path_copying(spark, sf) -> DataFrame:
+    """Operator 13: manifest of all documents, and for each the root after its tampering."""
+    from .manifest import manifest
+
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return manifest(table(spark, sf, "documents"), tampered, {"n_chars": F.try_add("n_chars", F.lit(1))})
