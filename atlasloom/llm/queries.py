@@ -137,7 +137,47 @@ def op11_multiprobe(spark, sf) -> DataFrame:
     return search(rows, rows.filter("vec_id % 20 = 0"))
 
 
-@query()
+def _bytes(text: str) -> str:
+    code = lambda k: f"strpos('0123456789ABCDEF', substr(hex(encode({text})), 2 * i + {k}, 1)) - 1"
+    return f"list_transform(range(octet_length(encode({text}))), lambda i: ({code(1)}) * 16 + {code(2)})"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text in SQL; `tbl` comes from `CRC_TABLE`."""
+    return f"xor(list_reduce(list_prepend(4294967295, {_bytes(text)}), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl)"""
+
+
+def _leaf(**changed: str) -> str:
+    """The hash of a row in SQL, each field with its length in bytes in front."""
+    texts = [f"CAST({changed.get(c, c)} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({t})) || ':' || {t}, '-')" for t in texts) + ")"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+per_doc AS (SELECT doc, run, count(*) AS c FROM runs WHERE length(run) >= 5 GROUP BY doc, run),
+keyed AS (SELECT doc, run, c, {_crc32("(doc || ':' || run)")} AS h FROM per_doc, crc_table),
+typed AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM keyed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM typed WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+gaps AS (SELECT DISTINCT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM words, LATERAL (SELECT unnest(range(length(word))) AS i)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM gaps a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM gaps a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS here, 0 AS step FROM forms UNION ALL SELECT way.word, f.form, step + 1 FROM way JOIN forms f ON way.here = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT word, max_by(here, step) AS root FROM way GROUP BY word)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+
+@query(OP12_SQL)
 def op12_bloom_neighbours(spark, sf) -> DataFrame:
     """Operator 12: spelling variants of the words of all documents."""
     from .spelling import counted_words, variants
@@ -145,7 +185,30 @@ def op12_bloom_neighbours(spark, sf) -> DataFrame:
     return variants(counted_words(table(spark, sf, "documents"), drop_every=97)).select("word", "form", "root", "n", "n_near", "form_n")
 
 
-@query()
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+leaves AS (SELECT doc_id, lang, {_leaf()} AS leaf, CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {_leaf(n_chars='(n_chars + 1)')} END AS tampered FROM documents, crc_table),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+inner_tree AS (SELECT lang, 0 AS h, pos, n, leaf AS d FROM placed
+  UNION ALL SELECT lang, h + 1, pos // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY pos)) FROM inner_tree WHERE n > 1 GROUP BY lang, h, pos // 2, n),
+subroots AS (SELECT lang, d AS subroot, h AS height, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM inner_tree WHERE n = 1),
+outer_tree AS (SELECT 0 AS h, place AS pos, n, subroot AS d FROM subroots
+  UNION ALL SELECT h + 1, pos // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY pos)) FROM outer_tree WHERE n > 1 GROUP BY h, pos // 2, n),
+top AS (SELECT d AS root, h AS height FROM outer_tree WHERE n = 1),
+inner_path AS (SELECT p.lang, p.pos, list(CASE WHEN t.d IS NULL THEN '-' WHEN (p.pos >> s.h) & 1 = 1 THEN 'L' || t.d ELSE 'R' || t.d END ORDER BY s.h) AS path
+  FROM placed p JOIN subroots r ON p.lang IS NOT DISTINCT FROM r.lang, LATERAL (SELECT unnest(range(r.height)) AS h) s
+  LEFT JOIN inner_tree t ON t.lang IS NOT DISTINCT FROM p.lang AND t.h = s.h AND t.pos = xor(p.pos >> s.h, 1) GROUP BY p.lang, p.pos),
+outer_path AS (SELECT p.lang, list(CASE WHEN t.d IS NULL THEN '-' WHEN (p.place >> s.h) & 1 = 1 THEN 'L' || t.d ELSE 'R' || t.d END ORDER BY s.h) AS path
+  FROM subroots p, top, LATERAL (SELECT unnest(range(top.height)) AS h) s LEFT JOIN outer_tree t ON t.h = s.h AND t.pos = xor(p.place >> s.h, 1) GROUP BY p.lang),
+whole AS (SELECT p.doc_id, p.leaf, coalesce(p.tampered, p.leaf) AS own, r.subroot, top.root, list_concat(coalesce(i.path, []), coalesce(o.path, [])) AS path
+  FROM placed p JOIN subroots r ON p.lang IS NOT DISTINCT FROM r.lang CROSS JOIN top
+  LEFT JOIN inner_path i ON p.lang IS NOT DISTINCT FROM i.lang AND p.pos = i.pos LEFT JOIN outer_path o ON p.lang IS NOT DISTINCT FROM o.lang),
+folded AS (SELECT *, list_reduce(list_prepend(own, path), lambda x, s: CASE s[1] WHEN 'L' THEN sha256(s[2:] || x) WHEN 'R' THEN sha256(x || s[2:]) ELSE sha256(x) END) AS folded_root FROM whole)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
+@query(OP13_SQL)
 def op13_path_copying(spark, sf) -> DataFrame:
     """Operator 13: manifest of all documents, and for each the root after its tampering."""
     from .manifest import manifest
