@@ -10,7 +10,7 @@ from ..constants import (
     CHUNK_OVERLAP, CHUNK_WORDS, CODE_SUFFIXES, CODE_TOKEN_LIMIT, DOC_SUFFIXES, DOC_TOKEN_LIMIT,
 )
 from ..functions.text import chunk_texts, count_tokens
-from .scale import dense_index
+from .scale import sorted_index
 
 
 def _suffix(path: Column) -> Column:
@@ -68,9 +68,9 @@ def count_by_repo(docs: DataFrame) -> DataFrame:
 def assign_batches(
     chunks: DataFrame, n: int, keys: Sequence[str] = (), order: Sequence[str] = ("doc_ord", "chunk_no")
 ) -> DataFrame:
-    """Consecutive batches of `n` rows in order."""
+    """Consecutive batches of `n` rows in order. Positions come from even slices, whatever the keys and order values hold."""
     return (
-        dense_index(chunks, keys, order, "__pos")
+        sorted_index(chunks, keys, order, "__pos")
         .withColumn("batch_no", F.floor(F.col("__pos") / n).cast("bigint"))
         .drop("__pos")
     )

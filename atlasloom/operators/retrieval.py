@@ -1,4 +1,4 @@
-"""Vector checks and top-k retrieval."""
+"""Vector checks and top-k retrieval."""
 
 from __future__ import annotations
 
@@ -9,11 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..constants import TOP_K
-from .scale import bounded_side
+from ..session import ensure_checkpoint_dir
+from .bloom import key_filter
+from .scale import BROADCAST_BYTES, bounded_side, stored_side
 
 BLOCK_ROWS = 1024
 QUERIES_PER_TASK = 2_000
-STATE_QUERIES = 50_000
+HELD_ROWS = 500_000
+BLOCK_CELLS = 2_000_000
+REPOSITORIES = 500
 _BLOCK = "repo_id string, dim int, code bigint, ids array<string>, matrix binary"
 
 
@@ -107,66 +111,117 @@ def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
-def sign_codes(df: DataFrame, tables: int, bits: int, probes: bool = False, seed: int = 7) -> DataFrame:
-    """One row per vector and table with a code from the signs of fixed random projections.
-
-    With `probes` a vector also gets every code that differs in one bit. Only codes are added by
-    the task; the copies of a vector exist after the generator and last as far as the next join.
-    """
-    flips = np.array([0] + ([1 << b for b in range(bits)] if probes else []), dtype=np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for record in batches:
-            vectors = record.column(2)
-            codes = np.zeros((record.num_rows, tables * len(flips)), dtype=np.int64)
-            for dim, rows in _groups(np.diff(vectors.offsets.to_numpy())) if record.num_rows else ():
-                planes = np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
-                signs = (_unit(_matrix(vectors, rows, dim).astype(np.float64)) @ planes > 0).reshape(-1, tables, bits)
-                found = signs @ (1 << np.arange(bits, dtype=np.int64))
-                probed = (found[:, :, None] ^ flips) + (np.arange(tables, dtype=np.int64) << bits)[None, :, None]
-                codes[rows] = probed.reshape(len(rows), -1)
-            offsets = np.arange(record.num_rows + 1, dtype=np.int32) * codes.shape[1]
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.reshape(-1)))
-            yield pa.RecordBatch.from_arrays(
-                [record.column(0), record.column(1), vectors, column], names=["repo_id", "id", "vector", "codes"]
-            )
-
-    coded = df.select("repo_id", "id", "vector").mapInArrow(
-        run, "repo_id string, id string, vector array<float>, codes array<bigint>"
-    )
-    return coded.select("repo_id", "id", "vector", F.explode("codes").alias("code"))
-
-
 class _Best:
     """Best `k` hits per query seen so far in one task, ordered by (-score, chunk)."""
 
     def __init__(self, k: int):
-        self.k, self.hits = k, {}
+        self.k, self.size = k, 0
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, repo: str, queries: np.ndarray, chunks: np.ndarray, scores: np.ndarray) -> None:
+        """Scores of queries (rows) against chunks (columns); what cannot be among the best is left out at once."""
+        if scores.shape[1] > self.k:
+            floor = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+            row, col = np.nonzero(scores >= floor[:, None])
+        else:
+            row, col = np.indices(scores.shape).reshape(2, -1)
+        self.parts.append((np.full(len(row), repo, object), queries[row], chunks[col], scores[row, col]))
+        self.size += len(row)
+        if self.size > HELD_ROWS:
+            self.reduce()
+
+    def reduce(self) -> None:
+        if not self.parts:
+            return
+        repo, query, chunk, score = map(np.concatenate, zip(*self.parts))
+        key = np.zeros(len(repo), np.int64)
+        for names in (repo, query):
+            codes = np.unique(names, return_inverse=True)[1]
+            key = key * (int(codes.max()) + 1) + codes
+        name = np.unique(chunk, return_inverse=True)[1]
+        order = np.lexsort((name, -score, key))
+        key, name = key[order], name[order]
+        again = np.zeros(len(order), bool)
+        again[1:] = (key[1:] == key[:-1]) & (name[1:] == name[:-1])
+        order, key = order[~again], key[~again]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        place = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
+        order = order[place < self.k]
+        self.parts, self.size = [(repo[order], query[order], chunk[order], score[order])], len(order)
 
-    def add(self, repo: str, queries: Sequence[str], chunks: Sequence[str], scores: np.ndarray) -> None:
-        k, best = self.k, scores.max(axis=1)
-        for row, query in enumerate(queries):
-            held = self.hits.get((repo, query))
-            if held is not None and len(held) == k and best[row] < held[-1][0]:
+    def drain(self) -> Iterator[pa.RecordBatch]:
+        self.reduce()
+        for repo, query, chunk, score in self.parts:
+            for lo in range(0, len(repo), 50_000):
+                hi = lo + 50_000
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(repo[lo:hi], pa.string()), pa.array(query[lo:hi], pa.string()), pa.array(chunk[lo:hi], pa.string()), pa.array(score[lo:hi])],
+                    names=["repo_id", "query_id", "chunk_id", "score"],
+                )
+        self.parts, self.size = [], 0
+
+    def spill(self) -> Iterator[pa.RecordBatch]:
+        """Hand on what is held once even the best rows are many."""
+        if self.size > HELD_ROWS // 2:
+            self.reduce()
+            if self.size > HELD_ROWS // 2:
+                yield from self.drain()
+
+
+_HITS = "repo_id string, query_id string, chunk_id string, score double"
+
+
+def _cosines(query_unit: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    return np.round(query_unit @ _unit(matrix.astype(np.float64)).T, 6) + 0.0
+
+
+def _known_queries(queries: DataFrame, max_bytes: int) -> dict | None:
+    """Stored query vectors by (repository, length, code), if all of them are small enough for every task to hold."""
+    size = queries.agg(F.coalesce(F.sum(4 * F.size("vector") + F.octet_length("id") + 64), F.lit(0))).first()[0]
+    if size > max_bytes:
+        return None
+    found: dict = {}
+    rows = queries.select("repo_id", "code", F.size("vector").alias("dim"), "id", "vector").toArrow()
+    for repo, code, dim, name, vector in zip(*(rows.column(c).to_pylist() for c in rows.column_names)):
+        names, vectors = found.setdefault((repo, dim, code), ([], []))
+        names.append(name)
+        vectors.append(vector)
+    return {k: (np.array(names, object), _unit(np.array(v, np.float32).astype(np.float64))) for k, (names, v) in found.items()}
+
+
+def _score_rows(known: dict, vectors: DataFrame, k: int) -> DataFrame:
+    """Cosine of chunks (`repo_id, id, vector, code`) with the queries of their key, which every task holds once."""
+    shared = vectors.sparkSession.sparkContext.broadcast(known)
+    repos = sorted({repo for repo, _, _ in known})
+    if len(repos) <= REPOSITORIES:  # chunks of repositories that nobody asks are not even read
+        vectors = vectors.filter(F.col("repo_id").isin(repos))
+    codes = sorted({(repo, code) for repo, _, code in known})
+    if len(codes) > len(repos):  # as many rows as the queries that were measured, at most
+        asked = vectors.sparkSession.createDataFrame(codes, "repo_id string, code bigint")
+        vectors = vectors.join(F.broadcast(asked), ["repo_id", "code"], "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, queries = _Best(k), shared.value
+        for record in batches:
+            if not record.num_rows:
                 continue
-            line = scores[row]
-            floor = np.partition(line, len(line) - k)[len(line) - k] if len(line) > k else -np.inf
-            if held is not None and len(held) == k:
-                floor = max(floor, held[-1][0])
-            fresh = {chunks[c]: float(line[c]) for c in np.flatnonzero(line >= floor)}
-            fresh.update({c: s for s, c in held or ()})
-            ranked = sorted(((s, c) for c, s in fresh.items()), key=lambda x: (-x[0], x[1]))
-            self.hits[(repo, query)] = ranked[:k]
+            repo_codes = record.column(0).dictionary_encode()
+            repos = repo_codes.dictionary.to_pylist()
+            ids, vectors, codes = record.column(1).to_numpy(zero_copy_only=False), record.column(2), record.column(3).to_numpy()
+            for group, members in _groups(repo_codes.indices.to_numpy().astype(np.int64) * (1 << 32) + np.diff(vectors.offsets.to_numpy())):
+                repo, dim = repos[group >> 32], group & 0xFFFFFFFF
+                for code, part in _groups(codes[members]):
+                    if (repo, dim, code) in queries:
+                        names, unit = queries[repo, dim, code]
+                        take = members[part]
+                        x = _matrix(vectors, take, dim)
+                        step = max(1, BLOCK_CELLS // len(names))
+                        for lo in range(0, len(take), step):
+                            best.add(repo, names, ids[take[lo : lo + step]], _cosines(unit, x[lo : lo + step]))
+            yield from best.spill()
+        yield from best.drain()
 
-    def drain(self) -> Iterator[pa.RecordBatch]:
-        rows = [(r, q, c, s) for (r, q), held in self.hits.items() for s, c in held]
-        self.hits = {}
-        for start in range(0, len(rows), 50_000):
-            cols = list(zip(*rows[start : start + 50_000]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3], type=pa.float64())],
-                names=["repo_id", "query_id", "chunk_id", "score"],
-            )
+    return vectors.select("repo_id", "id", "vector", "code").mapInArrow(run, _HITS)
 
 
 def _score_blocks(query_blocks: DataFrame, chunk_blocks: DataFrame, k: int) -> DataFrame:
@@ -177,21 +232,29 @@ def _score_blocks(query_blocks: DataFrame, chunk_blocks: DataFrame, k: int) -> D
     pairs = c.join(q, on).select("repo_id", "dim", "q_ids", "q_matrix", "c_ids", "c_matrix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, last, query_matrix = _Best(k), None, None
+        best, last, query_unit = _Best(k), None, None
         for record in batches:
-            for row in record.to_pylist():
-                dim = row["dim"]
-                if row["q_matrix"] != last:
-                    last = row["q_matrix"]
-                    query_matrix = _unit(np.frombuffer(last, np.float32).reshape(-1, dim).astype(np.float64))
-                chunk_matrix = _unit(np.frombuffer(row["c_matrix"], np.float32).reshape(-1, dim).astype(np.float64))
-                scores = np.round(query_matrix @ chunk_matrix.T, 6) + 0.0
-                best.add(row["repo_id"], row["q_ids"], row["c_ids"], scores)
-                if len(best.hits) > STATE_QUERIES:
-                    yield from best.drain()
+            repos, dims, q_ids, q_matrices, c_ids, c_matrices = record.columns
+            for i in range(record.num_rows):
+                dim, buffer = dims[i].as_py(), q_matrices[i].as_buffer()
+                if last is None or not buffer.equals(last):
+                    last = buffer
+                    query_unit = _unit(np.frombuffer(buffer, np.float32).reshape(-1, dim).astype(np.float64))
+                chunk_matrix = np.frombuffer(c_matrices[i].as_buffer(), np.float32).reshape(-1, dim)
+                names = [ids[i].values.to_numpy(zero_copy_only=False) for ids in (q_ids, c_ids)]
+                best.add(repos[i].as_py(), *names, _cosines(query_unit, chunk_matrix))
+            yield from best.spill()
         yield from best.drain()
 
-    return pairs.mapInArrow(run, "repo_id string, query_id string, chunk_id string, score double")
+    return pairs.mapInArrow(run, _HITS)
+
+
+def _scored(queries: DataFrame, vectors: DataFrame, k: int, per_task: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Queries that fit are sent to every task once; beyond that blocks of both sides are joined."""
+    ensure_checkpoint_dir(queries.sparkSession)
+    queries = queries.checkpoint()
+    known = _known_queries(queries, max_bytes)
+    return _score_blocks(_query_blocks(queries, per_task), _pack(vectors), k) if known is None else _score_rows(known, vectors, k)
 
 
 def _fitting(queries: DataFrame, chunks: DataFrame, query_vector: str, vector: str, order: str) -> DataFrame:
@@ -220,11 +283,11 @@ def score_pairs(
 
     Queries and chunks meet on the repository as matrix blocks, so a repository with a large share
     of the chunks is many independent rows, and no (query, chunk) pair is ever a row unless it is
-    among the task's best. Packed queries are broadcast when measured small; beyond that the
-    blocks are shuffled and AQE splits the skewed ones.
+    among the task's best. Queries that are measured small are sent to each task once; beyond that
+    matrix blocks of both sides are shuffled and AQE splits the skewed ones.
     """
-    q = _query_blocks(_fitting(queries, chunks, query_vector, vector, order), per_task)
-    return _score_blocks(q, _pack(_vectors(chunks, "chunk_id", vector)), k)
+    fitting = _fitting(queries, chunks, query_vector, vector, order)
+    return _scored(fitting, _vectors(chunks, "chunk_id", vector), k, per_task)
 
 
 def top_k(scored: DataFrame, k: int = TOP_K, keys: Sequence[str] = ("repo_id", "query_id")) -> DataFrame:
@@ -233,10 +296,18 @@ def top_k(scored: DataFrame, k: int = TOP_K, keys: Sequence[str] = ("repo_id", "
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def lookup_hits(hits: DataFrame, chunks: DataFrame, columns: Sequence[str] = ("file_path", "text")) -> DataFrame:
-    """Chunk columns of every hit, rank kept. Hits are broadcast only when measured small."""
-    wanted = chunks.select("repo_id", "chunk_id", *columns)
-    return wanted.join(bounded_side(hits), ["repo_id", "chunk_id"])
+def lookup_hits(hits: DataFrame, chunks: DataFrame, columns: Sequence[str] = ("file_path", "text"), max_rows: int | None = None) -> DataFrame:
+    """Chunk columns of every hit, rank kept.
+
+    Hits are broadcast only when measured small. Beyond that the chunk scan is cut down by a Bloom filter of the hits, so that
+    only the texts of hits (and of about one other chunk in a thousand) are shuffled to the exact join.
+    """
+    wanted, on = chunks.select("repo_id", "chunk_id", *columns), ["repo_id", "chunk_id"]
+    side, small = stored_side(hits, max_rows)
+    if small:
+        return wanted.join(F.broadcast(side), on)
+    known = key_filter(side.select(*on), on)
+    return wanted.filter(known(*on)).join(side, on)
 
 
 def retrieve(
@@ -246,23 +317,3 @@ def retrieve(
     """Modal-length check, scoring, ranking and lookup for a whole table of queries (U3: `vector`)."""
     hits = top_k(score_pairs(queries, chunks, k, query_vector, vector, order), k)
     return lookup_hits(hits, chunks, columns) if columns else hits
-
-
-def retrieve_ann(
-    queries: DataFrame, chunks: DataFrame, k: int = TOP_K, columns: Sequence[str] = (),
-    query_vector: str = "vector", vector: str = "vector", order: str = "doc_ord",
-    tables: int = 8, bits: int = 6, per_task: int = QUERIES_PER_TASK,
-) -> DataFrame:
-    """Like `retrieve`, but scores only chunks that share a sign code with the query.
-
-    Candidates are re-ranked exactly. Chunks whose codes no query asks for are dropped by a join on
-    the distinct asked codes before they are packed; a full bucket is many bounded blocks, never
-    one group.
-    """
-    asked = sign_codes(_fitting(queries, chunks, query_vector, vector, order), tables, bits, probes=True)
-    q = _query_blocks(asked, per_task)
-    wanted = bounded_side(q.select("repo_id", "dim", "code").distinct())
-    coded = sign_codes(_vectors(chunks, "chunk_id", vector), tables, bits).withColumn("dim", F.size("vector"))
-    found = _score_blocks(q, _pack(coded.join(wanted, ["repo_id", "dim", "code"])), k)
-    hits = top_k(found.dropDuplicates(["repo_id", "query_id", "chunk_id"]), k)
-    return lookup_hits(hits, chunks, columns) if columns else hits

@@ -65,15 +65,32 @@ def dense_index(
     )
 
 
+def running_total(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, span: int = RANGE) -> DataFrame:
+    """Sum of `value` over the rows of the same key that come before, without one task per key.
+
+    `order` is an integer position. Sums of ranges of `span` positions are added up per key; the rest is a window inside a range.
+    """
+    rows = df.withColumn("__range", F.floor(F.col(order) / span).cast("bigint"))
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*keys, "__range").agg(F.sum(value).alias("__sum")).select(
+        *keys, "__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset")
+    )
+    inside = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("__offset") + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return rows.join(offsets, [*keys, "__range"]).withColumn(out, total).drop("__range", "__offset")
+
+
 def sorted_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """Zero-based position inside each key for orderings that are not integers (file paths).
 
-    A range partitioning on (keys, order) splits a hot key into even slices. The slices are
-    checkpointed because the sampled range bounds must be the same for the counts and the rows.
+    A range partitioning on (keys, order) splits a hot key into even slices by sampled bounds; rows that are equal in all of
+    these are split by a hash of the whole row, so one order value may hold any share of the rows. Slice counts are what is
+    summed per key. The slices are checkpointed because the bounds must be the same for the counts and the rows.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     slices = (
-        df.repartitionByRange(*keys, *order)
+        df.repartitionByRange(*keys, *order, F.xxhash64(*hashable))
         .sortWithinPartitions(*keys, *order)
         .withColumn("__slice", F.spark_partition_id())
         .withColumn("__row", F.monotonically_increasing_id())
@@ -109,15 +126,21 @@ def _row_bytes(df: DataFrame) -> Column:
     return total
 
 
-def bounded_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a join side for broadcast only after measuring it; otherwise leave it to AQE.
+def stored_side(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> tuple[DataFrame, bool]:
+    """A checkpointed join side and whether it is small enough to be broadcast.
 
     The side is checkpointed first, so measuring it does not compute it twice.
     """
     ensure_checkpoint_dir(df.sparkSession)
     side = df.checkpoint()
     rows, size = side.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(side)), F.lit(0))).first()
-    return F.broadcast(side) if rows <= max_rows and size <= max_bytes else side
+    return side, rows <= (BROADCAST_ROWS if max_rows is None else max_rows) and size <= (BROADCAST_BYTES if max_bytes is None else max_bytes)
+
+
+def bounded_side(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Mark a join side for broadcast only after measuring it; otherwise leave it to AQE."""
+    side, small = stored_side(df, max_rows, max_bytes)
+    return F.broadcast(side) if small else side
 
 
 def latest_wins(df: DataFrame, keys: Sequence[str], *version: str) -> DataFrame:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import CATEGORIES, CONTENT_MISSING, CONTENT_PENDING, IMPORTANCE_SECTIONS, OTHER_CATEGORY
 from ..functions.research import contains_any
 from ..functions.urls import file_url
 from ..session import ensure_checkpoint_dir
-from .scale import bounded_side
+from .scale import bounded_side, running_total, sorted_index
+
+LOCAL_SECTIONS = 100_000
 
 
 def first_by_id(rows: DataFrame, id_col: str, order: str, *columns: str) -> DataFrame:
@@ -48,85 +52,145 @@ def root_sections(sections: DataFrame) -> DataFrame:
     return sections.join(referenced, ["wiki_id", "section_id"], "left_anti")
 
 
-def _key(number: Column) -> Column:
-    return F.lpad(number.cast("string"), 19, "0")
-
-
 def traverse_tree(
-    sections: DataFrame, pages: DataFrame, roots: DataFrame | None = None, max_depth: int | None = None
+    sections: DataFrame, pages: DataFrame, roots: DataFrame | None = None, max_depth: int | None = None, local: int = LOCAL_SECTIONS
 ) -> DataFrame:
-    """C4: every wiki's tree in reading order (`wiki_id, sort_path, level, kind, node_id, title`).
+    """C4: every wiki's tree in reading order (`wiki_id, ord, level, kind, node_id, title`; `ord` counts from 0 in a wiki).
 
-    A section's pages come before its subsections, unknown ids are skipped, and a wiki without
-    roots is its flat page list. The tree is walked one level per step, over all wikis at once;
-    each level is checkpointed, and a branch stops where it would revisit a section.
+    A section's pages come before its subsections, unknown ids are skipped, and a wiki without roots is its flat page
+    list. Wikis whose sections have one parent at most are forests: wikis of up to `local` sections are placed in a task
+    each, larger ones by pointers along the tour through the tree, doubled in logarithmically many rounds. In other wikis a
+    section stands below each of its parents and a branch stops where it would revisit a section; these are
+    unfolded level by level. `max_depth` leaves out deeper sections, whose places stay empty.
     """
     ensure_checkpoint_dir(sections.sparkSession)
-    known = first_by_id(sections, "section_id", "sec_ord", "title", "pages", "subsections")
-    edges = (
-        known.select("wiki_id", F.col("section_id").alias("parent"), F.posexplode("subsections").alias("pos", "child"))
-        .join(
-            known.select("wiki_id", F.col("section_id").alias("child"), F.col("title").alias("child_title")),
-            ["wiki_id", "child"],
-        )
+    known = first_by_id(sections, "section_id", "sec_ord", "title", "pages", "subsections").checkpoint()
+    asked = known.select("wiki_id", F.col("section_id").alias("parent"), F.posexplode("subsections").alias("pos", "child")).filter("parent <> child")
+    edges = asked.join(known.select("wiki_id", F.col("section_id").alias("child")), ["wiki_id", "child"]).checkpoint()
+    tops = (root_sections(sections) if roots is None else roots).groupBy("wiki_id", "section_id").agg(F.min("sec_ord").alias("sec_ord"))
+    tops = tops.join(known.select("wiki_id", "section_id"), ["wiki_id", "section_id"], "left_semi").checkpoint()
+
+    first_pages = first_by_id(pages, "page_id", "page_ord", "title")
+    in_section = Window.partitionBy("wiki_id", "section_id").orderBy("pos")
+    listed = known.select("wiki_id", "section_id", F.posexplode("pages").alias("pos", "page_id")).join(first_pages, ["wiki_id", "page_id"])
+    listed = listed.withColumn("nth", F.row_number().over(in_section)).select("wiki_id", "section_id", "nth", "page_id", "title").checkpoint()
+
+    parents = edges.groupBy("wiki_id", F.col("child").alias("section_id")).agg(F.count(F.lit(1)).alias("n"), F.min_by("parent", "pos").alias("parent"), F.min("pos").alias("pos"))
+    nodes = (
+        known.select("wiki_id", "section_id").join(parents, ["wiki_id", "section_id"], "left").join(tops, ["wiki_id", "section_id"], "left")
+        .join(listed.groupBy("wiki_id", "section_id").agg(F.count(F.lit(1)).alias("listed")), ["wiki_id", "section_id"], "left")
+        .select("wiki_id", "section_id", "parent", F.coalesce("sec_ord", "pos").cast("long").alias("pos"), F.col("sec_ord").isNotNull().alias("top"),
+                (1 + F.coalesce("listed", F.lit(0))).cast("long").alias("size"), F.coalesce("n", F.lit(0)).alias("n"))
         .checkpoint()
     )
-    roots = root_sections(sections) if roots is None else roots
-    frontier = (
-        roots.select("wiki_id", "section_id", F.col("sec_ord").alias("root_ord"))
-        .join(known.select("wiki_id", "section_id", "title"), ["wiki_id", "section_id"])
-        .select(
-            "wiki_id", "section_id", "title", F.lit(0).alias("level"),
-            F.concat(F.lit("0."), _key(F.col("root_ord"))).alias("sort_path"),
-            F.array("section_id").alias("visited"),
-        )
-        .checkpoint()
+    shape = nodes.groupBy("wiki_id").agg(
+        F.count(F.lit(1)).alias("sections"), F.max((F.col("n") > 1) | (F.col("top") & (F.col("n") > 0))).alias("tangled"), F.bool_or("top").alias("rooted")
+    ).checkpoint()
+    forest = nodes.join(bounded_side(shape.filter("rooted AND NOT tangled").select("wiki_id", (F.col("sections") > local).alias("large"))), "wiki_id")
+    placed = _placed_in_tasks(forest.filter("NOT large"))
+    largest, tangled = shape.agg(F.max(F.when(~F.col("tangled") & F.col("rooted"), F.col("sections"))), F.bool_or(F.col("tangled") & F.col("rooted"))).first()
+    if (largest or 0) > local:
+        placed = placed.unionByName(_placed_by_doubling(forest.filter("large"), largest))
+    if tangled:
+        some = shape.filter("rooted AND tangled").select("wiki_id")
+        placed = placed.unionByName(_placed_by_unfolding(edges.join(some, "wiki_id", "left_semi"), tops.join(some, "wiki_id", "left_semi"), nodes, max_depth))
+    placed = placed.checkpoint()
+    if max_depth is not None:
+        placed = placed.filter(F.col("level") <= max_depth)
+
+    titles = known.select("wiki_id", "section_id", "title")
+    flat = pages.join(shape.filter("rooted").select("wiki_id"), "wiki_id", "left_anti").select("wiki_id", "page_ord", "page_id", "title")
+    return (
+        placed.join(titles, ["wiki_id", "section_id"])
+        .select("wiki_id", "ord", "level", F.lit("section").alias("kind"), F.col("section_id").alias("node_id"), "title")
+        .unionByName(placed.join(listed, ["wiki_id", "section_id"]).select(
+            "wiki_id", (F.col("ord") + F.col("nth")).alias("ord"), (F.col("level") + 1).alias("level"), F.lit("page").alias("kind"),
+            F.col("page_id").alias("node_id"), "title",
+        ))
+        .unionByName(sorted_index(flat, ["wiki_id"], ["page_ord", "page_id"], "ord").select(
+            "wiki_id", "ord", F.lit(0).alias("level"), F.lit("page").alias("kind"), F.col("page_id").alias("node_id"), "title"
+        ))
     )
+
+
+PLACED = "wiki_id string, section_id string, ord long, level int"
+
+
+def _placed_in_tasks(nodes: DataFrame) -> DataFrame:
+    """Places of the sections of small forests: a wiki is walked in one task."""
+
+    def walk(table: pa.Table) -> pa.Table:
+        names, parents, tops, sizes = (table.column(c).to_pylist() for c in ("section_id", "parent", "top", "size"))
+        order = np.argsort(table.column("pos").to_numpy(), kind="stable")[::-1].tolist()  # the last is pushed first
+        below: dict = {}
+        for i in order:
+            if not tops[i]:
+                below.setdefault(parents[i], []).append(i)
+        stack, out, at = [(i, 0) for i in order if tops[i]], [], 0
+        while stack:
+            i, level = stack.pop()
+            out.append((names[i], at, level))
+            at += sizes[i]
+            stack += [(j, level + 1) for j in below.get(names[i], ())]
+        section, place, level = zip(*out)
+        return pa.table({"wiki_id": pa.array([table.column("wiki_id")[0].as_py()] * len(out)), "section_id": section, "ord": pa.array(place, pa.int64()), "level": pa.array(level, pa.int32())})
+
+    return nodes.select("wiki_id", "section_id", "parent", "pos", "top", "size").groupBy("wiki_id").applyInArrow(walk, PLACED)
+
+
+def _placed_by_doubling(nodes: DataFrame, largest: int) -> DataFrame:
+    """Places of the sections of large forests.
+
+    The tour enters and leaves every section once; each step knows the next. A step's distance to the end of the tour is
+    summed along pointers that are doubled each round, so a chain of n sections takes log2(2 n) rounds. Steps are hashed by
+    wiki and section, so one wiki is spread over the cluster.
+    """
+    above = F.when(F.col("top"), F.lit("")).otherwise(F.coalesce(F.concat(F.lit("<"), "parent"), F.concat(F.lit("!"), "section_id")))
+    family = sorted_index(nodes.withColumn("above", above), ["wiki_id", "above"], ["pos"], "nth")
+    younger = family.select("wiki_id", "above", (F.col("nth") - 1).alias("nth"), F.col("section_id").alias("sibling"))
+    tour = family.join(younger, ["wiki_id", "above", "nth"], "left").checkpoint()
+    # first children: one row per parent
+    first = tour.filter("NOT top AND parent IS NOT NULL").groupBy("wiki_id", F.col("parent").alias("section_id")).agg(F.min_by("section_id", "pos").alias("child"))
+    tour = tour.join(first, ["wiki_id", "section_id"], "left")
+    entered, left = (lambda c: F.concat(F.lit("<"), c)), (lambda c: F.concat(F.lit(">"), c))
+    step = lambda name, then, size, depth: F.struct(name.alias("step"), then.alias("then"), size.cast("long").alias("far"), F.lit(depth).alias("deep"))
+    after = F.when(F.col("sibling").isNotNull(), entered(F.col("sibling"))).when(~F.col("top"), F.coalesce(left(F.col("parent")), left(F.col("section_id"))))
+    steps = tour.select("wiki_id", F.inline(F.array(
+        step(entered(F.col("section_id")), F.coalesce(entered(F.col("child")), left(F.col("section_id"))), F.col("size"), 1),
+        step(left(F.col("section_id")), after, F.lit(0), -1),
+    ))).checkpoint()
+    for _ in range(max(1, (2 * largest).bit_length())):
+        ahead = steps.select("wiki_id", F.col("step").alias("then"), F.col("then").alias("then_2"), F.col("far").alias("far_2"), F.col("deep").alias("deep_2"))
+        steps = steps.join(ahead, ["wiki_id", "then"], "left").select(
+            "wiki_id", "step", F.col("then_2").alias("then"), (F.col("far") + F.coalesce("far_2", F.lit(0))).alias("far"),
+            (F.col("deep") + F.coalesce("deep_2", F.lit(0))).alias("deep"),
+        ).checkpoint()
+    ended = steps.filter("then IS NULL")  # circles that no root leads to never end
+    total = ended.groupBy("wiki_id").agg(F.max("far").alias("total"))
+    return ended.filter("startswith(step, '<')").join(total, "wiki_id").select(
+        "wiki_id", F.expr("substr(step, 2)").alias("section_id"), (F.col("total") - F.col("far")).alias("ord"), (-F.col("deep")).cast("int").alias("level")
+    )
+
+
+def _placed_by_unfolding(edges: DataFrame, tops: DataFrame, nodes: DataFrame, max_depth: int | None) -> DataFrame:
+    """Places where sections have several parents: every path that revisits no section, one level per step."""
+    key = lambda c: F.lpad(F.col(c).cast("string"), 19, "0")
+    frontier = tops.select("wiki_id", "section_id", F.lit(0).alias("level"), key("sec_ord").alias("path"), F.array("section_id").alias("seen")).checkpoint()
     levels, depth = [frontier], 0
     while max_depth is None or depth < max_depth:
         frontier = (
-            frontier.withColumnRenamed("section_id", "parent")
-            .drop("title")
-            .join(edges, ["wiki_id", "parent"])
-            .filter(~F.array_contains("visited", F.col("child")))
-            .select(
-                "wiki_id", F.col("child").alias("section_id"), F.col("child_title").alias("title"),
-                (F.col("level") + 1).alias("level"),
-                F.concat("sort_path", F.lit(".1."), _key(F.col("pos"))).alias("sort_path"),
-                F.array_append("visited", F.col("child")).alias("visited"),
-            )
+            frontier.withColumnRenamed("section_id", "parent").join(edges, ["wiki_id", "parent"]).filter(~F.array_contains("seen", F.col("child")))
+            .select("wiki_id", F.col("child").alias("section_id"), (F.col("level") + 1).alias("level"), F.concat("path", F.lit("."), key("pos")).alias("path"),
+                    F.array_append("seen", F.col("child")).alias("seen"))
             .checkpoint()
         )
         if frontier.isEmpty():
             break
         levels.append(frontier)
         depth += 1
-    nodes = reduce(DataFrame.unionByName, levels)
-
-    first_pages = first_by_id(pages, "page_id", "page_ord", "title")
-    listed = (
-        nodes.select("wiki_id", "section_id", "level", "sort_path")
-        .join(known.select("wiki_id", "section_id", F.posexplode("pages").alias("pos", "page_id")), ["wiki_id", "section_id"])
-        .join(first_pages, ["wiki_id", "page_id"])
-    )
-    rooted = roots.select("wiki_id").distinct()
-    flat = pages.join(rooted, "wiki_id", "left_anti")
-    return (
-        nodes.select("wiki_id", "sort_path", "level", F.lit("section").alias("kind"), F.col("section_id").alias("node_id"), "title")
-        .unionByName(
-            listed.select(
-                "wiki_id", F.concat("sort_path", F.lit(".0."), _key(F.col("pos"))).alias("sort_path"),
-                (F.col("level") + 1).alias("level"), F.lit("page").alias("kind"),
-                F.col("page_id").alias("node_id"), "title",
-            )
-        )
-        .unionByName(
-            flat.select(
-                "wiki_id", F.concat(F.lit("0."), _key(F.col("page_ord"))).alias("sort_path"), F.lit(0).alias("level"),
-                F.lit("page").alias("kind"), F.col("page_id").alias("node_id"), "title",
-            )
-        )
-    )
+    rows = reduce(DataFrame.unionByName, levels).drop("seen").join(nodes.select("wiki_id", "section_id", "size"), ["wiki_id", "section_id"])
+    numbered = sorted_index(rows, ["wiki_id"], ["path"], "nth")
+    return running_total(numbered, ["wiki_id"], "nth", "size", "ord").select("wiki_id", "section_id", F.col("ord").cast("long").alias("ord"), "level")
 
 
 def attach_content(pages: DataFrame, generated: DataFrame) -> DataFrame:

@@ -39,3 +39,13 @@ WIKI_XML = (
     f"sections struct<section: {_SECTION_XML}>, section {_SECTION_XML}, "
     f"pages struct<page: {_PAGE_XML}>, page {_PAGE_XML}, _corrupt_record string"
 )
+
+# A cached wiki file: structure, generated pages by id, repository.
+_STORED_PAGE = "id: string, title: string, content: string, filePaths: array<string>, importance: string, relatedPages: array<string>"
+WIKI_FILE = (
+    "wiki_structure struct<id: string, title: string, description: string, "
+    f"pages: array<struct<{_STORED_PAGE}>>, "
+    "sections: array<struct<id: string, title: string, pages: array<string>, subsections: array<string>>>, rootSections: array<string>>, "
+    f"generated_pages map<string, struct<{_STORED_PAGE}>>, repo_url string, "
+    "repo struct<owner: string, repo: string, type: string, localPath: string, repoUrl: string>, provider string, model string, malformed string"
+)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.scale import bounded_side
 from ..session import ensure_checkpoint_dir
 
+FEW_FILES = 10_000
+FILES = "file string, repo_id string, n_chunks long, dim int, build_id string"
 BUILDS = "repo_id string, config_hash string, build_id string, n_chunks long, dim int"
 
 
@@ -27,6 +29,18 @@ def new_build() -> str:
     return f"b{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
 
 
+def _folder(build: str) -> str:
+    return f"chunks/build_id={build}"
+
+
+def _register(spark: SparkSession, path: str, build: str) -> DataFrame:
+    """Append to the manifest which files of a build hold chunks of which repository, and how many; the rows are returned."""
+    target = f"{path}/files/build_id={build}"
+    rows = spark.read.parquet(f"{path}/{_folder(build)}").groupBy(F.col("_metadata.file_name").alias("file"), "repo_id")
+    rows.agg(F.count(F.lit(1)).alias("n_chunks"), F.max("dim").alias("dim")).write.parquet(target)
+    return spark.read.schema(FILES.removesuffix(", build_id string")).parquet(target)
+
+
 def write_index(chunks: DataFrame, path: str, config: dict | None = None, repos: DataFrame | None = None) -> None:
     """Append a build of the repositories in `chunks`; nothing that is stored is read or rewritten.
 
@@ -35,11 +49,11 @@ def write_index(chunks: DataFrame, path: str, config: dict | None = None, repos:
     chunk, so that they are not built again each time. `dim` lets vector checks run without reading vectors.
     """
     spark, build, settings = chunks.sparkSession, new_build(), config_hash(config or {})
-    folder = f"{path}/chunks/build_id={build}"
+    folder = f"{path}/{_folder(build)}"
     dim = F.coalesce(F.greatest(F.size("vector"), F.lit(0)), F.lit(0))
     rows = chunks.withColumns({"dim": dim, "config_hash": F.lit(settings)})
     rows.hint("rebalance", "repo_id").sortWithinPartitions("repo_id", "doc_ord", "chunk_no").write.parquet(folder)
-    counts = spark.read.parquet(folder).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max("dim").alias("dim"))
+    counts = _register(spark, path, build).groupBy("repo_id").agg(F.sum("n_chunks").alias("n_chunks"), F.max("dim").alias("dim"))
     if repos is not None:
         counts = repos.select("repo_id").distinct().join(counts, "repo_id", "left")
     counts.select(
@@ -55,11 +69,33 @@ def newest_builds(spark: SparkSession, path: str) -> DataFrame:
     return builds.groupBy("repo_id").agg(newest).select("repo_id", "b.*")
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of the newest build of each repository."""
+def files_of(spark: SparkSession, path: str, repos: DataFrame, newest: DataFrame) -> list[str] | None:
+    """Files with chunks of the repositories asked for; None if they are many or the index has no manifest."""
+    try:
+        manifest = spark.read.schema(FILES).parquet(f"{path}/files")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    wanted = newest.join(bounded_side(repos.select("repo_id").distinct()), "repo_id", "left_semi")
+    files = manifest.join(bounded_side(wanted), ["repo_id", "build_id"], "left_semi").select("build_id", "file").distinct()
+    names = [f"{path}/{_folder(r.build_id)}/{r.file}" for r in files.limit(FEW_FILES + 1).collect()]
+    return names if len(names) <= FEW_FILES else None
+
+
+def read_index(spark: SparkSession, path: str, repos: DataFrame | None = None) -> DataFrame:
+    """Chunks of the newest build of each repository, or of those in `repos`, for which only their files are opened."""
     ensure_checkpoint_dir(spark)
     newest = bounded_side(newest_builds(spark, path).select("repo_id", "build_id"))
-    return spark.read.parquet(f"{path}/chunks").join(newest, ["repo_id", "build_id"], "left_semi").drop("build_id")
+    names = None if repos is None else files_of(spark, path, repos, newest)
+    if names is not None:
+        chunks = spark.read.option("basePath", f"{path}/chunks").parquet(*names or [f"{path}/chunks"])
+        chunks = chunks if names else chunks.limit(0)
+    else:
+        chunks = spark.read.parquet(f"{path}/chunks")
+    if repos is not None:
+        newest = bounded_side(newest.join(repos.select("repo_id").distinct(), "repo_id", "left_semi"))
+    return chunks.join(newest, ["repo_id", "build_id"], "left_semi").drop("build_id")
 
 
 def compact_index(spark: SparkSession, path: str, target: str) -> None:
@@ -69,8 +105,9 @@ def compact_index(spark: SparkSession, path: str, target: str) -> None:
         build = new_build()
         rows = spark.read.parquet(f"{path}/chunks").join(bounded_side(same.select("repo_id", "build_id")), ["repo_id", "build_id"], "left_semi")
         rows.drop("build_id").hint("rebalance", "repo_id").sortWithinPartitions("repo_id", "doc_ord", "chunk_no").write.parquet(
-            f"{target}/chunks/build_id={build}"
+            f"{target}/{_folder(build)}"
         )
+        _register(spark, target, build)
         same.withColumn("build_id", F.lit(build)).select("repo_id", "config_hash", "build_id", "n_chunks", "dim").write.mode(
             "append"
         ).parquet(f"{target}/builds")
@@ -105,4 +142,4 @@ def load_or_build_index(
     missing = bounded_side(missing)
     if not missing.isEmpty():
         write_index(build(docs.join(missing, "repo_id", "left_semi")), path, config, missing)
-    return read_index(spark, path).join(bounded_side(asked), "repo_id", "left_semi")
+    return read_index(spark, path, asked)

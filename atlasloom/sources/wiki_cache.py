@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.urls import CACHE_PREFIX
 from ..operators.catalogue import newest_first, projects_from_files
 from ..operators.filters import check_language, resolve_language
 from ..operators.scale import bounded_side, latest_wins
+from ..schemas import WIKI_FILE
 from .index_store import new_build
 
 KEY = ["repo_type", "owner", "repo", "language"]
@@ -87,15 +88,56 @@ def delete_wiki(cache: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame
     return cache.join(checked.filter("error IS NULL").select(*KEY), KEY, "left_anti"), status
 
 
+def _file_name() -> Column:
+    return F.try_url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
+def stored_names(spark: SparkSession, folder: str, prefix: str = CACHE_PREFIX) -> DataFrame:
+    """Names and times of the stored wiki files in a folder (`file_name, modified`); no file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}_*.json").load(folder)
+    return files.select(_file_name().alias("file_name"), F.col("_metadata.file_modification_time").alias("modified"))
+
+
 def list_projects(spark: SparkSession, folder: str, prefix: str = CACHE_PREFIX) -> DataFrame:
     """Catalogue of the stored wiki files in a folder, newest first; no file is opened."""
+    return newest_first(projects_from_files(stored_names(spark, folder, prefix), prefix))
+
+
+def read_wiki_files(spark: SparkSession, folder: str, prefix: str = CACHE_PREFIX) -> dict[str, DataFrame]:
+    """Stored wiki files as tables, read under one schema that is never inferred.
+
+    `projects`: a row per file (`id` is its name) with the columns of the catalogue, its header and `malformed`: the text of a
+    file that is no such document, else null. `pages`: the pages of the structure in order, with the generated content where
+    there is some; a generated page that the structure lacks comes last. `sections`: the sections in order and whether they
+    are roots. Only the columns asked for are kept of a document; a document is one row, whatever its size.
+    """
     files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"{prefix}_*.json")
-        .load(folder)
-        .select(
-            F.try_url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("file_name"),
-            F.col("_metadata.file_modification_time").alias("modified"),
-        )
+        spark.read.schema(WIKI_FILE)
+        .option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed")
+        .option("pathGlobFilter", f"{prefix}_*.json").json(folder)
+        .withColumns({"file_name": _file_name(), "modified": F.col("_metadata.file_modification_time")})
+    )
+    structure = F.col("wiki_structure")
+    # a document of another shape is as malformed as one that is no JSON at all
+    malformed = F.coalesce("malformed", F.when(structure.isNull() | F.col("generated_pages").isNull(), F.lit("")))
+    files = files.withColumn("malformed", malformed)
+    names = projects_from_files(files.select("file_name", "modified"), prefix).dropDuplicates(["id"])
+    header = files.select(
+        F.col("file_name").alias("id"), "malformed", structure["title"].alias("title"), structure["description"].alias("description"),
+        F.coalesce("repo.repoUrl", "repo_url").alias("repo_url"), "provider", "model",
+    )
+    whole = files.filter("malformed IS NULL")
+    listed = F.coalesce(structure["pages"], F.array())
+    extra = F.filter(F.map_values("generated_pages"), lambda p: ~F.exists(listed, lambda q: q["id"].eqNullSafe(p["id"])))
+    pages = whole.select(F.col("file_name").alias("id"), "generated_pages", F.posexplode(F.concat(listed, F.array_sort(extra))).alias("page_ord", "p"))
+    made = F.try_element_at("generated_pages", F.col("p.id"))
+    pages = pages.select(
+        "id", "page_ord", F.col("p.id").alias("page_id"), "p.title", F.coalesce(F.nullif(made["content"], F.lit("")), "p.content", F.lit("")).alias("content"),
+        F.col("p.filePaths").alias("file_paths"), "p.importance", F.col("p.relatedPages").alias("related_pages"), made.isNotNull().alias("generated"),
+    )
+    roots = F.coalesce(structure["rootSections"], F.array())
+    sections = whole.select(F.col("file_name").alias("id"), roots.alias("roots"), F.posexplode(structure["sections"]).alias("sec_ord", "s")).select(
+        "id", "sec_ord", F.col("s.id").alias("section_id"), "s.title", "s.pages", F.coalesce("s.subsections", F.array().cast("array<string>")).alias("subsections"),
+        F.array_contains("roots", F.col("s.id")).alias("is_root"),
     )
-    return newest_first(projects_from_files(files, prefix))
+    return {"projects": names.join(header, "id"), "pages": pages, "sections": sections}

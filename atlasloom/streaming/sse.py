@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -14,7 +15,7 @@ from ..functions.urls import CACHE_PREFIX
 from ..operators.catalogue import projects_from_files
 from ..operators.scale import RANGE, joined
 from ..session import ensure_checkpoint_dir
-from ..sources.wiki_cache import append_rows, newest_rows
+from ..sources.wiki_cache import append_rows, compact_rows, newest_rows, stored_names
 
 _EVENT = (
     "id string, model string, created bigint, "
@@ -250,9 +251,11 @@ def accumulate_stream(lines: DataFrame, idle_ms: int | None = IDLE_MS, **options
 def stream_catalogue(
     spark: SparkSession, folder: str, target: str, checkpoint: str, prefix: str = CACHE_PREFIX, **trigger
 ) -> StreamingQuery:
-    """Append what a folder of stored wikis gains to a catalogue; `read_catalogue` reads it.
+    """A catalogue follows a folder of stored wikis; `read_catalogue` reads it.
 
-    A batch that is repeated appends rows that are already there, which changes nothing.
+    New files are what the stream brings. With each batch the folder's listing is compared with the catalogue, and projects
+    whose file is gone get a tombstone, so that readers never look at the folder. A batch that is repeated appends rows
+    that are already there, which changes nothing. `sync_catalogue` does the same between batches.
     """
     source = (
         spark.readStream.format("binaryFile")
@@ -266,6 +269,7 @@ def stream_catalogue(
 
     def merge(batch: DataFrame, _: int) -> None:
         append_rows(target, projects_from_files(batch, prefix))
+        sync_catalogue(spark, folder, target, prefix)
 
     return (
         source.writeStream.foreachBatch(merge)
@@ -275,13 +279,32 @@ def stream_catalogue(
     )
 
 
-def read_catalogue(spark: SparkSession, target: str, folder: str | None = None, prefix: str = CACHE_PREFIX) -> DataFrame:
-    """The catalogue, newest row per project; with `folder` only of files that are still there."""
-    rows = newest_rows(spark, target, ["id"], "submittedAt")
-    if folder is None:
-        return rows
-    there = (
-        spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}_*.json").load(folder)
-        .select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_modification_time").alias("modified"))
-    )
-    return rows.join(projects_from_files(there, prefix).select("id").distinct(), "id", "left_semi")
+def sync_catalogue(spark: SparkSession, folder: str, target: str, prefix: str = CACHE_PREFIX) -> None:
+    """Append to the catalogue what it differs by from the folder: tombstones of projects whose file is gone, and files that it lacks.
+
+    Only names and times are listed. Nothing that is stored is rewritten; `compact_catalogue` leaves the tombstones behind.
+    """
+    ensure_checkpoint_dir(spark)
+    there = projects_from_files(stored_names(spark, folder, prefix), prefix).checkpoint()
+    try:
+        known = newest_rows(spark, target, ["id"], "written").checkpoint()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        known = there.limit(0)
+    gone = known.join(there.select("id"), "id", "left_anti").select(known.columns)
+    if not gone.isEmpty():
+        append_rows(target, gone, deleted=True)
+    new = there.join(known.select("id", F.col("submittedAt").alias("known")), "id", "left").filter("known IS NULL OR known < submittedAt")
+    if not new.isEmpty():
+        append_rows(target, new.select(there.columns))
+
+
+def read_catalogue(spark: SparkSession, target: str) -> DataFrame:
+    """The catalogue: the last row written per project, without those whose file is gone."""
+    return newest_rows(spark, target, ["id"], "written")
+
+
+def compact_catalogue(spark: SparkSession, target: str, compacted: str) -> None:
+    """The catalogue as a new log: a row per project and no tombstones."""
+    compact_rows(spark, target, compacted, ["id"], "written")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from atlasloom.operators import context, embed, retrieval
+from atlasloom.operators import bloom, context, embed, inverted, retrieval
 
 DIM = 16
 
@@ -82,7 +82,8 @@ def test_retrieval_equals_brute_force(chunks, queries):
 
 def test_retrieval_without_broadcast_and_with_small_blocks(spark, chunks, queries, monkeypatch):
     monkeypatch.setattr(retrieval, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(retrieval, "STATE_QUERIES", 4)
+    monkeypatch.setattr(retrieval, "HELD_ROWS", 40)
+    monkeypatch.setattr(retrieval, "_known_queries", lambda queries, max_bytes: None)
     monkeypatch.setattr(retrieval, "bounded_side", lambda df: df)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -99,12 +100,58 @@ def test_ranking_keeps_only_k_rows_per_task_before_the_shuffle(chunks, queries):
     assert scored.rdd.getNumPartitions() >= 1
 
 
-def test_approximate_retrieval_recall(chunks, queries):
-    exact = {(r, q, c) for r, q, c, _ in brute(chunks, queries, 20)}
-    found = {(r.repo_id, r.query_id, r.chunk_id) for r in retrieval.retrieve_ann(queries, chunks, 20).collect()}
-    assert len(found & exact) / len(exact) > 0.9
-    few = retrieval.retrieve_ann(queries, chunks, 20, tables=1, bits=8)
-    assert few.groupBy("repo_id", "query_id", "chunk_id").count().filter("count > 1").isEmpty()
+def test_inverted_file_equals_brute_force(spark, chunks, queries, tmp_path, monkeypatch):
+    for k in (1, 20, 700):
+        assert as_set(inverted.retrieve_ann(queries, chunks, k)) == brute(chunks, queries, k)
+    index = inverted.build_lists(chunks, portion_bytes=64)  # repositories in portions
+    index.save(str(tmp_path / "lists"))
+    index = inverted.InvertedFile.load(spark, str(tmp_path / "lists"))
+    assert as_set(inverted.retrieve_lists(queries, index, 20, portion_bytes=64)) == brute(chunks, queries, 20)
+    monkeypatch.setattr(retrieval, "_known_queries", lambda queries, max_bytes: None)
+    assert as_set(inverted.retrieve_lists(queries, index, 20)) == brute(chunks, queries, 20)
+
+
+def test_inverted_file_leaves_lists_out_and_none_that_matter(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16))
+    x = centres[rng.integers(0, 30, 6000)] + 0.05 * rng.normal(size=(6000, 16))
+    rows = [("big" if i % 3 else "small", i, f"c{i}", v) for i, v in enumerate(x.astype(np.float32).tolist())]
+    rows += [("big", 9000, "zero", [0.0] * 16), ("big", 9001, "short", [1.0]), ("big", 9002, "none", None), ("big", 9003, "empty", [])]
+    chunks = spark.createDataFrame(rows, "repo_id string, doc_ord long, chunk_id string, vector array<float>")
+    asked = [(r, f"q{i}", v) for i, v in enumerate((centres + 0.02 * rng.normal(size=centres.shape)).astype(np.float32).tolist()) for r in ("big", "small", "unknown")]
+    asked.append(("big", "zero", [0.0] * 16))
+    queries = spark.createDataFrame(asked, "repo_id string, query_id string, vector array<float>")
+    index = inverted.build_lists(chunks)
+    assert {r.id for r in index.members.collect()} == {r[2] for r in rows[:-3]}
+    assert as_set(inverted.retrieve_lists(queries, index)) == as_set(retrieval.retrieve(queries, chunks, columns=()))
+    visited = inverted._visits(queries.withColumnRenamed("query_id", "id"), list(index.directory.toLocalIterator()), 20, 2, 0.0)
+    reach = visited.filter("NOT first AND id <> 'zero'")
+    assert reach.filter("bound >= 0.98").count() < 0.5 * reach.count()  # 0.98 is about the score of the 20th best
+
+
+def test_inverted_file_of_nothing(spark):
+    chunks = spark.createDataFrame([], "repo_id string, doc_ord long, chunk_id string, vector array<float>")
+    queries = spark.createDataFrame([("a", "q", [1.0])], "repo_id string, query_id string, vector array<float>")
+    assert inverted.retrieve_ann(queries, chunks).collect() == []
+
+
+def test_lookup_past_the_broadcast_bound_filters_the_scan(spark, tmp_path):
+    spark.range(20_000).selectExpr(
+        "concat('r', id % 3) AS repo_id", "concat('c', id) AS chunk_id", "concat('f', id) AS file_path", "repeat('text ', 20) AS text"
+    ).write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    hits = spark.range(0, 20_000, 100).selectExpr("concat('r', id % 3) AS repo_id", "'q' AS query_id", "concat('c', id) AS chunk_id", "1.0D AS score", "1 AS rank")
+    hits = hits.unionByName(hits.limit(1).selectExpr("repo_id", "'p' AS query_id", "chunk_id", "score", "rank"))
+    small = retrieval.lookup_hits(hits, chunks)
+    large = retrieval.lookup_hits(hits, chunks, max_rows=0)
+    assert sorted(map(repr, large.collect())) == sorted(map(repr, small.select(large.columns).collect())) and large.count() == 201
+    known = bloom.key_filter(hits.select("repo_id", "chunk_id"), ["repo_id", "chunk_id"])
+    passed = chunks.filter(known("repo_id", "chunk_id")).count()
+    assert 200 <= passed <= 400  # of 20,000: what is shuffled with its text
+    tight = bloom.key_filter(hits, ["repo_id", "chunk_id"], max_bytes=8)
+    assert chunks.filter(tight("repo_id", "chunk_id")).join(hits, ["repo_id", "chunk_id"]).count() == 201
+    none = bloom.key_filter(hits.limit(0), ["repo_id", "chunk_id"])
+    assert chunks.filter(none("repo_id", "chunk_id")).isEmpty()
 
 
 def test_context_text(chunks, queries):

@@ -170,7 +170,71 @@ def test_project_files_and_running_catalogue(spark, tmp_path):
         (folder / "wiki_cache_github_o_new_en.json").write_text("{}")
     assert {r.name for r in sse.read_catalogue(spark, target).collect()} == {"o/r", "o/a_b", "o/new"}
     (folder / "wiki_cache_gitlab_o_a_b_fr.json").unlink()
-    assert {r.name for r in sse.read_catalogue(spark, target, str(folder)).collect()} == {"o/r", "o/new"}
+    (folder / "wiki_cache_github_o_more_en.json").write_text("{}")
+    sse.stream_catalogue(spark, str(folder), target, str(tmp_path / "ck")).awaitTermination(120)  # its batch notices the deletion
+    names = lambda path: {r.name for r in sse.read_catalogue(spark, path).collect()}
+    assert names(target) == {"o/r", "o/new", "o/more"}
+    (folder / "wiki_cache_github_o_r_en.json").unlink()
+    sse.sync_catalogue(spark, str(folder), target)
+    assert names(target) == {"o/new", "o/more"}
+    back = folder / "wiki_cache_gitlab_o_a_b_fr.json"
+    back.write_text("{}")
+    os.utime(back, (1_000_000, 1_000_000))  # back, and older than it was
+    sse.sync_catalogue(spark, str(folder), target)
+    assert names(target) == {"o/new", "o/more", "o/a_b"}
+    rows = spark.read.parquet(target).count()
+    sse.sync_catalogue(spark, str(folder), target)
+    assert spark.read.parquet(target).count() == rows  # nothing has changed, nothing is written
+    sse.compact_catalogue(spark, target, str(tmp_path / "compacted"))
+    assert names(str(tmp_path / "compacted")) == names(target) and spark.read.parquet(str(tmp_path / "compacted")).count() == 3
+    sse.sync_catalogue(spark, str(folder), str(tmp_path / "fresh"))
+    assert names(str(tmp_path / "fresh")) == names(target)
+
+
+def stored_page(i, content=""):
+    return {"id": f"p{i}", "title": f"T{i}", "content": content, "filePaths": [f"f{i}.py"], "importance": "high", "relatedPages": ["p1"]}
+
+
+def test_stored_wiki_files_as_tables(spark, tmp_path):
+    whole = {
+        "wiki_structure": {
+            "id": "w", "title": "Wiki é", "description": "D", "pages": [stored_page(2), stored_page(1)],
+            "sections": [{"id": "s1", "title": "S", "pages": ["p1"], "subsections": ["s2"]}, {"id": "s2", "title": "S2", "pages": []}], "rootSections": ["s1"],
+        },
+        "generated_pages": {"p1": stored_page(1, "text one"), "p9": stored_page(9, "kept")},
+        "repo": {"owner": "o", "repo": "r", "type": "github", "repoUrl": "https://github.com/o/r"}, "provider": "google", "model": "m",
+    }
+    old = {"wiki_structure": {"id": "w", "title": "Old", "description": "", "pages": []}, "generated_pages": {}, "repo_url": "https://old"}
+    for name, text in {"github_o_r_en": json.dumps(whole, indent=2), "github_o_a+b_en": json.dumps(old), "github_o_cut_en": json.dumps(whole)[:300], "github_o_list_en": "[1, 2]", "github_o_empty_en": "", "short": "{}"}.items():
+        (tmp_path / f"wiki_cache_{name}.json").write_text(text)
+    got = wiki_cache.read_wiki_files(spark, str(tmp_path))
+    projects = {r.repo: r for r in got["projects"].collect()}
+    assert set(projects) == {"r", "a+b", "cut", "list", "empty"} and {k for k, r in projects.items() if r.malformed is not None} == {"cut", "list", "empty"}
+    assert projects["cut"].malformed == json.dumps(whole)[:300]
+    assert (projects["r"].title, projects["r"].repo_url, projects["a+b"].repo_url) == ("Wiki é", "https://github.com/o/r", "https://old")
+    assert {r.id for r in wiki_cache.list_projects(spark, str(tmp_path)).collect()} == {r.id for r in projects.values()}
+    pages = sorted((r.page_ord, r.page_id, r.content, r.generated, r.file_paths) for r in got["pages"].collect())
+    assert pages == [(0, "p2", "", False, ["f2.py"]), (1, "p1", "text one", True, ["f1.py"]), (2, "p9", "kept", True, ["f9.py"])]
+    sections = sorted((r.sec_ord, r.section_id, r.subsections, r.is_root) for r in got["sections"].collect())
+    assert sections == [(0, "s1", ["s2"], True), (1, "s2", [], False)]
+
+
+def test_files_that_a_read_of_few_repositories_opens(spark, tmp_path):
+    path = str(tmp_path / "index")
+    for build in range(4):
+        rows = [(f"r{build}{i}", i, f"f{i}", 0, f"r{build}{i}#{j}", [1.0]) for i in range(5) for j in range(20)]
+        chunks = spark.createDataFrame(rows, "repo_id string, doc_ord long, file_path string, chunk_no int, chunk_id string, vector array<float>")
+        index_store.write_index(chunks.repartition(5, "repo_id"), path)
+    whole = index_store.read_index(spark, path)
+    assert whole.count() == 400
+    asked = spark.createDataFrame([("r11",), ("r30",), ("unknown",)], "repo_id string")
+    some = index_store.read_index(spark, path, asked)
+    assert len(some.inputFiles()) == 2 < len(whole.inputFiles()) and some.columns == whole.columns
+    key = lambda df: sorted((r.repo_id, r.chunk_id) for r in df.collect())
+    assert key(some) == [k for k in key(whole) if k[0] in ("r11", "r30")]
+    assert index_store.read_index(spark, path, asked.filter("repo_id = 'unknown'")).collect() == []
+    index_store.compact_index(spark, path, path + "2")
+    assert key(index_store.read_index(spark, path + "2", asked)) == key(some)
 
 
 def sse_lines(n=30, seed=1):

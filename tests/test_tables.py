@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from atlasloom.operators import chat, docs, filters, scale
@@ -219,3 +220,26 @@ def test_classify_responses(spark):
     stages, done = classify_responses(df)
     assert rows(stages, "conv_id", "iteration", "type") == [("c", 1, "plan"), ("c", 2, "update"), ("c", 4, "update")]
     assert rows(done, "conv_id", "iterations", "complete", "forced") == [("c", 5, True, True), ("d", 1, True, False)]
+
+
+def test_even_slices_with_one_order_value_on_half_of_the_rows(spark):
+    df = spark.range(40_000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 7 ELSE id END AS ord", "CAST(NULL AS STRING) AS note")
+    for key, value in (("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.shuffle.partitions", "16")):
+        spark.conf.set(key, value)
+    try:
+        placed = scale.sorted_index(df, [], ["ord"], "pos").withColumn("task", F.spark_partition_id()).checkpoint()
+        slices = df.repartitionByRange("ord", F.xxhash64("id", "ord", "note")).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert max(r["count"] for r in slices) <= 2 * 40_000 / 16
+    rows = sorted((r.pos, r.ord) for r in placed.collect())
+    assert [p for p, _ in rows] == list(range(40_000)) and [o for _, o in rows] == sorted(o for _, o in rows)
+
+
+@pytest.mark.parametrize("span", [1, 7, 10_000])
+def test_running_total(spark, span):
+    rows = [(k, i, (i * 7) % 5) for k, n in (("a", 50), ("b", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, pos long, v long")
+    got = {(r.k, r.pos): r.before for r in scale.running_total(df, ["k"], "pos", "v", "before", span).collect()}
+    assert got == {(k, p): sum(v for q, i, v in rows if q == k and i < p) for k, p, _ in rows}

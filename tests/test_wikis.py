@@ -189,13 +189,38 @@ def test_tree(spark, data, pages):
             if w == 4:
                 refs = [f"s{(i + 1) % 12}"]  # no root at all
             sections.append((f"w{w}", i, f"s{i}", f"S{i}", [f"p{rng.randrange(9)}" for _ in range(2)], refs))
+    for i in range(40):  # a forest: two roots, several children each, a section that no root leads to, a circle beside it
+        refs = {0: ["s2", "s3", "none", "s4"], 1: ["s5"], 4: ["s6", "s7", "s4"], 5: [f"s{j}" for j in range(8, 36)], 36: ["s37"], 37: ["s36"], 38: ["s38"]}.get(i, [])
+        sections.append(("w2" if i < 0 else "forest", i, f"s{i}", f"S{i}", [f"p{rng.randrange(9)}" for _ in range(i % 3)], refs))
     df = spark.createDataFrame(sections, schemas.WIKI_SECTIONS)
-    got = {}
-    for r in sorted(wiki.traverse_tree(df, pages).collect(), key=lambda r: (r.wiki_id, r.sort_path)):
-        got.setdefault(r.wiki_id, []).append((r.level, r.kind, r.node_id))
+    both = pages.unionByName(pages.filter("wiki_id = 'w0'").withColumn("wiki_id", F.lit("forest")))
     grouped, mine = by_wiki(data), by_wiki(sections)
-    for w in grouped:
-        assert got[w] == walk(mine.get(w, []), grouped[w]), w
+    grouped["forest"] = grouped["w0"]
+    for local in (100_000, 0):
+        got = {}
+        for r in sorted(wiki.traverse_tree(df, both, local=local).collect(), key=lambda r: (r.wiki_id, r.ord)):
+            got.setdefault(r.wiki_id, []).append((r.level, r.kind, r.node_id))
+            assert r.ord == len(got[r.wiki_id]) - 1
+        for w in grouped:
+            assert got[w] == walk(mine.get(w, []), grouped[w]), (w, local)
+
+
+@pytest.mark.parametrize("local", [100_000, 1_000])
+def test_tree_of_a_long_chain(spark, local):
+    n = 10_000
+    chain = spark.range(n).select(
+        F.lit("deep").alias("wiki_id"), F.col("id").alias("sec_ord"), F.concat(F.lit("s"), "id").alias("section_id"), F.lit("t").alias("title"),
+        F.array(F.lit("p")).alias("pages"), F.array(F.concat(F.lit("s"), F.col("id") + 1)).alias("subsections"),
+    )
+    pages = spark.createDataFrame([("deep", 0, "p", "P"), ("flat", 1, "b", "B"), ("flat", 0, "a", "A")], "wiki_id string, page_ord long, page_id string, title string")
+    spark.sparkContext.setJobGroup(f"chain-{local}", "tree of a chain")
+    rows = wiki.traverse_tree(chain, pages, local=local).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain-{local}"))
+    spark.sparkContext.setJobGroup("", "")
+    got = {(r.wiki_id, r.ord): (r.level, r.kind, r.node_id) for r in rows}
+    assert len(rows) == 2 * n + 2 and got["flat", 0] == (0, "page", "a") and got["flat", 1] == (0, "page", "b")
+    assert all(got["deep", 2 * i] == (i, "section", f"s{i}") and got["deep", 2 * i + 1] == (i + 1, "page", "p") for i in range(n))
+    print(local, "jobs", jobs)
 
 
 def test_catalogue(spark):

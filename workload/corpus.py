@@ -63,6 +63,21 @@ def write_texts(rows: DataFrame, root: str) -> None:
     rows.mapInPandas(write, "n int").agg(F.sum("n")).collect()
 
 
+def remove_files(names: DataFrame, root: str) -> None:
+    """Delete the files `path` below `root`, in the tasks."""
+
+    def remove(frames):
+        from pyarrow import fs as pafs
+
+        system, base = pafs.FileSystem.from_uri(root)
+        for frame in frames:
+            for path in frame["path"]:
+                system.delete_file(f"{base}/{path}")
+            yield frame
+
+    names.select("path").mapInPandas(remove, "path string").write.format("noop").mode("overwrite").save()
+
+
 def write_files(spark: SparkSession, sf: str) -> str:
     """The documents as real files."""
     root = scratch(spark, "files").removeprefix("file:")

@@ -68,15 +68,17 @@ INPUTS = {
         SELECT source AS wiki_id, 'https://github.com/org/' || source AS repo_url, 'github' AS type,
           'About ' || min(lang) AS description
         FROM @documents GROUP BY source""",
-    # parts as sections of 50 wikis, each a few binary trees
+    # parts as sections of 50 wikis: binary trees; number 48 is one chain, in 47 a section has two parents and leads back, 49 has none
     "sections": """
         SELECT 'w' || CAST(p_partkey % 50 AS STRING) AS wiki_id, CAST(floor(p_partkey / 50) AS BIGINT) AS sec_ord,
           's' || CAST(floor(p_partkey / 50) AS BIGINT) AS section_id, p_name AS title,
           @list('p' || CAST(p_partkey AS STRING), 'p' || CAST(p_partkey + 50 AS STRING), 'unknown') AS pages,
-          CASE WHEN floor(p_partkey / 50) % 7 = 3 THEN @list('s' || CAST(floor(p_partkey / 50) AS BIGINT), 'none') ELSE
+          CASE WHEN p_partkey % 50 = 48 THEN @list('s' || CAST(floor(p_partkey / 50) + 1 AS BIGINT))
+            WHEN p_partkey % 50 = 47 AND floor(p_partkey / 50) = 5 THEN @list('s1', 's6')
+            WHEN floor(p_partkey / 50) % 7 = 3 THEN @list('s' || CAST(floor(p_partkey / 50) AS BIGINT), 'none') ELSE
             @list('s' || CAST(floor(p_partkey / 50) * 2 + 1 AS BIGINT), 's' || CAST(floor(p_partkey / 50) * 2 + 2 AS BIGINT)) END
             AS subsections
-        FROM @part""",
+        FROM @part WHERE p_partkey % 50 <> 49""",
     "section_pages": """
         SELECT 'w' || CAST(p_partkey % 50 AS STRING) AS wiki_id, p_partkey AS page_ord,
           CASE WHEN p_partkey % 9 = 0 THEN 'hidden' ELSE 'p' END || CAST(p_partkey AS STRING) AS page_id, p_type AS title

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from atlasloom.operators import context, embed, retrieval as r
+from atlasloom.operators import context, embed, inverted, retrieval as r
 from atlasloom.plans.corpus import build_chunks
 from atlasloom.sources import index_store
 
@@ -80,11 +80,35 @@ def topk_chunks(spark, sf):
     return r.retrieve(centroids(vectors), vectors, columns=["doc_ord"])
 
 
-@query()
+@query(with_inputs("vectors", also=MODAL + ",\n" + CENTROIDS) + "SELECT repo_id, query_id, chunk_id, score, rank FROM hits")
 def topk_chunks_ann(spark, sf):
-    """Approximate candidates, exact ranking"""
+    """Through an inverted file whose left-out lists are proven to hold nothing better"""
     vectors = load(spark, sf, "vectors")
-    return r.retrieve_ann(centroids(vectors), vectors)
+    return inverted.retrieve_ann(centroids(vectors), vectors)
+
+
+@query(
+    with_inputs("vectors", also=MODAL + ",\n" + CENTROIDS)
+    + "SELECT repo_id, query_id, count(*) AS n, TRUE AS recalled FROM hits GROUP BY ALL"
+)
+def ann_recall(spark, sf):
+    """Recall of the stored inverted file against the exact job, per query; 0.9 and more is recalled"""
+    vectors, folder = load(spark, sf, "vectors"), scratch(spark, "lists")
+    asked = centroids(vectors).checkpoint()
+    inverted.build_lists(vectors).save(folder)
+    found = inverted.retrieve_lists(asked, inverted.InvertedFile.load(spark, folder), slack=0.01)
+    both = r.retrieve(asked, vectors, columns=()).select("repo_id", "query_id", "chunk_id").join(
+        found.select("repo_id", "query_id", "chunk_id", F.lit(1).alias("hit")), ["repo_id", "query_id", "chunk_id"], "left"
+    )
+    share = F.sum("hit") / F.count(F.lit(1))
+    return both.groupBy("repo_id", "query_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(share >= 0.9, F.lit(False)).alias("recalled"))
+
+
+@query(with_inputs("vectors", also=MODAL + ",\n" + CENTROIDS) + "SELECT repo_id, query_id, chunk_id, score, rank FROM hits")
+def topk_other_column(spark, sf):
+    """Retrieval on a vector column of another name"""
+    vectors = load(spark, sf, "vectors")
+    return r.retrieve(centroids(vectors).withColumnRenamed("vector", "asked"), vectors.withColumnRenamed("vector", "embedded"), columns=(), query_vector="asked", vector="embedded")
 
 
 @query(

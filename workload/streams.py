@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from atlasloom.operators.scale import dense_index
-from atlasloom.streaming import sse
+from atlasloom.operators.scale import dense_index, ordered_text
+from atlasloom.streaming import chunks, sse
 
 from . import query
-from .corpus import scratch, write_texts
+from .corpus import remove_files, scratch, write_texts
 from .inputs import load, table, with_inputs
 
 EVENTS = """events_in AS (
@@ -62,11 +62,51 @@ def sse_stream(spark, sf):
     return sse.whole_responses(spark.read.schema(sse.RESPONSE).parquet(target)).filter("complete")
 
 
+WIDE = "replace(line, '; ', ' é€😀; ')"
+
+
+def request_chunks(spark, sf):
+    """Responses as bytes, cut every few bytes: request numbers choose 1 to 31 bytes a chunk and the line end."""
+    user = F.substring("req_id", 2, 20).cast("bigint")
+    lines = request_lines(spark, sf).withColumn("line", F.concat(F.expr(WIDE), F.when(user % 2 == 0, "\r\n").otherwise("\n")))
+    size = (1 + user % 31).cast("int")
+    whole = ordered_text(lines, ["req_id"], "seq", "line", "text").select("req_id", size.alias("size"), F.encode("text", "UTF-8").alias("data"))
+    cuts = F.sequence(F.lit(0), F.octet_length("data") - 1, F.col("size"))
+    return whole.select("req_id", "size", "data", F.posexplode(cuts).alias("seq", "at")).select(
+        "req_id", F.col("seq").cast("bigint").alias("seq"), F.substring("data", F.col("at") + 1, F.col("size")).alias("chunk")
+    )
+
+
+CUT = EVENTS.replace("FROM sse_lines)", f"FROM (SELECT * REPLACE ({WIDE} AS line) FROM sse_lines))", 1)
+
+
+@query(with_inputs("sse_lines", also=CUT) + RESPONSES + " FROM live GROUP BY req_id")
+def sse_from_chunks(spark, sf):
+    """I1, I2 on a table of raw chunks"""
+    return sse.accumulate(sse.parse_sse(chunks.lines_from_chunks(request_chunks(spark, sf))))
+
+
+@query(with_inputs("sse_lines", also=CUT) + RESPONSES + " FROM live GROUP BY req_id")
+def sse_chunk_stream(spark, sf):
+    """I1 as a stream: bytes are carried from one micro-batch to the next"""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    folder, target, state = (scratch(spark, name) for name in ("chunks", "lines", "state"))
+    request_chunks(spark, sf).repartitionByRange(2, "seq").write.parquet(folder)
+    stream = spark.readStream.schema("req_id string, seq bigint, chunk binary").option("maxFilesPerTrigger", 1).parquet(folder)
+    chunks.assemble_lines(stream, idle_ms=None).writeStream.format("parquet").option("path", target).option(
+        "checkpointLocation", state
+    ).trigger(availableNow=True).start().awaitTermination()
+    return sse.accumulate(sse.parse_sse(spark.read.schema(chunks.LINE).parquet(target)))
+
+
 @query(
     """SELECT 'own' || (doc_id % 9) || '/' || source || '_' || doc_id AS name, 'github' AS repo_type, lang AS language FROM documents WHERE doc_id % 7 <> 3"""
 )
 def catalogue_stream(spark, sf):
-    """The catalogue follows a folder of stored wikis; every seventh file is removed again"""
+    """The catalogue follows a folder of stored wikis; of the first files every seventh is removed while others are added"""
     folder = scratch(spark, "stored").removeprefix("file:")
     target, state = scratch(spark, "catalogue"), scratch(spark, "state")
     names = table(spark, sf, "documents").select(
@@ -75,8 +115,10 @@ def catalogue_stream(spark, sf):
         ).alias("path"),
         F.lit("{}").alias("text"), "doc_id",
     )
-    write_texts(names.drop("doc_id"), folder)
+    later = F.col("doc_id") % 7 == 5
+    write_texts(names.filter(~later).drop("doc_id"), folder)
+    sse.stream_catalogue(spark, folder, target, state).awaitTermination()
+    remove_files(names.filter("doc_id % 7 = 3"), folder)
+    write_texts(names.filter(later).drop("doc_id"), folder)
     sse.stream_catalogue(spark, folder, target, state).awaitTermination()
-    kept = scratch(spark, "kept").removeprefix("file:")
-    write_texts(names.filter("doc_id % 7 <> 3").drop("doc_id"), kept)  # the folder as it is later
-    return sse.read_catalogue(spark, target, kept).select("name", "repo_type", "language")
+    return sse.read_catalogue(spark, target).select("name", "repo_type", "language")

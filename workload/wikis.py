@@ -184,10 +184,13 @@ tree AS (
 listed AS (SELECT t.wiki_id, t.level + 1 AS level, t.sort_path || '.0.' || lpad(CAST(r.pos AS STRING), 19, '0') AS sort_path, p.page_id, p.title
   FROM tree t JOIN (SELECT wiki_id, section_id, unnest(pages) AS page_id, unnest(generate_series(0, len(pages) - 1)) AS pos FROM sections) r
     ON t.wiki_id = r.wiki_id AND t.section_id = r.section_id
-  JOIN section_pages p ON r.wiki_id = p.wiki_id AND r.page_id = p.page_id)""",
+  JOIN section_pages p ON r.wiki_id = p.wiki_id AND r.page_id = p.page_id),
+whole AS (SELECT wiki_id, sort_path, level, 'section' AS kind, section_id AS node_id, title FROM tree
+  UNION ALL SELECT wiki_id, sort_path, level, 'page', page_id, title FROM listed
+  UNION ALL SELECT wiki_id, lpad(CAST(page_ord AS STRING), 19, '0'), 0, 'page', page_id, title FROM section_pages
+    WHERE wiki_id NOT IN (SELECT wiki_id FROM roots))""",
     )
-    + """SELECT wiki_id, sort_path, CAST(level AS INTEGER) AS level, 'section' AS kind, section_id AS node_id, title FROM tree
-    UNION ALL SELECT wiki_id, sort_path, CAST(level AS INTEGER), 'page', page_id, title FROM listed"""
+    + """SELECT wiki_id, row_number() OVER (PARTITION BY wiki_id ORDER BY sort_path) - 1 AS ord, CAST(level AS INTEGER) AS level, kind, node_id, title FROM whole"""
 )
 def section_tree(spark, sf):
     """C4"""
