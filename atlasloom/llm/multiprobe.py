@@ -7,7 +7,8 @@ neighbour's projection lies around the query's is fitted on a sample, so each ce
 the product. A best-first walk lists buckets in falling order without building them all.
 
 Buckets meet their visitors in slices of bounded size: rows and visitors are shuffled by slice, scored there in
-blocks in double precision on the original vectors, and only the best `k` per query leave a task. Candidates of all tables are merged per query.
+blocks in double precision on the original vectors. A first look at each query's likeliest bucket finds `k` candidates; what is worse
+than these, or not among the best `k` of a task, never leaves a task. Candidates of all tables are merged per query.
 Queries that find fewer than `k` candidates are scored against all rows through one bucket, so no list is short.
 
 Fitted on bounded samples: at most about `SAMPLE_QUERIES` queries, answered exactly in one pass over all rows, set cell width,
@@ -44,6 +45,7 @@ BUCKET_ROWS = 1024
 SLICE_ROWS = 4096
 MOST_PROJECTIONS = 32
 MOST_PROBES = 4096
+LOOK_EVERY = 4
 BLOCK = 4_000_000
 HELD = 1_000_000
 
@@ -86,18 +88,18 @@ class Best:
     def __init__(self, k: int):
         self.k, self.parts, self.size = k, [], 0
 
-    def add(self, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
-        """Score all queries against all rows; ties within rounding stay, scores are summed place by place in one order."""
+    def add(self, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, least: np.ndarray | None = None) -> None:
+        """Score all queries against all rows; ties within rounding stay, scores are summed place by place in one order.
+        Of a query, scores below `least` are left out."""
         step = max(1, BLOCK // max(1, len(ids)))
         for a in range(0, len(qid), step):
             s = q[a : a + step] @ x.T
             s[qid[a : a + step, None] == ids[None, :]] = -np.inf
+            floor = np.full(len(s), -np.inf) if least is None else least[a : a + step]
             if s.shape[1] > self.k:
-                least = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
-                wide = 1e-12 * np.linalg.norm(q[a : a + step], axis=1) * np.linalg.norm(x, axis=1).max()
-                row, col = np.nonzero((s >= (least - wide)[:, None]) & (s > -np.inf))
-            else:
-                row, col = np.nonzero(s > -np.inf)
+                floor = np.maximum(floor, np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k])
+            wide = 1e-12 * np.linalg.norm(q[a : a + step], axis=1) * np.linalg.norm(x, axis=1).max()
+            row, col = np.nonzero((s >= (floor - wide)[:, None]) & (s > -np.inf))
             for b in range(0, len(row), 1 << 16):
                 r, c = row[b : b + (1 << 16)], col[b : b + (1 << 16)]
                 self.parts.append((qid[a + r], ids[c], (q[a + r] * x[c]).sum(axis=1)))
@@ -277,37 +279,40 @@ def _probes_for(index: Index, scaled: np.ndarray, lifted: np.ndarray, of: np.nda
 
 
 def _entries(index: Index, visit: bool):
-    """Buckets of rows, or the buckets that queries visit."""
+    """Buckets of rows, or the buckets that queries visit, with all columns of the batch."""
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
             x = matrix(batch.column("vec"))
-            for t, table in enumerate(index.tables):
-                if visit:
+            for t, table in enumerate(index.tables or [None]):
+                if table is None:
+                    at, bucket = np.arange(len(x)), np.zeros(len(x), np.int64)
+                elif visit:
                     listed = [np.array(list(table.probes(row, index.probes))) for row in index.scaled(x)]
                     at = np.repeat(np.arange(len(x)), [len(p) for p in listed])
                     bucket = bucket_number(np.concatenate(listed))
                 else:
                     at, bucket = np.arange(len(x)), bucket_number(table.cells(index.lifted(x)))
                 for lo in range(0, len(at), 4096):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at[lo : lo + 4096]), t, np.int32)), pa.array(bucket[lo : lo + 4096]), *batch.select(["id", "vec"]).take(pa.array(at[lo : lo + 4096])).columns],
-                        ["tab", "bucket", "id", "vec"],
-                    )
-            if not index.tables and len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), np.int32)), pa.array(np.zeros(len(x), np.int64)), *batch.select(["id", "vec"]).columns], ["tab", "bucket", "id", "vec"])
+                    part = batch.take(pa.array(at[lo : lo + 4096]))
+                    columns = [pa.array(np.full(len(part), t, np.int32)), pa.array(bucket[lo : lo + 4096]), *part.columns]
+                    yield pa.RecordBatch.from_arrays(columns, ["tab", "bucket", *part.schema.names])
 
     return run
 
 
 def _through(index: Index, rows: DataFrame, queries: DataFrame, k: int, slice_rows: int) -> DataFrame:
-    """Answers of all queries through the buckets that they visit. An index without tables is one bucket of all rows."""
+    """Answers of all queries through the buckets that they visit. An index without tables is one bucket of all rows.
+
+    Queries may have a `least` score that is known to be reached by `k` candidates.
+    """
     kind = rows.schema["vec"].dataType.simpleString()
-    schema = f"tab int, bucket long, id long, vec {kind}"
-    homes = rows.select("id", "vec").mapInArrow(_entries(index, False), schema)
-    visits = queries.select("id", "vec").mapInArrow(_entries(index, True), schema)
+    schema = f"tab int, bucket long, id long, vec {kind}, least double"
+    least = F.col("least") if "least" in queries.columns else F.lit(None)
+    homes = rows.select("id", "vec", F.lit(None).cast("double").alias("least")).mapInArrow(_entries(index, False), schema)
+    visits = queries.select("id", "vec", least.cast("double").alias("least")).mapInArrow(_entries(index, True), schema)
     slices = F.ceil(F.col("n") / slice_rows).cast("int")
     counts = homes.groupBy("tab", "bucket").agg(F.count(F.lit(1)).alias("n")).select("tab", "bucket", slices.alias("slices"))
     counts = bounded_side(counts)
@@ -316,7 +321,7 @@ def _through(index: Index, rows: DataFrame, queries: DataFrame, k: int, slice_ro
     cell = F.xxhash64("tab", "bucket", "slice").alias("cell")
     homes = homes.join(large, ["tab", "bucket"], "left").withColumn("slice", F.coalesce(dealt, F.lit(0)).cast("int"))
     visits = visits.join(counts, ["tab", "bucket"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    both = homes.select(cell, F.lit(0).alias("visitor"), "id", "vec").unionByName(visits.select(cell, F.lit(1).alias("visitor"), "id", "vec"))
+    both = homes.select(cell, F.lit(0).alias("visitor"), "id", "vec", "least").unionByName(visits.select(cell, F.lit(1).alias("visitor"), "id", "vec", "least"))
 
     def scan(batches):
         best, now, held, ready = Best(k), None, [], None
@@ -324,7 +329,8 @@ def _through(index: Index, rows: DataFrame, queries: DataFrame, k: int, slice_ro
             if not len(batch):
                 continue
             cells, visitor, ids = (batch.column(c).to_numpy() for c in ("cell", "visitor", "id"))
-            x = matrix(batch.column("vec"))
+            x, least = matrix(batch.column("vec")), batch.column("least").to_numpy(zero_copy_only=False)
+            least = np.where(np.isnan(least), -np.inf, least)
             cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (visitor[1:] != visitor[:-1])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(ids)]):
                 if cells[lo] != now:
@@ -334,7 +340,7 @@ def _through(index: Index, rows: DataFrame, queries: DataFrame, k: int, slice_ro
                     ready = None
                 elif held:
                     ready = ready or tuple(map(np.concatenate, zip(*held)))
-                    best.add(ids[lo:hi], x[lo:hi], *ready)
+                    best.add(ids[lo:hi], x[lo:hi], *ready, least[lo:hi])
             if best.size > HELD // 2:
                 best.reduce()
                 if best.size > HELD // 2:
@@ -363,6 +369,11 @@ def search(
         own, mine = kept.filter(F.col("dim") == dim), asked.filter(F.col("dim") == dim)
         n, norm = sizes[dim].n, sqrt(max(sizes[dim].norm2, mine.agg(F.max("norm2")).first()[0]))
         index = fit(own, mine, n, n_queries, norm, k, tables, goal, bucket_rows, seed)
+        if index.tables:
+            # a first look: the likeliest bucket of one table, a quarter of the rows; its k-th best bounds what other buckets hand on
+            some = own.filter(F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(LOOK_EVERY)) == 0)
+            look = _through(Index(norm, index.tables[:1], 1), some, mine, k, slice_rows).filter(F.col("rank") == k)
+            mine = mine.join(look.select(F.col("query_id").alias("id"), F.col("score").alias("least")), "id", "left").checkpoint()
         found = _through(index, own, mine, k, slice_rows).checkpoint()
         if index.tables:
             full = found.filter(F.col("rank") == F.least(F.lit(k), F.lit(n - 1))).select(F.col("query_id").alias("id"))
