@@ -7,7 +7,7 @@ neighbour's projection lies around the query's is fitted on a sample, so each ce
 the product. A best-first walk lists buckets in falling order without building them all.
 
 Buckets meet their visitors in slices of bounded size: rows and visitors are shuffled by slice, scored there in
-blocks in double precision on the original vectors. A first look at each query's likeliest bucket finds `k` candidates; what is worse
+blocks in double precision on the original vectors. A first look at each query's two likeliest buckets finds `k` candidates; what is worse
 than these, or not among the best `k` of a task, never leaves a task. Candidates of all tables are merged per query.
 Queries that find fewer than `k` candidates are scored against all rows through one bucket, so no list is short.
 
@@ -45,7 +45,7 @@ BUCKET_ROWS = 1024
 SLICE_ROWS = 4096
 MOST_PROJECTIONS = 32
 MOST_PROBES = 4096
-LOOK_EVERY = 4
+LOOK_PROBES = 2
 BLOCK = 4_000_000
 HELD = 1_000_000
 
@@ -370,9 +370,8 @@ def search(
         n, norm = sizes[dim].n, sqrt(max(sizes[dim].norm2, mine.agg(F.max("norm2")).first()[0]))
         index = fit(own, mine, n, n_queries, norm, k, tables, goal, bucket_rows, seed)
         if index.tables:
-            # a first look: the likeliest bucket of one table, a quarter of the rows; its k-th best bounds what other buckets hand on
-            some = own.filter(F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(LOOK_EVERY)) == 0)
-            look = _through(Index(norm, index.tables[:1], 1), some, mine, k, slice_rows).filter(F.col("rank") == k)
+            # a first look: the likeliest buckets of one table; their k-th best bounds what other buckets hand on
+            look = _through(Index(norm, index.tables[:1], min(LOOK_PROBES, index.probes)), own, mine, k, slice_rows).filter(F.col("rank") == k)
             mine = mine.join(look.select(F.col("query_id").alias("id"), F.col("score").alias("least")), "id", "left").checkpoint()
         found = _through(index, own, mine, k, slice_rows).checkpoint()
         if index.tables:
