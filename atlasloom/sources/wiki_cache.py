@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.text import trim_ws
 from ..functions.urls import CACHE_PREFIX
 from ..operators.catalogue import newest_first, projects_from_files
 from ..operators.filters import check_language, resolve_language
@@ -109,19 +110,18 @@ def read_wiki_files(spark: SparkSession, folder: str, prefix: str = CACHE_PREFIX
     `projects`: a row per file (`id` is its name) with the columns of the catalogue, its header and `malformed`: the text of a
     file that is no such document, else null. `pages`: the pages of the structure in order, with the generated content where
     there is some; a generated page that the structure lacks comes last. `sections`: the sections in order and whether they
-    are roots. Only the columns asked for are kept of a document; a document is one row, whatever its size.
+    are roots. A document is one row, whatever its size; Spark does not see files without a byte.
     """
-    files = (
-        spark.read.schema(WIKI_FILE)
-        .option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed")
-        .option("pathGlobFilter", f"{prefix}_*.json").json(folder)
-        .withColumns({"file_name": _file_name(), "modified": F.col("_metadata.file_modification_time")})
-    )
+    texts = spark.read.option("wholetext", "true").option("pathGlobFilter", f"{prefix}_*.json").text(folder)
+    parsed = F.from_json("value", WIKI_FILE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"})
+    files = texts.select(
+        _file_name().alias("file_name"), F.col("_metadata.file_modification_time").alias("modified"), "value", parsed.alias("d")
+    ).select("file_name", "modified", "value", "d.*")
     structure = F.col("wiki_structure")
     # a document of another shape is as malformed as one that is no JSON at all
-    malformed = F.coalesce("malformed", F.when(structure.isNull() | F.col("generated_pages").isNull(), F.lit("")))
-    files = files.withColumn("malformed", malformed)
-    names = projects_from_files(files.select("file_name", "modified"), prefix).dropDuplicates(["id"])
+    shaped = trim_ws(F.col("value")).startswith("{") & structure.isNotNull() & F.col("generated_pages").isNotNull() & F.col("malformed").isNull()
+    files = files.withColumn("malformed", F.when(~F.coalesce(shaped, F.lit(False)), F.col("value")))
+    names = projects_from_files(files.select("file_name", "modified"), prefix)
     header = files.select(
         F.col("file_name").alias("id"), "malformed", structure["title"].alias("title"), structure["description"].alias("description"),
         F.coalesce("repo.repoUrl", "repo_url").alias("repo_url"), "provider", "model",

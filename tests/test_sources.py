@@ -205,11 +205,11 @@ def test_stored_wiki_files_as_tables(spark, tmp_path):
         "repo": {"owner": "o", "repo": "r", "type": "github", "repoUrl": "https://github.com/o/r"}, "provider": "google", "model": "m",
     }
     old = {"wiki_structure": {"id": "w", "title": "Old", "description": "", "pages": []}, "generated_pages": {}, "repo_url": "https://old"}
-    for name, text in {"github_o_r_en": json.dumps(whole, indent=2), "github_o_a+b_en": json.dumps(old), "github_o_cut_en": json.dumps(whole)[:300], "github_o_list_en": "[1, 2]", "github_o_empty_en": "", "short": "{}"}.items():
+    for name, text in {"github_o_r_en": json.dumps(whole, indent=2), "github_o_a+b_en": json.dumps(old), "github_o_cut_en": json.dumps(whole)[:300], "github_o_list_en": "[1, 2]", "short": "{}"}.items():
         (tmp_path / f"wiki_cache_{name}.json").write_text(text)
     got = wiki_cache.read_wiki_files(spark, str(tmp_path))
     projects = {r.repo: r for r in got["projects"].collect()}
-    assert set(projects) == {"r", "a+b", "cut", "list", "empty"} and {k for k, r in projects.items() if r.malformed is not None} == {"cut", "list", "empty"}
+    assert set(projects) == {"r", "a+b", "cut", "list"} and {k for k, r in projects.items() if r.malformed is not None} == {"cut", "list"}
     assert projects["cut"].malformed == json.dumps(whole)[:300]
     assert (projects["r"].title, projects["r"].repo_url, projects["a+b"].repo_url) == ("Wiki é", "https://github.com/o/r", "https://old")
     assert {r.id for r in wiki_cache.list_projects(spark, str(tmp_path)).collect()} == {r.id for r in projects.values()}

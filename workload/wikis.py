@@ -8,8 +8,10 @@ from atlasloom.constants import CATEGORIES
 from atlasloom.functions.markup import page_summary, strip_fences
 from atlasloom.operators import wiki as w
 from atlasloom.plans.wikis import ingest_wiki
+from atlasloom.sources.wiki_cache import list_projects, read_wiki_files
 
 from . import query
+from .corpus import scratch, write_texts
 from .inputs import load, table, with_inputs
 
 # every wiki holds 25 consecutive documents of a source; one in four has a broken block
@@ -234,6 +236,59 @@ def pending_pages(spark, sf):
     return w.pending_pages(load(spark, sf, "wiki_pages"), load(spark, sf, "generated")).select("wiki_id", "page_id")
 
 
+FILE_OF = "'wiki_cache_github_' || wiki_id || '_wiki_en.json'"
+CUT_SHORT = "CAST(substr(wiki_id, 4) AS INT) % 5 = 2"
+
+
+def wiki_files(spark, sf) -> str:
+    """A folder with the wikis as cached documents; one in five is cut short."""
+    page = lambda content: F.struct(
+        F.col("page_id").alias("id"), "title", content.alias("content"), F.col("file_paths").alias("filePaths"), "importance", F.col("related_pages").alias("relatedPages")
+    )
+    pages = load(spark, sf, "wiki_pages")
+    made = load(spark, sf, "generated").select("wiki_id", "page_id", F.col("content").alias("made"))
+    rows = pages.join(made, ["wiki_id", "page_id"], "left").groupBy("wiki_id").agg(
+        F.array_sort(F.collect_list(F.struct("page_ord", page(F.lit("")).alias("p")))).alias("listed"),
+        F.map_from_entries(F.collect_list(F.when(F.col("made").isNotNull(), F.struct("page_id", page(F.col("made")))))).alias("generated_pages"),
+    )
+    structure = F.struct(
+        F.lit("w").alias("id"), F.concat(F.lit("About "), "wiki_id").alias("title"), F.lit("").alias("description"),
+        F.transform("listed", lambda x: x["p"]).alias("pages"),
+        F.array(F.struct(F.lit("all").alias("id"), F.lit("All").alias("title"), F.transform("listed", lambda x: x["p"]["id"]).alias("pages"))).alias("sections"),
+        F.array(F.lit("all")).alias("rootSections"),
+    )
+    text = F.to_json(F.struct(structure.alias("wiki_structure"), "generated_pages", F.lit("google").alias("provider")))
+    files = rows.select(F.expr(FILE_OF).alias("path"), F.when(F.expr(CUT_SHORT), F.substring(text, F.lit(1), (F.length(text) / 2).cast("int"))).otherwise(text).alias("text"))
+    folder = scratch(spark, "wiki-files").removeprefix("file:")
+    write_texts(files, folder)
+    return folder
+
+
+@query(
+    with_inputs("wiki_pages")
+    + f"""SELECT {FILE_OF} AS id, wiki_id || '/wiki' AS name, CASE WHEN {CUT_SHORT} THEN NULL ELSE 'About ' || wiki_id END AS title,
+      {CUT_SHORT} AS is_malformed FROM wiki_pages GROUP BY wiki_id"""
+)
+def stored_wiki_projects(spark, sf):
+    """The catalogue of cached documents, with those that cannot be read"""
+    folder = wiki_files(spark, sf)
+    listed = list_projects(spark, folder).select("id", "name")
+    inside = read_wiki_files(spark, folder)["projects"].select("id", "title", F.col("malformed").isNotNull().alias("is_malformed"))
+    return listed.join(inside, "id")
+
+
+@query(
+    with_inputs("wiki_pages", "generated")
+    + f"""SELECT {FILE_OF} AS id, CAST(row_number() OVER (PARTITION BY wiki_id ORDER BY page_ord) - 1 AS INTEGER) AS page_ord, page_id, title,
+      coalesce(content, '') AS content, made IS NOT NULL AS generated, file_paths[1] AS path
+    FROM (SELECT p.* EXCLUDE (content), g.content, g.page_id AS made FROM wiki_pages p LEFT JOIN generated g USING (wiki_id, page_id)) WHERE NOT ({CUT_SHORT})"""
+)
+def stored_wiki_pages(spark, sf):
+    """The pages inside of cached documents"""
+    pages = read_wiki_files(spark, wiki_files(spark, sf))["pages"]
+    return pages.select("id", "page_ord", "page_id", "title", "content", "generated", F.col("file_paths")[0].alias("path"))
+
+
 @query(
     with_inputs("wiki_pages", "wikis")
     + """SELECT wiki_id, page_id, '- [' || file_paths[1] || '](' || repo_url || '/blob/main/' || file_paths[1] || ')' || chr(10)
