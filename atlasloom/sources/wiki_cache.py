@@ -112,7 +112,7 @@ def read_wiki_files(spark: SparkSession, folder: str, prefix: str = CACHE_PREFIX
     there is some; a generated page that the structure lacks comes last. `sections`: the sections in order and whether they
     are roots. A document is one row, whatever its size; Spark does not see files without a byte.
     """
-    texts = spark.read.option("wholetext", "true").option("pathGlobFilter", f"{prefix}_*.json").text(folder)
+    texts = spark.read.option("pathGlobFilter", f"{prefix}_*.json").text(folder, wholetext=True)
     parsed = F.from_json("value", WIKI_FILE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"})
     files = texts.select(
         _file_name().alias("file_name"), F.col("_metadata.file_modification_time").alias("modified"), "value", parsed.alias("d")
