@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..session import ensure_checkpoint_dir, ship_package
 
@@ -41,6 +42,33 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+class Scratch:
+    """Tables between the steps of an operator, in the shared folder; those no longer needed can be deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.names = spark, []
+        self.folder = f"{spark.sparkContext.getCheckpointDir()}/steps-{uuid.uuid4().hex}"
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a table and read it again. A type that Parquet lacks is checkpointed instead."""
+        if any(isinstance(f.dataType, T.NullType) for f in df.schema.fields) or len({c.lower() for c in df.columns}) < len(df.columns):
+            return df.checkpoint()
+        df.write.parquet(f"{self.folder}/{name}")
+        self.names.append(name)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop_but(self, *wanted: str) -> None:
+        for name in [n for n in self.names if n not in wanted]:
+            delete_folder(self.spark, f"{self.folder}/{name}")
+            self.names.remove(name)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on any file system that Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def text_of(name: str = "text") -> Column:
     """The text, a null one taken as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -6,11 +6,7 @@ share such parts form a small binary trie; node pairs are walked together, level
 added up, and a pair is dropped as soon as its errors pass k. A group beyond `GROUP_ROWS` is dealt again by parts of
 its other bits, which ends after a few levels because ever fewer bits are free, so no group is gathered whole.
 
-Fingerprints two bits apart are nearly equal texts only. `keep_one_of_near_copies` also links all texts whose sets of
-five-word shingles have a Jaccard similarity of 0.8 or more. Such texts are 10 bits apart on average (3 bits of spread), too
-far for parts of 64 bits, so the candidates come from the sets: in any common order of the shingles, two such sets share one
-of their first fifth. The order is rarest first by hashed counts, which decides the work and not the result. Every candidate
-is confirmed by its exact similarity; pairs that are linked already are not looked at.
+Fingerprints two bits apart are nearly equal texts only; `nearcopies` also links texts of a Jaccard similarity of 0.8.
 
 Null text: empty, fingerprint zero, linked like any other. Empty table: no rows. Repeated rows: one fingerprint, each row
 gets its component. Null ids never become the smallest id; a component with null ids only has a null id.
@@ -30,8 +26,6 @@ ERRORS = 2
 SEED = 42
 GROUP_ROWS = 512
 PART_BITS = 8
-COPY_SHINGLE = 5
-ORDER_SLOTS = 1 << 20
 
 
 def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -238,7 +232,7 @@ def keep_one_of_each(docs: DataFrame, errors: int = ERRORS, shingle: int = SHING
     apart by their place in the input. Components with null ids only keep their first row."""
     prepare(docs.sparkSession)
     name = f"row_{uuid.uuid4().hex}"
-    placed = docs.withColumn(name, F.monotonically_increasing_id())
+    placed = docs.withColumn(name, F.monotonically_increasing_id()).checkpoint()  # a task that runs again must not number otherwise
     rows = placed.select(
         F.col(name).alias("place"), F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(text_of(), shingle).alias("fp")
     ).checkpoint()
@@ -249,173 +243,3 @@ def keep_one_of_each(docs: DataFrame, errors: int = ERRORS, shingle: int = SHING
     rooted = values.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.place").alias(name))
     return placed.join(kept, name, "left_semi").drop(name)
-
-
-def shingles(text: str | None, shingle: int = COPY_SHINGLE) -> set[bytes]:
-    """The word shingles of a text, a shorter text as one; none of a text without words."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-
-
-def shingle_hashes(text: str | None) -> np.ndarray:
-    """Sorted 64-bit hashes of the shingles."""
-    import xxhash
-
-    digest = xxhash.xxh64_digest
-    return np.unique(np.frombuffer(b"".join([digest(s, SEED) for s in shingles(text)]), np.uint64))
-
-
-def near_copy(a: set[bytes], b: set[bytes]) -> bool:
-    """Jaccard similarity of 0.8 or more."""
-    both = len(a & b)
-    return 5 * both >= 4 * (len(a) + len(b) - both)
-
-
-def _shingle_order(texts: DataFrame):
-    """Broadcast counts of texts by hashed shingle. Tasks hand on blocks of counts; `ORDER_SLOTS` sums reach the driver."""
-    blocks = 64
-
-    def count(batches):
-        import pyarrow as pa
-
-        sums = np.zeros(ORDER_SLOTS, np.uint32)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                np.add.at(sums, (shingle_hashes(text) % np.uint64(ORDER_SLOTS)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(blocks), pa.int64()), pa.array([x.tobytes() for x in np.split(sums, blocks)], pa.binary())], ["block", "counts"]
-        )
-
-    def add(batches):
-        import pyarrow as pa
-
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                sums[block] = sums.get(block, 0) + np.frombuffer(counts, np.uint32)
-        if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"]
-            )
-
-    parts = texts.select("text").mapInArrow(count, "block long, counts binary").repartition("block").mapInArrow(add, "block long, counts binary")
-    counts = np.zeros((blocks, ORDER_SLOTS // blocks), np.uint32)
-    for r in parts.toLocalIterator():
-        counts[r.block] = np.frombuffer(r.counts, np.uint32)
-    return texts.sparkSession.sparkContext.broadcast(counts.reshape(-1))
-
-
-def _first_fifths(texts: DataFrame) -> DataFrame:
-    """(`h`, `node`, `size`) for the first fifth (and one) of each set of shingles; shingles of a single text are left out."""
-    order = _shingle_order(texts)
-
-    def first(batches):
-        import pyarrow as pa
-
-        counts = order.value
-        for batch in batches:
-            hs, nodes, sizes = [], [], []
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
-                own = shingle_hashes(text)
-                if not len(own):
-                    continue
-                n = counts[(own % np.uint64(ORDER_SLOTS)).astype(np.int64)]
-                chosen = np.lexsort((own, n))[: len(own) // 5 + 1]
-                chosen = chosen[n[chosen] > 1]
-                hs.append(own[chosen].view(np.int64))
-                nodes.append(np.full(len(chosen), node))
-                sizes.append(np.full(len(chosen), len(own)))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (hs, nodes, sizes)], ["h", "node", "size"])
-
-    return texts.select("node", "text").mapInArrow(first, "h long, node long, size long")
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are near copies."""
-
-    def confirm(batches):
-        import pyarrow as pa
-
-        last, own = None, set()
-        for batch in batches:
-            kept = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
-                if a != last:
-                    last, own = a, shingles(x)
-                if near_copy(own, shingles(y)):
-                    kept.append((a, b))
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept)], ["a", "b"])
-
-    side = lambda node, text: texts.select(F.col("node").alias(node), F.col("text").alias(text))
-    return (
-        pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").sortWithinPartitions("a")
-        .select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long").checkpoint()
-    )
-
-
-def copy_links(texts: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) between rows of `texts` (`node`, `text`; different sets of shingles) that are near copies, enough to
-    join all that are linked, given the links `known`.
-
-    Neighbours in two orders of each shingle's rows are confirmed first, which joins a large group of copies by a
-    number of pairs that grows as its rows do. What is left is pairs of rows that no links join yet.
-    """
-    groups = _first_fifths(texts).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("n > 1").drop("n").checkpoint()
-    fits = "5 * least(size, size_b) >= 4 * greatest(size, size_b)"
-    near = None
-    for order in (["size", "node"], [F.xxhash64("node"), "node"]):
-        w = Window.partitionBy("h").orderBy(*order)
-        some = groups.select("node", "size", F.lag("node").over(w).alias("b"), F.lag("size").over(w).alias("size_b")).filter(fits)
-        near = some if near is None else near.unionByName(some)
-    pair = (F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-    looked_at = near.select(*pair).distinct().checkpoint()
-    links = _confirmed(looked_at, texts)
-    nodes = components(links if known is None else links.unionByName(known))
-    rooted = groups.join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
-    left = rooted.join(open_, "h").checkpoint()
-    other = left.select("h", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    more = left.join(other, "h").filter("root < root_b").filter(fits).select(*pair).distinct()
-    return links.unionByName(_confirmed(more.join(looked_at, ["a", "b"], "left_anti"), texts))
-
-
-def _set_key(text: Column) -> Column:
-    """128 bits over the set of shingles."""
-
-    @F.pandas_udf(T.BinaryType())
-    def of(texts):
-        import pandas as pd
-        import xxhash
-
-        return pd.Series([xxhash.xxh3_128_digest(shingle_hashes(t).tobytes()) for t in texts], dtype=object)
-
-    return of(text)
-
-
-def keep_one_of_near_copies(docs: DataFrame) -> DataFrame:
-    """As `keep_one_of_each`, with texts linked as well if their five-word shingles have a Jaccard similarity of 0.8."""
-    prepare(docs.sparkSession)
-    name = f"row_{uuid.uuid4().hex}"
-    placed = docs.withColumn(name, F.monotonically_increasing_id())
-    rows = placed.select(
-        F.col(name).alias("place"), F.col("doc_id").cast("long").alias("doc_id"),
-        fingerprint_column(text_of()).alias("fp"), _set_key(text_of()).alias("shingles"),
-    ).checkpoint()
-    values = rows.groupBy("fp", "shingles").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first"), F.min("place").alias("node")
-    ).checkpoint()
-    prints = values.groupBy("fp").agg(F.min("node").alias("rep")).checkpoint()
-    sets = values.groupBy("shingles").agg(F.min("node").alias("rep")).checkpoint()
-    near = near_links(prints.select("fp"))
-    near = near.join(prints.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b")
-    known = near.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    for same, key in ((prints, "fp"), (sets, "shingles")):
-        known = known.unionByName(values.join(same, key).filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
-    known = known.checkpoint()
-    texts = placed.select(F.col(name).alias("node"), text_of().alias("text")).join(sets.select(F.col("rep").alias("node")), "node").checkpoint()
-    nodes = components(known.unionByName(copy_links(texts, known)))
-    rooted = values.join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.place").alias(name))
-    return placed.join(kept, name, "left_semi").drop(name)
