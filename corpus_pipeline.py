@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from atlasloom.llm import decontaminate, pii, queries, simhash, toxicity  # noqa: E402
-from atlasloom.llm.common import prepare, table  # noqa: E402
+from atlasloom.llm import decontaminate, nearcopies, pii, queries, toxicity  # noqa: E402
+from atlasloom.llm.common import delete_folder, prepare, table  # noqa: E402
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: one document of each group of linked fingerprints or near copies stays, that with the smallest doc_id."""
-    return simhash.keep_one_of_near_copies(docs)
+    return nearcopies.keep_one_of_near_copies(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +60,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
     prepare(spark)
     folder = os.path.join(spark.sparkContext.getCheckpointDir(), f"pipeline-{uuid.uuid4().hex}")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete_folder(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
