@@ -94,18 +94,66 @@ def pages_from_xml(parsed: Column) -> Column:
     )
 
 
-def sections_from_xml(parsed: Column) -> Column:
-    """Section structs of a parsed block, in document order."""
-    section = F.coalesce(parsed["sections"]["section"], parsed["section"])
-    return F.transform(
-        section,
-        lambda s, i: F.struct(
-            _default_id(s["_id"], "section-", i).alias("section_id"),
-            F.coalesce(s["title"], F.lit("")).alias("title"),
-            _non_empty(s["pages"]["page_ref"], s["page_ref"]).alias("pages"),
-            _non_empty(s["subsections"]["section_ref"], s["section_ref"]).alias("subsections"),
-        ),
-    )
+_TOKEN = r"(?s)<(/?)(section|title|page_ref|section_ref)(?=[\s/>])((?:\s[^>]*?)?)(/?)>([^<]*)"
+_OPENED = "array<struct<no: int, depth: int, parent: int, at: int>>"
+_FOLD = f"struct<stack: array<int>, n: int, opened: {_OPENED}, closed: array<struct<no: int, at: int>>>"
+
+
+def _tokens(xml: Column) -> Column:
+    """Tags of sections and of what they hold, in document order, each with the text behind it."""
+    bare = F.regexp_replace(F.regexp_replace(xml, r"(?s)<!--.*?-->", ""), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
+    return F.arrays_zip(*[
+        F.regexp_extract_all(bare, F.lit(_TOKEN), F.lit(i)).alias(n) for i, n in enumerate(("shut", "name", "attributes", "lone", "text"), 1)
+    ])
+
+
+def _folded(tokens: Column) -> Column:
+    """One left-to-right pass with a stack of open sections: where each section opens, with its depth and parent, and closes."""
+    marks = F.filter(F.transform(tokens, lambda t, i: F.struct(t["name"].alias("name"), (t["shut"] == "/").alias("shut"), (t["lone"] == "/").alias("lone"), i.alias("at"))), lambda t: t["name"] == "section")
+
+    def step(a: Column, t: Column) -> Column:
+        top = F.try_element_at(a["stack"], F.lit(-1))
+        # a tag that closes nothing is passed over
+        closing, no = t["shut"] & top.isNotNull(), F.when(t["shut"], top).otherwise(a["n"])
+        opening = ~t["shut"]
+        opened = F.struct(no.alias("no"), F.size(a["stack"]).alias("depth"), F.coalesce(top, F.lit(-1)).alias("parent"), t["at"].alias("at"))
+        return F.struct(
+            F.when(closing, F.slice(a["stack"], F.lit(1), F.size(a["stack"]) - 1)).when(opening & ~t["lone"], F.array_append(a["stack"], no)).otherwise(a["stack"]).alias("stack"),
+            F.when(opening, a["n"] + 1).otherwise(a["n"]).alias("n"),
+            F.when(opening, F.array_append(a["opened"], opened)).otherwise(a["opened"]).alias("opened"),
+            F.when(closing | opening & t["lone"], F.array_append(a["closed"], F.struct(no.alias("no"), t["at"].alias("at")))).otherwise(a["closed"]).alias("closed"),
+        ).cast(_FOLD)
+
+    empty = F.struct(F.array().alias("stack"), F.lit(0).alias("n"), F.array().alias("opened"), F.array().alias("closed")).cast(_FOLD)
+    return F.aggregate(marks, empty, step)
+
+
+def sections_from_xml(xml: Column) -> Column:
+    """Section structs at any depth, in document order, with their depth and the section that they stand in.
+
+    A section holds the references of the sections inside it as well; its title is the first one inside.
+    """
+
+    def section(tokens: Column, fold: Column) -> Column:
+        ends = F.map_from_entries(fold["closed"])
+        ids = F.transform(fold["opened"], lambda o: _default_id(_id(F.get(tokens, o["at"])["attributes"]), "section-", o["no"]))
+
+        def one(o: Column) -> Column:
+            end = F.coalesce(F.try_element_at(ends, o["no"]), F.size(tokens))
+            inside = F.filter(F.slice(tokens, o["at"] + 2, F.greatest(F.lit(0), end - o["at"] - 1)), lambda t: t["shut"] == "")
+            texts = lambda name: _non_empty(F.transform(F.filter(inside, lambda t: t["name"] == name), lambda t: unescape_xml(t["text"])))
+            titles = F.transform(F.filter(inside, lambda t: t["name"] == "title"), lambda t: unescape_xml(t["text"]))
+            return F.struct(
+                F.get(ids, o["no"]).alias("section_id"), F.coalesce(F.get(titles, F.lit(0)), F.lit("")).alias("title"),
+                texts("page_ref").alias("pages"), texts("section_ref").alias("subsections"),
+                o["depth"].alias("depth"), F.when(o["parent"] >= 0, F.get(ids, o["parent"])).alias("parent_id"),
+            )
+
+        return F.transform(fold["opened"], one)
+
+    # bound as lambda variables, tokens are cut out and folded once
+    bound = F.transform(F.array(_tokens(xml)), lambda t: F.struct(t.alias("tokens"), _folded(t).alias("fold")))
+    return F.flatten(F.transform(bound, lambda b: section(b["tokens"], b["fold"])))
 
 
 def _count(xml: Column, tag: str) -> Column:
@@ -147,18 +195,6 @@ def pages_anywhere(xml: Column) -> Column:
     )
 
 
-def sections_anywhere(xml: Column) -> Column:
-    """Section structs of a block whose sections stand at any depth; what a section holds before the next one begins."""
-    return F.transform(
-        _elements(xml, "section", r"(?=<section[\s>])|</section>"),
-        lambda s, i: F.struct(
-            _default_id(_id(s["tag"]), "section-", i).alias("section_id"),
-            F.coalesce(F.get(_texts(s["body"], "title"), F.lit(0)), F.lit("")).alias("title"),
-            _texts(s["body"], "page_ref").alias("pages"), _texts(s["body"], "section_ref").alias("subsections"),
-        ),
-    )
-
-
 def pages_from_text(xml: Column) -> Column:
     """The same page structs cut out of unparsable text by pattern; sections are lost."""
 

@@ -9,12 +9,13 @@ from ..functions.decks import (
     annotate_exercises, build_toc, final_project_note, slide_description, slide_html, slide_items, slide_title,
 )
 from ..functions.markup import (
-    extract_wiki_xml, first_element, nested, pages_anywhere, pages_from_text, pages_from_xml, parse_xml, repair_xml, sections_anywhere, sections_from_xml,
-    strip_fences, trimmed_element, unescape_xml,
+    extract_wiki_xml, first_element, nested, pages_anywhere, pages_from_text, pages_from_xml, parse_xml, repair_xml, sections_from_xml, strip_fences,
+    trimmed_element, unescape_xml,
 )
 from ..operators.publish import export_json, export_markdown, pack_context
 from ..operators.scale import bounded_side
 from ..operators.wiki import attach_content, infer_sections, ready_wikis, root_sections
+from ..session import ensure_checkpoint_dir
 from ..sources.wiki_cache import KEY, upsert_wiki
 
 
@@ -22,8 +23,9 @@ def flatten_wiki_xml(responses: DataFrame, comprehensive: bool = True) -> tuple[
     """(`wikis`, `pages`, `sections`) of generated responses (`wiki_id, response`).
 
     A block that does not parse is read by pattern instead; a response without a block keeps an
-    error in `wikis`.
+    error in `wikis`. What is read from a response is stored once, as a checkpoint that all tables come from.
     """
+    ensure_checkpoint_dir(responses.sparkSession)
     blocks = responses.select(
         "wiki_id", extract_wiki_xml(strip_fences(F.col("response"), "xml")).alias("block")
     )
@@ -33,7 +35,7 @@ def flatten_wiki_xml(responses: DataFrame, comprehensive: bool = True) -> tuple[
             broken.alias("rebuilt"),
             F.when(broken, pages_from_text(F.col("xml")))
             .when(nested(F.col("xml"), w, "page"), pages_anywhere(F.col("xml"))).otherwise(pages_from_xml(w)).alias("pages"),
-            F.when(~broken, F.when(nested(F.col("xml"), w, "section"), sections_anywhere(F.col("xml"))).otherwise(sections_from_xml(w))).alias("sections"),
+            F.when(~broken, sections_from_xml(F.col("xml"))).alias("sections"),
         )
 
     def text(tag: str) -> Column:
@@ -44,22 +46,16 @@ def flatten_wiki_xml(responses: DataFrame, comprehensive: bool = True) -> tuple[
     xml = blocks.select("wiki_id", "block", repair_xml(F.col("block")).alias("xml"))
     # Bound as a lambda variable, a block is parsed once for all that is read from it.
     parsed = F.transform(F.array(F.when(F.col("block") != "", parse_xml(F.col("xml")))), read)
-    structured = xml.select(
-        "wiki_id",
-        "xml",
-        F.when(F.col("block") == "", F.lit(NO_XML_ERROR)).alias("error"),
-        F.inline(parsed),
-    )
-    wikis = structured.select(
-        "wiki_id", text("title"), text("description"), F.coalesce("rebuilt", F.lit(False)).alias("rebuilt"), "error"
-    )
+    structured = xml.select("wiki_id", "xml", F.when(F.col("block") == "", F.lit(NO_XML_ERROR)).alias("error"), F.inline(parsed))
+    structured = structured.select("wiki_id", text("title"), text("description"), F.coalesce("rebuilt", F.lit(False)).alias("rebuilt"), "error", "pages", "sections").checkpoint()
+    wikis = structured.drop("pages", "sections")
     pages = structured.select("wiki_id", F.posexplode("pages").alias("page_ord", "p")).select(
         "wiki_id", "page_ord", "p.page_id", "p.title", F.lit("").alias("content"), "p.file_paths",
         "p.importance", "p.related_pages",
     )
     sections = structured.filter(F.lit(comprehensive)).select(
         "wiki_id", F.posexplode("sections").alias("sec_ord", "s")
-    ).select("wiki_id", "sec_ord", "s.section_id", "s.title", "s.pages", "s.subsections")
+    ).select("wiki_id", "sec_ord", "s.*")
     return wikis, pages, sections
 
 

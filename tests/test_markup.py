@@ -236,5 +236,43 @@ def test_elements_at_any_depth(spark):
         (0, "p1", " in & s1 ", "high", ["a.py"], []), (1, "p2", "plain", "medium", [], ["p1"])
     ]
     assert [(s.section_id, s.title, s.pages) for s in sorted(sections.collect(), key=lambda s: s.sec_ord)] == [
-        ("s1", "One", ["p1"]), ("s2", "Two", ["p2"])
+        ("s1", "One", ["p1", "p2"]), ("s2", "Two", ["p2"])  # an element's references are all below it
     ]
+
+
+def test_sections_folded_with_a_stack(evaluate):
+    """Three levels, lone tags, comments, stray and missing ends, against a plain stack."""
+    import re
+
+    from atlasloom.functions.markup import sections_from_xml
+
+    def plain(xml):
+        xml = re.sub(r"(?s)<!--.*?-->", "", xml)
+        stack, out = [], []
+        for shut, name, attributes, lone, text in re.findall(r"<(/?)(section|title|page_ref|section_ref)(?=[\s/>])((?:\s[^>]*?)?)(/?)>([^<]*)", xml):
+            text = text.replace("&amp;", "&")
+            if name == "section" and shut:
+                stack[-1:] = []
+            elif name == "section":
+                given = re.search(r"""\sid\s*=\s*["']([^"']*)""", attributes)
+                own = [given and given[1] or f"section-{len(out) + 1}", None, [], [], len(stack), out[stack[-1]][0] if stack else None]
+                stack.append(len(out))
+                out.append(own)
+                if lone:
+                    stack.pop()
+            elif not shut:
+                for i in stack:
+                    if name == "title":
+                        out[i][1] = text if out[i][1] is None else out[i][1]
+                    elif text:
+                        out[i][2 if name == "page_ref" else 3].append(text)
+        return [(i, t or "", p, s, d, q) for i, t, p, s, d, q in out]
+
+    deep = "".join(f'<section id="d{i}"><title>D{i}</title>' for i in range(60)) + "<page_ref>p</page_ref>" + "</section>" * 60
+    cases = [
+        "", "<title>no section</title>", "<section/><section id='a'/>", "</section><section><title>A &amp; B</title></section>",
+        '<section id="x"><section><section id = "z"><page_ref>1</page_ref></section><page_ref></page_ref></section><section_ref>q</section_ref><title>late</title></section>',
+        "<section><!-- <section> --><page_ref>1</page_ref>", deep, "<sections><section id=''><title/></section></sections>",
+    ]
+    got = evaluate(sections_from_xml, [(c,) for c in cases], "xml string")
+    assert [[tuple(s) for s in sections] for sections in got] == [plain(c) for c in cases]

@@ -40,6 +40,9 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
         '<section id="one"><title>One</title><pages><page_ref>{0}</page_ref></pages><subsections><section_ref>two</section_ref>'
         '</subsections></section><section><title>Two</title></section><section id="three"><title>Three</title>'
         "<subsections><section_ref>three</section_ref></subsections></section>"
+        '<section id="four"><!-- <section> --><section id="five"><title>Five</title><pages><page_ref>a &amp; b</page_ref></pages>'
+        '<section id="six"><title>Six</title><subsections><section_ref>two</section_ref></subsections></section></section>'
+        "<section id='seven'/><title>Four</title></section><section id=\"eight\"><title>Eight</title></section>"
     )
     body = F.concat(
         F.lit("```xml\n<wiki_structure>\n<title>Wiki &amp; "), "wiki", F.lit("</title><description>About it"),
@@ -80,15 +83,16 @@ def wiki_pages_from_xml(spark, sf):
 @query(
     with_inputs("wiki_pages", also=SPLIT)
     + """SELECT wiki AS wiki_id, s.* FROM (SELECT wiki, min(page_id) AS first FROM split WHERE NOT broken GROUP BY wiki),
-      LATERAL (VALUES (0, 'one', first, 'two', TRUE), (1, 'section-2', '', '', TRUE), (2, 'three', '', 'three', FALSE))
-        AS s(sec_ord, section_id, pages, subsections, is_root)"""
+      LATERAL (VALUES (0, 'one', 'One', first, 'two', TRUE, 0, NULL), (1, 'section-2', 'Two', '', '', TRUE, 0, NULL), (2, 'three', 'Three', '', 'three', FALSE, 0, NULL),
+        (3, 'four', 'Five', 'a & b', 'two', TRUE, 0, NULL), (4, 'five', 'Five', 'a & b', 'two', TRUE, 1, 'four'), (5, 'six', 'Six', '', 'two', TRUE, 2, 'five'),
+        (6, 'seven', '', '', '', TRUE, 1, 'four'), (7, 'eight', 'Eight', '', '', TRUE, 0, NULL)) AS s(sec_ord, section_id, title, pages, subsections, is_root, depth, parent_id)"""
 )
 def wiki_sections_from_xml(spark, sf):
     """Sections; broken blocks lose theirs"""
     out = ingest_wiki(responses(spark, sf))
     roots = out["roots"].select("wiki_id", "section_id", F.lit(True).alias("root"))
     return out["sections"].join(roots, ["wiki_id", "section_id"], "left").select(
-        "wiki_id", "sec_ord", "section_id", F.array_join("pages", ",").alias("pages"),
+        "wiki_id", "sec_ord", "section_id", "title", "depth", "parent_id", F.array_join("pages", ",").alias("pages"),
         F.array_join("subsections", ",").alias("subsections"), F.coalesce("root", F.lit(False)).alias("is_root"),
     )
 
