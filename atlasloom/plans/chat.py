@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import TOP_K
-from ..functions.prompts import (
-    context_block, file_block, prompt_head, query_block, render_fallback, render_prompt, turn_text,
-)
+from ..functions.prompts import is_token_limit_error, render_fallback, render_prompt
 from ..functions.urls import repo_short_name
 from ..operators.chat import (
-    conversation_state, focus_file, focus_query, pair_turns, response_stages, upsert_stages,
+    conversation_state, focus_file, focus_query, fold_history, pair_turns, response_stages, upsert_stages,
 )
 from ..operators.context import group_context
 from ..operators.embed import embed_chunks
 from ..operators.filters import language_name, request_error
 from ..operators.retrieval import retrieve
-from ..operators.scale import ordered_text
+from ..operators.scale import bounded_side
+from ..session import ensure_checkpoint_dir
 
 # Placeholders a caller's system texts may use; one text per research phase.
 SYSTEM_FIELDS = ("repo_type", "repo_url", "repo_name", "language_name", "iteration")
@@ -45,7 +46,7 @@ def prepare_requests(requests: DataFrame, messages: DataFrame) -> DataFrame:
     )
 
 
-def assemble_requests(
+def prompt_parts(
     requests: DataFrame,
     messages: DataFrame,
     chunks: DataFrame,
@@ -55,57 +56,57 @@ def assemble_requests(
     embedder: str = "hashing",
     **options,
 ) -> DataFrame:
-    """One prompt per valid request (`conv_id, prompt`).
+    """What a prompt is made of, one row per valid request: `conv_id, system, history, file_path, file_content, context, query, provider`.
 
-    `requests`: `conv_id, repo_id, repo_url, repo_type, language, provider, file_path`. Requests
-    with a too large input skip retrieval before any vector is scored. History turns stay rows
-    until the final ordered join, so a very long conversation is several parts, not one task.
+    `requests`: `conv_id, repo_id, repo_url, repo_type, language, provider, file_path`. Messages are folded once and the
+    valid requests stored; requests with a too large input skip retrieval before any vector is scored. Histories are
+    joined by ranges of turns, so a very long conversation is several parts until the end.
     """
-    ready = prepare_requests(requests, messages).filter("error IS NULL")
+    ensure_checkpoint_dir(requests.sparkSession)
+    ready = prepare_requests(requests, messages).filter("error IS NULL").checkpoint()
     focused = focus_file(ready, docs).withColumn("system", _system_text(templates or DEFAULT_SYSTEM))
-
     asked = focus_query(ready).filter(~F.col("too_large")).select(
         "repo_id", F.col("conv_id").cast("string").alias("query_id"), F.col("rag_query").alias("text")
     )
     hits = retrieve(embed_chunks(asked, embedder, **options).drop("text"), chunks, k)
     context = group_context(hits, ["query_id"])
-    turns = pair_turns(messages)
-    # The highest turn of a conversation tells how many parts its history has.
-    dialogs = turns.groupBy("conv_id").agg(F.max("turn_no").alias("last_turn"))
-    rows = (
-        focused.join(context, focused["conv_id"].cast("string") == context["query_id"], "left")
-        .drop("query_id")
-        .join(dialogs, "conv_id", "left")
-    )
-    has_turns = F.col("last_turn").isNotNull()
-    ends = rows.select(
-        "conv_id",
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit(0).cast("bigint").alias("ord"),
-                    F.concat(
-                        prompt_head(F.col("system")),
-                        F.when(has_turns, F.lit("<conversation_history>\n")).otherwise(F.lit("")),
-                    ).alias("text"),
-                ),
-                F.struct(
-                    (F.coalesce("last_turn", F.lit(0)) + 2).cast("bigint").alias("ord"),
-                    F.concat(
-                        F.when(has_turns, F.lit("</conversation_history>\n\n")).otherwise(F.lit("")),
-                        file_block(F.col("file_path"), F.col("file_content")),
-                        context_block(F.col("context")),
-                        query_block(F.col("query"), F.col("provider")),
-                    ).alias("text"),
-                ),
-            )
-        ),
+    history = fold_history(pair_turns(messages))
+    return (
+        focused.join(context, focused["conv_id"].cast("string") == context["query_id"], "left").join(history, "conv_id", "left")
+        .select("conv_id", "system", "history", "file_path", "file_content", "context", "query", "provider")
     )
-    said = turns.join(ready.select("conv_id"), "conv_id", "left_semi").select(
-        "conv_id", (F.col("turn_no") + 1).cast("bigint").alias("ord"),
-        turn_text(F.col("user_text"), F.col("assistant_text")).alias("text"),
-    )
-    return ordered_text(ends.unionByName(said), ["conv_id"], "ord", "text", "prompt")
+
+
+def assemble_requests(
+    requests: DataFrame,
+    messages: DataFrame,
+    chunks: DataFrame,
+    docs: DataFrame,
+    templates: dict[str, str] | None = None,
+    k: int = TOP_K,
+    embedder: str = "hashing",
+    call: Callable[[DataFrame], DataFrame] | None = None,
+    **options,
+) -> DataFrame:
+    """One prompt per valid request (`conv_id, prompt`).
+
+    With `call`, prompts are tried: it takes them and returns `conv_id, error`, null where a model answered. Requests that met a
+    token limit get the smaller prompt without context (H26), all others keep theirs; `retried` tells them apart.
+    """
+    parts = prompt_parts(requests, messages, chunks, docs, templates, k, embedder, **options)
+    if call is None:
+        return render_rows(parts).select("conv_id", "prompt")
+    parts = parts.checkpoint()  # read again for what is tried a second time
+    first = render_rows(parts).select("conv_id", "prompt").checkpoint()
+    return retry_smaller(parts, first, call(first))
+
+
+def retry_smaller(parts: DataFrame, prompts: DataFrame, answers: DataFrame) -> DataFrame:
+    """Second pass over `prompts`: only rows whose answer is a token limit error are rendered again, without context."""
+    failed = bounded_side(answers.filter(is_token_limit_error(F.col("error"))).select("conv_id"))
+    again = render_rows(parts.drop("context").join(failed, "conv_id", "left_semi"), fallback=True)
+    kept = prompts.join(failed, "conv_id", "left_anti").select("conv_id", "prompt", F.lit(False).alias("retried"))
+    return kept.unionByName(again.select("conv_id", "prompt", F.lit(True).alias("retried")))
 
 
 def render_rows(rows: DataFrame, fallback: bool = False) -> DataFrame:

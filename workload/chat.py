@@ -32,7 +32,7 @@ cleaned AS (SELECT *, CASE WHEN contains(raw, '[DEEP RESEARCH]') THEN {TAGLESS.f
 state AS (SELECT conv_id, last_role, is_research, CAST(i AS INTEGER) AS iteration,
     CASE WHEN NOT is_research THEN 'answer' WHEN i = 1 THEN 'first' WHEN i >= 5 THEN 'final' ELSE 'intermediate' END AS phase,
     CASE WHEN is_research AND contains(lower(last), 'continue') AND contains(lower(last), 'research') AND topic <> '' THEN topic END AS original_topic,
-    last FROM cleaned)"""
+    last, raw FROM cleaned)"""
 
 
 @query(with_inputs("messages", also=STRICT) + "SELECT * FROM turns")
@@ -164,30 +164,47 @@ def fallback_prompts(spark, sf):
     return render_rows(rows.filter(is_token_limit_error(F.col("error"))), fallback=True).select("conv_id", "prompt")
 
 
-@query(
-    with_inputs(
-        "messages", "requests", "files",
-        also=CHUNKS + ",\n" + STRICT + ",\n" + STATE + """,
-ready AS (SELECT r.*, s.phase, s.iteration, coalesce(s.original_topic, s.last) AS query, f.text AS file_content
-  FROM requests r JOIN state s USING (conv_id) LEFT JOIN files f ON r.repo_id = f.repo_id AND r.file_path = f.file_path
-  WHERE s.last_role = 'user'),
-asked AS (SELECT repo_id, CAST(conv_id AS STRING) AS query_id, coalesce('Contexts related to ' || file_path, query) AS text FROM ready),
+CONTEXT_PART = """      || CASE WHEN context IS NOT NULL THEN '<START_OF_CONTEXT>' || chr(10) || context || chr(10) || '<END_OF_CONTEXT>' || chr(10) || chr(10)
+        ELSE '<note>Answering without retrieval augmentation.</note>' || chr(10) || chr(10) END
 """
-        + text_hits("asked") + ",\n" + CONTEXT,
-    )
-    + """SELECT conv_id, '/no_think Repository github ' || repo_url || ' (' || r.repo_id || '); language '
+SMALLER_PART = """      || '<note>Answering without retrieval augmentation due to input size constraints.</note>' || chr(10) || chr(10)
+"""
+PROMPT = """SELECT conv_id, '/no_think Repository github ' || repo_url || ' (' || r.repo_id || '); language '
       || CASE language WHEN 'fr' THEN 'Français (French)' ELSE 'English' END || '; phase ' || phase || ', iteration ' || iteration || '.'
       || chr(10) || chr(10)
       || CASE WHEN history IS NOT NULL THEN '<conversation_history>' || chr(10) || history || '</conversation_history>' || chr(10) || chr(10) ELSE '' END
       || CASE WHEN coalesce(file_content, '') <> '' THEN '<currentFileContent path="' || file_path || '">' || chr(10) || file_content || chr(10)
         || '</currentFileContent>' || chr(10) || chr(10) ELSE '' END
-      || CASE WHEN context IS NOT NULL THEN '<START_OF_CONTEXT>' || chr(10) || context || chr(10) || '<END_OF_CONTEXT>' || chr(10) || chr(10)
-        ELSE '<note>Answering without retrieval augmentation.</note>' || chr(10) || chr(10) END
-      || '<query>' || chr(10) || query || chr(10) || '</query>' || chr(10) || chr(10) || 'Assistant: '
+{context}      || '<query>' || chr(10) || query || chr(10) || '</query>' || chr(10) || chr(10) || 'Assistant: '
       || CASE WHEN provider = 'ollama' THEN ' /no_think' ELSE '' END AS prompt
-    FROM ready r LEFT JOIN histories h USING (conv_id) LEFT JOIN contexts x ON x.query_id = CAST(conv_id AS STRING)"""
+    FROM ready r LEFT JOIN histories h USING (conv_id) LEFT JOIN contexts x ON x.query_id = CAST(conv_id AS STRING)""".replace("{context}", CONTEXT_PART)
+WINDOW = 30_000
+
+
+def small_window(prompts):
+    """A model whose window is `WINDOW` characters: longer prompts come back with its error."""
+    error = F.when(F.length("prompt") > WINDOW, F.lit("400: this model's maximum context length is exceeded"))
+    return prompts.select("conv_id", error.alias("error"))
+
+
+@query(
+    with_inputs(
+        "long_messages", "requests", "files",
+        also=CHUNKS + ",\n" + (STRICT + ",\n" + STATE).replace("messages", "long_messages") + """,
+ready AS (SELECT r.*, s.phase, s.iteration, coalesce(s.original_topic, s.last) AS query, s.raw, f.text AS file_content
+  FROM requests r JOIN state s USING (conv_id) LEFT JOIN files f ON r.repo_id = f.repo_id AND r.file_path = f.file_path
+  WHERE s.last_role = 'user'),
+asked AS (SELECT repo_id, CAST(conv_id AS STRING) AS query_id, coalesce('Contexts related to ' || file_path, query) AS text FROM ready
+  WHERE length(raw) // 4 <= 8000),
+"""
+        + text_hits("asked") + ",\n" + CONTEXT + f""",
+tried AS ({PROMPT}),
+smaller AS ({PROMPT.replace(CONTEXT_PART, SMALLER_PART)})""",
+    )
+    + f"""SELECT t.conv_id, CASE WHEN length(t.prompt) > {WINDOW} THEN s.prompt ELSE t.prompt END AS prompt, length(t.prompt) > {WINDOW} AS retried
+    FROM tried t JOIN smaller s USING (conv_id)"""
 )
 def assembled_prompts(spark, sf):
-    """B8 to B10, C10, D3 to D6, E2, E10, J3"""
+    """B8 to B10, C10, D3 to D6, E2, E10, J3; prompts beyond the model's window are tried again without context"""
     files = load(spark, sf, "files").select("repo_id", "doc_ord", "file_path", "text")
-    return assemble_requests(load(spark, sf, "requests"), load(spark, sf, "messages"), stored_chunks(spark, sf), files)
+    return assemble_requests(load(spark, sf, "requests"), load(spark, sf, "long_messages"), stored_chunks(spark, sf), files, call=small_window)

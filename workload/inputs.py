@@ -32,6 +32,14 @@ INPUTS = {
             WHEN conv_id % 3 = 0 AND role = 'user' THEN ' [DEEP RESEARCH] Continue the research '
             ELSE text END AS content
         FROM @conversations""",
+    # the same, with user messages that are too large in some conversations
+    "long_messages": """
+        SELECT conv_id, turn, role,
+          CASE WHEN conv_id % 3 = 0 AND turn = 0 THEN '[DEEP RESEARCH] ' || text
+            WHEN conv_id % 3 = 0 AND role = 'user' THEN ' [DEEP RESEARCH] Continue the research '
+            WHEN conv_id % 29 = 7 AND role = 'user' THEN repeat(text || ' ', CAST(floor(33000 / (length(text) + 1)) AS INT) + 1)
+            ELSE text END AS content
+        FROM @conversations""",
     # answers that carry research markers by position; four conversations make one, so there are more than five answers
     "answers": """
         SELECT conv_id - conv_id % 4 AS conv_id, turn + 1000 * (conv_id % 4) AS turn, role,
