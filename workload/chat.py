@@ -178,7 +178,7 @@ PROMPT = """SELECT conv_id, '/no_think Repository github ' || repo_url || ' (' |
 {context}      || '<query>' || chr(10) || query || chr(10) || '</query>' || chr(10) || chr(10) || 'Assistant: '
       || CASE WHEN provider = 'ollama' THEN ' /no_think' ELSE '' END AS prompt
     FROM ready r LEFT JOIN histories h USING (conv_id) LEFT JOIN contexts x ON x.query_id = CAST(conv_id AS STRING)""".replace("{context}", CONTEXT_PART)
-WINDOW = 30_000
+WINDOW = 48_000
 
 
 def small_window(prompts):

@@ -120,30 +120,50 @@ def context_pack(spark, sf):
     return p.pack_context(load(spark, sf, "wiki_pages"), load(spark, sf, "generated"), load(spark, sf, "wikis"))
 
 
-# text without digits, colons, hashes and full stops, one part per line
-PLAIN = "translate(text, '0123456789:#.', '')"
-LINES = f"""lines AS (SELECT doc_id, i, trim(line) AS line FROM (
-  SELECT doc_id, unnest(string_split({PLAIN}, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)
+# every line of a text, whole, as an item of a plan in one of four notations; a fifth of the plans has lines that are no items
+PREFIX = "CASE doc_id % 5 WHEN 0 THEN {0} || '. ' WHEN 1 THEN {0} || ') ' WHEN 2 THEN 'Slide ' || {0} || ': ' WHEN 3 THEN '- ' ELSE ': ' END"
+DEFAULTS = """(VALUES (1, 'Title Slide', 'Introduction to r'), (2, 'Overview', 'Key features and purpose of r'),
+  (3, 'Architecture', 'System components and structure'), (4, 'Features', 'Main capabilities and functionalities'),
+  (5, 'Implementation', 'How it works and technical details'), (6, 'Use Cases', 'How to use r effectively'),
+  (7, 'Conclusion', 'Summary and next steps')) AS v(slide_no, title, description)"""
+# a numbered item is only seen where the next line is another one or the text ends: in a plan of another notation that is the last line,
+# or the last but one where its number stands at the end
+SLIDES = f"""lines AS (SELECT doc_id, i, trim(line) AS line FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)
   WHERE trim(line) <> ''),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM lines)"""
+placed AS (SELECT doc_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY doc_id) AS total,
+  CASE WHEN line LIKE '%:' THEN line || '-' ELSE line END AS line FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+whole AS (SELECT doc_id, n, total, line, {PREFIX.format("n")} || line AS item FROM placed),
+ends AS (SELECT doc_id, max(item) FILTER (WHERE n = total) AS last, coalesce(max(item) FILTER (WHERE n = total - 1), '') AS before FROM whole GROUP BY doc_id),
+strays AS (SELECT doc_id, CASE
+    WHEN doc_id % 5 > 0 AND regexp_matches(before, '[0-9]+\\.$') THEN last
+    WHEN doc_id % 5 > 0 AND regexp_matches(last, '[0-9]+\\.\\s') THEN regexp_extract(last, '[0-9]+\\.\\s+(.*)$', 1)
+    WHEN doc_id % 5 > 1 AND regexp_matches(before, '[0-9]+\\)$') THEN last
+    WHEN doc_id % 5 > 1 AND regexp_matches(last, '[0-9]+\\)\\s') THEN regexp_extract(last, '[0-9]+\\)\\s+(.*)$', 1) END AS stray FROM ends),
+items AS (
+  SELECT doc_id, n, line AS item FROM whole JOIN strays USING (doc_id) WHERE stray IS NULL AND doc_id % 5 < 3
+  UNION ALL SELECT doc_id, n, string_split(item, ':')[1] FROM whole JOIN strays USING (doc_id)
+    WHERE stray IS NULL AND doc_id % 5 = 3 AND length(string_split(item, ':')[1]) > 3
+      AND NOT contains(lower(string_split(item, ':')[1]), 'please') AND NOT contains(lower(string_split(item, ':')[1]), 'here')
+  UNION ALL SELECT doc_id, 1, stray FROM strays WHERE stray IS NOT NULL)"""
 
 
 @query(
-    f"""WITH {LINES} SELECT 'd' || doc_id AS wiki_id, CAST(n AS INTEGER) AS slide_no, trim(substr(line, 1, 20)) AS title,
-      CASE WHEN n % 2 = 0 THEN trim(line) ELSE '' END AS description FROM numbered"""
+    f"""WITH {SLIDES} SELECT 'd' || doc_id AS wiki_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INTEGER) AS slide_no,
+      trim(string_split(item, ':')[1]) AS title, trim(coalesce(string_split(item, ':')[2], '')) AS description FROM items
+    UNION ALL SELECT 'd' || doc_id, slide_no, title, description FROM documents, {DEFAULTS} WHERE doc_id NOT IN (SELECT doc_id FROM items)"""
 )
 def slide_plan(spark, sf):
-    """Every line of a text as a numbered item, in one of three notations"""
-    lines = F.filter(F.transform(F.split(F.expr(PLAIN), "\n"), F.trim), lambda x: x != "")
-    kind = F.col("doc_id") % 3
+    """Every line of a text, whole, in four notations; plans without an item get the default slides"""
+    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
 
     def item(x, i):
-        text = F.concat(F.substr(x, F.lit(1), F.lit(20)), F.when(i % 2 == 1, F.concat(F.lit(": "), x, F.lit(": z"))).otherwise(F.lit("")))
-        number = (i + 1).cast("string")
+        number, whole = (i + 1).cast("string"), F.when(x.endswith(":"), F.concat(x, F.lit("-"))).otherwise(x)
+        kind = F.col("doc_id") % 5
         return F.concat(
             F.when(kind == 0, F.concat(number, F.lit(". "))).when(kind == 1, F.concat(number, F.lit(") ")))
-            .otherwise(F.concat(F.lit("Slide "), number, F.lit(": "))),
-            text,
+            .when(kind == 2, F.concat(F.lit("Slide "), number, F.lit(": "))).when(kind == 3, "- ").otherwise(": "),
+            whole,
         )
 
     plans = table(spark, sf, "documents", heavy=True).select(
@@ -169,52 +189,68 @@ def slide_page(spark, sf):
 
 
 NOTE = "'<div style=\"text-align: right; font-size: 0.85em; color: #666;\">' || chr(10) || "
-SHOWN = (
-    NOTE + "'Exercise {0} of 3 | Estimated time: {1} minutes' || chr(10) || '</div>' || chr(10) || chr(10) || "
-)
+SHOWN = NOTE + "'Exercise {0} of 3 | Estimated time: {1} minutes' || chr(10) || '</div>' || chr(10) || chr(10)"
 
 
-@query(
-    f"""SELECT doc_id, '# Guide' || chr(10) || body || chr(10)
-      || CASE WHEN doc_id % 2 = 0 THEN '## Contents' || chr(10) ELSE '## Table of Contents' || {NL2}
-        || '- [Setup, now](#setup-now)' || chr(10) || '- [Exercise 1: start](#exercise-1-start)' || chr(10) || '- [Exercise 2: go on](#exercise-2-go-on)' || chr(10)
-        || '- [Exercise 3: end](#exercise-3-end)' || chr(10) || '- [Final Project](#final-project)' || {NL2} END
-      || '## Setup, now' || chr(10) || '## Exercise 1: start' || chr(10) || {SHOWN.format(1, 5)} body || chr(10)
-      || '## Exercise 2: go on' || chr(10) || {SHOWN.format(2, 10)} body || chr(10) || '## Exercise 3: end' || chr(10) || {SHOWN.format(3, 15)}
-      '## Final Project' || chr(10) || {NOTE} 'Estimated time: 20-30 minutes | Combines concepts from all exercises' || chr(10) || '</div>' || {NL2}
-      || 'x' || chr(10) AS text
-    FROM (SELECT doc_id, {PLAIN} AS body FROM documents)"""
+def with_toc(name: str, source: str) -> str:
+    """DuckDB form of H22 on `source` (`doc_id`, `text`): the list goes before the first `## ` behind the first `# `."""
+    return f"""{name}_heads AS (SELECT doc_id, text, regexp_extract_all(text, '(?m)^## (.*)$', 1) AS heads, instr(text, '# ') AS intro FROM {source}),
+{name}_place AS (SELECT *, instr(substr(text, intro + 1), '## ') + intro AS place FROM {name}_heads),
+{name} AS (SELECT doc_id, CASE WHEN contains(text, '## Table of Contents') OR contains(text, '## Contents') OR len(heads) = 0 OR place <= intro THEN text
+  ELSE substr(text, 1, place - 1) || '## Table of Contents' || {NL2} || array_to_string(list_transform(heads, lambda h: '- [' || h || '](#'
+    || regexp_replace(regexp_replace(lower(h), '[^\\w\\s-]', '', 'g'), '\\s+', '-', 'g') || ')' || chr(10)), '') || chr(10) || substr(text, place) END AS text FROM {name}_place)"""
+
+
+def noted(text: str, line: str, note: str) -> str:
+    return f"replace({text}, '{line}' || chr(10), '{line}' || chr(10) || {note})"
+
+
+WORKSHOP = f"""SELECT doc_id, '# Guide' || chr(10) || text || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '## Contents' || chr(10) ELSE '' END
+  || '## Setup, now' || chr(10) || '## Exercise 1: start' || chr(10) || text || chr(10) || '## Exercise 2: go on (2.5 h)' || chr(10) || text || chr(10)
+  || '## Exercise 3: end' || chr(10) || '## Final Project' || chr(10) || 'x' || chr(10) AS text FROM documents"""
+EFFORT = NOTE + "'Estimated time: 20-30 minutes | Combines concepts from all exercises' || chr(10) || '</div>' || chr(10) || chr(10)"
+ANNOTATED = noted(
+    noted(noted(noted("text", "## Exercise 1: start", SHOWN.format(1, 5)), "## Exercise 2: go on (2.5 h)", SHOWN.format(2, 10)), "## Exercise 3: end", SHOWN.format(3, 15)),
+    "## Final Project", EFFORT,
 )
+
+
+@query("WITH guides AS (" + WORKSHOP + "),\n" + with_toc("listed", "guides") + f"\nSELECT doc_id, {ANNOTATED} AS text FROM listed")
 def workshop(spark, sf):
-    """H22, E6, H23, J10"""
-    body = F.expr(PLAIN)
+    """Whole texts with their numbers, colons and headings"""
     text = F.concat(
-        F.lit("```markdown\n# Guide\n"), body, F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, "## Contents\n").otherwise(""),
-        F.lit("## Setup, now\n## Exercise 1: start\n"), body, F.lit("\n## Exercise 2: go on\n"), body,
+        F.lit("```markdown\n# Guide\n"), "text", F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, "## Contents\n").otherwise(""),
+        F.lit("## Setup, now\n## Exercise 1: start\n"), "text", F.lit("\n## Exercise 2: go on (2.5 h)\n"), "text",
         F.lit("\n## Exercise 3: end\n## Final Project\nx\n```"),
     )
     return workshops(table(spark, sf, "documents", heavy=True).select("doc_id", text.alias("text")))
 
 
 @query(
-    with_inputs("wiki_pages", "generated", "wikis", also=BUDGET)
-    + """SELECT 'context' AS kind, count(*) AS n, sum(length(context))::BIGINT AS n_chars FROM packed
-    UNION ALL SELECT 'plan', count(*), sum(length(description))::BIGINT FROM wikis
-    UNION ALL SELECT 'slide', count(*), sum(length(html))::BIGINT FROM pages
-    UNION ALL SELECT 'workshop', count(*), sum(length(text))::BIGINT FROM documents"""
+    with_inputs(
+        "wiki_pages", "generated", "wikis",
+        also=BUDGET + ",\nbare AS (SELECT doc_id, regexp_replace('# Notes' || chr(10) || text || chr(10) || '## Last' || chr(10) || text, '```\\s*$', '') AS text FROM documents),\n" + with_toc("listed", "bare"),
+    )
+    + """SELECT 'context' AS kind, wiki_id AS id, md5(context) AS text FROM packed
+    UNION ALL SELECT 'plan', wiki_id || ' ' || n, md5(CASE n WHEN 1 THEN 'T|' || description ELSE 'Next|2' END) FROM wikis, (SELECT unnest([1, 2]) AS n)
+    UNION ALL SELECT 'slide', CAST(page_id AS VARCHAR), md5(regexp_replace(html, '^\\s+|\\s+$', '', 'g')) FROM pages
+    UNION ALL SELECT 'workshop', CAST(doc_id AS VARCHAR), md5(text) FROM listed"""
 )
 def derived_decks(spark, sf):
-    """J10 as one job, summed per kind of output; texts are given in shapes that pass through"""
+    """J10 as one job: every text that it makes, by its hash"""
     pages, wikis = load(spark, sf, "wiki_pages"), load(spark, sf, "wikis")
-    plans = wikis.select("wiki_id", F.lit("r").alias("repo"), F.concat(F.lit("1. T: "), "description").alias("plan"))
-    slides = table(spark, sf, "pages", heavy=True).select("page_id", F.concat(F.lit("```"), F.lit("html\n"), "html", F.lit("\n```")).alias("text"))
-    texts = table(spark, sf, "documents", heavy=True).select("doc_id", F.concat(F.lit("```markdown\n"), "text").alias("text"))
+    plans = wikis.select("wiki_id", F.lit("r").alias("repo"), F.concat(F.lit("1. T: "), "description", F.lit("\n2. Next: 2")).alias("plan"))
+    slides = table(spark, sf, "pages", heavy=True).select("page_id", F.concat(F.lit("```html\n"), "html", F.lit("\n```")).alias("text"))
+    texts = table(spark, sf, "documents", heavy=True).select(
+        "doc_id", F.concat(F.lit("```markdown\n# Notes\n"), "text", F.lit("\n## Last\n"), "text").alias("text")
+    )
     out = derive_decks(wikis, pages, load(spark, sf, "generated"), plans, slides, texts)
 
-    def total(kind, df, column):
-        return df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum(F.char_length(column)).cast("bigint").alias("n_chars"))
+    def hashed(kind, df, key, text):
+        return df.select(F.lit(kind).alias("kind"), key.cast("string").alias("id"), F.md5(text).alias("text"))
 
     return (
-        total("context", out["contexts"], "context").unionByName(total("plan", out["plans"], "description"))
-        .unionByName(total("slide", out["slides"], "html")).unionByName(total("workshop", out["workshops"], "text"))
+        hashed("context", out["contexts"], F.col("wiki_id"), F.col("context"))
+        .unionByName(hashed("plan", out["plans"], F.concat_ws(" ", "wiki_id", "slide_no"), F.concat_ws("|", "title", "description")))
+        .unionByName(hashed("slide", out["slides"], F.col("page_id"), F.col("html"))).unionByName(hashed("workshop", out["workshops"], F.col("doc_id"), F.col("text")))
     )
