@@ -10,7 +10,7 @@ from ..constants import (
     DEFAULT_LANGUAGE, EXCLUDED_DIRS, EXCLUDED_FILES, LANGUAGES, NO_MESSAGES_ERROR, NOT_FROM_USER_ERROR,
     REQUEST_TOKEN_LIMIT,
 )
-from ..functions.text import clean_dir_pattern, count_tokens, is_blank
+from ..functions.text import clean_dir_pattern, count_tokens, is_blank, parse_filter_string
 from .scale import bounded_side
 
 
@@ -105,6 +105,17 @@ def default_rules(repos: DataFrame) -> DataFrame:
     return repos.select("repo_id", F.explode(rules).alias("rule")).select("repo_id", "rule.*")
 
 
+def rules_from_strings(requests: DataFrame) -> DataFrame:
+    """Rule rows of requests (`repo_id`, and filter strings `excluded_dir`, `excluded_file`, `included_dir`, `included_file`
+    where they are given), as a set."""
+    found = None
+    for kind in ("excluded_dir", "excluded_file", "included_dir", "included_file"):
+        if kind in requests.columns:
+            rows = requests.select("repo_id", F.lit(kind).alias("kind"), F.explode(parse_filter_string(F.col(kind))).alias("pattern"))
+            found = rows if found is None else found.unionByName(rows)
+    return found.distinct() if found is not None else requests.select("repo_id", F.lit("").alias("kind"), F.lit("").alias("pattern")).limit(0)
+
+
 def drop_blank_text(df: DataFrame, text: str = "text") -> DataFrame:
     """Rows whose text is null or only whitespace are not embedded."""
     return df.filter(~is_blank(F.col(text)))

@@ -11,7 +11,8 @@ from ..functions.text import trim_ws
 from ..functions.urls import cache_key, parse_repo_input, repo_name, repo_short_name, repo_url
 from ..operators.docs import chunk_words, derive_doc_columns, drop_oversized
 from ..operators.embed import embed_chunks
-from ..operators.filters import filter_paths
+from ..operators.filters import default_rules, filter_paths, filter_paths_by_rules, rules_from_strings, union_rules
+from ..operators.scale import bounded_side
 from ..sources.corpus import scan_corpus
 from ..sources.index_store import load_or_build_index
 
@@ -37,13 +38,25 @@ def index_corpus(
     names: Sequence[str] | None = None,
     mode: str = "exclude",
     repo_id: str | None = None,
+    requests: DataFrame | None = None,
     **build,
 ) -> DataFrame:
     """Scan, filter, describe, chunk, embed and store every repository below `root`.
 
     Path rules run on the listing, so excluded files are never opened; extra exclusions are added to the default ones.
-    Repositories already stored under the same settings are reused.
+    `requests` gives repositories rules of their own as filter strings (`rules_from_strings`), beside the defaults, and only its
+    repositories are read. Repositories already stored under the same settings are reused.
     """
+    if requests is not None:
+        repos = requests.select("repo_id").distinct()
+        own = rules_from_strings(requests)
+        rules = bounded_side(union_rules(default_rules(repos), own))
+        files = scan_corpus(
+            spark, root, repo_id=repo_id, keep=lambda listing: filter_paths_by_rules(listing.join(bounded_side(repos), "repo_id", "left_semi"), rules)
+        )
+        digest = own.agg(F.count(F.lit(1)), F.sum(F.xxhash64("repo_id", "kind", "pattern").cast("decimal(38,0)"))).first()
+        config = {"rules": [str(x) for x in digest], **build}
+        return load_or_build_index(spark, path, files, lambda docs: build_chunks(docs, **build), config)
     if mode == "exclude":
         dirs, names = [*EXCLUDED_DIRS, *(dirs or ())], [*EXCLUDED_FILES, *(names or ())]
     files = scan_corpus(

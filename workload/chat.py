@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from atlasloom.functions.prompts import is_token_limit_error
 from atlasloom.operators import chat as c, filters
+from atlasloom.operators.chat import response_stages
 from atlasloom.plans.chat import assemble_requests, classify_responses, render_rows
 
 from . import query
@@ -122,6 +123,22 @@ def research_stages(spark, sf):
     return classify_responses(load(spark, sf, "answers"))[0]
 
 
+@query(
+    with_inputs("answers", also=ANSWER)
+    + """SELECT conv_id, CAST(iteration AS INTEGER) AS iteration, type, CASE WHEN turn % 4 = 1 THEN content ELSE content || ' (revised)' END AS content, 2 * turn AS seq
+    FROM staged WHERE type IS NOT NULL"""
+)
+def research_stage_updates(spark, sf):
+    """A stage comes in while its text grows, then whole, then at times once more; the newest stays where the first was seen"""
+    stages = response_stages(load(spark, sf, "answers")).filter("stage IS NOT NULL").select("conv_id", "seq", "stage.*")
+    text = F.col("content")
+    growing = stages.withColumn("content", F.substring(text, F.lit(1), (F.length(text) / 2).cast("int"))).withColumn("seq", 2 * F.col("seq"))
+    whole = stages.withColumn("seq", 2 * F.col("seq") + 1)
+    again = stages.filter("seq % 4 <> 1").withColumn("content", F.concat(text, F.lit(" (revised)"))).withColumn("seq", 2 * F.col("seq") + 2000)
+    events = growing.unionByName(again).unionByName(whole).repartition(4)
+    return c.upsert_stages(events).select("conv_id", "iteration", "type", "content", "seq")
+
+
 @query(
     with_inputs("answers", also=ANSWER)
     + """SELECT conv_id, CAST(max(iteration) AS INTEGER) AS iterations, arg_max(complete OR iteration >= 5, iteration) AS complete,

@@ -76,6 +76,13 @@ INPUTS = {
         SELECT source AS wiki_id, 'https://github.com/org/' || source AS repo_url, 'github' AS type,
           'About ' || min(lang) AS description
         FROM @documents GROUP BY source""",
+    # repositories on three hosts, and some that are local or on another one
+    "hosted_wikis": """
+        SELECT source AS wiki_id,
+          CASE CAST(substr(source, 4) AS INT) % 5 WHEN 0 THEN 'https://github.com/org/' || source WHEN 1 THEN 'https://gitlab.com/group/sub/' || source
+            WHEN 2 THEN 'https://bitbucket.org/org/' || source WHEN 3 THEN '/srv/' || source ELSE 'https://git.other.org/' || source END AS repo_url,
+          CASE CAST(substr(source, 4) AS INT) % 5 WHEN 0 THEN 'github' WHEN 1 THEN 'gitlab' WHEN 2 THEN 'bitbucket' WHEN 3 THEN 'local' ELSE 'web' END AS type
+        FROM @documents GROUP BY source""",
     # parts as sections of 50 wikis: binary trees; number 48 is one chain, in 47 a section has two parents and leads back, 49 has none
     "sections": """
         SELECT 'w' || CAST(p_partkey % 50 AS STRING) AS wiki_id, CAST(floor(p_partkey / 50) AS BIGINT) AS sec_ord,

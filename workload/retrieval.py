@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from atlasloom.operators import context, embed, inverted, retrieval as r
-from atlasloom.plans.corpus import build_chunks
+from atlasloom.plans.corpus import build_chunks, index_corpus
 from atlasloom.sources import index_store
 
 from . import query
-from .corpus import CHUNKS, scratch
+from .corpus import CHUNKS, DIRS, FILE_NAME, NAMES, scratch, write_texts
 from .inputs import load, with_inputs
 
 MODAL = """dims AS (
@@ -249,3 +249,27 @@ def text_retrieval(spark, sf):
 def context_by_file(spark, sf):
     """D3"""
     return context.group_context(r.retrieve(question_vectors(spark, sf), stored_chunks(spark, sf)))
+
+
+NUMBER = "CAST(substr(repo_id, 4) AS INTEGER)"
+KEPT = f"""kept AS (SELECT * FROM files WHERE {NUMBER} % 4 <> 3 AND NOT regexp_matches(file_path, '(^|/)\\.') AND CASE {NUMBER} % 4 WHEN 0 THEN {FILE_NAME} LIKE '%.py'
+  ELSE NOT (list_has_any(string_split(file_path, '/'), [{DIRS}]) OR {FILE_NAME} IN ({NAMES}))
+    AND NOT ({NUMBER} % 4 = 1 AND (list_has_any(string_split(file_path, '/'), ['app', 'lib']) OR {FILE_NAME} LIKE '%ReadMe.md')) END),
+"""
+
+
+@query(
+    with_inputs("files", "questions", also=KEPT + CHUNKS.replace("FROM files", "FROM kept") + ",\n" + text_hits("questions"))
+    + "SELECT repo_id, query_id, chunk_id, file_path, text, score, rank FROM hits"
+)
+def scan_to_retrieval(spark, sf):
+    """Stored files, rules of each request, index, questions; one repository in four is not asked for"""
+    root, path = scratch(spark, "repos").removeprefix("file:"), scratch(spark, "index")
+    files = load(spark, sf, "files")
+    write_texts(files.select(F.concat("repo_id", F.lit("/"), "file_path").alias("path"), "text"), root)
+    number = F.substring("repo_id", 4, 9).cast("int") % 4
+    requests = files.select("repo_id").distinct().filter(number != 3).select(
+        "repo_id", F.when(number == 1, "./app/\n%2Flib%2F\n").alias("excluded_dir"), F.when(number == 1, "ReadMe.md").alias("excluded_file"),
+        F.when(number == 0, "\n.py\n").alias("included_file"),
+    )
+    return r.retrieve(question_vectors(spark, sf), index_corpus(spark, root, path, requests=requests))

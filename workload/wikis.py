@@ -293,15 +293,18 @@ def stored_wiki_pages(spark, sf):
     return pages.select("id", "page_ord", "page_id", "title", "content", "generated", F.col("file_paths")[0].alias("path"))
 
 
+LINKED = """'- [' || {0} || '](' || CASE type WHEN 'github' THEN repo_url || '/blob/main/' WHEN 'gitlab' THEN repo_url || '/-/blob/main/'
+  WHEN 'bitbucket' THEN repo_url || '/src/main/' ELSE '' END || {0} || ')'"""
+
+
 @query(
-    with_inputs("wiki_pages", "wikis")
-    + """SELECT wiki_id, page_id, '- [' || file_paths[1] || '](' || repo_url || '/blob/main/' || file_paths[1] || ')' || chr(10)
-      || '- [' || file_paths[2] || '](' || repo_url || '/blob/main/' || file_paths[2] || ')' AS links
-    FROM wiki_pages JOIN wikis USING (wiki_id)"""
+    with_inputs("wiki_pages", "hosted_wikis")
+    + f"""SELECT wiki_id, page_id, {LINKED.format("file_paths[1]")} || chr(10) || {LINKED.format("file_paths[2]")} AS links
+    FROM wiki_pages JOIN hosted_wikis USING (wiki_id)"""
 )
 def source_links(spark, sf):
-    """C8, H8"""
-    return w.source_links(load(spark, sf, "wiki_pages"), load(spark, sf, "wikis"))
+    """On three hosts, local and on a host of another kind"""
+    return w.source_links(load(spark, sf, "wiki_pages"), load(spark, sf, "hosted_wikis"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'page-' || (doc_id + 1) ELSE source END AS page_id FROM documents")
