@@ -7,8 +7,8 @@ an instance as good as its best pattern; seeds stay at 1. Patterns of at least `
 or more discover identifiers that only resemble a kind (a number without the sign or the checksum, an address
 written with "at"). Base spans always stay; found spans never overlap them.
 
-The expressions read a text once from left to right: what precedes a match is skipped by possessive patterns, so long
-texts take linear time. Null text: empty, no spans. Null or repeated ids: a row each. Empty table: no rows.
+The expressions read a text once from left to right: what precedes a match is skipped by possessive patterns, and matches
+become rows whose places are running sums, so long texts and texts of very many matches take linear time. Null text: empty, no spans. Null or repeated ids: a row each. Empty table: no rows.
 Hot patterns: occurrences are summed per (pattern, value) before any join.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import prepare, text_of
 
@@ -56,27 +56,25 @@ _LOOSE_HINT = {"number": r"[0-9(][0-9().\x20-]{6}", "address": r"@|[(\[]at[)\]]"
 _LOOSE_KINDS = {"number": ("ip", "card", "phone"), "address": ("email",)}
 
 
-def _at(gaps: Column, found: Column) -> Column:
-    """Start and end (code points) and value of each match, from the gaps before them."""
-    start = F.struct(
-        F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string>>").alias("out")
-    )
+_PIECE = "array<struct<kind:string,i:int,gap:bigint,size:bigint,value:string,left:string,right:string>>"
 
-    def step(state, x):
-        begin = state["at"] + F.length(x["gap"])
-        end = begin + F.length(x["value"])
-        one = F.struct(
-            begin.alias("start"), end.alias("end"), x["value"].alias("value"),
-            F.substring(x["gap"], -CONTEXT, CONTEXT).alias("before"),
-        )
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    pairs = F.zip_with(gaps, found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    pairs = F.filter(pairs, lambda x: x["value"] != "")
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
+def _pieces(text: Column, kind: str, skip: str, match: str) -> Column:
+    """Matches of a kind in a text, in order: the number of code points before each and in it, its value and the words beside it."""
+    pattern = F.lit(f"(?s)({skip})({match}|\\z)")
+    pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, 1).alias("gap"), F.regexp_extract_all(text, pattern, 2).alias("value"))
 
+    def piece(all_: Column, x: Column, i: Column) -> Column:
+        then = F.get(all_, i + 1)
+        after = F.concat(F.coalesce(F.substring(then["gap"], 1, CONTEXT), F.lit("")), F.coalesce(F.substring(then["value"], 1, CONTEXT), F.lit("")))
+        return F.struct(
+            F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).cast("long").alias("gap"), F.length(x["value"]).cast("long").alias("size"), x["value"].alias("value"),
+            _word(F.substring(x["gap"], -CONTEXT, CONTEXT), False).alias("left"), _word(F.substring(after, 1, CONTEXT), True).alias("right"),
+        )
 
-_SPANS = "array<struct<start:bigint,end:bigint,value:string,before:string>>"
+    # bound as a lambda variable, the text is read once
+    bound = F.transform(F.array(pairs), lambda all_: F.transform(all_, lambda x, i: piece(all_, x, i)))
+    return F.filter(F.get(bound, F.lit(0)), lambda x: x["value"] != "")
 
 
 def luhn(value: Column) -> Column:
@@ -88,43 +86,47 @@ def luhn(value: Column) -> Column:
     return total % 10 == 0
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """Spans of one kind in a text."""
-    pattern = F.lit(f"({_SKIP[kind]})({MATCH[kind]}|\\z)")
+def base_pieces(text: Column, kind: str) -> Column:
+    """What `kind` matches in a text; matches that fail its test are still there, since they take their place."""
     hint = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(_HINT[kind])
-    found = _at(F.regexp_extract_all(text, pattern, 1), F.regexp_extract_all(text, pattern, 2))
-    if kind == "card":
-        found = F.filter(found, lambda x: luhn(x["value"]))
-    return F.when(hint, found).otherwise(F.array().cast(_SPANS))
+    return F.when(hint, _pieces(text, kind, _SKIP[kind], MATCH[kind])).otherwise(F.array().cast(_PIECE))
 
 
-def loose_spans(text: Column, shape: str) -> Column:
-    """Spans that resemble a kind."""
+def loose_pieces(text: Column, shape: str) -> Column:
+    """What resembles a kind in a text."""
     one = f"{_LOOSE_START[shape]}{LOOSE[shape]}"
-    pattern = F.lit(f"(?s)((?:(?!{one}).)*+)({LOOSE[shape]}|\\z)")
-    found = _at(F.regexp_extract_all(text, pattern, 1), F.regexp_extract_all(text, pattern, 2))
-    return F.when(text.rlike(_LOOSE_HINT[shape]), found).otherwise(F.array().cast(_SPANS))
+    return F.when(text.rlike(_LOOSE_HINT[shape]), _pieces(text, shape, f"(?:(?!{one}).)*+", LOOSE[shape])).otherwise(F.array().cast(_PIECE))
 
 
-def base_rows(docs: DataFrame) -> DataFrame:
-    """(`place`, `doc_id`, a column of spans for each kind, `loose`): `place` tells the rows of the input apart."""
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("place"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")
-    )
-    rows = rows.select("*", *[base_spans(F.col("text"), k).alias(k) for k in KINDS], *[
-        loose_spans(F.col("text"), s).alias(f"loose_{s}") for s in LOOSE
-    ])
-    after = lambda x: F.substring(F.col("text"), (x["end"] + 1).cast("int"), F.lit(CONTEXT))
-    shaped = lambda c, kind: F.transform(F.col(c), lambda x: F.struct(
-        F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"),
-        _word(x["before"], False).alias("left"), _word(after(x), True).alias("right"),
-    ))
-    base = F.concat(*[shaped(k, k) for k in KINDS])
-    loose = F.concat(*[shaped(f"loose_{s}", s) for s in LOOSE])
-    clear = F.filter(loose, lambda x: ~F.exists(base, lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    some = F.size(F.col("loose_number")) + F.size(F.col("loose_address")) > 0
-    empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string,left:string,right:string>>")
-    return rows.select("place", "doc_id", base.alias("base"), F.when(some, clear).otherwise(empty).alias("loose"))
+def numbered(docs: DataFrame, place: str) -> DataFrame:
+    """`docs` with a number per row, stored: a task that runs again must not number its rows otherwise."""
+    return docs.withColumn(place, F.monotonically_increasing_id()).checkpoint()
+
+
+def piece_rows(docs: DataFrame, place: str | None = None) -> DataFrame:
+    """(`place`, `doc_id`, `pieces`) of every row, stored; `place` names a stored number of the rows, or they get one here."""
+    number = F.monotonically_increasing_id() if place is None else F.col(place)
+    text = text_of()
+    pieces = F.concat(*[base_pieces(text, k) for k in KINDS], *[loose_pieces(text, s) for s in LOOSE])
+    return docs.select(number.alias("place"), F.col("doc_id").cast("long").alias("doc_id"), pieces.alias("pieces")).checkpoint()
+
+
+def span_rows(rows: DataFrame) -> DataFrame:
+    """From stored `piece_rows`: (`place`, `kind`, `start`, `end`, `value`, `left`, `right`, `base`): base spans, and spans that resemble a kind (`number`,
+    `address`) where no base span is. Places are sums over the matches before; all work is linear in the spans of a text."""
+    found = rows.select("place", F.inline("pieces"))
+    before = Window.partitionBy("place", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.col("size")).over(before)
+    spans = found.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).filter((F.col("kind") != "card") | luhn(F.col("value")))
+    spans = spans.withColumn("base", F.col("kind").isin(*KINDS))
+    # base spans that begin earlier (or at the same place) end before, and none begins inside
+    order = (F.col("start"), F.desc("base"), F.col("kind"))
+    passed = Window.partitionBy("place").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    coming = Window.partitionBy("place").orderBy(F.desc("start"), "base", F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.max(F.when(F.col("base"), F.col("end"))).over(passed)
+    begins = F.min(F.when(F.col("base"), F.col("start"))).over(coming)
+    clear = F.col("base") | ((F.coalesce(ended, F.lit(0)) <= F.col("start")) & (F.coalesce(begins, F.col("end")) >= F.col("end")))
+    return spans.withColumn("clear", clear).filter("clear").select("place", "kind", "start", "end", "value", "left", "right", "base")
 
 
 def _word(context: Column, first: bool) -> Column:
@@ -133,19 +135,18 @@ def _word(context: Column, first: bool) -> Column:
     return F.regexp_replace(F.lower(near), "[0-9]+", "0")
 
 
-def _occurrences(rows: DataFrame, column: str) -> DataFrame:
+def _occurrences(spans: DataFrame) -> DataFrame:
     """One row per span and side: place, span, the word on that side."""
-    x = rows.select("place", F.explode(column).alias("x"))
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"x.{s}").alias("word")) for s in ("left", "right")])
-    return x.select("place", "x.kind", "x.start", "x.end", "x.value", F.explode(sides).alias("s")).select(
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("word")) for s in ("left", "right")])
+    return spans.select("place", "kind", "start", "end", "value", F.explode(sides).alias("s")).select(
         "place", "kind", "start", "end", "value", "s.side", "s.word"
     ).filter("word <> ''")
 
 
-def discovered(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(`place`, `kind`, `start`, `end`) of identifiers that confident patterns find. `rows` is a stored `base_rows`."""
-    seeds = _occurrences(rows, "base").groupBy("kind", "side", "word", "value").agg(F.count(F.lit(1)).alias("n"))
-    loose = _occurrences(rows, "loose").checkpoint()
+def discovered(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(`place`, `kind`, `start`, `end`) of identifiers that confident patterns find. `spans` is a stored `span_rows`."""
+    seeds = _occurrences(spans.filter("base")).groupBy("kind", "side", "word", "value").agg(F.count(F.lit(1)).alias("n"))
+    loose = _occurrences(spans.filter("NOT base")).checkpoint()
     kinds = F.when(F.col("kind") == "address", F.array(F.lit("email"))).otherwise(F.array(*[F.lit(k) for k in _LOOSE_KINDS["number"]]))
     others = loose.withColumn("kind", F.explode(kinds)).groupBy("kind", "side", "word", "value").agg(F.count(F.lit(1)).alias("n"))
     cues = seeds.groupBy("kind", "side", "word").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= SUPPORT).checkpoint()
@@ -187,16 +188,19 @@ def _listed(spans: Column) -> Column:
 _PLAIN = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
-def found_spans(docs: DataFrame) -> DataFrame:
-    """(`place`, `doc_id`, `base`, `found`): base spans and found spans of every row."""
+def found_spans(docs: DataFrame, place: str | None = None) -> DataFrame:
+    """(`place`, `doc_id`, `base`, `found`): base spans and found spans of every row. `place` names a stored number of the rows."""
     prepare(docs.sparkSession)
-    rows = base_rows(docs).checkpoint()
-    more = discovered(docs, rows).groupBy("place").agg(
-        F.collect_list(F.struct("kind", "start", "end")).alias("found")  # spans of one text
+    rows = piece_rows(docs, place)
+    spans = span_rows(rows).checkpoint()
+    one = F.struct("kind", "start", "end")
+    both = spans.filter("base").select("place", one.alias("b"), F.lit(None).cast("struct<kind:string,start:bigint,end:bigint>").alias("f")).unionByName(
+        discovered(docs, spans).select("place", F.lit(None).cast("struct<kind:string,start:bigint,end:bigint>").alias("b"), one.alias("f"))
     )
-    plain = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return rows.join(more, "place", "left").select(
-        "place", "doc_id", plain.alias("base"), F.coalesce("found", F.array().cast(_PLAIN)).alias("found")
+    lists = both.groupBy("place").agg(F.collect_list("b").alias("base"), F.collect_list("f").alias("found"))  # spans of one text
+    empty = F.array().cast(_PLAIN)
+    return rows.select("place", "doc_id").join(lists, "place", "left").select(
+        "place", "doc_id", F.coalesce("base", empty).alias("base"), F.coalesce("found", empty).alias("found")
     )
 
 
@@ -214,7 +218,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """`docs` with every span of `text` replaced by its kind in brackets; `n_chars`, where there is one, counts anew."""
     prepare(docs.sparkSession)
     name = f"place_{uuid.uuid4().hex}"
-    spans = found_spans(docs).filter(F.size("base") + F.size("found") > 0).select(
+    placed = numbered(docs, name)
+    spans = found_spans(placed, name).filter(F.size("base") + F.size("found") > 0).select(
         F.col("place").alias(name),
         F.array_sort(F.transform(F.concat("base", "found"), lambda x: F.struct(
             x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")
@@ -230,7 +235,7 @@ def redact(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
     new = F.when(F.col(f"{name}_s").isNull(), text).otherwise(F.aggregate(f"{name}_s", start, step, rest))
-    rows = docs.withColumn(name, F.monotonically_increasing_id()).join(spans, name, "left").withColumn("text", new)
+    rows = placed.join(spans, name, "left").withColumn("text", new)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

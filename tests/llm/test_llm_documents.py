@@ -38,10 +38,45 @@ def test_base_spans_against_plain_patterns(spark):
         "😀 a@b.co 😀+1 234 567 890", "a" * 100_000 + "@b.c", "1" * 50_000, "1." * 30_000, "+1 " * 5_000,
     ] + ["".join(R.choice("0123456789..@a+-- ()1😀\n") for _ in range(R.randint(1, 90))) for _ in range(800)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in pii.base_rows(df).collect():
-        assert [(x.kind, x.start, x.end) for x in r.base] == base(texts[r.doc_id])
+    place = {k: i for i, k in enumerate(BASE)}
+    for r in pii.found_spans(df).collect():
+        assert sorted(((x.kind, x.start, x.end) for x in r.base), key=lambda x: (place[x[0]], x[1])) == base(texts[r.doc_id])
 
 
+def test_a_text_of_very_many_addresses(spark):
+    import time
+
+    n = 100_000
+    text = " ".join(f"a{i:06}@b.co" for i in range(n)) + " tel (030) 1234567 or x (at) y.de"
+    df = spark.createDataFrame([(1, text), (2, "a@b.co")], "doc_id long, text string")
+    begun = time.monotonic()
+    rows = {r.doc_id: r.base for r in pii.found_spans(df).collect()}
+    assert time.monotonic() - begun < 30
+    assert len(rows[1]) == n and {(x.kind, x.end - x.start) for x in rows[1]} == {("email", 12)}
+    assert sorted(x.start for x in rows[1]) == [13 * i for i in range(n)] and len(rows[2]) == 1
+
+
+def test_spans_that_resemble_a_kind_keep_off_base_spans(spark):
+    """Against all pairs: overlapping base spans of several kinds, loose ones before, between and inside them."""
+    texts = ["".join(R.choice(["1", "2", "34", ".", " ", "-", "+", "(", ")", "a", "@", "x.y", " (at) ", "\n"]) for _ in range(R.randint(10, 120))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.piece_rows(df)
+    ids = {r.place: r.doc_id for r in rows.select("place", "doc_id").collect()}
+    got, loose = {}, 0
+    for r in pii.span_rows(rows).collect():
+        got.setdefault(ids[r.place], []).append((r.kind, r.start, r.end))
+        assert texts[ids[r.place]][r.start : r.end] == r.value
+    for i, text in enumerate(texts):
+        taken = base(text)
+        want = list(taken)
+        for shape in pii.LOOSE:
+            for m in re.finditer(f"{pii._LOOSE_START[shape]}{pii.LOOSE[shape]}", text):
+                if not any(m.start() < e and s < m.end() for _, s, e in taken):
+                    want.append((shape, m.start(), m.end()))
+        assert sorted(got.get(i, [])) == sorted(want)
+        loose += len(want) - len(taken)
+    assert loose > 100
+
 def test_patterns_find_what_seeds_do_not_cover(spark):
     docs = [(i, f"tel: +49 30 12345{i:02d} end", "x") for i in range(10)]
     docs += [(20, "tel: 030 9876543 end", "x"), (21, "plain 030 9876543 here", "x"), (22, None, None), (None, "", "x"), (20, "tel: 030 9876543 end", "x")]
