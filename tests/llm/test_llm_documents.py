@@ -223,7 +223,9 @@ def toxic_rows(n):
 
 def test_toxicity_of_plain_and_disguised_words(spark):
     docs, labels = toxic_rows(400)
-    odd = [(1000, "baum gr0b1an haus", "x"), (1001, "f l e g e l baum", "x"), (1002, "baum flegellllll", "x"), (1003, "haus f.l.3.g.e.l", "x"), (1004, None, "x"), (1005, "", "x"), (None, "haus baum", None), (3, docs[3][1], "x"), (1006, "baum " * 20_000, "x")]
+    odd = [(1000, "baum gr0b1an haus", "x"), (1001, "f l e g e l baum", "x"), (1002, "baum flegellllll", "x"), (1003, "haus f.l.3.g.e.l", "x"), (1004, None, "x"), (1005, "", "x"), (None, "haus baum", None), (3, docs[3][1], "x"), (1006, "baum " * 20_000, "x"),
+           (1007, "i a m a f l e g e l", "x"), (1008, "haus f  l  e  g  e  l", "x"), (1009, "f . l . e . g . e . l", "x"),
+           (1010, "haus-" * 12 + "f.l.e.g.e.l", "x"), (1011, "b a u m u n d h a u s", "x")]
     df = spark.createDataFrame(docs + odd, "doc_id long, text string, score string")
     marks = spark.createDataFrame(labels + [(5, None), (None, 1), (7, labels[7][1])], "doc_id long, toxic int")
     got = toxicity.toxicity(df, marks).collect()
@@ -231,7 +233,7 @@ def test_toxicity_of_plain_and_disguised_words(spark):
     held = [r for r in got if r.held_out and r.doc_id in truth]
     assert held and np.mean([r.predicted == truth[r.doc_id] for r in held]) >= 0.95
     flagged = {r.doc_id: r.predicted for r in got if r.doc_id is None or r.doc_id >= 1000}
-    assert flagged == {1000: 1, 1001: 1, 1002: 1, 1003: 1, 1004: 0, 1005: 0, None: 0, 1006: 0}
+    assert flagged == {1000: 1, 1001: 1, 1002: 1, 1003: 1, 1004: 0, 1005: 0, None: 0, 1006: 0, 1007: 1, 1008: 1, 1009: 1, 1010: 1, 1011: 0}
     kept = toxicity.drop_toxic(df, marks)
     assert kept.columns == df.columns and kept.count() == sum(r.predicted == 0 for r in got)
 
@@ -265,18 +267,31 @@ def readings(token):
             options += [(ch, toxicity.AGAIN_COST), ("", toxicity.REPEAT_COST)] if ch == before else [(ch, 0.0)]
         elif ch in toxicity.SEPARATORS or not options:
             options.append(("", toxicity.SKIP_COST))
-        paths = [(c + n + (OddModel().cost(*out[-3:], x) if x else 0.0), out + x) for c, out in paths for x, n in options]
+            if ch in toxicity.SEPARATORS:
+                options.append((" ", toxicity.BREAK_COST))
+        paths = [
+            (c + n + (OddModel().cost(*out[-3:], x) if x else 0.0), out + x) for c, out in paths for x, n in options if not x == " " == out[-1]
+        ]
         before = ch
     return {out[3:]: c + OddModel().cost(*out[-3:], " ") for c, out in sorted(paths, reverse=True)}
 
 
 def test_decoding_against_every_reading():
     for _ in range(60):
-        token = "".join(R.choice("ab1|xx10") for _ in range(R.randint(5, 10)))
+        token = "".join(R.choice("ab1|xx10 .") for _ in range(R.randint(5, 10))).strip() or "a"
         costs = readings(token)
         assert costs[toxicity.decode(token, OddModel())] == pytest.approx(min(costs.values()))
 
 
+@pytest.mark.parametrize("text", ["ab" * 500_000 + "，1", "a" * 1_000_000, "a " * 300_000, "a.b" * 200_000, "ab1" * 200_000, "aab" * 300_000, "a  . " * 100_000])
+def test_long_texts_take_linear_time(text):
+    import time
+
+    begun = time.monotonic()
+    found = [m.group() for m in toxicity.SUSPECT.finditer(text)] + toxicity.SPACED.findall(text)
+    assert time.monotonic() - begun < 5 and sum(map(len, found)) <= 2 * len(text)
+
+
 def test_copies_count_once_at_every_partitioning(spark):
     docs, labels = toxic_rows(200)
     docs += [(i, "flegel im garten mit harmlos", "x") for i in range(500, 700)] + [(900, "harmlos", "x"), (901, "garten baum", "x")]
