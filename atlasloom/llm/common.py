@@ -42,6 +42,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_MODELS: dict[str, object] = {}
+
+
+def opened(name: str, build: Callable):
+    """What a worker process keeps for one job: built once, and given up when another job's is asked for."""
+    if name not in _MODELS:
+        _MODELS.clear()
+        _MODELS[name] = build()
+    return _MODELS[name]
+
+
+def release() -> None:
+    """Give up what an earlier job has left in this worker process."""
+    _MODELS.clear()
+
+
 class Scratch:
     """Tables between the steps of an operator, in the shared folder; those no longer needed can be deleted."""
 

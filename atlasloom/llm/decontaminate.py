@@ -17,7 +17,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import prepare, text_of
+from .common import opened, prepare, text_of
 
 WINDOW = 10
 BLOCK_BYTES = 200_000
@@ -110,19 +110,13 @@ def benchmark_hits(
     return rows
 
 
-_BUILT: dict[str, object] = {}
-
-
 def _scanner(keys, window: int, more: bool):
     name = uuid.uuid4().hex
 
     def run(batches):
         import pyarrow as pa
 
-        if name not in _BUILT:
-            _BUILT.clear()
-            _BUILT[name] = automaton(keys.value, window)
-        found = _BUILT[name]
+        found = opened(name, lambda: automaton(keys.value, window))
         types = [pa.int64(), *[pa.list_(pa.int32())] * 2, pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 2]
         names = ["n_words", "first_words", "last_words", "items", "starts", "ends"]
         for batch in batches:

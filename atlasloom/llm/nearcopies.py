@@ -25,7 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, prepare, text_of
+from ..operators.scale import bounded_side
+from .common import Scratch, prepare, release, text_of
 from .simhash import SEED, components, near_links, simhash
 
 SHINGLE = 5
@@ -33,6 +34,7 @@ BANDS = 32
 ROWS = 5
 STAR_ROWS = 256
 BLOCK = 128
+FEW_ROWS = 2_000_000
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -80,6 +82,7 @@ def near_copy(a: np.ndarray, b: np.ndarray) -> bool:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
+    release()
     for batch in batches:
         for lo in range(0, len(batch), 1024):
             part = batch.slice(lo, 1024)
@@ -158,16 +161,21 @@ def _block_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(confirm, "a long, b long")
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Numbers or keys, broadcast up to a measured bound: then texts and bands are not shuffled to be joined with them."""
+    return bounded_side(rows, max_rows=FEW_ROWS)
+
+
 def copy_links(texts: DataFrame, bands: DataFrame, known: DataFrame, box: Scratch) -> DataFrame:
     """Links (a, b) between near copies among rows of `texts` (`node`, `text`) with their `bands` (`node`, `bands`): enough
     to join, together with the links `known`, all that are linked."""
     entries = bands.select("node", F.explode("bands").alias("key"))
-    counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    counts = _few(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     groups = box.keep("groups", entries.join(counts, "key"))
     weight = groups.groupBy("node").agg(F.sum("n").alias("weight"))
     centres = groups.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
     pairs = box.keep("pairs", groups.join(centres, "key").filter("node <> centre").select("centre", "node").distinct())
-    involved = pairs.select(F.explode(F.array("centre", "node")).alias("node")).distinct()
+    involved = _few(pairs.select(F.explode(F.array("centre", "node")).alias("node")).distinct())
     sets = box.keep("sets", texts.join(involved, "node", "left_semi").select("node", "text").mapInArrow(_sets, "node long, hashes binary"))
     stars = box.keep("stars", _star_links(pairs, sets))
     roots = components(known.unionByName(stars))
@@ -202,9 +210,11 @@ def keep_one_of_near_copies(docs: DataFrame) -> DataFrame:
         known = known.unionByName(values.join(same, key).filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
     known = box.keep("known", known)
     texts = placed.select(F.col(name).alias("node"), text_of().alias("text"))
-    bands = signed.join(sets.select(F.col("rep").alias("place")), "place", "left_semi").select(F.col("place").alias("node"), "bands")
+    others = signed.select("place").join(sets.select(F.col("rep").alias("place")), "place", "left_anti")
+    bands = signed.join(_few(others), "place", "left_anti").select(F.col("place").alias("node"), "bands")
     nodes = components(known.unionByName(copy_links(texts, bands, known, box)))
     rooted = values.join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = box.keep("kept", rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.place").alias(name)))
-    box.drop_but("placed", "kept")
-    return placed.join(kept, name, "left_semi").drop(name)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.place").alias("place"))
+    gone = _few(box.keep("gone", signed.select("place").join(kept, "place", "left_anti").select(F.col("place").alias(name))))
+    box.drop_but("placed", "gone")
+    return placed.join(gone, name, "left_anti").drop(name)
