@@ -11,7 +11,7 @@ from ..constants import (
     REQUEST_TOKEN_LIMIT,
 )
 from ..functions.text import clean_dir_pattern, count_tokens, is_blank, parse_filter_string
-from .scale import bounded_side
+from .scale import bounded_side, stored_side
 
 
 def _strings(values: Sequence[str]) -> Column:
@@ -58,14 +58,18 @@ def filter_paths(
     return files.filter(in_dir | by_name)
 
 
-def filter_paths_by_rules(files: DataFrame, rules: DataFrame, path: str = "file_path") -> DataFrame:
+def filter_paths_by_rules(files: DataFrame, rules: DataFrame, path: str = "file_path", max_rows: int | None = None) -> DataFrame:
     """B1 / B2 where every repository has its own rules (`repo_id, kind, pattern`).
 
-    `kind` is one of `excluded_dir`, `excluded_file`, `included_dir`, `included_file`. Rules are
-    folded to one row per repository, so files are never multiplied by the number of rules; a
-    repository with any inclusion rule ignores its exclusions, one without rules keeps everything.
+    `kind` is one of `excluded_dir`, `excluded_file`, `included_dir`, `included_file`. A repository with any inclusion rule ignores
+    its exclusions, one without rules keeps everything. Rules that are measured small are folded to one row per repository and
+    broadcast, so files are neither multiplied nor shuffled. Beyond that rules are never gathered.
     """
+    known, small = stored_side(rules.select("repo_id", "kind", "pattern").distinct(), max_rows)
+    return _by_folded_rules(files, known, path) if small else _by_looked_up_rules(files, known, path)
 
+
+def _by_folded_rules(files: DataFrame, rules: DataFrame, path: str) -> DataFrame:
     def patterns(kind: str) -> Column:
         value = clean_dir_pattern(F.col("pattern")) if kind.endswith("dir") else F.col("pattern")
         return F.collect_set(F.when(F.col("kind") == kind, value)).alias(kind)
@@ -82,7 +86,27 @@ def filter_paths_by_rules(files: DataFrame, rules: DataFrame, path: str = "file_
     keep = F.when(F.col("excluded_dir").isNull(), F.lit(True)).otherwise(
         F.when(including, included).otherwise(~excluded)
     )
-    return files.join(bounded_side(per_repo), "repo_id", "left").filter(keep).select(*files.columns)
+    return files.join(F.broadcast(per_repo), "repo_id", "left").filter(keep).select(*files.columns)
+
+
+def _by_looked_up_rules(files: DataFrame, rules: DataFrame, path: str) -> DataFrame:
+    """What a path could match - its segments, its name and the ends of its name - is looked up among the rules, in a
+    projection of repository and path; a repository with very many rules is spread like any other."""
+    value = F.when(F.col("kind").endswith("dir"), clean_dir_pattern(F.col("pattern"))).otherwise(F.col("pattern"))
+    known = rules.select("repo_id", "kind", value.alias("part")).distinct()
+    modes = bounded_side(rules.groupBy("repo_id").agg(F.bool_or(F.col("kind").startswith("included")).alias("including")))
+    name = _file_name(F.col(path))
+    one = lambda kind, part: F.struct(F.lit(kind).alias("kind"), part.alias("part"))
+    segments = F.split(F.col(path), "/")
+    ends = F.transform(F.sequence(F.lit(1), F.length(name) + 1), lambda i: one("included_file", F.substr(name, i)))
+    excluding = F.concat(F.transform(segments, lambda x: one("excluded_dir", x)), F.array(one("excluded_file", name)))
+    including = F.concat(F.transform(segments, lambda x: one("included_dir", x)), ends)
+    listed = files.select("repo_id", path).distinct().join(modes, "repo_id")
+    asked = listed.select("repo_id", path, F.inline(F.array_distinct(F.when(F.col("including"), including).otherwise(excluding))))
+    matched = asked.join(known, ["repo_id", "kind", "part"], "left_semi").select("repo_id", path).distinct().withColumn("__hit", F.lit(True))
+    marked = files.join(modes, "repo_id", "left").join(matched, ["repo_id", path], "left")
+    keep = F.col("including").isNull() | (F.col("including") == F.col("__hit").isNotNull())
+    return marked.filter(keep).select(*files.columns)
 
 
 def union_rules(*rules: DataFrame) -> DataFrame:
@@ -126,17 +150,17 @@ def validate_requests(messages: DataFrame, requests: DataFrame | None = None) ->
 
     `requests` (`conv_id`) adds the conversations that have no message at all.
     """
-    last = messages.groupBy("conv_id").agg(
-        F.max_by(F.struct("role", "content"), "turn").alias("last")
-    )
+    # the last positions are found on numbers alone, so no text is sorted or kept for a message that is not the last
+    newest = messages.groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    last = messages.select("conv_id", "turn", "role", "content").join(newest, ["conv_id", "turn"])
     if requests is not None:
         last = requests.select("conv_id").distinct().join(last, "conv_id", "left")
     return last.select(
         "conv_id",
-        F.col("last.role").alias("last_role"),
-        F.col("last.content").alias("last_content"),
-        request_error(F.col("last.role")).alias("error"),
-        F.coalesce(is_too_large(F.col("last.content")), F.lit(False)).alias("too_large"),
+        F.col("role").alias("last_role"),
+        F.col("content").alias("last_content"),
+        request_error(F.col("role")).alias("error"),
+        F.coalesce(is_too_large(F.col("content")), F.lit(False)).alias("too_large"),
     )
 
 

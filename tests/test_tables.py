@@ -46,6 +46,21 @@ def test_rules_per_repository(spark):
     assert got == [("a", "src/a.py"), ("b", "docs/b.md"), ("c", "c.js"), ("c", "docs/b.md"), ("c", "src/a.py")]
 
 
+def test_rules_looked_up_equal_rules_folded(spark):
+    r = random.Random(3)
+    part = lambda: r.choice(["a", "b", "src", "x.py", "y.md", ".py", "md", "node", ""])
+    files = spark.createDataFrame(
+        [(f"r{r.randrange(9)}", i, "/".join(part() or "z" for _ in range(r.randint(1, 4)))) for i in range(600)], "repo_id string, doc_ord int, file_path string"
+    )
+    kinds = ["excluded_dir", "excluded_file", "included_dir", "included_file"]
+    rules = spark.createDataFrame(
+        [(f"r{i}", r.choice(kinds[: 2 if i % 2 else 4]), r.choice(["./{}/", "{}"]).format(part())) for i in range(8) for _ in range(4)], "repo_id string, kind string, pattern string"
+    )
+    folded = sorted(map(tuple, filters.filter_paths_by_rules(files, rules).collect()))
+    looked_up = sorted(map(tuple, filters.filter_paths_by_rules(files, rules, max_rows=0).collect()))
+    assert looked_up == folded and 0 < len(folded) < 600
+
+
 def test_default_rules_equal_the_default_filter(spark):
     files = paths(spark, "src/a.py", "node_modules/x.js", "yarn.lock", "x.min.js")
     by_rules = filters.filter_paths_by_rules(files, filters.default_rules(files.select("repo_id").distinct()))
