@@ -3,7 +3,9 @@
 Windows of ten words of the normalised questions and answers are the keys of one automaton, which runs once over each
 normalised text. Normalising keeps byte positions, so every hit is mapped to code points of the original text.
 The benchmark is measured first. Beyond `BLOCK_BYTES` it is dealt into blocks of that size by hash, each with an automaton
-of its own (the size of what tasks hold stays bounded), and the found words and items of the blocks are put together.
+of its own (the size of what tasks hold stays bounded), and the found words and items of the blocks are put together. Then the
+corpus is not scanned once per block: a Bloom filter of all windows first tells which texts can hold one at all, and
+only these, a small part, go through the automata. The corpus is read twice, whatever the size of the benchmark.
 
 Null text or item text: no words. Items without words have no window. Items with a null id count as hits but are not
 listed. Repeated items count once. Empty benchmark: nothing is hit. Repeated documents: a row each. Other columns
@@ -17,6 +19,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.bloom import filter_table, filter_test
 from .common import opened, prepare, text_of
 
 WINDOW = 10
@@ -101,13 +104,71 @@ def benchmark_hits(
         F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"),
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    if blocks == 1:
+        return rows.mapInArrow(_scanner(_sent(items), window, False), f"{schema}, {HITS}")
+    looked = rows.mapInArrow(_looker(*_window_filter(items, window)), f"{schema}, n_words long, possible boolean")
+    empty = {f"{side}": F.array().cast(kind) for side, kind in (("first_words", "array<int>"), ("last_words", "array<int>"), ("items", "array<long>"), ("starts", "array<int>"), ("ends", "array<int>"))}
+    clean = looked.filter("NOT possible").drop("possible").withColumns(empty)
+    rows = looked.filter("possible").select(*rows.columns).checkpoint()
     for block in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
-        keys = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in own.collect()])  # about `block_bytes`
-        rows = rows.mapInArrow(_scanner(keys, window, block > 0), f"{schema}, {HITS}")
-        if block + 1 < blocks:
-            rows = rows.checkpoint()
-    return rows
+        keys = _sent(items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block))
+        rows = rows.mapInArrow(_scanner(keys, window, block > 0), f"{schema}, {HITS}").checkpoint()
+    return clean.unionByName(rows)
+
+
+def _sent(items: DataFrame):
+    """A block of the benchmark for every task, about `BLOCK_BYTES`."""
+    return items.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
+
+
+def windows(words: list[bytes], n: int) -> list[bytes]:
+    return [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
+
+
+def _hashed(texts: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, texts)), ">i8").astype(np.int64)
+
+
+def _window_filter(items: DataFrame, window: int):
+    """Broadcast Bloom filter of all windows, and their lengths in words."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                words = normalised(text).split()
+                n = min(window, len(words))
+                if n:
+                    h = _hashed(windows(words, n))
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), n))], ["h", "n"])
+
+    found = items.select("text").mapInArrow(run, "h long, n long").checkpoint()
+    sizes = sorted(r.n for r in found.select("n").distinct().collect())  # at most `window`
+    return items.sparkSession.sparkContext.broadcast(filter_table(found.select("h"))), sizes
+
+
+def _looker(table, sizes: list[int]):
+    """Number of words of each text, and whether one of its windows may be of the benchmark."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            counts, possible = [], []
+            for text in batch.column("text"):
+                words = normalised(text.as_py()).split()
+                counts.append(len(words))
+                found = False
+                for n in sizes:
+                    for lo in range(0, len(words) - n + 1, 1 << 16):
+                        found = found or bool(filter_test(table.value, _hashed(windows(words[lo : lo + (1 << 16) + n - 1], n))).any())
+                possible.append(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(possible)], [*batch.schema.names, "n_words", "possible"])
+
+    return run
 
 
 def _scanner(keys, window: int, more: bool):

@@ -133,6 +133,25 @@ def test_benchmark_words_against_a_plain_search(spark, block_bytes):
     assert kept.columns == df.columns and kept.count() == sum(w[2] == 0 for w in want)
 
 
+def test_a_large_benchmark_takes_two_scans(spark):
+    word = lambda: f"w{R.randrange(5000)}"
+    items = [(i, " ".join(word() for _ in range(R.randint(5, 40)))) for i in range(3000)]  # about 400 kB
+    docs = [(i, " ".join([word() for _ in range(50)] + (items[i][1].split() if i % 10 == 0 else []) + [word() for _ in range(20)])) for i in range(300)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.createDataFrame(docs, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.digest(decontaminate.benchmark_hits(df, bench, block_bytes=20_000)).collect()}
+    assert seen.value == 2 * len(docs)  # with twenty blocks
+    whole = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.digest(decontaminate.benchmark_hits(df, bench, block_bytes=10**7)).collect()}
+    assert got == whole and sum(n > 0 for n, _ in got.values()) == 30
+
+
 def test_no_benchmark(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
