@@ -56,7 +56,7 @@ def index_corpus(
         )
         digest = own.agg(F.count(F.lit(1)), F.sum(F.xxhash64("repo_id", "kind", "pattern").cast("decimal(38,0)"))).first()
         config = {"rules": [str(x) for x in digest], **build}
-        return load_or_build_index(spark, path, files, lambda docs: build_chunks(docs, **build), config)
+        return load_or_build_index(spark, path, files, lambda docs: build_chunks(docs, **build), config, repos)
     if mode == "exclude":
         dirs, names = [*EXCLUDED_DIRS, *(dirs or ())], [*EXCLUDED_FILES, *(names or ())]
     files = scan_corpus(

@@ -125,14 +125,17 @@ def load_or_build_index(
     docs: DataFrame,
     build: Callable[[DataFrame], DataFrame],
     config: dict | None = None,
+    repos: DataFrame | None = None,
 ) -> DataFrame:
     """Read-through. Repositories of `docs` without a usable stored index are built and appended.
 
+    `repos` names the repositories where they are known, so that `docs` is only read for what has to be built.
+
     Each repository keeps the settings it was built with, so changed settings lead to a rebuild of what is asked
     for and of nothing else. A missing index is built; one that cannot be read is an error.
     """
     ensure_checkpoint_dir(spark)
-    asked = docs.select("repo_id").distinct()
+    asked = (docs if repos is None else repos).select("repo_id").distinct().checkpoint()
     try:
         missing = asked.join(reusable_repos(newest_builds(spark, path), config), "repo_id", "left_anti")
     except AnalysisException as e:
