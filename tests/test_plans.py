@@ -53,12 +53,15 @@ def test_no_plan_pairs_everything(spark):
         assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
 
 
-def test_chunks_are_not_shuffled_for_scoring(spark):
-    from atlasloom.operators.retrieval import score_pairs
+def test_chunks_are_not_shuffled_for_scoring(spark, monkeypatch):
+    from atlasloom.operators import retrieval
     from workload.retrieval import centroids
 
     vectors = load(spark, SF, "vectors")
-    scored = plan(score_pairs(centroids(vectors), vectors))
+    scored = plan(retrieval.score_pairs(centroids(vectors), vectors))
+    assert "MapInArrow" in scored and "Join" not in scored and "Exchange" not in scored  # every task holds the queries
+    monkeypatch.setattr(retrieval, "_known_queries", lambda queries, max_bytes: None)
+    scored = plan(retrieval.score_pairs(centroids(vectors), vectors))
     assert "BroadcastHashJoin" in scored and "Exchange hashpartitioning" not in scored
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>,label:int>" in scored
 
