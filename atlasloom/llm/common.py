@@ -48,14 +48,25 @@ _MODELS: dict[str, object] = {}
 def opened(name: str, build: Callable):
     """What a worker process keeps for one job: built once, and given up when another job's is asked for."""
     if name not in _MODELS:
-        _MODELS.clear()
+        release()
         _MODELS[name] = build()
     return _MODELS[name]
 
 
 def release() -> None:
-    """Give up what an earlier job has left in this worker process."""
+    """Give up what earlier jobs have left in this worker process, and hand its free memory back to the machine."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
     _MODELS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
 
 
 class Scratch:

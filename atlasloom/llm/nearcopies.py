@@ -99,6 +99,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for lo in range(0, len(batch), 1024):
             part = batch.slice(lo, 1024)
@@ -106,6 +107,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], ["node", "hashes"])
 
 
+def _parts(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], rows: int = 256) -> Iterator[Iterator[tuple]]:
+    """Rows of the batches, a few at a time: sets of hashes can be large."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield zip(*(batch.slice(lo, rows).column(c).to_pylist() for c in columns))
+    release()
+
+
 def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
@@ -121,9 +130,9 @@ def _star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def confirm(batches):
         at, own = None, None
-        for batch in batches:
+        for part in _parts(batches, ("centre", "slice", "kind", "node", "hashes")):
             kept = []
-            for centre, slice_no, kind, node, hashes in zip(*(batch.column(c).to_pylist() for c in ("centre", "slice", "kind", "node", "hashes"))):
+            for centre, slice_no, kind, node, hashes in part:
                 if not kind:
                     at, own = (centre, slice_no), np.frombuffer(hashes, np.uint64)
                 elif at == (centre, slice_no) and near_copy(own, np.frombuffer(hashes, np.uint64)):
@@ -146,8 +155,8 @@ def _block_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
     def confirm(batches):
         at, held, kept = None, [], []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "node", "root", "hashes"))):
+        for part in _parts(batches, ("key", "i", "j", "own", "node", "root", "hashes")):
+            for row in part:
                 if row[:3] != at:
                     at, held = row[:3], []
                 own, node, root, hashes = row[3], row[4], row[5], np.frombuffer(row[6], np.uint64)
