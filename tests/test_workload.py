@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
@@ -18,6 +19,14 @@ def test_query_matches_its_sql(spark, name):
     assert compare(spark, SF, name) is None
 
 
+def test_slide_lines_keep_their_digits(spark, tmp_path):
+    """The number of a line is no set of characters to trim: line 0 ends in 0, line 1 begins with 1."""
+    texts = ["call 555-8630\n1 and 205.171", "0 first\nlast 1", "plain"]
+    rows = [{"doc_id": i, "text": x, "lang": "en", "source": "src0", "n_chars": len(x)} for i, x in enumerate(texts * 5)]
+    pd.DataFrame(rows).to_parquet(tmp_path / "documents.parquet")
+    assert compare(spark, str(tmp_path), "slide_plan") is None
+
+
 def test_entry(spark):
     assert driver.entry(spark).limit(1).count() == 1
 

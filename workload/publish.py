@@ -155,7 +155,7 @@ items AS (
 )
 def slide_plan(spark, sf):
     """Every line of a text, whole, in four notations; plans without an item get the default slides"""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
     def item(x, i):
         number, whole = (i + 1).cast("string"), F.when(x.endswith(":"), F.concat(x, F.lit("-"))).otherwise(x)
