@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.urls import CACHE_PREFIX, parse_cache_key
 
 
-def projects_from_files(files: DataFrame, prefix: str = CACHE_PREFIX) -> DataFrame:
-    """Catalogue rows from stored names and times (`file_name, modified`)."""
+def projects_from_files(files: DataFrame, prefix: str = CACHE_PREFIX, *more: str) -> DataFrame:
+    """Catalogue rows from stored names and times (`file_name, modified`); the columns `more` are kept."""
     parsed = parse_cache_key(F.col("file_name"), prefix)
     return (
         files.withColumn("k", parsed)
@@ -16,7 +16,7 @@ def projects_from_files(files: DataFrame, prefix: str = CACHE_PREFIX) -> DataFra
         .select(
             F.col("file_name").alias("id"), "k.owner", "k.repo",
             F.concat_ws("/", "k.owner", "k.repo").alias("name"), "k.repo_type",
-            F.unix_millis("modified").alias("submittedAt"), "k.language",
+            F.unix_millis("modified").alias("submittedAt"), "k.language", *more,
         )
     )
 

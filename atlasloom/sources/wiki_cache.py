@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.text import trim_ws
+from ..functions.text import WS_CHARS
 from ..functions.urls import CACHE_PREFIX
 from ..operators.catalogue import newest_first, projects_from_files
 from ..operators.filters import check_language, resolve_language
@@ -114,30 +114,65 @@ def read_wiki_files(spark: SparkSession, folder: str, prefix: str = CACHE_PREFIX
     """
     texts = spark.read.option("pathGlobFilter", f"{prefix}_*.json").text(folder, wholetext=True)
     parsed = F.from_json("value", WIKI_FILE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"})
+
+    def shaped(d: Column) -> Column:
+        # a document of another shape is as malformed as one that is no JSON at all; trimming both ends would need eight bytes for each of the text
+        right = F.ltrim("value", F.lit(WS_CHARS)).startswith("{") & d["wiki_structure"].isNotNull() & d["generated_pages"].isNotNull() & d["malformed"].isNull()
+        return F.coalesce(right, F.lit(False))
+
+    def read(d: Column) -> Column:
+        return F.struct(
+            F.when(~shaped(d), F.col("value")).alias("malformed"),
+            *[d[c].alias(c) for c in ("wiki_structure", "generated_pages", "repo", "repo_url", "provider", "model")],
+        )
+
+    # Bound as a lambda variable, a document is parsed once for all that is read from it; behind it the text is only kept where it is malformed.
     files = texts.select(
-        _file_name().alias("file_name"), F.col("_metadata.file_modification_time").alias("modified"), "value", parsed.alias("d")
-    ).select("file_name", "modified", "value", "d.*")
+        _file_name().alias("file_name"), F.col("_metadata.file_modification_time").alias("modified"), F.inline(F.transform(F.array(parsed), read))
+    )
     structure = F.col("wiki_structure")
-    # a document of another shape is as malformed as one that is no JSON at all
-    shaped = trim_ws(F.col("value")).startswith("{") & structure.isNotNull() & F.col("generated_pages").isNotNull() & F.col("malformed").isNull()
-    files = files.withColumn("malformed", F.when(~F.coalesce(shaped, F.lit(False)), F.col("value")))
-    names = projects_from_files(files.select("file_name", "modified"), prefix)
     header = files.select(
-        F.col("file_name").alias("id"), "malformed", structure["title"].alias("title"), structure["description"].alias("description"),
+        "file_name", "modified", "malformed", structure["title"].alias("title"), structure["description"].alias("description"),
         F.coalesce("repo.repoUrl", "repo_url").alias("repo_url"), "provider", "model",
     )
+    projects = projects_from_files(header, prefix, "malformed", "title", "description", "repo_url", "provider", "model")
     whole = files.filter("malformed IS NULL")
-    listed = F.coalesce(structure["pages"], F.array())
-    extra = F.filter(F.map_values("generated_pages"), lambda p: ~F.exists(listed, lambda q: q["id"].eqNullSafe(p["id"])))
-    pages = whole.select(F.col("file_name").alias("id"), "generated_pages", F.posexplode(F.concat(listed, F.array_sort(extra))).alias("page_ord", "p"))
-    made = F.try_element_at("generated_pages", F.col("p.id"))
-    pages = pages.select(
-        "id", "page_ord", F.col("p.id").alias("page_id"), "p.title", F.coalesce(F.nullif(made["content"], F.lit("")), "p.content", F.lit("")).alias("content"),
-        F.col("p.filePaths").alias("file_paths"), "p.importance", F.col("p.relatedPages").alias("related_pages"), made.isNotNull().alias("generated"),
+    # a document falls into its pages where it is parsed; nothing but its name goes along, so it is never a row of its own
+    split = texts.select(
+        _file_name().alias("id"), F.inline(F.element_at(F.transform(F.array(parsed), lambda d: F.when(shaped(d), _page_rows(d))), 1))
     )
     roots = F.coalesce(structure["rootSections"], F.array())
     sections = whole.select(F.col("file_name").alias("id"), roots.alias("roots"), F.posexplode(structure["sections"]).alias("sec_ord", "s")).select(
         "id", "sec_ord", F.col("s.id").alias("section_id"), "s.title", "s.pages", F.coalesce("s.subsections", F.array().cast("array<string>")).alias("subsections"),
         F.array_contains("roots", F.col("s.id")).alias("is_root"),
     )
-    return {"projects": names.join(header, "id"), "pages": pages, "sections": sections}
+    return {"projects": projects, "pages": _pages_of(split), "sections": sections}
+
+
+def _page_rows(d: Column) -> Column:
+    """The pages of a parsed document in an array, by name. Kind 0: generated, under its key and its id; 1: under its key only; 2: under its id only; 3: of the structure."""
+    listed, entries = F.coalesce(d["wiki_structure"]["pages"], F.array()), F.map_entries(d["generated_pages"])
+
+    def row(kind: Column, at: Column, name: Column, p: Column) -> Column:
+        return F.struct(F.size(listed).alias("n_listed"), kind.alias("kind"), at.alias("at"), name.alias("name"), p.alias("p"))
+
+    same = lambda e: e["value"]["id"].eqNullSafe(e["key"])
+    own = F.transform(entries, lambda e, i: row(F.when(same(e), 0).otherwise(1), i, e["key"], e["value"]))
+    others = F.transform(F.filter(entries, lambda e: ~same(e)), lambda e, i: row(F.lit(2), i, e["value"]["id"], e["value"]))
+    return F.concat(F.transform(listed, lambda p, i: row(F.lit(3), i, p["id"], p)), own, others)
+
+
+def _pages_of(rows: DataFrame) -> DataFrame:
+    """Pages from the rows of documents (`id` and those of `_page_rows`): they meet their content by name, not inside of a document."""
+    named = Window.partitionBy("id", "name")
+    made = F.first(F.when(F.col("kind") < 2, F.struct(F.col("p.content").alias("content"))), ignorenulls=True)
+    # the entry of a name is the first that has it as its key
+    rows = rows.withColumn("made", made.over(named.orderBy(F.col("kind") >= 2, "at"))).withColumn("known", F.max(F.col("kind") == 3).over(named))
+    extra = rows.filter("kind IN (0, 2) AND NOT known").withColumn(
+        "page_ord", F.col("n_listed") + F.row_number().over(Window.partitionBy("id").orderBy("p")) - 1
+    )
+    pages = rows.filter("kind = 3").withColumn("page_ord", F.col("at")).unionByName(extra)
+    return pages.select(
+        "id", "page_ord", F.col("p.id").alias("page_id"), "p.title", F.coalesce(F.nullif("made.content", F.lit("")), "p.content", F.lit("")).alias("content"),
+        F.col("p.filePaths").alias("file_paths"), "p.importance", F.col("p.relatedPages").alias("related_pages"), F.col("made").isNotNull().alias("generated"),
+    )

@@ -4,6 +4,7 @@ import base64
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,6 +220,23 @@ def test_stored_wiki_files_as_tables(spark, tmp_path):
     assert sections == [(0, "s1", ["s2"], True), (1, "s2", [], False)]
 
 
+def test_stored_pages_under_odd_names(spark, tmp_path):
+    """Repeated and missing ids, keys that differ from ids, and pages that only the generated part has, in order."""
+    pages = [{"id": "a", "title": "A"}, {"id": "a", "title": "A2", "content": "own"}, {"title": "no id"}]
+    made = '"a": {"id": "a", "content": "first"}, "a": {"id": "a", "content": "second"}, "k": {"id": "x", "content": "by id"}, "z": {"id": "y", "content": "Z"}, "y": {"id": "q", "content": "Y"}, "n": {"content": "N"}'
+    text = '{"wiki_structure": {"pages": ' + json.dumps(pages) + '}, "generated_pages": {' + made + "}}"
+    (tmp_path / "wiki_cache_github_o_r_en.json").write_text(text)
+    got = sorted((r.page_ord, r.page_id, r.content, r.generated) for r in wiki_cache.read_wiki_files(spark, str(tmp_path))["pages"].collect())
+    assert got == [(0, "a", "first", True), (1, "a", "first", True), (2, None, "", False), (3, "q", "Y", False), (4, "x", "by id", False), (5, "y", "Y", True)]
+
+
+def test_a_document_is_not_copied_for_its_pages(spark, tmp_path):
+    (tmp_path / "wiki_cache_github_o_r_en.json").write_text(json.dumps({"wiki_structure": {"pages": []}, "generated_pages": {}}))
+    plan = wiki_cache.read_wiki_files(spark, str(tmp_path))["pages"]._jdf.queryExecution().sparkPlan().toString()
+    plan = re.sub(r"#\d+L?", "", plan)
+    assert "[file_name], false, [" in plan and not re.search(r"\[file_name, [^\]]*\], false, \[n_listed", plan)
+
+
 def test_files_that_a_read_of_few_repositories_opens(spark, tmp_path):
     path = str(tmp_path / "index")
     for build in range(4):

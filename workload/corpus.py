@@ -63,6 +63,32 @@ def write_texts(rows: DataFrame, root: str) -> None:
     rows.mapInPandas(write, "n int").agg(F.sum("n")).collect()
 
 
+def write_pieces(rows: DataFrame, root: str) -> None:
+    """Rows (`path`, `seq`, `piece`) as files below `root`: the pieces of a path in order. A task writes them as they come and holds no file whole."""
+
+    def write(frames):
+        import pandas as pd
+        from pyarrow import fs as pafs
+
+        system, base = pafs.FileSystem.from_uri(root)
+        opened = out = None
+        for frame in frames:
+            for path, piece in frame.itertuples(index=False):
+                if path != opened:
+                    if out:
+                        out.close()
+                    target = f"{base}/{path}"
+                    system.create_dir(os.path.dirname(target), recursive=True)
+                    opened, out = path, system.open_output_stream(target)
+                out.write(piece.encode())
+            yield pd.DataFrame({"n": [len(frame)]})
+        if out:
+            out.close()
+
+    sorted_rows = rows.repartition("path").sortWithinPartitions("path", "seq").select("path", "piece")
+    sorted_rows.mapInPandas(write, "n int").agg(F.sum("n")).collect()
+
+
 def remove_files(names: DataFrame, root: str) -> None:
     """Delete the files `path` below `root`, in the tasks."""
 

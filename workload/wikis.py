@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from atlasloom.constants import CATEGORIES
 from atlasloom.functions.markup import page_summary, strip_fences
 from atlasloom.operators import wiki as w
+from atlasloom.operators.scale import running_total
 from atlasloom.plans.wikis import ingest_wiki
 from atlasloom.sources.wiki_cache import list_projects, read_wiki_files
 
 from . import query
-from .corpus import scratch, write_texts
+from .corpus import scratch, write_pieces
 from .inputs import load, table, with_inputs
 
 # every wiki holds 25 consecutive documents of a source; one in four has a broken block
@@ -249,22 +250,33 @@ def wiki_files(spark, sf) -> str:
     page = lambda content: F.struct(
         F.col("page_id").alias("id"), "title", content.alias("content"), F.col("file_paths").alias("filePaths"), "importance", F.col("related_pages").alias("relatedPages")
     )
-    pages = load(spark, sf, "wiki_pages")
     made = load(spark, sf, "generated").select("wiki_id", "page_id", F.col("content").alias("made"))
-    rows = pages.join(made, ["wiki_id", "page_id"], "left").groupBy("wiki_id").agg(
-        F.array_sort(F.collect_list(F.struct("page_ord", page(F.lit("")).alias("p")))).alias("listed"),
-        F.map_from_entries(F.collect_list(F.when(F.col("made").isNotNull(), F.struct("page_id", page(F.col("made")))))).alias("generated_pages"),
+    rows = load(spark, sf, "wiki_pages").drop("content").join(made, ["wiki_id", "page_id"], "left")
+    ends = rows.groupBy("wiki_id").agg(F.min("page_ord").alias("first"), F.min(F.when(F.col("made").isNotNull(), F.col("page_ord"))).alias("first_made"))
+    rows = rows.join(ends.select("wiki_id", "first", "first_made"), "wiki_id")
+    quoted = lambda c: F.expr(f"substr(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    comma = lambda first: F.when(F.col("page_ord") == F.col(first), "").otherwise(",")
+    # a document as its pieces in order: parts are 2^50 positions apart
+    piece = lambda part, text: F.struct((F.lit(part << 50) + F.col("page_ord")).alias("seq"), text.alias("piece"))
+    frame = lambda part, *text: F.struct(F.lit(part << 50).alias("seq"), F.concat(*text).alias("piece"))
+    pieces = rows.select("wiki_id", F.inline(F.array(
+        piece(1, F.concat(comma("first"), F.to_json(page(F.lit(""))))),
+        piece(3, F.concat(comma("first"), quoted("page_id"))),
+        piece(5, F.when(F.col("made").isNotNull(), F.concat(comma("first_made"), quoted("page_id"), F.lit(":"), F.to_json(page(F.col("made")))))),
+    ))).filter("piece IS NOT NULL").unionByName(ends.select("wiki_id", F.inline(F.array(
+        frame(0, F.lit('{"wiki_structure":{"id":"w","title":'), quoted("'About ' || wiki_id"), F.lit(',"description":"","pages":[')),
+        frame(2, F.lit('],"sections":[{"id":"all","title":"All","pages":[')),
+        frame(4, F.lit(']}],"rootSections":["all"]},"generated_pages":{')),
+        frame(6, F.lit('},"provider":"google"}')),
+    ))))
+    short = pieces.filter(CUT_SHORT).withColumn("n", F.length("piece"))
+    half = short.groupBy("wiki_id").agg(F.floor(F.sum("n") / 2).alias("half"))
+    short = running_total(short, ["wiki_id"], "seq", "n", "before").join(half, "wiki_id").filter("before < half").select(
+        "wiki_id", "seq", F.expr("substr(piece, 1, CAST(half - before AS INT))").alias("piece")
     )
-    structure = F.struct(
-        F.lit("w").alias("id"), F.concat(F.lit("About "), "wiki_id").alias("title"), F.lit("").alias("description"),
-        F.transform("listed", lambda x: x["p"]).alias("pages"),
-        F.array(F.struct(F.lit("all").alias("id"), F.lit("All").alias("title"), F.transform("listed", lambda x: x["p"]["id"]).alias("pages"))).alias("sections"),
-        F.array(F.lit("all")).alias("rootSections"),
-    )
-    text = F.to_json(F.struct(structure.alias("wiki_structure"), "generated_pages", F.lit("google").alias("provider")))
-    files = rows.select(F.expr(FILE_OF).alias("path"), F.when(F.expr(CUT_SHORT), F.substring(text, F.lit(1), (F.length(text) / 2).cast("int"))).otherwise(text).alias("text"))
+    files = pieces.filter(f"NOT ({CUT_SHORT})").unionByName(short).select(F.expr(FILE_OF).alias("path"), "seq", "piece")
     folder = scratch(spark, "wiki-files").removeprefix("file:")
-    write_texts(files, folder)
+    write_pieces(files, folder)
     return folder
 
 
