@@ -70,6 +70,13 @@ def list_files(spark: SparkSession, root: str, split_levels: int = 3) -> DataFra
     return reduce(DataFrame.unionByName, found)
 
 
+def list_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """The visible files directly in a folder (`path, length, modified`), listed by a task: no name passes the driver."""
+    base = folder[5:] if folder.startswith("file:/") and not folder.startswith("file://") else folder
+    entries = spark.createDataFrame([(base.rstrip("/") or "/",)], "path string").mapInPandas(_lister(recursive=False), _ENTRY)
+    return entries.filter(~F.col("is_dir")).drop("is_dir")
+
+
 def _read_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs as pafs
 

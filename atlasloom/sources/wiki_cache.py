@@ -10,6 +10,7 @@ from ..operators.catalogue import newest_first, projects_from_files
 from ..operators.filters import check_language, resolve_language
 from ..operators.scale import bounded_side, latest_wins
 from ..schemas import WIKI_FILE
+from .corpus import list_folder
 from .index_store import new_build
 
 KEY = ["repo_type", "owner", "repo", "language"]
@@ -94,9 +95,9 @@ def _file_name() -> Column:
 
 
 def stored_names(spark: SparkSession, folder: str, prefix: str = CACHE_PREFIX) -> DataFrame:
-    """Names and times of the stored wiki files in a folder (`file_name, modified`); no file is opened."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}_*.json").load(folder)
-    return files.select(_file_name().alias("file_name"), F.col("_metadata.file_modification_time").alias("modified"))
+    """Names and times of the stored wiki files in a folder (`file_name, modified`), listed by a task; no file is opened."""
+    name = F.substring_index("path", "/", -1)
+    return list_folder(spark, folder).filter(name.startswith(f"{prefix}_") & name.endswith(".json")).select(name.alias("file_name"), "modified")
 
 
 def list_projects(spark: SparkSession, folder: str, prefix: str = CACHE_PREFIX) -> DataFrame:
