@@ -16,7 +16,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import prepare, text_of
+from .common import opened, prepare, text_of
 from .tokens import encoded
 
 WINDOW = 4096
@@ -119,6 +119,7 @@ def pack_online(
             ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
             ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()),
         ])
+        opened("packing", lambda: True)  # what earlier jobs have left goes before the memo of words grows
         levels, sequence, rows, held = SumOfSquares(window), TaskContext.get().partitionId() << 40, [], 0
 
         def lay(full):

@@ -15,8 +15,10 @@ WORDS_KEPT = 400_000
 LONGEST_KEPT = 64
 SEPARATOR = "\x01"
 #: Special tokens, and white space on which Python and the tokenizer differ: such texts are encoded whole.
-_WHOLE = re.compile("<\\||[\x01\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-_STOPS = re.compile(r"(?<=[a-z])([.,]+)(?=\s|$)")
+_WHOLE = re.compile("[\x01\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Stops that end a word. Both patterns begin with a set of characters, which the search skips to.
+_STOPS = re.compile(r"[.,](?<=[a-z][.,])[.,]*(?=\s|$)")
+MARK = "<|"
 
 
 class WordTokenizer:
@@ -37,7 +39,7 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, equal to encoding each text whole."""
         parts = [
-            None if _WHOLE.search(t) else _STOPS.sub(r" \1", t.encode("utf-8", "replace").lower().decode()).split()
+            None if MARK in t or _WHOLE.search(t) else _STOPS.sub(r" \g<0>", t.encode("utf-8", "replace").lower().decode()).split()
             for t in texts
         ]
         if len(self.memo) > WORDS_KEPT:  # words that are met again come back from the older half

@@ -151,3 +151,21 @@ def test_digest_columns(spark):
     ids = np.array([*ids_of([df.filter("doc_id = 0").first().text])[0], 2], "<u4")
     assert got[0].ids_crc32 == zlib.crc32(ids[: got[0].length].tobytes())
     assert df.select(F.count("*")).first()[0] == 66
+
+
+def test_stops_and_marks_of_texts():
+    """The patterns find what their plain forms find: stops behind a letter that end a word, and texts that are encoded whole."""
+    import random
+    import re
+
+    from atlasloom.llm import common, tokens
+
+    assert tokens._STOPS.pattern.startswith("[.,]") and tokens._WHOLE.pattern.startswith("[")  # searched by their first characters
+    rng = random.Random(5)
+    for _ in range(3_000):
+        text = "".join(rng.choice("ab1.,.. \n<|\xa0") for _ in range(rng.randrange(30)))
+        assert tokens._STOPS.sub(r" \g<0>", text) == re.sub(r"(?<=[a-z])([.,]+)(?=\s|$)", r" \1", text)
+        assert bool(tokens.MARK in text or tokens._WHOLE.search(text)) == ("<|" in text or "\xa0" in text)
+    common._MODELS["earlier"] = object()
+    common.opened("packing", lambda: True)
+    assert "earlier" not in common._MODELS
