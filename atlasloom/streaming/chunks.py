@@ -5,15 +5,19 @@ Lines end at a line feed. What follows the last line feed of a response is unfin
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.scale import RANGE, running_total
 
 IDLE_MS = 600_000
+RUN_BYTES = 4 * 1024 * 1024
 LINE = "req_id string, seq bigint, line string"
 
 
@@ -51,8 +55,10 @@ def line_assembler(**options) -> StatefulProcessor:
         """Carries the bytes of an unfinished line from chunk to chunk.
 
         State per request: the number of the next chunk and of the next line, the pieces of the unfinished line (a list
-        that is only added to until the line ends), and chunks that came early. When a request falls silent with early
-        chunks behind a gap, the line around the gap is given up and its number is left out; reading goes on behind it.
+        that is only added to until the line ends), and chunks that came early. These are stored by runs of consecutive
+        chunks, up to `RUN_BYTES` each: the bytes of a run are one entry, the places where runs start and end stand with the
+        numbers. When a request falls silent with early chunks behind a gap, the line around the gap is given up and its
+        number is left out; reading goes on behind it.
         """
 
         def __init__(self, first_seq: int = 0, idle_ms: int | None = IDLE_MS):
@@ -60,7 +66,7 @@ def line_assembler(**options) -> StatefulProcessor:
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.progress = handle.getValueState("progress", "next_seq bigint, next_line bigint, broken boolean")
+            self.progress = handle.getValueState("progress", "next_seq bigint, next_line bigint, broken boolean, starts array<bigint>, ends array<bigint>")
             self.carry = handle.getListState("carry", "piece binary")
             self.early = handle.getMapState("early", "seq bigint", "chunk binary")
 
@@ -89,49 +95,90 @@ def line_assembler(**options) -> StatefulProcessor:
                     self.handle.deleteTimer(timer)
                 self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
 
-        def _load(self) -> tuple[int, int, bool]:
-            return self.progress.get() if self.progress.exists() else (self.first_seq, 0, False)
+        def _load(self) -> tuple[int, int, bool, dict[int, int]]:
+            """Next chunk, next line, whether the line is broken, and the end of each early run by its start."""
+            held = self.progress.get()
+            if held is None:
+                return self.first_seq, 0, False, {}
+            next_seq, line_no, broken, starts, ends = held
+            return next_seq, line_no, broken, dict(zip(starts, ends))
+
+        def _store(self, next_seq: int, line_no: int, broken: bool, waiting: dict[int, int]) -> None:
+            starts = sorted(waiting)
+            self.progress.update((next_seq, line_no, broken, starts, [waiting[s] for s in starts]))
+
+        def _new_runs(self, rows: Iterator[pd.DataFrame], next_seq: int, waiting: dict[int, int]) -> dict[int, tuple[int, bytes]]:
+            """What was neither read nor stored before, by its first chunk: the chunk after the last, and the bytes."""
+            packs = []
+            for frame in rows:
+                sizes = frame["sizes"].tolist() if "sizes" in frame else [None] * len(frame)
+                packs += zip(frame["seq"].tolist(), frame["chunk"].tolist(), sizes)
+            packs.sort(key=lambda pack: pack[0])
+            starts, new, done = sorted(waiting), {}, next_seq
+            for seq, data, sizes in packs:
+                data = bytes(data or b"")
+                ends = [0, len(data)] if sizes is None else np.append(0, np.cumsum(np.frombuffer(sizes, np.int32))).tolist()
+                after, lo = seq + len(ends) - 1, max(seq, done)
+                while lo < after:
+                    i = bisect_right(starts, lo)
+                    if i and waiting[starts[i - 1]] > lo:  # stored
+                        lo = waiting[starts[i - 1]]
+                        continue
+                    hi = min(after, starts[i]) if i < len(starts) else after
+                    new[lo] = (hi, data[ends[lo - seq] : ends[hi - seq]])
+                    lo = hi
+                done = max(done, after)
+            return new
+
+        @staticmethod
+        def _joined(new: dict[int, tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
+            """Neighbours put together up to about `RUN_BYTES`: first chunk, the one after the last, bytes."""
+            held, size, first, last = [], 0, None, None
+            for start, (end, data) in new.items():
+                if held and (start != last or size >= RUN_BYTES):
+                    yield first, last, b"".join(held)
+                    held, size = [], 0
+                first, last = (start if not held else first), end
+                held.append(data)
+                size += len(data)
+            if held:
+                yield first, last, b"".join(held)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            next_seq, line_no, broken = self._load()
-            new: dict[int, bytes] = {}
-            for frame in rows:
-                for seq, chunk in zip(frame["seq"].tolist(), frame["chunk"].tolist()):
-                    if seq >= next_seq:
-                        new[int(seq)] = bytes(chunk or b"")
+            next_seq, line_no, broken, waiting = self._load()
+            new = self._new_runs(rows, next_seq, waiting)
             run = []
-            while True:
+            while next_seq in new or next_seq in waiting:
                 if next_seq in new:
-                    run.append(new.pop(next_seq))
-                elif self.early.containsKey((next_seq,)):
+                    next_seq, data = new.pop(next_seq)
+                    run.append(data)
+                else:
                     run.append(bytes(self.early.getValue((next_seq,))[0]))
                     self.early.removeKey((next_seq,))
-                else:
-                    break
-                next_seq += 1
-            for seq, chunk in new.items():
-                self.early.updateValue((seq,), (chunk,))
+                    next_seq = waiting.pop(next_seq)
+            for start, end, data in self._joined(new):
+                self.early.updateValue((start,), (data,))
+                waiting[start] = end
             lines, after, broken = self._read(b"".join(run), line_no, broken)
             yield from self._frame(key, lines, line_no)
-            self.progress.update((next_seq, after, broken))
+            self._store(next_seq, after, broken, waiting)
             self._timer(timerValues)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            next_seq, line_no, broken = self._load()
-            waiting = sorted((seq[0], bytes(chunk[0])) for seq, chunk in self.early.iterator())
+            next_seq, line_no, broken, waiting = self._load()
             if not waiting:  # silent and nothing to go on with
                 self.progress.clear()
                 self.carry.clear()
                 return
-            for seq, chunk in waiting:
-                if seq != next_seq:  # bytes are lost here: so is the line around them
+            for start in sorted(waiting):
+                if start != next_seq:  # bytes are lost here: so is the line around them
                     self.carry.clear()
                     broken = True
-                lines, after, broken = self._read(chunk, line_no, broken)
+                lines, after, broken = self._read(bytes(self.early.getValue((start,))[0]), line_no, broken)
                 yield from self._frame(key, lines, line_no)
-                next_seq, line_no = seq + 1, after
+                next_seq, line_no = waiting[start], after
             self.early.clear()
-            self.progress.update((next_seq, line_no, broken))
+            self._store(next_seq, line_no, broken, {})
             self._timer(timerValues)
 
         def close(self) -> None:
@@ -140,12 +187,39 @@ def line_assembler(**options) -> StatefulProcessor:
     return LineAssembler(**options)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of consecutive chunks of a request as one row each: the first number, the bytes, and the sizes as 32-bit numbers."""
+    for batch in batches:
+        codes = batch.column("req_id").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        seq = batch.column("seq").to_numpy(zero_copy_only=False)
+        order = np.lexsort((seq, codes))
+        codes, seq = codes[order], seq[order]
+        first = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (seq[1:] != seq[:-1] + 1))[: len(seq)])
+        data = batch.column("chunk").fill_null(b"").cast(pa.binary()).take(pa.array(order))
+        ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(seq) + 1] if len(seq) else np.zeros(1, np.int32)
+        sizes = np.diff(ends).astype(np.int32)
+
+        def cut(at: np.ndarray, values) -> pa.Array:
+            return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.astype(np.int32).tobytes()), values])
+
+        bounds = np.append(first, len(seq))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("req_id").take(pa.array(order[first])), pa.array(seq[first], pa.int64()),
+                cut(ends[bounds], data.buffers()[2] or pa.py_buffer(b"")), cut(bounds * 4, pa.py_buffer(sizes.tobytes())),
+            ],
+            ["req_id", "seq", "chunk", "sizes"],
+        )
+
+
 def assemble_lines(chunks: DataFrame, idle_ms: int | None = IDLE_MS, **options) -> DataFrame:
     """I1 on a stream of `req_id, seq, chunk`: finished lines (`req_id, seq, line`) for `parse_sse` and `accumulate_stream`.
 
+    Runs of chunks that a task reads together are one row each before they are shuffled to their state.
     Needs the RocksDB state store provider. Without `idle_ms` there are no timers, as a one-off run over the available files needs.
     """
-    return chunks.select("req_id", "seq", "chunk").groupBy("req_id").transformWithStateInPandas(
+    packs = chunks.select("req_id", "seq", "chunk").mapInArrow(_packed, f"req_id {chunks.schema['req_id'].dataType.simpleString()}, seq bigint, chunk binary, sizes binary")
+    return packs.groupBy("req_id").transformWithStateInPandas(
         statefulProcessor=line_assembler(idle_ms=idle_ms, **options), outputStructType=LINE, outputMode="Append",
         timeMode="None" if idle_ms is None else "ProcessingTime",
     )

@@ -131,3 +131,38 @@ def test_silent_request_gives_up_the_line_around_a_gap():
     assert late == [("q", 2, "three"), ("q", 3, "four")]
     assert feed([(1, b"too late"), (4, b"ve\n")]) == [("q", 4, "five")]
     assert list(machine.handleExpiredTimer(("q",), store, None)) == [] and store.value is None and not store.items
+
+
+def test_early_chunks_are_stored_by_runs():
+    """A thousand chunks behind a gap are a few entries of state, also when some come twice in another batch."""
+    import pandas as pd
+
+    store = Store()
+    machine = chunks.line_assembler(idle_ms=None)
+    machine.init(store)
+    feed = lambda rows: [tuple(r) for f in machine.handleInputRows(("q",), iter([pd.DataFrame(rows, columns=["seq", "chunk"])]), store) for r in f.itertuples(index=False)]
+    rows = [(i, f"{i}\n".encode()) for i in range(1_000)]
+    early = rows[500:700] + rows[300:400]
+    random.Random(3).shuffle(early)
+    assert feed(early) == [] and len(store.map) == 2
+    assert feed(rows[350:550] + rows[650:]) == [] and len(store.map) == 4
+    assert feed(rows[:320]) == [("q", i, str(i)) for i in range(1_000)] and not store.map
+
+
+def test_long_runs_are_stored_in_parts(monkeypatch):
+    monkeypatch.setattr(chunks, "RUN_BYTES", 10)
+    new = {7: (9, b"abcd"), 9: (10, b"efghijk"), 10: (12, b"l"), 13: (14, b"m")}
+    assert list(chunks.line_assembler()._joined(new)) == [(7, 10, b"abcdefghijk"), (10, 12, b"l"), (13, 14, b"m")]
+
+
+def test_chunks_are_packed_before_their_state():
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [("a", 2, b"cc"), (None, 0, b"n"), ("b", 5, b""), ("a", 1, None), ("a", 0, b"a"), ("b", 7, b"x"), ("a", 1, b"")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], ["req_id", "seq", "chunk"])
+    (found,) = chunks._packed(iter([batch]))
+    got = {(r["req_id"], r["seq"], r["chunk"], tuple(np.frombuffer(r["sizes"], np.int32).tolist())) for r in found.to_pylist()}
+    assert got == {("a", 0, b"a", (1, 0)), ("a", 1, b"cc", (0, 2)), (None, 0, b"n", (1,)), ("b", 5, b"", (0,)), ("b", 7, b"x", (1,))}
+    (empty,) = chunks._packed(iter([batch.slice(0, 0)]))
+    assert empty.num_rows == 0

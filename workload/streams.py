@@ -65,15 +65,28 @@ def sse_stream(spark, sf):
 WIDE = "replace(line, '; ', ' é€😀; ')"
 
 
-def request_chunks(spark, sf):
-    """Responses as bytes, cut every few bytes: request numbers choose 1 to 31 bytes a chunk and the line end."""
+def request_bytes(spark, sf):
+    """Responses as bytes, with the size of their chunks: request numbers choose 1 to 31 bytes a chunk and the line end.
+
+    Each response is dealt to a fixed number of tasks: chunks are many times as large as what they are cut from, so the small
+    partitions before must not be put together.
+    """
     user = F.substring("req_id", 2, 20).cast("bigint")
     lines = request_lines(spark, sf).withColumn("line", F.concat(F.expr(WIDE), F.when(user % 2 == 0, "\r\n").otherwise("\n")))
     size = (1 + user % 31).cast("int")
     whole = ordered_text(lines, ["req_id"], "seq", "line", "text").select("req_id", size.alias("size"), F.encode("text", "UTF-8").alias("data"))
-    cuts = F.sequence(F.lit(0), F.octet_length("data") - 1, F.col("size"))
-    return whole.select("req_id", "size", "data", F.posexplode(cuts).alias("seq", "at")).select(
-        "req_id", F.col("seq").cast("bigint").alias("seq"), F.substring("data", F.col("at") + 1, F.col("size")).alias("chunk")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return whole.repartition(tasks, "req_id")
+
+
+def cut_chunks(whole, half=None):
+    """The chunks of each response, or those of its first (0) or second (1) half."""
+    last = F.floor((F.octet_length("data") - 1) / F.col("size"))
+    middle = F.floor(last / 2)
+    first, last = (middle + 1 if half == 1 else F.lit(0)), (middle if half == 0 else last)
+    seqs = F.when(first <= last, F.sequence(first.cast("bigint"), last.cast("bigint")))
+    return whole.select("req_id", "size", "data", F.explode(seqs).alias("seq")).select(
+        "req_id", "seq", F.substring("data", (F.col("seq") * F.col("size") + 1).cast("int"), F.col("size")).alias("chunk")
     )
 
 
@@ -83,7 +96,7 @@ CUT = EVENTS.replace("FROM sse_lines)", f"FROM (SELECT * REPLACE ({WIDE} AS line
 @query(with_inputs("sse_lines", also=CUT) + RESPONSES + " FROM live GROUP BY req_id")
 def sse_from_chunks(spark, sf):
     """I1, I2 on a table of raw chunks"""
-    return sse.accumulate(sse.parse_sse(chunks.lines_from_chunks(request_chunks(spark, sf))))
+    return sse.accumulate(sse.parse_sse(chunks.lines_from_chunks(cut_chunks(request_bytes(spark, sf)))))
 
 
 @query(with_inputs("sse_lines", also=CUT) + RESPONSES + " FROM live GROUP BY req_id")
@@ -93,12 +106,16 @@ def sse_chunk_stream(spark, sf):
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
-    folder, target, state = (scratch(spark, name) for name in ("chunks", "lines", "state"))
-    request_chunks(spark, sf).repartitionByRange(2, "seq").write.parquet(folder)
-    stream = spark.readStream.schema("req_id string, seq bigint, chunk binary").option("maxFilesPerTrigger", 1).parquet(folder)
-    chunks.assemble_lines(stream, idle_ms=None).writeStream.format("parquet").option("path", target).option(
-        "checkpointLocation", state
-    ).trigger(availableNow=True).start().awaitTermination()
+    stored, folder, target, state = (scratch(spark, name) for name in ("requests", "chunks", "lines", "state"))
+    request_bytes(spark, sf).write.parquet(stored)
+    whole = spark.read.schema("req_id string, size int, data binary").parquet(stored)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for half in (0, 1):
+        cut_chunks(whole.repartition(tasks, "req_id"), half).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("req_id string, seq bigint, chunk binary").parquet(folder)
+        chunks.assemble_lines(stream, idle_ms=None).writeStream.format("parquet").option("path", target).option(
+            "checkpointLocation", state
+        ).trigger(availableNow=True).start().awaitTermination()
     return sse.accumulate(sse.parse_sse(spark.read.schema(chunks.LINE).parquet(target)))
 
 
