@@ -202,3 +202,46 @@ def test_near_copies_against_all_pairs(spark):
     assert alone > 200 and kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(min(d for d in ids if d is not None) for ids in want.values())
     assert corpus_pipeline.near_duplicates(spark, df.limit(0), "").count() == 0
+
+
+def test_members_of_one_component_never_meet_in_blocks(spark):
+    """A group of 300 members of one component and 3 others: 3 blocks that meet one, no pair of the 300."""
+    from atlasloom.llm import nearcopies
+
+    rows = spark.createDataFrame([(7, i, 0 if i < 300 else i) for i in range(303)], "key long, node long, root long")
+    dealt = nearcopies._dealt_blocks(rows).collect()
+    assert len(dealt) == 300 + 3 * 3  # before: 303 members in each of 3 blocks
+    tasks = {}
+    for r in dealt:
+        tasks.setdefault((r.i, r.j), []).append(r)
+    met = {(a.node, b.node) for (i, j), part in tasks.items() for a in part for b in part if a.node < b.node and a.root != b.root and (a.own != b.own or j == -1)}
+    assert met == {(a, b) for a in range(303) for b in range(max(a + 1, 300), 303)}
+
+
+def test_many_others_all_meet(spark, monkeypatch):
+    from atlasloom.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "BLOCK", 4)
+    rows = spark.createDataFrame([(1, i, 0 if i < 10 else i // 2) for i in range(31)], "key long, node long, root long")
+    tasks = {}
+    for r in nearcopies._dealt_blocks(rows).collect():
+        tasks.setdefault((r.i, r.j), []).append(r)
+    met = [(a.node, b.node) for (i, j), part in tasks.items() for a in part for b in part if a.node < b.node and a.root != b.root and (a.own != b.own or j == -1)]
+    root = {i: 0 if i < 10 else i // 2 for i in range(31)}
+    assert sorted(met) == sorted((a, b) for a in range(31) for b in range(a + 1, 31) if root[a] != root[b])
+
+
+def test_sets_are_not_shuffled_to_be_dealt(spark):
+    from atlasloom.llm import nearcopies
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = spark.createDataFrame([(i, b"12345678") for i in range(6)], "node long, hashes binary")
+        stars = nearcopies._star_links(spark.createDataFrame([(0, i) for i in range(1, 6)], "centre long, node long"), sets)
+        blocks = nearcopies._block_links(spark.createDataFrame([(9, i, i % 3) for i in range(6)], "key long, node long, root long"), sets)
+        for found, n in ((stars, 5), (blocks, 12)):
+            assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+            assert found.count() == n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
