@@ -14,6 +14,8 @@ from ..constants import EMBED_BATCH_SIZES, NO_VALID_TEXT_ERROR
 from ..session import ensure_checkpoint_dir
 from .scale import bounded_side
 
+#: Characters whose words are held as objects at a time.
+EMBED_CHARS = 1 << 20
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 _REGISTRY: dict[str, Callable[..., Embedder]] = {}
 
@@ -26,11 +28,18 @@ def register_embedder(name: str, factory: Callable[..., Embedder]) -> None:
 def hashing_embedder(dim: int = 256) -> Embedder:
     """Signed feature hashing of the words of a text, L2-normalised; needs no model and no network.
 
-    The words of a batch are factorised, so each distinct word is hashed once.
+    The words of a batch are factorised, so each distinct word of it is hashed once; a batch of more than `EMBED_CHARS`
+    characters is taken in parts, so that the words held at a time do not grow with the texts.
     """
     import pandas as pd
 
     def embed(texts: list[str]) -> np.ndarray:
+        ends = np.cumsum([len(t) for t in texts])
+        cuts = np.flatnonzero(np.diff(ends // EMBED_CHARS)) + 1 if len(texts) else []
+        bounds = [0, *map(int, cuts), len(texts)]
+        return np.concatenate([part(texts[a:b]) for a, b in zip(bounds, bounds[1:])])
+
+    def part(texts: list[str]) -> np.ndarray:
         words = [t.split() for t in texts]
         rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
         codes, distinct = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))

@@ -233,3 +233,21 @@ def test_payloads(spark):
     df = spark.createDataFrame(list(enumerate(payloads)), "id int, payload string")
     got = sorted((r.id, r["index"], r.vector) for r in embed.normalise_payload(df).collect())
     assert got == [(0, 0, [1.0, 2.5]), (1, 0, [1.0]), (1, 1, [2.0]), (2, 0, [3.0]), (3, 0, [4.0, 5.0])]
+
+
+def test_words_of_a_batch_are_held_in_parts():
+    """A batch of long texts: the words held at a time do not grow with it, and vectors are those of the texts alone."""
+    import tracemalloc
+
+    import numpy as np
+
+    from atlasloom.operators.embed import hashing_embedder
+
+    texts = [" ".join(f"w{(i * 7 + j) % 5_000}" for j in range(6_000)) for i in range(100)] + ["", " ", "x"]
+    embed = hashing_embedder(16)
+    tracemalloc.start()
+    found = embed(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
+    assert np.array_equal(found, np.concatenate([embed([t]) for t in texts])) and embed([]).shape == (0, 16)
