@@ -17,7 +17,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..operators.bloom import filter_table, filter_test
 from .common import opened, prepare, text_of
@@ -213,6 +213,12 @@ def digest(hits: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows of `docs`, all columns, without a word inside a benchmark window."""
-    hits = benchmark_hits(docs, benchmark, window, carry=F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return hits.filter(F.size("first_words") == 0).select("carried.some.*")
+    """Rows of `docs`, all columns, without a word inside a benchmark window.
+
+    A text goes to the tasks and back once: what is carried beside it is the other columns, and whether it was null.
+    """
+    once = [f.name for f in docs.schema.fields if f.name.lower() == "text" and f.dataType == T.StringType()]
+    carry = F.struct(F.col("text").isNull().alias("none"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in docs.columns if c not in once]).alias("row"))
+    hits = benchmark_hits(docs, benchmark, window, carry=carry).filter(F.size("first_words") == 0)
+    back = F.when(~F.col("carried.some.none"), F.col("text"))
+    return hits.select(*[back.alias(c) if c in once else F.col(f"carried.some.row.`{c}`") for c in docs.columns])

@@ -6,8 +6,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from atlasloom.llm import decontaminate, hdlang, merkle, pii, toxicity
+from atlasloom.llm import common, decontaminate, hdlang, merkle, pii, toxicity
+from atlasloom.session import BATCH_BYTES
 
 R = random.Random(11)
 
@@ -133,6 +135,36 @@ def test_benchmark_words_against_a_plain_search(spark, block_bytes):
     assert kept.columns == df.columns and kept.count() == sum(w[2] == 0 for w in want)
 
 
+def test_decontamination_sends_each_text_once(spark, monkeypatch):
+    sent, find = [], decontaminate.benchmark_hits
+    monkeypatch.setattr(decontaminate, "benchmark_hits", lambda *a, **b: sent.append(find(*a, **b)) or sent[-1])
+    rows = [(None, "x", 1), ("", "y", 2), ("zz yy", "x", 3), ("zz xx", None, 4), ("é 😀\x00 .", "z", 5)]
+    df = spark.createDataFrame(rows, "TEXT string, source string, doc_id long")
+    bench = spark.createDataFrame([(3, "zz yy")], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.schema == df.schema and sorted(map(tuple, kept.collect()), key=lambda r: r[2]) == [r for r in rows if r[2] != 3]
+    assert "text" not in sent[0].schema["carried"].simpleString().lower()
+    only = spark.createDataFrame([("zz yy",), (None,)], "text string").withColumn("doc_id", F.lit(1)).select("doc_id", "text")
+    assert [tuple(r) for r in decontaminate.drop_contaminated(only, bench).collect()] == [(1, None)]
+
+
+def test_python_workers_get_long_texts_in_small_batches(spark):
+    common.prepare(spark)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([len(batch)])], ["size", "n"])
+
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("abcd "), 1000).alias("text")).mapInArrow(sizes, "size long, n long").collect()
+    assert sum(r.n for r in rows) == 4000 and max(r.size for r in rows) < 2 * BATCH_BYTES
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "9m")
+    common.prepare(own)
+    assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "9m"
+
+
 def test_a_large_benchmark_takes_two_scans(spark):
     word = lambda: f"w{R.randrange(5000)}"
     items = [(i, " ".join(word() for _ in range(R.randint(5, 40)))) for i in range(3000)]  # about 400 kB
