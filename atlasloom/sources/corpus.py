@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..constants import CODE_SUFFIXES, DOC_SUFFIXES, TREE_SKIPPED_DIRS, TREE_SKIPPED_FILES
 from ..functions.text import replace_all
 from ..operators.scale import dense_index, ordered_text, sorted_index
-from ..session import ensure_checkpoint_dir
+from ..session import BATCH_BYTES, bound_batches, ensure_checkpoint_dir
 
 READ_TRIES = 4
-READ_BYTES = 16 * 1024 * 1024
+READ_BYTES = BATCH_BYTES
 LIST_ROWS = 20_000
 _ENTRY = "path string, is_dir boolean, length bigint, modified timestamp"
 
@@ -99,11 +99,11 @@ def _read_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     time.sleep(2**attempt)
             if content is None:
                 continue
-            rows.append((*row, content))
-            held += len(content)
-            if held > READ_BYTES:
+            if rows and held + len(content) > READ_BYTES:  # a larger file goes alone
                 yield pd.DataFrame(rows, columns=columns)
                 rows, held = [], 0
+            rows.append((*row, content))
+            held += len(content)
         if rows:
             yield pd.DataFrame(rows, columns=columns)
             rows, held = [], 0
@@ -135,6 +135,7 @@ def scan_corpus(
     listing (path rules) before any file is opened. `engine="binaryFile"` uses the built-in
     source instead, which prunes on names but never sees names that begin with an underscore.
     """
+    bound_batches(spark)
     suffixes = [e[1:] for e in (*code_ext, *doc_ext)]
     if engine == "binaryFile":
         listing = (

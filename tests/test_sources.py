@@ -6,12 +6,14 @@ import os
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from atlasloom.constants import EXCLUDED_DIRS, EXCLUDED_FILES
 from atlasloom.plans.chat import assemble_requests, prepare_requests
 from atlasloom.plans.corpus import build_chunks, index_corpus, repo_dimension
+from atlasloom.session import BATCH_BYTES
 from atlasloom.sources import corpus, index_store, wiki_cache
 from atlasloom.streaming import sse
 
@@ -44,6 +46,18 @@ def test_scan(spark, root):
     assert {(r.repo_id, r.file_path) for r in single.collect()} == {("solo", "b/c/d/e/f.ts"), ("solo", "x.yml")}
 
 
+def test_files_are_read_a_few_at_a_time(spark, root, tmp_path):
+    sizes = [1000, 3_000_000, 3_000_000, 9_000_000, 10, 10, 2_000_000]
+    for i, n in enumerate(sizes):
+        (tmp_path / f"{i}.py").write_bytes(b"x" * n)
+    paths = pd.DataFrame({"path": [str(tmp_path / f"{i}.py") for i in range(len(sizes))]})
+    found = [[len(c) for c in frame["content"]] for frame in corpus._read_bytes(iter([paths]))]
+    assert sum(found, []) == sizes and all(sum(f) <= BATCH_BYTES or len(f) == 1 for f in found)
+    own = spark.newSession()
+    assert corpus.scan_corpus(own, root).count() == 8
+    assert int(own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
+
+
 def test_built_in_scan_sees_the_same_except_underscores(spark, root):
     mine = {(r.repo_id, r.file_path) for r in corpus.scan_corpus(spark, root).collect()}
     other = {(r.repo_id, r.file_path) for r in corpus.scan_corpus(spark, root, engine="binaryFile").collect()}

@@ -11,7 +11,7 @@ from atlasloom.constants import CODE_SUFFIXES, DOC_SUFFIXES, EXCLUDED_DIRS, EXCL
 from atlasloom.functions import text as t, urls as u
 from atlasloom.operators import catalogue, docs as d, embed, filters, scale
 from atlasloom.plans.corpus import build_chunks, repo_dimension
-from atlasloom.session import ensure_checkpoint_dir
+from atlasloom.session import bound_batches, ensure_checkpoint_dir
 from atlasloom.sources import corpus, index_store, wiki_cache
 
 from . import query
@@ -60,6 +60,7 @@ def write_texts(rows: DataFrame, root: str) -> None:
                     out.write(text.encode())
             yield pd.DataFrame({"n": [len(frame)]})
 
+    bound_batches(rows.sparkSession)
     rows.mapInPandas(write, "n int").agg(F.sum("n")).collect()
 
 
@@ -85,6 +86,7 @@ def write_pieces(rows: DataFrame, root: str) -> None:
         if out:
             out.close()
 
+    bound_batches(rows.sparkSession)
     sorted_rows = rows.repartition("path").sortWithinPartitions("path", "seq").select("path", "piece")
     sorted_rows.mapInPandas(write, "n int").agg(F.sum("n")).collect()
 
