@@ -13,9 +13,11 @@ from ..functions.markup import (
     trimmed_element, unescape_xml,
 )
 from ..operators.publish import export_json, export_markdown, pack_context
-from ..operators.scale import bounded_side
+from ..operators.filters import resolve_language
+from ..operators.scale import bounded_side, latest_wins
 from ..operators.wiki import attach_content, infer_sections, ready_wikis, root_sections
 from ..session import ensure_checkpoint_dir
+from ..sources.index_store import new_build
 from ..sources.wiki_cache import KEY, upsert_wiki
 
 
@@ -81,13 +83,19 @@ _SECTION = ["sec_ord", "section_id", "title", "pages", "subsections"]
 
 
 def stored_form(wikis: DataFrame, filled: DataFrame, sections: DataFrame | None = None) -> DataFrame:
-    """A row per wiki with its header and, as nested columns, its generated pages and sections in order."""
-    def gathered(rows: DataFrame, fields: list[str], name: str) -> DataFrame:
-        return rows.groupBy("wiki_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    """The rows of the wikis, all with their header: one of each wiki (`part` is null), one of each of its generated
+    pages (`stored_page`) and sections (`stored_section`). A wiki is never gathered in a row, so it may have any size.
 
-    rows = wikis.join(gathered(filled, _PAGE, "stored_pages"), "wiki_id", "left")
+    `wikis`: the cache key columns and `wiki_id`, each pair of them once. `stored_id` is the same in all rows of a wiki and new in each call.
+    """
+    heads = wikis.withColumn("stored_id", F.md5(F.concat(F.lit(new_build()), F.to_json(F.struct(*KEY, "wiki_id")))))
+
+    def parts(rows: DataFrame, fields: list[str], kind: str) -> DataFrame:
+        return rows.select("wiki_id", F.lit(kind).alias("part"), F.struct(*fields).alias(f"stored_{kind}")).join(heads, "wiki_id")
+
+    rows = heads.unionByName(parts(filled, _PAGE, "page"), allowMissingColumns=True)
     if sections is not None:
-        rows = rows.join(gathered(sections, _SECTION, "stored_sections"), "wiki_id", "left")
+        rows = rows.unionByName(parts(sections, _SECTION, "section"), allowMissingColumns=True)
     return rows
 
 
@@ -96,16 +104,16 @@ def stored_wiki_tables(cache: DataFrame) -> dict[str, DataFrame]:
 
     Wikis that were stored without sections get them from their page titles.
     """
-    pages = cache.select("wiki_id", F.inline("stored_pages"))
-    if "stored_sections" in cache.columns:
-        sections = cache.select("wiki_id", F.inline("stored_sections"))
+    pages = cache.filter("part = 'page'").select("wiki_id", "stored_page.*")
+    if "stored_section" in cache.columns:
+        sections = cache.filter("part = 'section'").select("wiki_id", "stored_section.*")
     else:
         sections = cache.select("wiki_id", F.inline(F.array().cast(
             "array<struct<sec_ord:bigint,section_id:string,title:string,pages:array<string>,subsections:array<string>>>"
         )))
     inferred_pages, inferred_sections = infer_sections(pages, sections)
     return {
-        "wikis": cache.drop("stored_pages", "stored_sections"), "pages": pages, "sections": sections,
+        "wikis": cache.filter("part IS NULL").drop("stored_id", "part", "stored_page", "stored_section"), "pages": pages, "sections": sections,
         "inferred_pages": inferred_pages, "inferred_sections": inferred_sections,
     }
 
@@ -118,9 +126,11 @@ def publish_wiki(
     `wikis`: `wiki_id`, the cache key columns, `repo_url`, `updated_at`.
     """
     ready = bounded_side(ready_wikis(pages, generated))
-    complete = wikis.join(ready, "wiki_id", "left_semi").select(*KEY, "wiki_id", "repo_url", "updated_at")
+    complete = resolve_language(wikis.join(ready, "wiki_id", "left_semi")).select(*KEY, "wiki_id", "repo_url", "updated_at")
+    complete = bounded_side(latest_wins(complete, [*KEY, "wiki_id"], "updated_at"))
     filled = attach_content(pages, generated)
-    stored = stored_form(complete, filled.join(ready, "wiki_id", "left_semi"), sections)
+    whole = attach_content(*[rows.join(ready, "wiki_id", "left_semi") for rows in (pages, generated)])
+    stored = stored_form(complete, whole, sections)
     return {
         "stored": stored,
         "cache": upsert_wiki(cache, stored),

@@ -8,7 +8,7 @@ from ..functions.text import WS_CHARS
 from ..functions.urls import CACHE_PREFIX
 from ..operators.catalogue import newest_first, projects_from_files
 from ..operators.filters import check_language, resolve_language
-from ..operators.scale import bounded_side, latest_wins
+from ..operators.scale import bounded_side, latest_wins, stored_side
 from ..schemas import WIKI_FILE
 from .corpus import list_folder
 from .index_store import new_build
@@ -17,13 +17,24 @@ KEY = ["repo_type", "owner", "repo", "language"]
 
 
 def upsert_wiki(cache: DataFrame, updates: DataFrame, version: str = "updated_at") -> DataFrame:
-    """A10: the table after an upsert; the newest row per key wins.
+    """A10: the table after an upsert; the newest row per key wins, of equally new ones the update's.
 
     An unsupported language becomes the default first. View and model are not part of the key, so
     a later view replaces an earlier one.
     """
-    fitted = resolve_language(updates).drop("language_name")
-    return latest_wins(fitted.unionByName(cache, allowMissingColumns=True), KEY, version)
+    fitted = resolve_language(updates).drop("language_name").withColumn("__update", F.lit(True))
+    rows = fitted.unionByName(cache.withColumn("__update", F.lit(False)), allowMissingColumns=True)
+    return newest_with_parts(rows, KEY, version, "__update").drop("__update")
+
+
+def newest_with_parts(rows: DataFrame, keys: list[str], *version: str) -> DataFrame:
+    """The newest row per key. Rows that are parts of a stored wiki (`part`) stay where the wiki's own row does, and are not ranked."""
+    if "part" not in rows.columns:
+        return latest_wins(rows, keys, *version)
+    heads, small = stored_side(latest_wins(rows.filter("part IS NULL"), keys, *version))
+    kept = heads.select("stored_id", *version)
+    parts = rows.filter("part IS NOT NULL").join(F.broadcast(kept) if small else kept, ["stored_id", *version], "left_semi")
+    return heads.unionByName(parts)
 
 
 def append_rows(path: str, updates: DataFrame, deleted: bool = False) -> None:
@@ -35,7 +46,7 @@ def append_rows(path: str, updates: DataFrame, deleted: bool = False) -> None:
 def newest_rows(spark: SparkSession, path: str, keys: list[str], version: str) -> DataFrame:
     """The table that a stored log stands for: the newest row of each key, unless that deletes it."""
     rows = spark.read.option("mergeSchema", "true").parquet(path)
-    return latest_wins(rows, keys, version, "written").filter("NOT deleted").drop("deleted", "written")
+    return newest_with_parts(rows, keys, version, "written").filter("NOT deleted").drop("deleted", "written")
 
 
 def compact_rows(spark: SparkSession, path: str, target: str, keys: list[str], version: str) -> None:
@@ -58,7 +69,7 @@ def delete_stored_wikis(spark: SparkSession, path: str, keys: DataFrame, version
     stored = read_wiki_cache(spark, path, version)
     _, status = delete_wiki(stored, keys)
     status = status.checkpoint()
-    gone = stored.select(*KEY, version).join(status.filter("deleted").select(*KEY), KEY, "left_semi")
+    gone = stored.select(*KEY, version).distinct().join(status.filter("deleted").select(*KEY), KEY, "left_semi")
     append_rows(path, gone, deleted=True)
     return status
 

@@ -417,3 +417,35 @@ def test_prompts(spark):
     assert got["a"].endswith("\n<END_OF_CONTEXT>\n\n<query>\nwhat is topic3\n</query>\n\nAssistant: ")
     assert "<note>Answering without retrieval augmentation.</note>\n\n<query>\nzzz" in got["b"]
     assert got["b"].endswith("</query>\n\nAssistant:  /no_think")
+
+
+def test_published_wikis_are_rows_of_pages(spark, tmp_path):
+    """No row holds more than a page; a newer publication replaces all pages of the one before, an older or deleted one has none."""
+    from atlasloom import schemas
+    from atlasloom.plans.wikis import publish_wiki, stored_wiki_tables
+
+    def publication(names, n, version, url):
+        pages = [(w, i, f"p{i}", f"T{i}", "", ["a.py"], "high", [], None) for w in names for i in range(n)]
+        pages = spark.createDataFrame(pages, schemas.WIKI_PAGES)
+        made = pages.select("wiki_id", "page_id", F.concat(F.lit(url), F.repeat(F.lit("x"), 1000)).alias("content"))
+        wikis = spark.createDataFrame([("github", "o", w, "xx", w, url, version) for w in names], f"{KEYS}, wiki_id string, repo_url string, updated_at int")
+        sections = spark.createDataFrame([(w, 0, "s", "S", ["p0"], []) for w in names], schemas.WIKI_SECTIONS)
+        empty = wikis.select(*wiki_cache.KEY, "wiki_id", "repo_url", "updated_at").limit(0)
+        return publish_wiki(wikis, pages, made, empty, "S", sections)
+
+    old, new = publication(["a", "b"], 50, 1, "old"), publication(["a"], 3, 2, "new")
+    path = str(tmp_path / "wikis")
+    for form in (old["stored"], new["stored"], new["stored"], old["stored"]):
+        wiki_cache.write_wiki_cache(spark, path, form)
+    cache = wiki_cache.read_wiki_cache(spark, path)
+    sizes = cache.select(F.length(F.to_json(F.struct("*"))).alias("n"))
+    assert sizes.agg(F.max("n")).first()[0] < 2000
+    both = wiki_cache.upsert_wiki(wiki_cache.upsert_wiki(old["cache"], new["stored"]), new["stored"])
+    for found in (cache, both):
+        tables = stored_wiki_tables(found)
+        assert sorted((r.wiki_id, r.repo_url, r.updated_at, r.language) for r in tables["wikis"].collect()) == [("a", "new", 2, "en"), ("b", "old", 1, "en")]
+        assert sorted((r.wiki_id, r.page_ord, r.content[:3]) for r in tables["pages"].collect()) == [("a", i, "new") for i in range(3)] + [("b", i, "old") for i in range(50)]
+        assert sorted((r.wiki_id, r.section_id) for r in tables["sections"].collect()) == [("a", "s"), ("b", "s")]
+    gone = spark.createDataFrame([("github", "o", "b", "en")], KEYS)
+    assert [r.deleted for r in wiki_cache.delete_stored_wikis(spark, path, gone).collect()] == [True]
+    assert {r.wiki_id for r in stored_wiki_tables(wiki_cache.read_wiki_cache(spark, path))["pages"].collect()} == {"a"}

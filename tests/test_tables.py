@@ -1,5 +1,6 @@
 """Filters, documents, conversations and scaling helpers against plain Python."""
 
+import hashlib
 import random
 
 import pytest
@@ -258,3 +259,20 @@ def test_running_total(spark, span):
     df = spark.createDataFrame(rows, "k string, pos long, v long")
     got = {(r.k, r.pos): r.before for r in scale.running_total(df, ["k"], "pos", "v", "before", span).collect()}
     assert got == {(k, p): sum(v for q, i, v in rows if q == k and i < p) for k, p, _ in rows}
+
+
+def test_ordered_md5(spark):
+    """The digest is that of the joined texts in order, also across the batches of a task and for keys with nulls."""
+    rng = random.Random(11)
+    data = [(rng.choice(["a", "b", None]), i % 2, rng.randrange(-50, 50) * 1000 + i, rng.choice(["", "é\n", None, "x" * 50])) for i in range(3000)] + [("c", 0, 0, None)]
+    df = spark.createDataFrame(data, "k string, l int, pos long, t string").repartition(4)
+    want = {}
+    for k, l, _, t in sorted((r for r in data if r[3] is not None), key=lambda r: r[2:]):
+        want.setdefault((k, l), []).append(t)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = scale.ordered_md5(df, ["k", "l"], "pos", "t", "md5", "|").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.k, r.l): (r.n, r.md5) for r in got} == {k: (len(t), hashlib.md5("|".join(t).encode()).hexdigest()) for k, t in want.items()}
+    assert len(got) == len(want) and scale.ordered_md5(df.limit(0), ["k"], "pos", "t", "md5").count() == 0

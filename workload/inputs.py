@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from atlasloom.operators.scale import bounded_side
+
 TITLE = "trim(substr(translate(text, chr(10) || '[]&<>#:|', '         '), 1, 40))"
 
 INPUTS = {
@@ -144,7 +146,10 @@ def load(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataFr
     text = INPUTS[name].replace("@list(", "array(")
     text = re.sub(r"@slice(\d+)\((\w+)\)", r"slice(\2, 1, \1)", text)
     for given in set(re.findall(r"@(\w+)", text)):
-        table(spark, sf, given, heavy).createOrReplaceTempView(f"given_{given}")
+        df = table(spark, sf, given, heavy)
+        if given == "labels":  # joined to whole texts, which are not shuffled for it while it is small
+            df = bounded_side(df)
+        df.createOrReplaceTempView(f"given_{given}")
     return spark.sql(re.sub(r"@(\w+)", r"given_\1", text))
 
 

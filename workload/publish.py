@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atlasloom.operators import publish as p
+from atlasloom.operators.scale import ordered_md5
 from atlasloom.operators.wiki import attach_content
 from atlasloom.plans.wikis import derive_decks, publish_wiki, slide_pages, slide_plans, stored_wiki_tables as tables_of, workshops
 from atlasloom.sources import wiki_cache
@@ -64,10 +65,11 @@ ready AS (SELECT wiki_id FROM per_wiki JOIN counted USING (wiki_id) WHERE all_do
 def published_wikis(spark, sf):
     """Complete wikis replace their stored rows, with all their pages; others stay"""
     stored = publish(spark, sf)["cache"]
-    text = F.transform("stored_pages", lambda p: F.concat_ws(":", p["page_id"], p["title"], p["content"]))
-    return stored.select(
-        *KEY, "repo_url", "updated_at", F.coalesce(F.size("stored_pages"), F.lit(0)).cast("long").alias("n_pages"),
-        F.md5(F.array_join(text, "\n")).alias("pages"),
+    text = F.concat_ws(":", "stored_page.page_id", "stored_page.title", "stored_page.content").alias("text")
+    pages = stored.filter("part = 'page'").select(*KEY, "stored_page.page_ord", text)
+    digests = ordered_md5(pages, KEY, "page_ord", "text", "pages", "\n")
+    return stored.filter("part IS NULL").join(digests, KEY, "left").select(
+        *KEY, "repo_url", "updated_at", F.coalesce("n", F.lit(0)).alias("n_pages"), "pages"
     )
 
 
