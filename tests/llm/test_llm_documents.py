@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -302,6 +303,71 @@ def test_decoding_follows_the_character_model(spark):
     assert [toxicity.decode(w, model) for w in ("h3ll0", "h-e-l-l-o", "w0rld", "theeeere")] == ["hello", "hello", "world", "there"]
 
 
+def fours(texts):
+    """Sequences of four letters in each text on its own, other characters as one space, and how often they occur."""
+    seen = Counter()
+    for text in texts:
+        run = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {text or ''} ".lower()))
+        seen.update(run[i : i + 4] for i in range(len(run) - 3))
+    return seen
+
+
+def mixed_texts(n):
+    """Texts in several scripts, so that there are many different sequences, with signs, empty texts and the mark of a text's end."""
+    rng = random.Random(5)
+    letters = [[chr(c) for c in range(*r)] for r in ((97, 123), (0x4E00, 0x9000), (0x20000, 0x20400), (0x430, 0x450), (0x3B1, 0x3CA))]
+    signs = [" ", "  ", ".", toxicity.END, "7", "İ", "Σ"]
+    return ["".join(rng.choice(signs if rng.random() < 0.15 else rng.choice(letters)) for _ in range(rng.randrange(60))) for _ in range(n)] + [None, "", "a", "ab", "  "]
+
+
+def test_every_sequence_has_its_own_count(spark):
+    texts = mixed_texts(3000)
+    want = fours(texts)
+    context = Counter()
+    for key, n in want.items():
+        context[key[:3]] += n
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for some in (df.coalesce(1), df.repartition(5)):
+        model = toxicity.char_model(some)
+        assert len(model.n) == len(want) > 60_000 and model.n.sum() == sum(want.values())
+        for key, n in random.Random(1).sample(sorted(want.items()), 3000):
+            other = key[:3] + random.Random(key).choice("abc ")
+            assert model.cost(*key) == toxicity.cost_of(n, context[key[:3]])
+            assert model.cost(*other) == toxicity.cost_of(want[other], context[key[:3]])
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 1000])
+def test_sequences_across_blocks(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    texts = mixed_texts(60)
+    got = Counter()
+    for code in toxicity.codes(t or "" for t in texts):
+        for context, letter, n in toxicity.counts(code):
+            got.update(dict(zip(zip(context.tolist(), letter.tolist()), n.tolist())))
+    assert got == Counter({toxicity.packed(k): n for k, n in fours(texts).items()})
+
+
+def test_sequences_of_all_letters():
+    text = "".join(c for c in map(chr, range(0x110000)) if c.isalpha() and c == c.lower())
+    found = [list(zip(*(x.tolist() for x in part))) for code in toxicity.codes([text]) for part in toxicity.counts(code)]
+    assert len(set(text)) > 1 << 16 and {(c, x): n for part in found for c, x, n in part} == {toxicity.packed(k): n for k, n in fours([text]).items()}
+
+
+def test_toxicity_with_more_sequences_than_tasks_hold(spark, monkeypatch):
+    docs, labels = toxic_rows(300)
+    odd = [(1000, "baum gr0b1an haus it's", "x"), (1001, "f l e g e l baum", "x"), (1002, "baum flegellllll", "x"), (1003, "haus f.l.3.g.e.l", "x"), (1004, None, "x"), (1005, "", "x"),
+           (3, docs[3][1], "x"), (1008, "haus f  l  e  g  e  l", "x"), (1010, "haus-" * 40 + "f.l.e.g.e.l", "x"), (1011, "b a u m u n d h a u s", "x")] + [(2000 + i, "gr0b1an im garten", "x") for i in range(9)]
+    df = spark.createDataFrame(docs + odd, "doc_id long, text string, key string")
+    marks = spark.createDataFrame(labels + [(2000 + i, 1) for i in range(9)] + [(1010, 1), (1001, 1)], "doc_id long, toxic int")
+    rows = lambda: sorted(map(repr, toxicity.toxicity(df, marks).collect()))
+    kept = lambda: sorted(map(repr, toxicity.drop_toxic(df, marks).collect()))
+    held = rows(), kept()
+    monkeypatch.setattr(toxicity, "SEQUENCES", 0)
+    assert isinstance(toxicity.char_model(df), toxicity.Readings)
+    assert (rows(), kept()) == held
+    assert toxicity.toxicity(df.limit(0), marks).count() == 0 and toxicity.toxicity(df, marks.limit(0)).agg({"score": "max"}).first()[0] == 0
+
+
 class OddModel:
     """Costs without ties, the same in every run."""
 
